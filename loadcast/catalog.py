@@ -93,3 +93,183 @@ def int_correlation(spark, sf_dir):
     return c.select("energy_type", *[n for n, _, _ in annual.correlation_columns()],
                     F.array_join(F.col("data_years").cast("array<string>"), ",").alias("data_years"),
                     "sample_size")
+
+
+# ------------------------------------------------------------------------------ features
+KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def _area_weather(spark, sf_dir) -> DataFrame:
+    """Area rows x national weather on year (many-to-one, size-checked broadcast)."""
+    from .operators.joins import join_small
+    nat = _national(spark, sf_dir).select("year", *weather.MEASURES)
+    return join_small(S.energy_area(spark, sf_dir), nat, "year", "inner")
+
+
+def _featured(spark, sf_dir) -> DataFrame:
+    from .functions.features import with_features
+    return with_features(_area_weather(spark, sf_dir))
+
+
+@query("feat_weather_join")
+def feat_weather_join(spark, sf_dir):
+    return _area_weather(spark, sf_dir).select(*KEYS, "year", *weather.MEASURES)
+
+
+@query("feat_cons_per_connection")
+def feat_cons_per_connection(spark, sf_dir):
+    from .functions.features import consumption_per_connection
+    return S.energy_area(spark, sf_dir).select(
+        *KEYS, consumption_per_connection().alias("consumption_per_connection"))
+
+
+@query("feat_households")
+def feat_households(spark, sf_dir):
+    return _featured(spark, sf_dir).select(*KEYS, "circuits_per_household",
+                                           "estimated_households", "household_consumption")
+
+
+@query("feat_postal")
+def feat_postal(spark, sf_dir):
+    return _featured(spark, sf_dir).select(*KEYS, "postal_code_area", "postal_first_digit",
+                                           "postal_province")
+
+
+@query("feat_clean_strings")
+def feat_clean_strings(spark, sf_dir):
+    return _featured(spark, sf_dir).select(*KEYS, "city_clean", "company_clean",
+                                           "connection_type_clean")
+
+
+@query("feat_capacity")
+def feat_capacity(spark, sf_dir):
+    return _featured(spark, sf_dir).select(*KEYS, "connection_phases", "connection_amperage",
+                                           "total_electrical_capacity", "household_size_category")
+
+
+@query("feat_voltage")
+def feat_voltage(spark, sf_dir):
+    """Voltage marks are searched in type + postal code (the stand-in types carry none)."""
+    from .functions import constants as K
+    from .functions.features import clean_upper, voltage_flag
+    t = clean_upper(F.concat_ws(" ", "type_of_connection", "zipcode_from"))
+    return S.energy_area(spark, sf_dir).select(
+        *KEYS, voltage_flag(t, K.HIGH_VOLTAGE_MARKS).alias("has_high_voltage"),
+        voltage_flag(t, K.MEDIUM_VOLTAGE_MARKS).alias("has_medium_voltage"))
+
+
+@query("feat_smart_meter")
+def feat_smart_meter(spark, sf_dir):
+    return _featured(spark, sf_dir).select(*KEYS, "smart_meter_adoption", "high_tech_area",
+                                           "low_tech_area")
+
+
+@query("feat_weather")
+def feat_weather(spark, sf_dir):
+    """Weather features on single daily rows, where every flag takes both values."""
+    from .functions.features import weather_features
+    d = weather.to_units(S.weather_raw(spark, sf_dir))
+    cols = weather_features(F.col("TG"), F.lit(200.0) * F.col("RH"), F.col("Q"))
+    return d.select("obs_id", *[v.alias(k) for k, v in cols.items()])
+
+
+@query("feat_connections")
+def feat_connections(spark, sf_dir):
+    df = _featured(spark, sf_dir)
+    return df.select(*KEYS, "total_connections",
+                     round_half_even(F.col("log_connections"), 9).alias("log_connections"),
+                     "connections_per_household", "active_connections_percentage",
+                     "inactive_connections_percentage", "active_connection_count",
+                     "inactive_connection_count", "total_active_connections",
+                     "connection_efficiency")
+
+
+@query("feat_density")
+def feat_density(spark, sf_dir):
+    """Density buckets on 25x the stand-in connection count (which alone never exceeds 50)."""
+    from .functions.features import activity_level_category, connection_density_category
+    return S.energy_area(spark, sf_dir).select(
+        *KEYS, connection_density_category(F.col("num_connections") * F.lit(25.0))
+        .alias("connection_density_category"),
+        activity_level_category().alias("activity_level_category"))
+
+
+@query("feat_matrix")
+def feat_matrix(spark, sf_dir):
+    from .functions import constants as K
+    df = _featured(spark, sf_dir).withColumn(
+        "log_connections", round_half_even(F.col("log_connections"), 9))
+    return df.select(*KEYS, *K.FEATURE_COLUMNS, K.TARGET_COLUMN)
+
+
+# ------------------------------------------------------------------------------ quality
+def _complete(spark, sf_dir) -> DataFrame:
+    from .operators.quality import drop_incomplete, with_preliminary_household
+    return with_preliminary_household(drop_incomplete(_area_weather(spark, sf_dir)))
+
+
+@query("dq_dropna")
+def dq_dropna(spark, sf_dir):
+    from .operators.quality import drop_incomplete
+    return drop_incomplete(_area_weather(spark, sf_dir)).select(*KEYS)
+
+
+@query("dq_range")
+def dq_range(spark, sf_dir):
+    from .operators.quality import active_filter, household_range_filter
+    df = household_range_filter(active_filter(_complete(spark, sf_dir)))
+    return df.select(*KEYS, "preliminary_household_consumption")
+
+
+@query("dq_quartiles")
+def dq_quartiles(spark, sf_dir):
+    from .operators.quality import iqr_bounds
+    b = iqr_bounds(_complete(spark, sf_dir).where(F.col("type_of_connection").isNotNull()),
+                   "type_of_connection", "preliminary_household_consumption")
+    return _round(b, ["q1", "q3", "lower_bound", "upper_bound"], 6)
+
+
+@query("dq_iqr_filter")
+def dq_iqr_filter(spark, sf_dir):
+    from .operators.quality import iqr_filter
+    return iqr_filter(_complete(spark, sf_dir), "type_of_connection",
+                      "preliminary_household_consumption").select(*KEYS)
+
+
+@query("dq_funnel")
+def dq_funnel(spark, sf_dir):
+    from .operators.quality import funnel
+    return funnel(S.energy_area(spark, sf_dir), _national(spark, sf_dir))
+
+
+# ------------------------------------------------------------------------------ reports
+@query("rep_target_stats")
+def rep_target_stats(spark, sf_dir):
+    from .operators.reports import target_stats
+    return _round(target_stats(_featured(spark, sf_dir)), ["mean"], 4)
+
+
+@query("rep_by_type")
+def rep_by_type(spark, sf_dir):
+    from .operators.reports import mean_by_group
+    return _round(mean_by_group(_featured(spark, sf_dir), "type_of_connection"),
+                  ["mean_household_consumption"], 4)
+
+
+@query("rep_histogram")
+def rep_histogram(spark, sf_dir):
+    from .operators.reports import histogram
+    return _round(histogram(_featured(spark, sf_dir), "household_consumption", 8),
+                  ["bin_lo", "bin_hi"], 4)
+
+
+REPORT_MEANS = ["household_consumption", "estimated_households", "connection_efficiency",
+                "active_connection_count", "smart_meter_adoption", "total_electrical_capacity",
+                "sunshine_ratio", "inactive_connections_percentage"]
+
+
+@query("rep_feature_means")
+def rep_feature_means(spark, sf_dir):
+    from .operators.reports import feature_means
+    return _round(feature_means(_featured(spark, sf_dir), REPORT_MEANS),
+                  [f"mean_{c}" for c in REPORT_MEANS], 4)

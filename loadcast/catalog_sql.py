@@ -30,7 +30,8 @@ energy_area AS (
 
 WEATHER_RAW = """
 weather_raw AS (
-  SELECT ['240','260','330','370','391'][CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS STN,
+  SELECT o_orderkey AS obs_id,
+    ['240','260','330','370','391'][CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS STN,
     strftime(o_orderdate, '%Y%m%d') AS YYYYMMDD,
     CAST(o_custkey % 250 AS DOUBLE) AS TG,
     CAST(o_custkey % 250 AS DOUBLE) - 40.0::DOUBLE AS TN,
@@ -44,7 +45,7 @@ weather_raw AS (
 
 WEATHER_UNITS = """
 weather_units AS (
-  SELECT STN, YYYYMMDD, TG / 10.0::DOUBLE AS TG, TN / 10.0::DOUBLE AS TN, TX / 10.0::DOUBLE AS TX,
+  SELECT obs_id, STN, YYYYMMDD, TG / 10.0::DOUBLE AS TG, TN / 10.0::DOUBLE AS TN, TX / 10.0::DOUBLE AS TX,
     RH / 10.0::DOUBLE AS RH, DR / 10.0::DOUBLE AS DR, FG / 10.0::DOUBLE AS FG, Q
   FROM weather_raw
 )"""
@@ -173,3 +174,250 @@ SQL["int_correlation"] = with_ctes(
         f" AS {w}_vs_{e}" for w, e in CORR_PAIRS)
     + ", string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) AS data_years,"
       " count(*) AS sample_size FROM integrated")
+
+# ------------------------------------------------------------------------------ features
+KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+MEASURES = ("avg_temp, avg_min_temp, avg_max_temp, total_precipitation, avg_precipitation, "
+            "total_sunshine_hours, avg_wind_speed, total_global_radiation")
+
+AREA_WEATHER = f"""
+area_weather AS (
+  SELECT a.*, {', '.join('n.' + m.strip() for m in MEASURES.split(','))}
+  FROM energy_area a JOIN national n ON a.year = n.year
+)"""
+
+CIRCUITS = """CASE WHEN upper({t}) LIKE '%1X25%' OR upper({t}) LIKE '%1X35%' THEN 10
+         WHEN upper({t}) LIKE '%3X25%' THEN 14 WHEN upper({t}) LIKE '%3X35%' THEN 18
+         WHEN upper({t}) LIKE '%3X50%' OR upper({t}) LIKE '%3X63%' THEN 22 ELSE 12 END"""
+
+FEATURES = """
+fx1 AS (
+  SELECT *, """ + CIRCUITS.format(t="type_of_connection") + """ AS circuits_per_household
+  FROM area_weather
+),
+fx2 AS (
+  SELECT *,
+    CASE WHEN num_connections IS NOT NULL
+         THEN greatest(num_connections / circuits_per_household, 0.1::DOUBLE) END
+      AS estimated_households,
+    substr(zipcode_from, 1, 2) AS postal_code_area,
+    substr(zipcode_from, 1, 1) AS postal_first_digit,
+    CASE substr(zipcode_from, 1, 1) WHEN '1' THEN 'west_holland' WHEN '2' THEN 'west_holland'
+      WHEN '3' THEN 'central' WHEN '4' THEN 'southwest' WHEN '5' THEN 'south'
+      WHEN '6' THEN 'east' WHEN '7' THEN 'northeast' WHEN '8' THEN 'north'
+      WHEN '9' THEN 'north' ELSE 'other' END AS postal_province,
+    upper(trim(city)) AS city_clean, lower(trim(company)) AS company_clean,
+    upper(trim(type_of_connection)) AS connection_type_clean,
+    smartmeter_perc / 100.0::DOUBLE AS smart_meter_adoption,
+    CASE WHEN smartmeter_perc > 75 THEN 1 ELSE 0 END AS high_tech_area,
+    CASE WHEN smartmeter_perc < 25 THEN 1 ELSE 0 END AS low_tech_area,
+    avg_temp * avg_temp AS temp_squared,
+    CASE WHEN avg_temp IS NOT NULL THEN greatest(18.0::DOUBLE - avg_temp, 0.0::DOUBLE) END * 365
+      AS heating_degree_days,
+    CASE WHEN avg_temp IS NOT NULL THEN greatest(avg_temp - 22.0::DOUBLE, 0.0::DOUBLE) END * 365
+      AS cooling_degree_days,
+    CASE WHEN avg_temp < 5 THEN 1 ELSE 0 END AS extreme_cold_indicator,
+    CASE WHEN avg_temp > 15 THEN 1 ELSE 0 END AS extreme_hot_indicator,
+    CASE WHEN total_precipitation > 900 THEN 1 ELSE 0 END AS high_precipitation,
+    CASE WHEN total_sunshine_hours < 1400 THEN 1 ELSE 0 END AS low_sunshine,
+    total_sunshine_hours / 1800.0::DOUBLE AS sunshine_ratio,
+    num_connections AS total_connections,
+    round_even(ln(1 + num_connections), 9) AS log_connections,
+    perc_of_active_connections AS active_connections_percentage,
+    100.0::DOUBLE - perc_of_active_connections AS inactive_connections_percentage,
+    num_connections * perc_of_active_connections / 100.0::DOUBLE AS active_connection_count,
+    CASE WHEN num_connections <= 50 THEN 'very_low_density'
+      WHEN num_connections <= 200 THEN 'low_density'
+      WHEN num_connections <= 500 THEN 'medium_density'
+      WHEN num_connections <= 1000 THEN 'high_density' ELSE 'very_high_density' END
+      AS connection_density_category,
+    CASE WHEN perc_of_active_connections <= 50 THEN 'low_activity'
+      WHEN perc_of_active_connections <= 75 THEN 'medium_activity'
+      WHEN perc_of_active_connections <= 90 THEN 'high_activity' ELSE 'very_high_activity' END
+      AS activity_level_category
+  FROM fx1
+),
+fx3 AS (
+  SELECT *,
+    annual_consume / estimated_households AS household_consumption,
+    num_connections / estimated_households AS connections_per_household,
+    coalesce(TRY_CAST(nullif(regexp_extract(connection_type_clean, '(?i)(\\d+)x', 1), '') AS INTEGER), 1)
+      AS connection_phases,
+    coalesce(TRY_CAST(nullif(regexp_extract(connection_type_clean, '(?i)x(\\d+)', 1), '') AS INTEGER), 25)
+      AS connection_amperage,
+    CASE WHEN regexp_matches(connection_type_clean, '400|500|1000') THEN 1 ELSE 0 END
+      AS has_high_voltage,
+    CASE WHEN regexp_matches(connection_type_clean, '230|240|250') THEN 1 ELSE 0 END
+      AS has_medium_voltage,
+    heating_degree_days - cooling_degree_days AS heating_cooling_balance,
+    num_connections - active_connection_count AS inactive_connection_count,
+    active_connection_count AS total_active_connections,
+    annual_consume / CASE WHEN active_connection_count IS NOT NULL
+                          THEN greatest(active_connection_count, 1.0::DOUBLE) END
+      AS connection_efficiency
+  FROM fx2
+),
+featured AS (
+  SELECT *, connection_phases * connection_amperage AS total_electrical_capacity,
+    CASE WHEN connection_phases * connection_amperage <= 25 THEN 'small_apartment'
+      WHEN connection_phases * connection_amperage <= 50 THEN 'medium_apartment'
+      WHEN connection_phases * connection_amperage <= 75 THEN 'large_apartment'
+      WHEN connection_phases * connection_amperage <= 100 THEN 'small_house'
+      ELSE 'large_house' END AS household_size_category
+  FROM fx3
+)"""
+
+FEATURE_LIST = """avg_temp, total_precipitation, total_sunshine_hours, avg_wind_speed,
+    cooling_degree_days, sunshine_ratio, heating_cooling_balance,
+    extreme_cold_indicator, extreme_hot_indicator, high_precipitation, low_sunshine,
+    connection_phases, connection_amperage, total_electrical_capacity,
+    has_high_voltage, has_medium_voltage, household_size_category, connection_type_clean,
+    smart_meter_adoption, high_tech_area, low_tech_area,
+    total_connections, log_connections, connections_per_household,
+    active_connections_percentage, inactive_connections_percentage,
+    active_connection_count, inactive_connection_count,
+    connection_density_category, activity_level_category,
+    total_active_connections, connection_efficiency,
+    postal_code_area, postal_province, city_clean, company_clean"""
+
+FEAT_CTES = [ENERGY_AREA] + WX + [NATIONAL, AREA_WEATHER, FEATURES]
+
+
+def feat(cols: str) -> str:
+    return with_ctes(FEAT_CTES, f"SELECT {KEYS}, {cols} FROM featured")
+
+
+SQL["feat_weather_join"] = with_ctes([ENERGY_AREA] + WX + [NATIONAL, AREA_WEATHER],
+                                     f"SELECT {KEYS}, year, {MEASURES} FROM area_weather")
+SQL["feat_cons_per_connection"] = with_ctes([ENERGY_AREA], f"""
+SELECT {KEYS}, annual_consume / CASE WHEN num_connections IS NOT NULL
+  THEN greatest(num_connections, 0.1::DOUBLE) END AS consumption_per_connection
+FROM energy_area""")
+SQL["feat_households"] = feat("circuits_per_household, estimated_households, household_consumption")
+SQL["feat_postal"] = feat("postal_code_area, postal_first_digit, postal_province")
+SQL["feat_clean_strings"] = feat("city_clean, company_clean, connection_type_clean")
+SQL["feat_capacity"] = feat("connection_phases, connection_amperage, total_electrical_capacity, "
+                            "household_size_category")
+SQL["feat_voltage"] = with_ctes([ENERGY_AREA], f"""
+SELECT {KEYS},
+  CASE WHEN regexp_matches(upper(trim(concat_ws(' ', type_of_connection, zipcode_from))),
+       '400|500|1000') THEN 1 ELSE 0 END AS has_high_voltage,
+  CASE WHEN regexp_matches(upper(trim(concat_ws(' ', type_of_connection, zipcode_from))),
+       '230|240|250') THEN 1 ELSE 0 END AS has_medium_voltage
+FROM energy_area""")
+SQL["feat_smart_meter"] = feat("smart_meter_adoption, high_tech_area, low_tech_area")
+SQL["feat_weather"] = with_ctes([WEATHER_RAW, WEATHER_UNITS], """
+SELECT obs_id, TG * TG AS temp_squared,
+  CASE WHEN TG IS NOT NULL THEN greatest(18.0::DOUBLE - TG, 0.0::DOUBLE) END * 365 AS heating_degree_days,
+  CASE WHEN TG IS NOT NULL THEN greatest(TG - 22.0::DOUBLE, 0.0::DOUBLE) END * 365 AS cooling_degree_days,
+  CASE WHEN TG IS NOT NULL THEN greatest(18.0::DOUBLE - TG, 0.0::DOUBLE) END * 365
+    - CASE WHEN TG IS NOT NULL THEN greatest(TG - 22.0::DOUBLE, 0.0::DOUBLE) END * 365
+    AS heating_cooling_balance,
+  CASE WHEN TG < 5 THEN 1 ELSE 0 END AS extreme_cold_indicator,
+  CASE WHEN TG > 15 THEN 1 ELSE 0 END AS extreme_hot_indicator,
+  CASE WHEN 200.0::DOUBLE * RH > 900 THEN 1 ELSE 0 END AS high_precipitation,
+  CASE WHEN Q < 1400 THEN 1 ELSE 0 END AS low_sunshine,
+  Q / 1800.0::DOUBLE AS sunshine_ratio
+FROM weather_units""")
+SQL["feat_connections"] = feat(
+    "total_connections, log_connections, connections_per_household, "
+    "active_connections_percentage, inactive_connections_percentage, active_connection_count, "
+    "inactive_connection_count, total_active_connections, connection_efficiency")
+SQL["feat_density"] = with_ctes([ENERGY_AREA], f"""
+SELECT {KEYS},
+  CASE WHEN num_connections * 25.0::DOUBLE <= 50 THEN 'very_low_density'
+    WHEN num_connections * 25.0::DOUBLE <= 200 THEN 'low_density'
+    WHEN num_connections * 25.0::DOUBLE <= 500 THEN 'medium_density'
+    WHEN num_connections * 25.0::DOUBLE <= 1000 THEN 'high_density' ELSE 'very_high_density' END
+    AS connection_density_category,
+  CASE WHEN perc_of_active_connections <= 50 THEN 'low_activity'
+    WHEN perc_of_active_connections <= 75 THEN 'medium_activity'
+    WHEN perc_of_active_connections <= 90 THEN 'high_activity' ELSE 'very_high_activity' END
+    AS activity_level_category
+FROM energy_area""")
+SQL["feat_matrix"] = feat(FEATURE_LIST + ", household_consumption")
+
+# ------------------------------------------------------------------------------ quality
+COMPLETE = """
+complete AS (
+  SELECT *, """ + "CASE WHEN num_connections IS NOT NULL THEN greatest(num_connections / (" \
+    + CIRCUITS.format(t="type_of_connection") + """), 0.1::DOUBLE) END AS prelim_households
+  FROM area_weather
+  WHERE annual_consume IS NOT NULL AND num_connections IS NOT NULL AND avg_temp IS NOT NULL
+    AND total_precipitation IS NOT NULL AND delivery_perc IS NOT NULL
+    AND perc_of_active_connections IS NOT NULL AND smartmeter_perc IS NOT NULL
+),
+complete_hh AS (
+  SELECT *, annual_consume / prelim_households AS preliminary_household_consumption FROM complete
+)"""
+
+QUARTILES = """
+quartiles AS (
+  SELECT type_of_connection, count(*) AS group_rows,
+    quantile_cont(preliminary_household_consumption, 0.25) AS q1,
+    quantile_cont(preliminary_household_consumption, 0.75) AS q3
+  FROM complete_hh WHERE type_of_connection IS NOT NULL GROUP BY type_of_connection
+),
+bounds AS (
+  SELECT *, q1 - 2.0::DOUBLE * (q3 - q1) AS lower_bound, q3 + 2.0::DOUBLE * (q3 - q1) AS upper_bound
+  FROM quartiles
+)"""
+
+DQ_CTES = [ENERGY_AREA] + WX + [NATIONAL, AREA_WEATHER, COMPLETE]
+
+SQL["dq_dropna"] = with_ctes(DQ_CTES, f"SELECT {KEYS} FROM complete")
+SQL["dq_range"] = with_ctes(DQ_CTES, f"""
+SELECT {KEYS}, preliminary_household_consumption FROM complete_hh
+WHERE perc_of_active_connections >= 30
+  AND preliminary_household_consumption BETWEEN 500 AND 8000""")
+SQL["dq_quartiles"] = with_ctes(DQ_CTES + [QUARTILES], """
+SELECT type_of_connection, group_rows, round_even(q1, 6) AS q1, round_even(q3, 6) AS q3,
+  round_even(lower_bound, 6) AS lower_bound, round_even(upper_bound, 6) AS upper_bound
+FROM bounds""")
+SQL["dq_iqr_filter"] = with_ctes(DQ_CTES + [QUARTILES], f"""
+SELECT {', '.join('c.' + k.strip() for k in KEYS.split(','))} FROM complete_hh c
+JOIN bounds b ON c.type_of_connection = b.type_of_connection
+WHERE b.group_rows <= 20
+   OR c.preliminary_household_consumption BETWEEN b.lower_bound AND b.upper_bound""")
+SQL["dq_funnel"] = with_ctes([ENERGY_AREA] + WX + [NATIONAL], """
+, flags AS (
+  SELECT a.*, n.year IS NOT NULL AS merged, n.avg_temp, n.total_precipitation,
+    CASE WHEN a.num_connections IS NOT NULL THEN greatest(a.num_connections / ("""
+    + CIRCUITS.format(t="a.type_of_connection") + """), 0.1::DOUBLE) END AS hh
+  FROM energy_area a LEFT JOIN national n ON a.year = n.year
+), flags2 AS (
+  SELECT *, merged AND annual_consume IS NOT NULL AND num_connections IS NOT NULL
+    AND avg_temp IS NOT NULL AND total_precipitation IS NOT NULL AND delivery_perc IS NOT NULL
+    AND perc_of_active_connections IS NOT NULL AND smartmeter_perc IS NOT NULL AS complete
+  FROM flags
+)
+SELECT count(*) AS after_load, count_if(merged) AS after_merge, count_if(complete) AS after_dropna,
+  count_if(complete AND perc_of_active_connections >= 30) AS after_active_filter,
+  count_if(complete AND perc_of_active_connections >= 30
+           AND annual_consume / hh BETWEEN 500 AND 8000) AS after_range_filter
+FROM flags2""".replace("WITH ", "WITH ", 1))
+
+# ------------------------------------------------------------------------------ reports
+SQL["rep_target_stats"] = with_ctes(FEAT_CTES, """
+SELECT min(household_consumption) AS min, max(household_consumption) AS max,
+  round_even(avg(household_consumption), 4) AS mean, count(household_consumption) AS n
+FROM featured""")
+SQL["rep_by_type"] = with_ctes(FEAT_CTES, """
+SELECT type_of_connection, round_even(avg(household_consumption), 4) AS mean_household_consumption,
+  count(*) AS n
+FROM featured WHERE type_of_connection IS NOT NULL GROUP BY type_of_connection""")
+SQL["rep_histogram"] = with_ctes(FEAT_CTES, """
+, st AS (SELECT min(household_consumption) AS lo, max(household_consumption) AS hi FROM featured),
+w AS (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 8 ELSE 1.0::DOUBLE END AS width FROM st),
+b AS (
+  SELECT CAST(least(floor((household_consumption - lo) / width), 7) AS INTEGER) AS bin, lo, width
+  FROM featured, w WHERE household_consumption IS NOT NULL
+)
+SELECT bin, round_even(any_value(lo) + bin * any_value(width), 4) AS bin_lo,
+  round_even(any_value(lo) + (bin + 1) * any_value(width), 4) AS bin_hi, count(*) AS n
+FROM b GROUP BY bin""")
+REPORT_MEANS = ["household_consumption", "estimated_households", "connection_efficiency",
+                "active_connection_count", "smart_meter_adoption", "total_electrical_capacity",
+                "sunshine_ratio", "inactive_connections_percentage"]
+SQL["rep_feature_means"] = with_ctes(FEAT_CTES, "SELECT " + ", ".join(
+    f"round_even(avg({c}), 4) AS mean_{c}" for c in REPORT_MEANS) + " FROM featured")

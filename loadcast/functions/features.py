@@ -130,19 +130,38 @@ def household_columns() -> dict[str, Column]:
     }
 
 
+def weather_features(temp="avg_temp", precip="total_precipitation",
+                     sunshine="total_sunshine_hours") -> dict[str, Column]:
+    """P13-P15 (national weather features): squared temperature, degree days, flags."""
+    t = _c(temp)
+    hdd = degree_days(t, K.HDD_BASE, heating=True)
+    cdd = degree_days(t, K.CDD_BASE, heating=False)
+    return {
+        "temp_squared": t * t,
+        "heating_degree_days": hdd,
+        "cooling_degree_days": cdd,
+        "heating_cooling_balance": hdd - cdd,
+        "extreme_cold_indicator": _flag(t < F.lit(K.COLD_YEAR_T)),
+        "extreme_hot_indicator": _flag(t > F.lit(K.HOT_YEAR_T)),
+        "high_precipitation": _flag(_c(precip) > F.lit(K.WET_YEAR_MM)),
+        "low_sunshine": _flag(_c(sunshine) < F.lit(K.DARK_YEAR_H)),
+        "sunshine_ratio": _c(sunshine) / F.lit(K.SUNSHINE_NORM),
+    }
+
+
 def with_features(df: DataFrame) -> DataFrame:
-    """Derive every training/serving feature (P5-P21) in three ``withColumns`` projections.
+    """Derive every training/serving feature (P5-P21) in a few ``withColumns`` projections
+    that Catalyst collapses into one whole-stage-codegen projection.
 
     Expects ``annual_consume, num_connections, type_of_connection, zipcode_from, city, company,
     smartmeter_perc, perc_of_active_connections, avg_temp, total_precipitation,
-    total_sunshine_hours``. Everything stays inside one whole-stage-codegen projection.
+    total_sunshine_hours``.
     """
     nc = F.col("num_connections")
     act = F.col("perc_of_active_connections")
     sm = F.col("smartmeter_perc")
-    t = F.col("avg_temp")
     step1 = {
-        **household_columns(),
+        "circuits_per_household": circuits_per_household(),
         "postal_code_area": postal_code_area(),
         "city_clean": clean_upper("city"),
         "company_clean": clean_lower("company"),
@@ -150,14 +169,7 @@ def with_features(df: DataFrame) -> DataFrame:
         "smart_meter_adoption": sm / F.lit(100.0),
         "high_tech_area": _flag(sm > F.lit(K.HIGH_TECH_PCT)),
         "low_tech_area": _flag(sm < F.lit(K.LOW_TECH_PCT)),
-        "temp_squared": t * t,
-        "heating_degree_days": degree_days(t, K.HDD_BASE, heating=True),
-        "cooling_degree_days": degree_days(t, K.CDD_BASE, heating=False),
-        "extreme_cold_indicator": _flag(t < F.lit(K.COLD_YEAR_T)),
-        "extreme_hot_indicator": _flag(t > F.lit(K.HOT_YEAR_T)),
-        "high_precipitation": _flag(F.col("total_precipitation") > F.lit(K.WET_YEAR_MM)),
-        "low_sunshine": _flag(F.col("total_sunshine_hours") < F.lit(K.DARK_YEAR_H)),
-        "sunshine_ratio": F.col("total_sunshine_hours") / F.lit(K.SUNSHINE_NORM),
+        **weather_features(),
         "postal_first_digit": postal_first_digit(),
         "postal_province": postal_province(),
         "total_connections": nc,
@@ -169,18 +181,20 @@ def with_features(df: DataFrame) -> DataFrame:
         "activity_level_category": activity_level_category(),
     }
     step2 = {
+        "estimated_households": _floor_guarded(nc / F.col("circuits_per_household"),
+                                               K.HOUSEHOLD_FLOOR),
         "connection_phases": connection_phases(),
         "connection_amperage": connection_amperage(),
         "has_high_voltage": voltage_flag("connection_type_clean", K.HIGH_VOLTAGE_MARKS),
         "has_medium_voltage": voltage_flag("connection_type_clean", K.MEDIUM_VOLTAGE_MARKS),
-        "heating_cooling_balance": F.col("heating_degree_days") - F.col("cooling_degree_days"),
-        "connections_per_household": nc / F.col("estimated_households"),
         "inactive_connection_count": nc - F.col("active_connection_count"),
         "total_active_connections": F.col("active_connection_count"),
         "connection_efficiency": F.col("annual_consume") / _floor_guarded(
             F.col("active_connection_count"), 1.0),
     }
     step3 = {
+        "household_consumption": F.col("annual_consume") / F.col("estimated_households"),
+        "connections_per_household": nc / F.col("estimated_households"),
         "total_electrical_capacity": F.col("connection_phases") * F.col("connection_amperage"),
     }
     out = df.withColumns(step1).withColumns(step2).withColumns(step3)

@@ -78,6 +78,7 @@ def weather_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     tg = (F.col("o_custkey") % 250).cast("double")
     return o.select(
+        F.col("o_orderkey").alias("obs_id"),
         F.element_at(_arr(STATION_CYCLE),
                      F.substring("o_orderpriority", 1, 1).cast("int")).alias("STN"),
         F.date_format("o_orderdate", "yyyyMMdd").alias("YYYYMMDD"),
