@@ -273,3 +273,122 @@ def rep_feature_means(spark, sf_dir):
     from .operators.reports import feature_means
     return _round(feature_means(_featured(spark, sf_dir), REPORT_MEANS),
                   [f"mean_{c}" for c in REPORT_MEANS], 4)
+
+
+# ------------------------------------------------------------------------------ ML prep
+NUMERIC_IMPUTE = ["num_connections", "smartmeter_perc", "household_consumption",
+                  "connection_efficiency"]
+SCALE_COLS = ["annual_consume", "num_connections", "perc_of_active_connections",
+              "smartmeter_perc"]
+
+
+def _train_flag():
+    from .operators.ml_prep import split_flag
+    return split_flag(KEYS)
+
+
+@query("ml_label_encode_fit")
+def ml_label_encode_fit(spark, sf_dir):
+    from .functions import constants as K
+    from .operators.ml_prep import fit_label_vocabularies
+    return fit_label_vocabularies(_featured(spark, sf_dir), K.CATEGORICAL_COLUMNS)
+
+
+@query("ml_label_encode_apply")
+def ml_label_encode_apply(spark, sf_dir):
+    """Vocabulary fitted on the training part only; test rows with unseen values get 0."""
+    from .functions import constants as K
+    from .operators.ml_prep import apply_label_codes, fit_label_vocabularies
+    df = _featured(spark, sf_dir)
+    vocab = fit_label_vocabularies(df.where(_train_flag()), K.CATEGORICAL_COLUMNS)
+    return apply_label_codes(df, vocab, K.CATEGORICAL_COLUMNS).select(
+        *KEYS, *K.CATEGORICAL_COLUMNS)
+
+
+@query("ml_median_impute")
+def ml_median_impute(spark, sf_dir):
+    from .operators.ml_prep import fit_medians, impute
+    df = _featured(spark, sf_dir)
+    med = fit_medians(df.where(_train_flag()), NUMERIC_IMPUTE)
+    return _round(impute(df, med).select(*KEYS, *NUMERIC_IMPUTE), NUMERIC_IMPUTE, 6)
+
+
+@query("ml_split")
+def ml_split(spark, sf_dir):
+    return S.energy_area(spark, sf_dir).select(*KEYS, _train_flag().alias("is_train"))
+
+
+@query("ml_sample_n")
+def ml_sample_n(spark, sf_dir):
+    from .operators.ml_prep import sample_n
+    return sample_n(S.energy_area(spark, sf_dir).select(*KEYS), 1000, KEYS)
+
+
+@query("ml_ts_folds")
+def ml_ts_folds(spark, sf_dir):
+    from .operators.ml_prep import expanding_folds
+    return expanding_folds(S.energy_area(spark, sf_dir).select("year", *KEYS),
+                           ["year", *KEYS])
+
+
+@query("ml_robust_scale")
+def ml_robust_scale(spark, sf_dir):
+    from .operators.ml_prep import fit_robust_scaler, robust_scale
+    df = S.energy_area(spark, sf_dir)
+    params = fit_robust_scaler(df.where(_train_flag()), SCALE_COLS)
+    return _round(robust_scale(df, params).select(*KEYS, *SCALE_COLS), SCALE_COLS, 6)
+
+
+@query("ml_ols_simple")
+def ml_ols_simple(spark, sf_dir):
+    from .operators.ml_prep import simple_ols
+    return _round(simple_ols(S.energy_area(spark, sf_dir), "num_connections", "annual_consume"),
+                  ["slope", "intercept", "r2"], 6)
+
+
+@query("ml_metrics")
+def ml_metrics(spark, sf_dir):
+    from .operators.ml_prep import regression_metrics
+    m = regression_metrics(S.model_score(spark, sf_dir), group_cols=["model"])
+    return _round(m, ["r2", "rmse", "mae", "relative_error_pct"], 6)
+
+
+@query("ml_cv_summary")
+def ml_cv_summary(spark, sf_dir):
+    from .operators.ml_prep import cv_summary, regression_metrics
+    per_fold = regression_metrics(S.model_score(spark, sf_dir), group_cols=["model", "fold"])
+    return _round(cv_summary(per_fold), ["cv_r2_mean", "cv_r2_std"], 6)
+
+
+@query("ml_best_model")
+def ml_best_model(spark, sf_dir):
+    from .operators.ml_prep import best_model, regression_metrics
+    m = regression_metrics(S.model_score(spark, sf_dir), group_cols=["model"])
+    return _round(best_model(m), ["best_r2"], 6)
+
+
+@query("ml_error_report")
+def ml_error_report(spark, sf_dir):
+    from .operators.ml_prep import error_report, sample_n
+    ms = S.model_score(spark, sf_dir).where(F.col("model") == "Random Forest")
+    return error_report(sample_n(ms, 10, KEYS)).select(*KEYS, "actual", "predicted", "error",
+                                                        "error_pct")
+
+
+IMPORTANCE_FEATURES = ["avg_temp", "total_precipitation", "cooling_degree_days",
+                       "connection_phases", "connection_amperage", "total_electrical_capacity",
+                       "smart_meter_adoption", "total_connections", "connections_per_household",
+                       "active_connections_percentage", "active_connection_count",
+                       "inactive_connection_count", "connection_efficiency", "high_tech_area"]
+
+
+@query("ml_importance")
+def ml_importance(spark, sf_dir):
+    """Top-10 features by |corr(feature, target)| (stand-in for model importances: the
+    ranking/top-k operator is the same)."""
+    from .operators.annual import safe_corr
+    from .operators.ml_prep import top_k_importance
+    from .functions import constants as K
+    df = _featured(spark, sf_dir)
+    wide = df.agg(*[F.abs(safe_corr(c, K.TARGET_COLUMN)).alias(c) for c in IMPORTANCE_FEATURES])
+    return _round(top_k_importance(wide, IMPORTANCE_FEATURES, 10), ["importance"], 6)

@@ -391,10 +391,11 @@ SQL["dq_funnel"] = with_ctes([ENERGY_AREA] + WX + [NATIONAL], """
     AND perc_of_active_connections IS NOT NULL AND smartmeter_perc IS NOT NULL AS complete
   FROM flags
 )
-SELECT count(*) AS after_load, count_if(merged) AS after_merge, count_if(complete) AS after_dropna,
-  count_if(complete AND perc_of_active_connections >= 30) AS after_active_filter,
-  count_if(complete AND perc_of_active_connections >= 30
-           AND annual_consume / hh BETWEEN 500 AND 8000) AS after_range_filter
+SELECT count(*) AS after_load, CAST(count_if(merged) AS BIGINT) AS after_merge,
+  CAST(count_if(complete) AS BIGINT) AS after_dropna,
+  CAST(count_if(complete AND perc_of_active_connections >= 30) AS BIGINT) AS after_active_filter,
+  CAST(count_if(complete AND perc_of_active_connections >= 30
+           AND annual_consume / hh BETWEEN 500 AND 8000) AS BIGINT) AS after_range_filter
 FROM flags2""".replace("WITH ", "WITH ", 1))
 
 # ------------------------------------------------------------------------------ reports
@@ -421,3 +422,114 @@ REPORT_MEANS = ["household_consumption", "estimated_households", "connection_eff
                 "sunshine_ratio", "inactive_connections_percentage"]
 SQL["rep_feature_means"] = with_ctes(FEAT_CTES, "SELECT " + ", ".join(
     f"round_even(avg({c}), 4) AS mean_{c}" for c in REPORT_MEANS) + " FROM featured")
+
+# ------------------------------------------------------------------------------ ML prep
+CATS = ["postal_code_area", "city_clean", "company_clean", "connection_type_clean",
+        "postal_province", "household_size_category", "connection_density_category",
+        "activity_level_category"]
+KEY_CONCAT = ("concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), "
+              "CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))")
+IS_TRAIN = f"(CAST(('0x' || substr(md5({KEY_CONCAT}), 1, 8)) AS BIGINT) % 100 < 80)"
+
+
+def vocab_sql(src: str) -> str:
+    parts = [f"SELECT DISTINCT '{c}' AS feature, coalesce(CAST({c} AS VARCHAR), 'nan') AS value "
+             f"FROM {src}" for c in CATS]
+    return ("vocab AS (SELECT feature, value, CAST(dense_rank() OVER (PARTITION BY feature "
+            "ORDER BY value) - 1 AS INTEGER) AS code FROM (" + " UNION ALL ".join(parts) + "))")
+
+
+SQL["ml_label_encode_fit"] = with_ctes(FEAT_CTES + [vocab_sql("featured")],
+                                       "SELECT * FROM vocab")
+SQL["ml_label_encode_apply"] = with_ctes(
+    FEAT_CTES + [f"train AS (SELECT * FROM featured WHERE {IS_TRAIN})", vocab_sql("train")],
+    f"SELECT {', '.join('f.' + k.strip() for k in KEYS.split(','))}, " + ", ".join(
+        f"coalesce((SELECT code FROM vocab v WHERE v.feature = '{c}' AND "
+        f"v.value = coalesce(CAST(f.{c} AS VARCHAR), 'nan')), 0) AS {c}" for c in CATS)
+    + " FROM featured f")
+
+IMPUTE = ["num_connections", "smartmeter_perc", "household_consumption", "connection_efficiency"]
+SQL["ml_median_impute"] = with_ctes(
+    FEAT_CTES + ["med AS (SELECT " + ", ".join(
+        f"quantile_cont({c}, 0.5) AS m_{c}" for c in IMPUTE)
+        + f" FROM featured WHERE {IS_TRAIN})"],
+    f"SELECT {KEYS}, " + ", ".join(f"round_even(coalesce({c}, m_{c}), 6) AS {c}" for c in IMPUTE)
+    + " FROM featured, med")
+
+SQL["ml_split"] = with_ctes([ENERGY_AREA], f"SELECT {KEYS}, {IS_TRAIN} AS is_train FROM energy_area")
+SQL["ml_sample_n"] = with_ctes([ENERGY_AREA], f"""
+SELECT {KEYS} FROM energy_area ORDER BY md5({KEY_CONCAT}), {KEYS} LIMIT 1000""")
+SQL["ml_ts_folds"] = with_ctes([ENERGY_AREA], f"""
+, r AS (SELECT year, {KEYS}, row_number() OVER (ORDER BY year, {KEYS}) AS rn,
+          count(*) OVER () AS n FROM energy_area),
+s AS (SELECT *, n // 4 AS size FROM r)
+SELECT year, {KEYS}, CAST(CASE WHEN size = 0 THEN -1
+  WHEN rn >= n - size + 1 THEN 2 WHEN rn >= n - 2 * size + 1 THEN 1
+  WHEN rn >= n - 3 * size + 1 THEN 0 ELSE -1 END AS INTEGER) AS fold FROM s""")
+
+SCALE = ["annual_consume", "num_connections", "perc_of_active_connections", "smartmeter_perc"]
+SQL["ml_robust_scale"] = with_ctes(
+    [ENERGY_AREA, "q AS (SELECT " + ", ".join(
+        f"quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.5) AS m_{c}, "
+        f"quantile_cont({c}, 0.75) AS b_{c}" for c in SCALE)
+        + f" FROM energy_area WHERE {IS_TRAIN})"],
+    f"SELECT {KEYS}, " + ", ".join(
+        f"round_even(({c} - coalesce(m_{c}, 0)) / CASE WHEN coalesce(b_{c} - a_{c}, 0) = 0 "
+        f"THEN 1.0 ELSE b_{c} - a_{c} END, 6) AS {c}" for c in SCALE)
+    + " FROM energy_area, q")
+
+SQL["ml_ols_simple"] = with_ctes([ENERGY_AREA], """
+SELECT round_even(regr_slope(annual_consume, num_connections), 6) AS slope,
+  round_even(regr_intercept(annual_consume, num_connections), 6) AS intercept,
+  round_even(regr_r2(annual_consume, num_connections), 6) AS r2,
+  CAST(regr_count(annual_consume, num_connections) AS BIGINT) AS n FROM energy_area""")
+
+MODEL_SCORE = """
+model_score AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    ['Linear Regression', 'Ridge Regression', 'Lasso Regression', 'Random Forest'][CAST(l_suppkey % 4 AS INTEGER) + 1] AS model,
+    CAST(l_partkey % 3 AS INTEGER) AS fold,
+    l_extendedprice / 8.0::DOUBLE AS actual,
+    (l_extendedprice / 8.0::DOUBLE) * (1.0::DOUBLE + CAST((l_orderkey + l_linenumber) % 21 - 10 AS DOUBLE)
+      * CAST(CAST(l_suppkey % 4 AS INTEGER) + 1 AS DOUBLE) / 100.0::DOUBLE) AS predicted
+  FROM lineitem
+)"""
+
+
+def metrics_sql(group: str) -> str:
+    return f"""metrics AS (
+  SELECT {group}, count(*) AS n, sum((predicted - actual) * (predicted - actual)) AS sse,
+    avg(abs(predicted - actual)) AS mae, var_pop(actual) AS var, avg(actual) AS mean_actual
+  FROM model_score GROUP BY {group}
+), m2 AS (
+  SELECT {group}, n, 1.0 - sse / nullif(var * n, 0) AS r2, sqrt(sse / n) AS rmse, mae,
+    sqrt(sse / n) / nullif(mean_actual, 0) * 100.0 AS relative_error_pct FROM metrics
+)"""
+
+
+SQL["ml_metrics"] = with_ctes([MODEL_SCORE, metrics_sql("model")], """
+SELECT model, n, round_even(r2, 6) AS r2, round_even(rmse, 6) AS rmse, round_even(mae, 6) AS mae,
+  round_even(relative_error_pct, 6) AS relative_error_pct FROM m2""")
+SQL["ml_cv_summary"] = with_ctes([MODEL_SCORE, metrics_sql("model, fold")], """
+SELECT model, round_even(avg(r2), 6) AS cv_r2_mean, round_even(stddev_pop(r2), 6) AS cv_r2_std,
+  count(*) AS folds FROM m2 GROUP BY model""")
+SQL["ml_best_model"] = with_ctes([MODEL_SCORE, metrics_sql("model")], """
+SELECT arg_max(model, r2) AS best_model, round_even(max(r2), 6) AS best_r2 FROM m2""")
+SQL["ml_error_report"] = with_ctes([MODEL_SCORE], f"""
+, s AS (SELECT * FROM model_score WHERE model = 'Random Forest'
+        ORDER BY md5({KEY_CONCAT}), {KEYS} LIMIT 10)
+SELECT {KEYS}, actual, predicted, round_even(predicted - actual, 1) AS error,
+  round_even((predicted - actual) / nullif(actual, 0) * 100.0, 1) AS error_pct FROM s""")
+
+IMPORTANCE = ["avg_temp", "total_precipitation", "cooling_degree_days", "connection_phases",
+              "connection_amperage", "total_electrical_capacity", "smart_meter_adoption",
+              "total_connections", "connections_per_household", "active_connections_percentage",
+              "active_connection_count", "inactive_connection_count", "connection_efficiency",
+              "high_tech_area"]
+SQL["ml_importance"] = with_ctes(FEAT_CTES, "\n, imp AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, abs(covar_pop({c}, household_consumption) / "
+    f"nullif(stddev_pop({c}) * stddev_pop(household_consumption), 0)) AS importance "
+    f"FROM featured" for c in IMPORTANCE) + """)
+SELECT feature, round_even(importance, 6) AS importance,
+  CAST(row_number() OVER (ORDER BY importance DESC NULLS LAST, feature) AS INTEGER) AS rank
+FROM imp ORDER BY importance DESC NULLS LAST, feature LIMIT 10""")
