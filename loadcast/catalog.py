@@ -392,3 +392,178 @@ def ml_importance(spark, sf_dir):
     df = _featured(spark, sf_dir)
     wide = df.agg(*[F.abs(safe_corr(c, K.TARGET_COLUMN)).alias(c) for c in IMPORTANCE_FEATURES])
     return _round(top_k_importance(wide, IMPORTANCE_FEATURES, 10), ["importance"], 6)
+
+
+# ------------------------------------------------------------------------------ requests
+def _validated(spark, sf_dir) -> DataFrame:
+    from .operators.scoring import validate
+    return validate(S.score_request(spark, sf_dir))
+
+
+def _model_input(spark, sf_dir) -> DataFrame:
+    from .operators.scoring import split_valid, to_model_input
+    valid, _ = split_valid(_validated(spark, sf_dir))
+    return to_model_input(valid)
+
+
+INPUT_COLS = ["zipcode_from", "city", "company", "type_of_connection",
+              "circuits_per_household_input", "num_connections", "perc_of_active_connections",
+              "delivery_perc", "smartmeter_perc", "annual_consume", "scenario"]
+SCENARIO_COLS = ["avg_temp", "total_precipitation", "total_sunshine_hours", "avg_wind_speed",
+                 "avg_min_temp", "avg_max_temp", "avg_precipitation", "total_global_radiation"]
+
+
+@query("req_parse_json")
+def req_parse_json(spark, sf_dir):
+    """Requests serialised to JSON documents and parsed back with the request schema."""
+    from .functions.requests import REQUEST_SCHEMA
+    req = S.score_request(spark, sf_dir)
+    fmt = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+           "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    docs = req.select(F.to_json(F.struct(*req.columns), fmt).alias("json"))
+    parsed = docs.select(F.from_json("json", REQUEST_SCHEMA, fmt).alias("r")).select("r.*")
+    return parsed.withColumn("ts", F.col("ts").cast("string"))
+
+
+@query("req_validate")
+def req_validate(spark, sf_dir):
+    return _validated(spark, sf_dir).select("request_id", "is_valid",
+                                            F.array_join("errors", "; ").alias("errors"))
+
+
+@query("req_quarantine")
+def req_quarantine(spark, sf_dir):
+    from .operators.scoring import split_valid
+    _, bad = split_valid(_validated(spark, sf_dir))
+    return bad.select("request_id", "postal_code", "house_type", "active_connections_pct",
+                      "energy_company", "weather_scenario",
+                      F.array_join("errors", "; ").alias("errors"))
+
+
+@query("req_postal_norm")
+def req_postal_norm(spark, sf_dir):
+    from .functions.requests import normalized_postal
+    from .operators.scoring import split_valid
+    valid, _ = split_valid(_validated(spark, sf_dir))
+    return valid.where(F.col("postal_code").isNotNull()).select(
+        "request_id", "postal_code", normalized_postal().alias("postal_normalized"))
+
+
+@query("req_defaults")
+def req_defaults(spark, sf_dir):
+    return _model_input(spark, sf_dir).select("request_id", *INPUT_COLS)
+
+
+@query("req_scenario_join")
+def req_scenario_join(spark, sf_dir):
+    return _model_input(spark, sf_dir).select("request_id", "scenario", *SCENARIO_COLS)
+
+
+@query("req_from_args")
+def req_from_args(spark, sf_dir):
+    from .functions.requests import args_input_columns
+    from .operators.scoring import with_scenario_weather
+    req = S.score_request(spark, sf_dir).select(
+        "request_id", "house_type", "weather_scenario", "smart_meter",
+        F.coalesce(F.substring("postal_code", 1, 2), F.lit("35")).alias("postal_area"))
+    df = with_scenario_weather(req.withColumns(
+        args_input_columns(house="house_type", area="postal_area", weather="weather_scenario")))
+    return df.select("request_id", "zipcode_from", "city", "company", "num_connections_input",
+                     "perc_of_active_connections", "delivery_perc", "smartmeter_perc",
+                     "annual_consume", "type_of_connection", "scenario", *SCENARIO_COLS)
+
+
+# ------------------------------------------------------------------------------ scoring
+def _scored(spark, sf_dir) -> DataFrame:
+    from .operators.scoring import rule_baseline
+    return rule_baseline(_model_input(spark, sf_dir))
+
+
+@query("score_features")
+def score_features(spark, sf_dir):
+    """The training feature functions applied to request rows."""
+    from .functions.features import with_features
+    f = with_features(_model_input(spark, sf_dir))
+    return f.select("request_id", "estimated_households", "household_consumption",
+                    "postal_code_area", "postal_province", "connection_phases",
+                    "connection_amperage", "total_electrical_capacity", "household_size_category",
+                    "high_tech_area", "low_tech_area", "heating_degree_days", "low_sunshine",
+                    "active_connection_count", "connection_efficiency",
+                    "connection_density_category", "activity_level_category")
+
+
+@query("score_fill")
+def score_fill(spark, sf_dir):
+    from .functions import constants as K
+    from .operators.scoring_model import fill_missing_features
+    df = _featured(spark, sf_dir).withColumn(
+        "log_connections", round_half_even(F.col("log_connections"), 9))
+    return fill_missing_features(df, K.FEATURE_COLUMNS).select(*KEYS, *K.FEATURE_COLUMNS)
+
+
+@query("score_rule_baseline")
+def score_rule_baseline(spark, sf_dir):
+    return _scored(spark, sf_dir).select("request_id", "prediction_kwh")
+
+
+@query("score_derive")
+def score_derive(spark, sf_dir):
+    from .operators.scoring import derived_outputs
+    d = derived_outputs()
+    return _scored(spark, sf_dir).select("request_id", "prediction_kwh",
+                                         *[v.alias(k) for k, v in d.items()])
+
+
+@query("score_compare")
+def score_compare(spark, sf_dir):
+    from .operators.scoring import comparison
+    c = comparison()
+    return _scored(spark, sf_dir).select("request_id", *[v.alias(k) for k, v in c.items()])
+
+
+@query("score_insights")
+def score_insights(spark, sf_dir):
+    from .operators.scoring import comparison, insights
+    df = _scored(spark, sf_dir).withColumn("percentage_difference",
+                                           comparison()["percentage_difference"])
+    return df.select("request_id", F.array_join(insights(), " | ").alias("insights"))
+
+
+@query("score_scenarios")
+def score_scenarios(spark, sf_dir):
+    from .operators.scoring import expand_scenarios, rule_baseline
+    df = rule_baseline(expand_scenarios(_model_input(spark, sf_dir)))
+    return df.select("request_id", "scenario", "avg_temp", "prediction_kwh")
+
+
+@query("score_sanity")
+def score_sanity(spark, sf_dir):
+    from .operators.scoring import sane
+    return _scored(spark, sf_dir).select("request_id", "prediction_kwh",
+                                         sane().alias("is_sane"))
+
+
+def _responses(spark, sf_dir) -> DataFrame:
+    from .operators.scoring import response
+    return response(_scored(spark, sf_dir), "Rule Baseline")
+
+
+@query("score_response")
+def score_response(spark, sf_dir):
+    r = _responses(spark, sf_dir)
+    return r.select("request_id", "prediction_kwh", "monthly_kwh", "daily_kwh",
+                    "estimated_monthly_cost", "estimated_yearly_cost", "model_used",
+                    "input_summary.zipcode_from", "input_summary.city", "input_summary.company",
+                    "input_summary.type_of_connection",
+                    "comparison_to_average.typical_dutch_household_kwh",
+                    "comparison_to_average.difference_kwh",
+                    "comparison_to_average.percentage_difference",
+                    "comparison_to_average.comparison_text",
+                    F.col("timestamp").cast("string").alias("timestamp"))
+
+
+@query("score_latest5")
+def score_latest5(spark, sf_dir):
+    from .operators.scoring import latest
+    return latest(_responses(spark, sf_dir), 5).select(
+        "request_id", F.col("timestamp").cast("string").alias("timestamp"), "prediction_kwh")

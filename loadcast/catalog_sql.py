@@ -533,3 +533,220 @@ SQL["ml_importance"] = with_ctes(FEAT_CTES, "\n, imp AS (" + " UNION ALL ".join(
 SELECT feature, round_even(importance, 6) AS importance,
   CAST(row_number() OVER (ORDER BY importance DESC NULLS LAST, feature) AS INTEGER) AS rank
 FROM imp ORDER BY importance DESC NULLS LAST, feature LIMIT 10""")
+
+# ------------------------------------------------------------------------------ requests
+SCORE_REQUEST = """
+score_request AS (
+  SELECT event_id AS request_id, ts,
+    CASE WHEN user_id % 25 <> 0 THEN CAST(user_id AS VARCHAR) END AS postal_code,
+    CASE WHEN user_id % 3 = 1 THEN 'Amsterdam' WHEN user_id % 3 = 2 THEN 'rotterdam' END AS city,
+    CASE event_type WHEN 'click' THEN '1x25' WHEN 'view' THEN '3x25' WHEN 'signup' THEN '3x35'
+      WHEN 'purchase' THEN '3x50' ELSE CASE WHEN event_id % 2 = 0 THEN '3X25' ELSE 'bad' END END
+      AS house_type,
+    TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS num_connections,
+    value AS active_connections_pct,
+    event_id % 2 = 0 AS smart_meter,
+    ['liander', 'enexis', 'STEDIN', 'unknown'][CAST(user_id % 4 AS INTEGER) + 1] AS energy_company,
+    ['cold', 'NORMAL', 'warm', 'extreme'][CAST(event_id % 4 AS INTEGER) + 1] AS weather_scenario
+  FROM events
+)"""
+
+CLEAN_PC = "replace(regexp_replace(postal_code, '^\\s+|\\s+$', '', 'g'), ' ', '')"
+CHECKED = f"""
+checked AS (
+  SELECT *, concat_ws('; ',
+    CASE WHEN house_type NOT IN ('1x25', '1x35', '3x25', '3x35', '3x50')
+      THEN 'house_type must be one of 1x25, 1x35, 3x25, 3x35, 3x50' END,
+    CASE WHEN NOT (active_connections_pct BETWEEN 50 AND 95)
+      THEN 'active_connections_pct must be between 50 and 95' END,
+    CASE WHEN lower(energy_company) NOT IN ('liander', 'enexis', 'stedin', 'westland-infra', 'coteq')
+      THEN 'energy_company must be one of liander, enexis, stedin, westland-infra, coteq' END,
+    CASE WHEN lower(weather_scenario) NOT IN ('cold', 'normal', 'warm')
+      THEN 'weather_scenario must be one of cold, normal, warm' END,
+    CASE WHEN postal_code IS NOT NULL AND NOT (regexp_matches({CLEAN_PC}, '^[0-9]+$')
+                                               AND length({CLEAN_PC}) >= 2)
+      THEN 'postal_code must be at least 2 digits' END) AS errors
+  FROM score_request
+),
+valid AS (SELECT * FROM checked WHERE errors = '')"""
+
+SCENARIOS = """
+scenarios(scn, avg_temp, total_precipitation, total_sunshine_hours, avg_wind_speed) AS (
+  VALUES ('cold', 8.0::DOUBLE, 900.0::DOUBLE, 1400.0::DOUBLE, 4.5::DOUBLE),
+         ('normal', 10.5::DOUBLE, 850.0::DOUBLE, 1580.0::DOUBLE, 4.2::DOUBLE),
+         ('warm', 13.0::DOUBLE, 800.0::DOUBLE, 1700.0::DOUBLE, 3.8::DOUBLE)
+),
+scn AS (
+  SELECT *, avg_temp - 4.0::DOUBLE AS avg_min_temp, avg_temp + 4.0::DOUBLE AS avg_max_temp,
+    total_precipitation / 365 AS avg_precipitation, 3400.0::DOUBLE AS total_global_radiation
+  FROM scenarios
+)"""
+
+CIRC_HT = ("CASE house_type WHEN '1x25' THEN 10 WHEN '1x35' THEN 10 WHEN '3x25' THEN 14 "
+           "WHEN '3x35' THEN 18 WHEN '3x50' THEN 22 ELSE 14 END")
+MODEL_INPUT = f"""
+inputs AS (
+  SELECT request_id, ts, house_type, smart_meter,
+    CASE WHEN postal_code IS NOT NULL AND postal_code <> ''
+      THEN rpad(substr({CLEAN_PC}, 1, 4), 4, '0') ELSE '3500' END AS zipcode_from,
+    CASE WHEN city IS NOT NULL AND city <> '' THEN city ELSE 'Utrecht' END AS city,
+    lower(energy_company) AS company, house_type AS type_of_connection,
+    {CIRC_HT} AS circuits_per_household_input,
+    CAST(CASE WHEN num_connections IS NOT NULL AND num_connections <> 0 THEN num_connections
+      ELSE 30 END AS DOUBLE) AS num_connections,
+    active_connections_pct AS perc_of_active_connections,
+    97.5::DOUBLE AS delivery_perc,
+    CASE WHEN smart_meter THEN 75.0::DOUBLE ELSE 25.0::DOUBLE END AS smartmeter_perc,
+    CAST(3500 * {CIRC_HT} AS DOUBLE) AS annual_consume,
+    lower(weather_scenario) AS scenario
+  FROM valid
+),
+model_input AS (
+  SELECT i.*, s.avg_temp, s.total_precipitation, s.total_sunshine_hours, s.avg_wind_speed,
+    s.avg_min_temp, s.avg_max_temp, s.avg_precipitation, s.total_global_radiation
+  FROM inputs i LEFT JOIN scn s
+    ON s.scn = CASE WHEN i.scenario IN ('cold', 'normal', 'warm') THEN i.scenario ELSE 'normal' END
+)"""
+
+REQ = [SCORE_REQUEST, CHECKED]
+REQ_INPUT = REQ + [SCENARIOS, MODEL_INPUT]
+SCN_COLS = ("avg_temp, total_precipitation, total_sunshine_hours, avg_wind_speed, avg_min_temp, "
+            "avg_max_temp, avg_precipitation, total_global_radiation")
+
+SQL["req_parse_json"] = with_ctes([SCORE_REQUEST], """
+SELECT request_id, CAST(ts AS VARCHAR) AS ts, postal_code, city, house_type, num_connections,
+  active_connections_pct, smart_meter, energy_company, weather_scenario FROM score_request""")
+SQL["req_validate"] = with_ctes(REQ, "SELECT request_id, errors = '' AS is_valid, errors FROM checked")
+SQL["req_quarantine"] = with_ctes(REQ, """
+SELECT request_id, postal_code, house_type, active_connections_pct, energy_company,
+  weather_scenario, errors FROM checked WHERE errors <> ''""")
+SQL["req_postal_norm"] = with_ctes(REQ, f"""
+SELECT request_id, postal_code, rpad(substr({CLEAN_PC}, 1, 4), 4, '0') AS postal_normalized
+FROM valid WHERE postal_code IS NOT NULL""")
+SQL["req_defaults"] = with_ctes(REQ_INPUT, """
+SELECT request_id, zipcode_from, city, company, type_of_connection, circuits_per_household_input,
+  num_connections, perc_of_active_connections, delivery_perc, smartmeter_perc, annual_consume,
+  scenario FROM model_input""")
+SQL["req_scenario_join"] = with_ctes(REQ_INPUT, f"SELECT request_id, scenario, {SCN_COLS} FROM model_input")
+SQL["req_from_args"] = with_ctes([SCORE_REQUEST, SCENARIOS], f"""
+, a AS (
+  SELECT request_id, coalesce(substr(postal_code, 1, 2), '35') || '00' AS zipcode_from,
+    'Utrecht' AS city, 'liander' AS company, 30 AS num_connections_input,
+    88.0::DOUBLE AS perc_of_active_connections, 97.5::DOUBLE AS delivery_perc,
+    CASE WHEN smart_meter THEN 75.0::DOUBLE ELSE 25.0::DOUBLE END AS smartmeter_perc,
+    3500.0::DOUBLE AS annual_consume,
+    CASE WHEN upper(house_type) IN ('1X25', '1X35', '3X25', '3X35', '3X50')
+      THEN lower(upper(house_type)) ELSE '3x25' END AS type_of_connection,
+    CASE WHEN lower(weather_scenario) IN ('cold', 'normal', 'warm') THEN lower(weather_scenario)
+      ELSE 'normal' END AS scenario
+  FROM score_request
+)
+SELECT a.*, {', '.join('s.' + c.strip() for c in SCN_COLS.split(','))}
+FROM a LEFT JOIN scn s ON s.scn = a.scenario""")
+
+# ------------------------------------------------------------------------------ scoring
+RULE = """
+scored AS (
+  SELECT m.*,
+    coalesce(CASE house_type WHEN '1x25' THEN 1800.0 WHEN '1x35' THEN 2100.0 WHEN '3x25' THEN 2400.0
+      WHEN '3x35' THEN 2900.0 WHEN '3x50' THEN 3600.0 END, 2400.0)::DOUBLE
+    * coalesce(CASE substr(zipcode_from, 1, 2) WHEN '10' THEN 1.15 WHEN '35' THEN 1.00
+      WHEN '26' THEN 1.05 WHEN '30' THEN 0.95 WHEN '65' THEN 0.90 END, 1.0)::DOUBLE
+    * coalesce(CASE scenario WHEN 'cold' THEN 1.20 WHEN 'normal' THEN 1.00 WHEN 'warm' THEN 0.85
+      END, 1.0)::DOUBLE
+    * CASE WHEN smart_meter THEN 0.92::DOUBLE ELSE 1.0::DOUBLE END AS prediction_kwh
+  FROM model_input m
+)"""
+SCORED = REQ_INPUT + [RULE]
+DERIVED = """prediction_kwh / 12.0::DOUBLE AS monthly_kwh, prediction_kwh / 365.0::DOUBLE AS daily_kwh,
+  prediction_kwh / 12.0::DOUBLE * 0.25::DOUBLE AS estimated_monthly_cost,
+  prediction_kwh / 12.0::DOUBLE * 0.25::DOUBLE * 12.0::DOUBLE AS estimated_yearly_cost"""
+PCT = "((prediction_kwh - 2223.0::DOUBLE) / 2223.0::DOUBLE * 100.0::DOUBLE)"
+COMPARE = f"""2223 AS typical_dutch_household_kwh, prediction_kwh - 2223.0::DOUBLE AS difference_kwh,
+  {PCT} AS percentage_difference,
+  CASE WHEN {PCT} < -20 THEN 'Much lower than typical Dutch household'
+    WHEN {PCT} < -10 THEN 'Lower than typical Dutch household'
+    WHEN {PCT} < 10 THEN 'Similar to typical Dutch household'
+    WHEN {PCT} < 20 THEN 'Higher than typical Dutch household'
+    ELSE 'Much higher than typical Dutch household' END AS comparison_text"""
+
+SQL["score_rule_baseline"] = with_ctes(SCORED, "SELECT request_id, prediction_kwh FROM scored")
+SQL["score_derive"] = with_ctes(SCORED, f"SELECT request_id, prediction_kwh, {DERIVED} FROM scored")
+SQL["score_compare"] = with_ctes(SCORED, f"SELECT request_id, {COMPARE} FROM scored")
+SQL["score_insights"] = with_ctes(SCORED, f"""
+SELECT request_id, concat_ws(' | ',
+  CASE WHEN {PCT} > 20 THEN 'consumption well above average: consider energy-saving measures'
+    WHEN {PCT} < -20 THEN 'consumption well below average'
+    ELSE 'consumption close to the Dutch average' END,
+  CASE WHEN scenario = 'cold' THEN 'cold weather increases heating demand: consider insulation'
+    WHEN scenario = 'warm' THEN 'warm weather reduces heating needs but may increase cooling' END,
+  CASE WHEN smart_meter THEN 'smart meter helps optimise energy usage'
+    ELSE 'consider installing a smart meter' END) AS insights FROM scored""")
+SQL["score_sanity"] = with_ctes(SCORED, """
+SELECT request_id, prediction_kwh, prediction_kwh BETWEEN 500 AND 10000 AS is_sane FROM scored""")
+SQL["score_scenarios"] = with_ctes(REQ_INPUT, """
+, ex AS (
+  SELECT i.* EXCLUDE (scenario), x.scenario FROM inputs i,
+    (VALUES ('cold'), ('normal'), ('warm')) x(scenario)
+), model_input2 AS (SELECT ex.*, s.avg_temp FROM ex LEFT JOIN scn s ON s.scn = ex.scenario)
+SELECT request_id, scenario, avg_temp,
+  coalesce(CASE house_type WHEN '1x25' THEN 1800.0 WHEN '1x35' THEN 2100.0 WHEN '3x25' THEN 2400.0
+    WHEN '3x35' THEN 2900.0 WHEN '3x50' THEN 3600.0 END, 2400.0)::DOUBLE
+  * coalesce(CASE substr(zipcode_from, 1, 2) WHEN '10' THEN 1.15 WHEN '35' THEN 1.00
+    WHEN '26' THEN 1.05 WHEN '30' THEN 0.95 WHEN '65' THEN 0.90 END, 1.0)::DOUBLE
+  * coalesce(CASE scenario WHEN 'cold' THEN 1.20 WHEN 'normal' THEN 1.00 WHEN 'warm' THEN 0.85
+    END, 1.0)::DOUBLE
+  * CASE WHEN smart_meter THEN 0.92::DOUBLE ELSE 1.0::DOUBLE END AS prediction_kwh
+FROM model_input2""")
+SQL["score_response"] = with_ctes(SCORED, f"""
+SELECT request_id, prediction_kwh, {DERIVED}, 'Rule Baseline' AS model_used, zipcode_from, city,
+  company, type_of_connection, {COMPARE}, CAST(ts AS VARCHAR) AS timestamp FROM scored""")
+SQL["score_latest5"] = with_ctes(SCORED, """
+SELECT request_id, CAST(ts AS VARCHAR) AS timestamp, prediction_kwh FROM scored
+ORDER BY ts DESC, request_id DESC LIMIT 5""")
+SQL["score_features"] = with_ctes(REQ_INPUT, """
+, f1 AS (
+  SELECT *, CASE WHEN upper(type_of_connection) LIKE '%1X25%' OR upper(type_of_connection) LIKE '%1X35%' THEN 10
+    WHEN upper(type_of_connection) LIKE '%3X25%' THEN 14 WHEN upper(type_of_connection) LIKE '%3X35%' THEN 18
+    WHEN upper(type_of_connection) LIKE '%3X50%' OR upper(type_of_connection) LIKE '%3X63%' THEN 22
+    ELSE 12 END AS cph
+  FROM model_input
+), f2 AS (
+  SELECT *, greatest(num_connections / cph, 0.1::DOUBLE) AS estimated_households,
+    coalesce(TRY_CAST(nullif(regexp_extract(upper(trim(type_of_connection)), '(?i)(\\d+)x', 1), '') AS INTEGER), 1) AS connection_phases,
+    coalesce(TRY_CAST(nullif(regexp_extract(upper(trim(type_of_connection)), '(?i)x(\\d+)', 1), '') AS INTEGER), 25) AS connection_amperage,
+    num_connections * perc_of_active_connections / 100.0::DOUBLE AS active_connection_count
+  FROM f1
+)
+SELECT request_id, estimated_households, annual_consume / estimated_households AS household_consumption,
+  substr(zipcode_from, 1, 2) AS postal_code_area,
+  CASE substr(zipcode_from, 1, 1) WHEN '1' THEN 'west_holland' WHEN '2' THEN 'west_holland'
+    WHEN '3' THEN 'central' WHEN '4' THEN 'southwest' WHEN '5' THEN 'south'
+    WHEN '6' THEN 'east' WHEN '7' THEN 'northeast' WHEN '8' THEN 'north'
+    WHEN '9' THEN 'north' ELSE 'other' END AS postal_province,
+  connection_phases, connection_amperage, connection_phases * connection_amperage AS total_electrical_capacity,
+  CASE WHEN connection_phases * connection_amperage <= 25 THEN 'small_apartment'
+    WHEN connection_phases * connection_amperage <= 50 THEN 'medium_apartment'
+    WHEN connection_phases * connection_amperage <= 75 THEN 'large_apartment'
+    WHEN connection_phases * connection_amperage <= 100 THEN 'small_house' ELSE 'large_house' END
+    AS household_size_category,
+  CASE WHEN smartmeter_perc > 75 THEN 1 ELSE 0 END AS high_tech_area,
+  CASE WHEN smartmeter_perc < 25 THEN 1 ELSE 0 END AS low_tech_area,
+  greatest(18.0::DOUBLE - avg_temp, 0.0::DOUBLE) * 365 AS heating_degree_days,
+  CASE WHEN total_sunshine_hours < 1400 THEN 1 ELSE 0 END AS low_sunshine,
+  active_connection_count,
+  annual_consume / greatest(active_connection_count, 1.0::DOUBLE) AS connection_efficiency,
+  CASE WHEN num_connections <= 50 THEN 'very_low_density' WHEN num_connections <= 200 THEN 'low_density'
+    WHEN num_connections <= 500 THEN 'medium_density' WHEN num_connections <= 1000 THEN 'high_density'
+    ELSE 'very_high_density' END AS connection_density_category,
+  CASE WHEN perc_of_active_connections <= 50 THEN 'low_activity'
+    WHEN perc_of_active_connections <= 75 THEN 'medium_activity'
+    WHEN perc_of_active_connections <= 90 THEN 'high_activity' ELSE 'very_high_activity' END
+    AS activity_level_category
+FROM f2""")
+
+FILL_CATS = set(CATS)
+_FEATS = [c.strip() for c in FEATURE_LIST.replace("\n", " ").split(",")]
+SQL["score_fill"] = with_ctes(FEAT_CTES, f"SELECT {KEYS}, " + ", ".join(
+    (f"coalesce({c}, 'default') AS {c}" if c in FILL_CATS else f"coalesce({c}, 0) AS {c}")
+    for c in _FEATS) + " FROM featured")
