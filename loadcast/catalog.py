@@ -567,3 +567,70 @@ def score_latest5(spark, sf_dir):
     from .operators.scoring import latest
     return latest(_responses(spark, sf_dir), 5).select(
         "request_id", F.col("timestamp").cast("string").alias("timestamp"), "prediction_kwh")
+
+
+# ------------------------------------------------------------------------------ sources
+def _files(spark, sf_dir) -> DataFrame:
+    from .sources.energy import files_of
+    return files_of(S.energy_area(spark, sf_dir))
+
+
+@query("src_parse_filename")
+def src_parse_filename(spark, sf_dir):
+    from .sources.energy import with_file_fields
+    return with_file_fields(_files(spark, sf_dir)).select("source_file", "energy_type",
+                                                          "company", "year")
+
+
+@query("src_companies")
+def src_companies(spark, sf_dir):
+    from .sources.energy import companies
+    return companies(_files(spark, sf_dir)).orderBy("company")
+
+
+@query("src_years")
+def src_years(spark, sf_dir):
+    from .sources.energy import years
+    return years(_files(spark, sf_dir)).orderBy("year")
+
+
+@query("src_by_year")
+def src_by_year(spark, sf_dir):
+    from .sources.energy import by_year, with_file_fields
+    df = with_file_fields(S.energy_area(spark, sf_dir).drop("company", "year"))
+    return by_year(df, 1997).select(*KEYS, "source_file", "company", "year")
+
+
+@query("src_by_company")
+def src_by_company(spark, sf_dir):
+    from .sources.energy import by_company
+    df = S.energy_area(spark, sf_dir)
+    return by_company(df, "NATION-1").select(*KEYS, "source_file", "company", "energy_type")
+
+
+@query("src_summary")
+def src_summary(spark, sf_dir):
+    from .sources.energy import summary
+    s = summary(_files(spark, sf_dir))
+    return s.select("electricity_files", "gas_files",
+                    F.array_join("companies", ",").alias("companies"),
+                    F.array_join(F.col("years_electricity").cast("array<string>"), ",")
+                    .alias("years_electricity"),
+                    F.array_join(F.col("years_gas").cast("array<string>"), ",").alias("years_gas"),
+                    "total_files", "min_year", "max_year")
+
+
+@query("set_union_by_name")
+def set_union_by_name(spark, sf_dir):
+    area = S.energy_area(spark, sf_dir)
+    a = area.where(F.col("year") == 1995).select(*KEYS, "annual_consume", "city")
+    b = area.where(F.col("year") == 1996).select("company", "city", *KEYS, "num_connections")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("set_union_distinct")
+def set_union_distinct(spark, sf_dir):
+    area = S.energy_area(spark, sf_dir)
+    a = area.where(F.col("year") <= 1997).select("company")
+    b = area.where(F.col("year") >= 1999).select("company")
+    return a.union(b).distinct()

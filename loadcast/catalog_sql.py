@@ -750,3 +750,50 @@ _FEATS = [c.strip() for c in FEATURE_LIST.replace("\n", " ").split(",")]
 SQL["score_fill"] = with_ctes(FEAT_CTES, f"SELECT {KEYS}, " + ", ".join(
     (f"coalesce({c}, 'default') AS {c}" if c in FILL_CATS else f"coalesce({c}, 0) AS {c}")
     for c in _FEATS) + " FROM featured")
+
+# ------------------------------------------------------------------------------ sources
+UND = "(length(source_file) - length(replace(source_file, '_', '')))"
+LAST = "replace(string_split(source_file, '_')[-1], '.csv', '')"
+AFTER = "replace(string_split(source_file, energy_type || '_')[-1], '.csv', '')"
+PARSED_YEAR = f"""CASE WHEN {UND} < 2 THEN NULL
+  WHEN regexp_full_match({LAST}, '[0-9]{{4}}') THEN CAST({LAST} AS INTEGER)
+  WHEN contains(source_file, energy_type || '_') AND regexp_full_match({AFTER}, '[0-9]{{8}}')
+    THEN CAST(substr({AFTER}, 5, 4) AS INTEGER) END"""
+FILES = f"""
+files AS (
+  SELECT DISTINCT source_file, energy_type FROM energy_area
+),
+parsed AS (
+  SELECT source_file, energy_type, split_part(source_file, '_', 1) AS company,
+    {PARSED_YEAR} AS year FROM files
+)"""
+SQL["src_parse_filename"] = with_ctes([ENERGY_AREA, FILES], "SELECT * FROM parsed")
+SQL["src_companies"] = with_ctes([ENERGY_AREA, FILES],
+                                 "SELECT DISTINCT company FROM parsed ORDER BY company")
+SQL["src_years"] = with_ctes([ENERGY_AREA, FILES],
+                             "SELECT DISTINCT year FROM parsed WHERE year IS NOT NULL ORDER BY year")
+SQL["src_by_year"] = with_ctes([ENERGY_AREA], f"""
+SELECT {KEYS}, source_file, split_part(source_file, '_', 1) AS company, {PARSED_YEAR} AS year
+FROM energy_area WHERE ({PARSED_YEAR}) = 1997""")
+SQL["src_by_company"] = with_ctes([ENERGY_AREA], f"""
+SELECT {KEYS}, source_file, 'NATION-1' AS company, energy_type FROM energy_area
+WHERE starts_with(lower(source_file), 'nation-1')""")
+SQL["src_summary"] = with_ctes([ENERGY_AREA, FILES], """
+SELECT CAST(count_if(energy_type = 'electricity') AS BIGINT) AS electricity_files,
+  CAST(count_if(energy_type = 'gas') AS BIGINT) AS gas_files,
+  string_agg(DISTINCT company, ',' ORDER BY company) AS companies,
+  coalesce(string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR))
+    FILTER (WHERE energy_type = 'electricity' AND year IS NOT NULL), '') AS years_electricity,
+  coalesce(string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR))
+    FILTER (WHERE energy_type = 'gas' AND year IS NOT NULL), '') AS years_gas,
+  count(*) AS total_files, min(year) AS min_year, max(year) AS max_year
+FROM parsed""")
+SQL["set_union_by_name"] = with_ctes([ENERGY_AREA], f"""
+SELECT {KEYS}, annual_consume, city, NULL::VARCHAR AS company, NULL::DOUBLE AS num_connections
+FROM energy_area WHERE year = 1995
+UNION ALL
+SELECT {KEYS}, NULL::DOUBLE AS annual_consume, city, company, num_connections
+FROM energy_area WHERE year = 1996""")
+SQL["set_union_distinct"] = with_ctes([ENERGY_AREA], """
+SELECT company FROM energy_area WHERE year <= 1997
+UNION SELECT company FROM energy_area WHERE year >= 1999""")
