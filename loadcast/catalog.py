@@ -634,3 +634,49 @@ def set_union_distinct(spark, sf_dir):
     a = area.where(F.col("year") <= 1997).select("company")
     b = area.where(F.col("year") >= 1999).select("company")
     return a.union(b).distinct()
+
+
+# ------------------------------------------------------------------------------ streaming
+def _stream_of(spark, sf_dir, table):
+    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
+    return (spark.readStream.schema(spark.read.parquet(path).schema)
+            .option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir))
+
+
+@query("st_station_annual")
+def st_station_annual(spark, sf_dir):
+    """ST2: the daily rows arrive as a stream; running station-year aggregates are upserted
+    into a table, which must equal the batch station-year aggregate."""
+    import uuid
+    from .session import scratch_path
+    from .streaming.jobs import station_year_stream
+    run = uuid.uuid4().hex
+    table = scratch_path(spark, f"st_station_annual/{run}/table")
+    q = station_year_stream(S.weather_raw_from(_stream_of(spark, sf_dir, "orders")), table,
+                            scratch_path(spark, f"st_station_annual/{run}/checkpoint"))
+    q.awaitTermination()
+    return spark.read.parquet(table).select("year", *weather.MEASURES, "station",
+                                            "station_name", "station_location")
+
+
+@query("st_score_requests")
+def st_score_requests(spark, sf_dir):
+    """ST1: requests arrive as a stream and are validated, defaulted and scored per
+    micro-batch into a scored table and a quarantine table."""
+    import uuid
+    from .session import scratch_path
+    from .streaming.jobs import score_request_stream
+    run = uuid.uuid4().hex
+    out = scratch_path(spark, f"st_score/{run}/scored")
+    bad = scratch_path(spark, f"st_score/{run}/quarantine")
+    q = score_request_stream(S.score_request_from(_stream_of(spark, sf_dir, "events")), out, bad,
+                             scratch_path(spark, f"st_score/{run}/checkpoint"))
+    q.awaitTermination()
+    return spark.read.parquet(out).select(
+        "request_id", "prediction_kwh", "monthly_kwh", "daily_kwh", "estimated_monthly_cost",
+        "estimated_yearly_cost", "model_used", "input_summary.zipcode_from", "input_summary.city",
+        "input_summary.company", "input_summary.type_of_connection",
+        "comparison_to_average.typical_dutch_household_kwh",
+        "comparison_to_average.difference_kwh", "comparison_to_average.percentage_difference",
+        "comparison_to_average.comparison_text",
+        F.col("timestamp").cast("string").alias("timestamp"))

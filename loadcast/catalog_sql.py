@@ -797,3 +797,7 @@ FROM energy_area WHERE year = 1996""")
 SQL["set_union_distinct"] = with_ctes([ENERGY_AREA], """
 SELECT company FROM energy_area WHERE year <= 1997
 UNION SELECT company FROM energy_area WHERE year >= 1999""")
+
+# ------------------------------------------------------------------------------ streaming
+SQL["st_station_annual"] = SQL["wx_station_annual"]
+SQL["st_score_requests"] = SQL["score_response"]

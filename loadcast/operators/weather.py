@@ -67,8 +67,15 @@ def with_station_info(df: DataFrame, station_col: str = "station") -> DataFrame:
 
 def station_annual(daily_units: DataFrame) -> DataFrame:
     """A1: one row per (station, year) for all stations in a single pass (partial + final
-    hash aggregate; output is stations x years rows). Sums of all-null groups are 0 (pandas
-    semantics), means of all-null groups stay NULL; every measure is rounded half-even to 2."""
+    hash aggregate; output is stations x years rows) plus the station lookup (J3)."""
+    return with_station_info(station_annual_core(daily_units), "station").select(
+        "year", *MEASURES, "station", "station_name", "station_location")
+
+
+def station_annual_core(daily_units: DataFrame) -> DataFrame:
+    """The (station, year) aggregate alone (also usable on a stream). Sums of all-null groups
+    are 0 (pandas semantics), means of all-null groups stay NULL; every measure is rounded
+    half-even to 2."""
     def zsum(c):
         return round_half_even(F.coalesce(exact_sum(c), F.lit(0.0)), 2)
 
@@ -85,8 +92,7 @@ def station_annual(daily_units: DataFrame) -> DataFrame:
         mean("FG").alias("avg_wind_speed"),
         zsum("Q").alias("total_global_radiation"),
     )
-    return with_station_info(agg, "station").select("year", *MEASURES, "station",
-                                                     "station_name", "station_location")
+    return agg
 
 
 def national_annual(station_year: DataFrame, stations=None) -> DataFrame:

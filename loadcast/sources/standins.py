@@ -74,7 +74,12 @@ def energy_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders").select(
+    return weather_raw_from(read_table(spark, sf_dir, "orders"))
+
+
+def weather_raw_from(orders: DataFrame) -> DataFrame:
+    """Works on a batch or a streaming ``orders`` DataFrame."""
+    o = orders.select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     tg = (F.col("o_custkey") % 250).cast("double")
     return o.select(
@@ -93,7 +98,11 @@ def weather_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_request(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "events")
+    return score_request_from(read_table(spark, sf_dir, "events"))
+
+
+def score_request_from(e: DataFrame) -> DataFrame:
+    """Works on a batch or a streaming ``events`` DataFrame."""
     ht = F.col("event_type")
     house = None
     for k, v in EVENT_HOUSE_TYPE.items():
