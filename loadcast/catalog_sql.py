@@ -132,8 +132,13 @@ R4 = ("total_connections", "avg_annual_consume", "total_annual_consume", "avg_de
       "avg_active_connections_perc", "avg_smartmeter_perc")
 
 
+def _digits(c: str) -> int:
+    """Totals of stand-in values are exact at 5 decimals (prices / 8); means round at 6."""
+    return 5 if c.startswith("total_") else 6
+
+
 def _r4(prefix: str = "") -> str:
-    return ", ".join(f"round_even({prefix}{c}, 4) AS {c}" for c in R4)
+    return ", ".join(f"round_even({prefix}{c}, {_digits(c)}) AS {c}" for c in R4)
 
 
 CORR_PAIRS = [(w, e) for w in ("avg_temp", "total_precipitation", "total_sunshine_hours",
@@ -165,7 +170,7 @@ SQL["energy_annual_summary"] = with_ctes([ENERGY_AREA, ENERGY_SUMMARY], f"""
 SELECT year, {_r4()}, num_companies, num_records FROM energy_summary""")
 
 SQL["int_annual"] = with_ctes([ENERGY_AREA, ENERGY_SUMMARY] + WX + [NATIONAL, INTEGRATED], f"""
-SELECT * REPLACE ({', '.join(f'round_even({c}, 4) AS {c}' for c in R4)}) FROM integrated""")
+SELECT * REPLACE ({_r4()}) FROM integrated""")
 
 SQL["int_correlation"] = with_ctes(
     [ENERGY_AREA, ENERGY_SUMMARY] + WX + [NATIONAL, INTEGRATED],
