@@ -202,3 +202,20 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
             "selected_feature_count": len(selected), "training_rows": n}
     return TrainResult(metrics, best_name, best_model, best_row[9], feats, selected, vocab,
                        medians, scaler, importance, meta)
+
+
+def national_model(integrated: DataFrame, target: str = "avg_annual_consume",
+                   features=("avg_temp", "total_precipitation", "total_sunshine_hours",
+                             "avg_wind_speed")):
+    """OLS of a yearly energy measure on the national weather (one row per year).
+    Returns (model, one-row DataFrame with r2, rmse and the coefficients by name)."""
+    feats = list(features)
+    rows = integrated.select(*feats, target).dropna()
+    x = VectorAssembler(inputCols=feats, outputCol="x").transform(rows)
+    model = LinearRegression(featuresCol="x", labelCol=target, solver="normal").fit(x)
+    s = model.summary
+    spark = integrated.sparkSession
+    coefs = {f"coef_{f}": float(c) for f, c in zip(feats, model.coefficients.toArray())}
+    out = spark.createDataFrame([dict(r2=float(s.r2), rmse=float(s.rootMeanSquaredError),
+                                      intercept=float(model.intercept), **coefs)])
+    return model, out

@@ -51,3 +51,21 @@ def test_header_aware_union(spark, tmpdir_path):
     assert s["years_electricity"] == [2019, 2020] and s["min_year"] == 2019
     assert E.by_company(df, "LIAN").count() == 2
     assert E.by_year(df, 2020).count() == 1
+
+
+def test_station_text_and_cache(spark, tmpdir_path):
+    from loadcast.sources import weather as WS
+    p = os.path.join(tmpdir_path, "knmi_260.txt")
+    with open(p, "w") as f:
+        f.write("# BRON: test\n# STN,YYYYMMDD,TG,TN,TX,RH,DR,FG,Q\n\n")
+        f.write("  260,20190101,   55,   20,   80,    3,   10,   40,  200\n")
+        f.write("  260,20190102,     ,   10,   70,     ,   20,   30,  100\n")
+        f.write("  260,20200101,  -15,  -40,   10,    0,    0,   20,   50\n")
+    daily = WS.read_station_text(spark, p)
+    rows = {r["YYYYMMDD"]: r for r in daily.collect()}
+    assert rows["20190101"]["TG"] == 5.5 and rows["20190101"]["Q"] == 200.0
+    assert rows["20190102"]["TG"] is None and rows["20190102"]["RH"] is None
+    assert rows["20200101"]["year"] == 2020 and rows["20200101"]["TN"] == -4.0
+    cache = os.path.join(tmpdir_path, "cache")
+    WS.write_cache(daily, cache)
+    assert WS.read_cache(spark, cache, stations=["260"], start_year=2020).count() == 1
