@@ -37,7 +37,9 @@ def _daily(spark, sf_dir) -> DataFrame:
 
 
 def _national(spark, sf_dir) -> DataFrame:
-    return weather.national_from_raw(S.weather_raw(spark, sf_dir))
+    """Nation-year weather: one row per year, materialised once into the checkpoint folder so
+    that its size check and every join reuse it instead of re-aggregating the daily rows."""
+    return weather.national_from_raw(S.weather_raw(spark, sf_dir)).checkpoint(eager=True)
 
 
 @query("wx_range_scan")

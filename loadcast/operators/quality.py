@@ -59,8 +59,9 @@ def iqr_filter(df: DataFrame, group: str, value: str, factor: float = K.IQR_FACT
 
     The bounds table has one row per group and is joined back with a size-checked broadcast,
     so the fact table is never shuffled for this filter."""
+    # one row per group; materialised once because it is size-checked and then joined
     bounds = iqr_bounds(df, group, value, factor, method).select(
-        F.col(group).alias("_g"), "group_rows", "lower_bound", "upper_bound")
+        F.col(group).alias("_g"), "group_rows", "lower_bound", "upper_bound").checkpoint(eager=True)
     j = join_small(df.where(F.col(group).isNotNull()), bounds,
                    F.col(group) == F.col("_g"), "inner")
     keep = (F.col("group_rows") <= F.lit(min_group)) | \

@@ -74,7 +74,8 @@ def group_quantiles(df: DataFrame, group_cols, value: str, probs,
                            F.explode(F.array(*[F.lit(p) for p in probs])).alias("_p"))
               .withColumns({"_lo": F.floor(pos), "_frac": pos - F.floor(pos)})
               .withColumn("_hi", F.when(F.col("_frac") > 0, F.col("_lo") + 1)
-                          .otherwise(F.col("_lo"))))
+                          .otherwise(F.col("_lo")))
+              .checkpoint(eager=True))  # groups x probabilities rows, used twice below
     # the (at most two) ranks each quantile needs; keyed by global rank
     needs = wanted.select(*group_cols, "_p", (F.col("_start") + F.col("_lo")).alias("_rn"),
                           F.lit(0).alias("_side")).unionByName(
