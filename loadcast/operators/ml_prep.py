@@ -33,7 +33,8 @@ def fit_label_vocabularies(df: DataFrame, columns) -> DataFrame:
     ranked = global_row_number(pairs, ["feature", "value"])
     first = ranked.groupBy("feature").agg(F.min("_rn").alias("_first"))
     return join_small(ranked, first, "feature").select(
-        "feature", "value", (F.col("_rn") - F.col("_first")).cast("int").alias("code"))
+        "feature", "value", (F.col("_rn") - F.col("_first")).cast("int").alias("code")) \
+        .checkpoint(eager=True)
 
 
 def apply_label_codes(df: DataFrame, vocab: DataFrame, columns, suffix: str = "") -> DataFrame:

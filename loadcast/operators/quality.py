@@ -42,10 +42,8 @@ def iqr_bounds(df: DataFrame, group: str, value: str, factor: float = K.IQR_FACT
                method: str = "sort") -> DataFrame:
     """Per group: row count (all rows, as pandas ``len(group)``), Q1, Q3 and the bounds
     ``Q1 - f*IQR``, ``Q3 + f*IQR``. One row per group."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("group_rows"))
-    q = group_quantiles(df, [group], value, [0.25, 0.75], method=method) \
-        .withColumnsRenamed({"q_0.25": "q1", "q_0.75": "q3"}).drop("n")
-    b = sizes.join(q, group, "left")
+    b = group_quantiles(df, [group], value, [0.25, 0.75], method=method) \
+        .withColumnsRenamed({"q_0.25": "q1", "q_0.75": "q3", "rows": "group_rows"}).drop("n")
     iqr = F.col("q3") - F.col("q1")
     return b.withColumns({"lower_bound": F.col("q1") - F.lit(float(factor)) * iqr,
                           "upper_bound": F.col("q3") + F.lit(float(factor)) * iqr})
@@ -58,7 +56,10 @@ def iqr_filter(df: DataFrame, group: str, value: str, factor: float = K.IQR_FACT
     key is NULL are dropped (pandas ``groupby`` semantics).
 
     The bounds table has one row per group and is joined back with a size-checked broadcast,
-    so the fact table is never shuffled for this filter."""
+    so the fact table is never shuffled for this filter. The input is read twice (the
+    quartile sort and the filter), so it is persisted (memory, spilling to disk)."""
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     # one row per group; materialised once because it is size-checked and then joined
     bounds = iqr_bounds(df, group, value, factor, method).select(
         F.col(group).alias("_g"), "group_rows", "lower_bound", "upper_bound").checkpoint(eager=True)

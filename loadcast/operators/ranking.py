@@ -51,26 +51,29 @@ def group_quantiles(df: DataFrame, group_cols, value: str, probs,
                     method: str = "sort") -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per group (nulls ignored).
 
-    Returns one row per group: group columns, ``n`` (non-null values) and one column per
-    probability named ``q_<p>`` (e.g. ``q_0.25``). ``method="sort"`` is skew-safe (see module
+    Returns one row per group: group columns, ``rows`` (all rows), ``n`` (non-null values)
+    and one column per probability named ``q_<p>`` (e.g. ``q_0.25``). Null values sort first,
+    so group sizes and ranks come from the same single sort. ``method="sort"`` is skew-safe (see module
     doc); ``method="hash"`` uses Spark's ``percentile`` aggregate, adequate when the number
     of distinct values per group is bounded.
     """
     group_cols = list(group_cols)
     probs = [float(p) for p in probs]
     names = [f"q_{p}" for p in probs]
-    base = df.select(*group_cols, F.col(value).cast("double").alias("_v")) \
-             .where(F.col("_v").isNotNull())
+    base = df.select(*group_cols, F.col(value).cast("double").alias("_v"))
     if method == "hash":
         return base.groupBy(*group_cols).agg(
-            F.count(F.lit(1)).alias("n"),
+            F.count(F.lit(1)).alias("rows"), F.count("_v").alias("n"),
             *[F.percentile("_v", F.lit(p)).alias(nm) for p, nm in zip(probs, names)])
 
     ranked = global_row_number(base, [*group_cols, "_v"])
-    stats = ranked.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"),
-                                            F.min("_rn").alias("_start"))
+    stats = (ranked.groupBy(*group_cols)
+             .agg(F.count(F.lit(1)).alias("rows"), F.count("_v").alias("n"),
+                  F.min("_rn").alias("_first"))
+             .withColumn("_start", F.col("_first") + F.col("rows") - F.col("n"))
+             .checkpoint(eager=True))
     pos = (F.col("n") - F.lit(1)).cast("double") * F.col("_p")
-    wanted = (stats.select(*group_cols, "n", "_start",
+    wanted = (stats.where(F.col("n") > 0).select(*group_cols, "n", "_start",
                            F.explode(F.array(*[F.lit(p) for p in probs])).alias("_p"))
               .withColumns({"_lo": F.floor(pos), "_frac": pos - F.floor(pos)})
               .withColumn("_hi", F.when(F.col("_frac") > 0, F.col("_lo") + 1)
@@ -90,10 +93,12 @@ def group_quantiles(df: DataFrame, group_cols, value: str, probs,
     q = q.withColumn("_q", F.when(F.col("_frac") == 0, F.col("_a"))
                      .otherwise(_lerp(F.col("_a"), F.col("_b"), F.col("_frac"))))
     out = q.groupBy(*group_cols).agg(
-        F.first("n").alias("n"),
         *[F.max(F.when(F.col("_p") == F.lit(p), F.col("_q"))).alias(nm)
           for p, nm in zip(probs, names)])
-    return out
+    if not group_cols:  # one row on each side: join on a constant key
+        return stats.select(F.lit(0).alias("_k"), "rows", "n") \
+            .join(out.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
+    return join_small(stats.select(*group_cols, "rows", "n"), out, group_cols, "left")
 
 
 def dense_rank_vocabulary(df: DataFrame, col: str, code: str = "code",
