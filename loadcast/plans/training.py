@@ -82,7 +82,15 @@ def _r2(pred: DataFrame, label: str) -> float:
 def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
                  include_leaky: bool = False, select_by: str = "cv",
                  forest_trees: int = K.FOREST_TREES, cv_splits: int = K.CV_SPLITS,
-                 models=None, parallelism: int = 4) -> TrainResult:
+                 models=None, parallelism: int = 4,
+                 forest_sample_rows: int | None = 50_000, forest_sample_above: int = 100_000,
+                 forest_cv_rows: int | None = 3_000) -> TrainResult:
+    """Fit the four regressors and report CV and test metrics.
+
+    The forest follows the source system's cost controls: above ``forest_sample_above``
+    training rows it is fitted on a ``forest_sample_rows`` sample and cross-validated on a
+    ``forest_cv_rows`` sample (both deterministic md5-of-key samples; evaluation still uses
+    all rows). ``None`` turns a sample off. The linear models always use every row."""
     spark = data.sparkSession
     feats = feature_list(include_leaky)
     cats = [c for c in feats if c in K.CATEGORICAL_COLUMNS]
@@ -148,11 +156,21 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
     # concurrently (Spark schedules them side by side, as a grid search with n_jobs does).
     from concurrent.futures import ThreadPoolExecutor
 
+    forest_fit, forest_cv = tr, trf
+    if "Random Forest" in grid:
+        if forest_sample_rows is not None and n > forest_sample_above:
+            forest_fit = M.sample_n(tr, forest_sample_rows, key_cols).checkpoint(eager=True)
+        if forest_cv_rows is not None and n > forest_cv_rows:
+            forest_cv = M.expanding_folds(M.sample_n(tr, forest_cv_rows, key_cols),
+                                          ["year", *key_cols], n_splits=cv_splits) \
+                .checkpoint(eager=True)
+
     def cv_score(task):
         name, ci, i = task
         make = grid[name][ci][1]
-        fit_part = trf.where(F.col("fold") < i)
-        test_part = trf.where(F.col("fold") == i)
+        src = forest_cv if name == "Random Forest" else trf
+        fit_part = src.where(F.col("fold") < i)
+        test_part = src.where(F.col("fold") == i)
         return task, _r2(make().fit(fit_part).transform(test_part), target)
 
     tasks = [(name, ci, i) for name, cands in grid.items() for ci in range(len(cands))
@@ -168,7 +186,7 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
             std = (sum((x - mean) ** 2 for x in s) / len(s)) ** 0.5
             if best is None or mean > best[0]:
                 best = (mean, std, params, make)
-        model = best[3]().fit(tr)
+        model = best[3]().fit(forest_fit if name == "Random Forest" else tr)
         test_m = M.regression_metrics(model.transform(te), actual=target,
                                       predicted="prediction").first()
         train_r2 = _r2(model.transform(tr), target)
