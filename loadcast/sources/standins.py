@@ -29,7 +29,19 @@ MODEL_CYCLE = ["Linear Regression", "Ridge Regression", "Lasso Regression", "Ran
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """A file with a single row group is scanned by one task, and every narrow operator
+    after it (joins against broadcast dimensions, the feature projection) would then run in
+    that one task. Only when the scan yields fewer partitions than the cluster has cores is it
+    spread round-robin; a real 100 TB input has thousands of splits and is left untouched
+    (checked from the plan, no job runs)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def _arr(values):
