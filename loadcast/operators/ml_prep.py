@@ -39,14 +39,17 @@ def fit_label_vocabularies(df: DataFrame, columns) -> DataFrame:
 
 def apply_label_codes(df: DataFrame, vocab: DataFrame, columns, suffix: str = "") -> DataFrame:
     """Replace each categorical column by its code; unseen values get code 0 (the
-    alphabetically first label, as the source system does). The vocabulary size is checked
-    once; below the bound every column's slice is broadcast, above it each join shuffles."""
+    alphabetically first label, as the source system does). Each column's vocabulary
+    size is checked (one small aggregate); a column below the bound is broadcast, a column
+    above it is joined with a shuffle."""
     from .joins import DEFAULT_BROADCAST_ROWS
-    small = vocab.limit(DEFAULT_BROADCAST_ROWS + 1).count() <= DEFAULT_BROADCAST_ROWS
+    # one row per column: the vocabulary size of each column decides its join separately
+    sizes = {r["feature"]: r["count"] for r in vocab.groupBy("feature").count().collect()}
     out = df
     for c in columns:
         v = vocab.where(F.col("feature") == c).select(F.col("value").alias(f"_v_{c}"),
                                                       F.col("code").alias(f"_code_{c}"))
+        small = sizes.get(c, 0) <= DEFAULT_BROADCAST_ROWS
         out = out.withColumn(f"_k_{c}", _as_category(c)).join(
             F.broadcast(v) if small else v, F.col(f"_k_{c}") == F.col(f"_v_{c}"), "left")
         out = out.withColumn(c + suffix, F.coalesce(F.col(f"_code_{c}"), F.lit(0))) \

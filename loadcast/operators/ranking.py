@@ -28,7 +28,11 @@ def global_row_number(df: DataFrame, order_cols, name: str = "_rn",
                       checkpoint: bool = True) -> DataFrame:
     """1-based row number in ``order_cols`` order over the whole DataFrame, computed with one
     range shuffle. Pass a narrow projection: every column is carried through the sort."""
-    s = (df.orderBy(*order_cols)
+    # the input position is the last sort key: a run of identical keys (one value holding a
+    # third of the rows) is then still split across range partitions instead of landing in
+    # one task. It is deterministic for a given input split layout.
+    s = (df.withColumn("_tb", F.monotonically_increasing_id())
+         .orderBy(*order_cols, "_tb").drop("_tb")
          .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
     if checkpoint:
         s = s.checkpoint(eager=True)
