@@ -79,3 +79,25 @@ def test_all_null_sum_is_zero_mean_null(spark):
     r = annual.energy_year_summary(df).first()
     assert r["total_connections"] == 0.0 and r["total_annual_consume"] == 0.0
     assert r["avg_annual_consume"] is None
+
+
+def test_hot_group_of_identical_values_is_split(spark):
+    """One group holding a third of the rows, all with the same value: the rank sort still
+    spreads it over several partitions, and the quantiles stay exact."""
+    n = 30000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string"))
+        .alias("g"),
+        F.when(F.col("id") % 3 == 0, F.lit(1.0)).otherwise((F.col("id") % 997).cast("double"))
+        .alias("v"))
+    # (AQE would merge these small partitions back into one; at scale it would not)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = (df.withColumn("_tb", F.monotonically_increasing_id())
+                  .orderBy("g", "v", "_tb").groupBy(F.spark_partition_id().alias("p")).count()
+                  .collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(r["count"] for r in spread) < n / 3          # the hot run is split
+    q = {r["g"]: r for r in ranking.group_quantiles(df, ["g"], "v", [0.25, 0.75]).collect()}
+    assert q["hot"]["rows"] == n // 3 and q["hot"]["q_0.25"] == 1.0 and q["hot"]["q_0.75"] == 1.0
