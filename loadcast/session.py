@@ -47,7 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only when the setting is absent (local runs, tests) a private folder is created and
     recorded in the session so every later caller sees the same one.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint folder
+        return spark.conf.get(CHECKPOINT_CONF, None)
     current = sc.getCheckpointDir()
     if current:
         return current

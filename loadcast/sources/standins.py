@@ -38,9 +38,12 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     that one task. Only when the scan yields fewer partitions than the cluster has cores is it
     spread round-robin; a real 100 TB input has thousands of splits and is left untouched
     (checked from the plan, no job runs)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session)
+        pass
     return df
 
 
