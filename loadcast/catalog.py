@@ -689,3 +689,23 @@ def st_score_requests(spark, sf_dir):
         "comparison_to_average.difference_kwh", "comparison_to_average.percentage_difference",
         "comparison_to_average.comparison_text",
         F.col("timestamp").cast("string").alias("timestamp"))
+
+
+# ------------------------------------------------------------------------------ variants
+@query("feat_exact_circuits")
+def feat_exact_circuits(spark, sf_dir):
+    """Exact-match circuits map without floors (unmatched types and zero divisors ->
+    NULL)."""
+    from .functions.features import exact_circuit_columns
+    cols = exact_circuit_columns()
+    cols["circuits_per_household_exact"] = cols["circuits_per_household_exact"].cast("double")
+    return S.energy_area(spark, sf_dir).select(*KEYS, *[v.alias(k) for k, v in cols.items()])
+
+
+@query("req_display_names")
+def req_display_names(spark, sf_dir):
+    """Title-cased city and company for display."""
+    from .functions.features import display_name
+    return S.score_request(spark, sf_dir).select(
+        "request_id", display_name("city").alias("city_display"),
+        display_name("energy_company").alias("company_display"))

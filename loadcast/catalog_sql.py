@@ -806,3 +806,27 @@ UNION SELECT company FROM energy_area WHERE year >= 1999""")
 # ------------------------------------------------------------------------------ streaming
 SQL["st_station_annual"] = SQL["wx_station_annual"]
 SQL["st_score_requests"] = SQL["score_response"]
+
+# ------------------------------------------------------------------------------ variants
+SQL["feat_exact_circuits"] = with_ctes([ENERGY_AREA], f"""
+, c AS (
+  SELECT *, CASE type_of_connection WHEN '1x25' THEN 10 WHEN '1x35' THEN 10 WHEN '3x25' THEN 14
+    WHEN '3x35' THEN 18 WHEN '3x50' THEN 22 END AS circuits_per_household_exact,
+    num_connections * perc_of_active_connections / 100.0::DOUBLE AS active
+  FROM energy_area
+), h AS (
+  SELECT *, CASE WHEN circuits_per_household_exact <> 0
+    THEN num_connections / circuits_per_household_exact END AS estimated_households_exact
+  FROM c
+)
+SELECT {KEYS}, CAST(circuits_per_household_exact AS DOUBLE) AS circuits_per_household_exact,
+  estimated_households_exact,
+  CASE WHEN estimated_households_exact <> 0 THEN annual_consume / estimated_households_exact END
+    AS household_consumption_exact,
+  CASE WHEN active <> 0 THEN annual_consume / active END AS connection_efficiency_unfloored
+FROM h""")
+SQL["req_display_names"] = with_ctes([SCORE_REQUEST], """
+SELECT request_id,
+  upper(substr(city, 1, 1)) || lower(substr(city, 2)) AS city_display,
+  upper(substr(energy_company, 1, 1)) || lower(substr(energy_company, 2)) AS company_display
+FROM score_request""")

@@ -199,3 +199,26 @@ def with_features(df: DataFrame) -> DataFrame:
     }
     out = df.withColumns(step1).withColumns(step2).withColumns(step3)
     return out.withColumn("household_size_category", household_size_category())
+
+
+# ----------------------------------------------------------------------------- P34 / P36
+def exact_circuit_columns(conn_type="type_of_connection", connections="num_connections",
+                          annual="annual_consume", active_pct="perc_of_active_connections"
+                          ) -> dict[str, Column]:
+    """The exact-match variant: circuits from an exact map of the raw type (unmatched ->
+    NULL), households without a floor, efficiency without a floor; a zero divisor gives NULL."""
+    m = F.create_map(*[F.lit(x) for kv in K.HOUSE_TYPE_CIRCUITS.items() for x in kv])
+    circuits = F.element_at(m, _c(conn_type))
+    households = F.try_divide(_c(connections), circuits)
+    active = _c(connections) * _c(active_pct) / F.lit(100.0)
+    return {
+        "circuits_per_household_exact": circuits,
+        "estimated_households_exact": households,
+        "household_consumption_exact": F.try_divide(_c(annual), households),
+        "connection_efficiency_unfloored": F.try_divide(_c(annual), active),
+    }
+
+
+def display_name(c) -> Column:
+    """Title case for display (first letter of each word upper, the rest lower)."""
+    return F.initcap(_c(c))
