@@ -709,3 +709,15 @@ def req_display_names(spark, sf_dir):
     return S.score_request(spark, sf_dir).select(
         "request_id", display_name("city").alias("city_display"),
         display_name("energy_company").alias("company_display"))
+
+
+# ------------------------------------------------------------------------------ training
+@query("ml_train_models")
+def ml_train_models(spark, sf_dir):
+    """Prepare (join, features, cleaning), encode/impute/scale on the training part,
+    LASSO selection, OLS/ridge/lasso/forest with expanding-window CV; one metrics row per model.
+    Iterative fits have no SQL form: the driver checks rows only."""
+    from .plans.training import prepare_training_data, train_models
+    data = prepare_training_data(S.energy_area(spark, sf_dir), _national(spark, sf_dir))
+    res = train_models(data.checkpoint(eager=True), KEYS)
+    return res.metrics
