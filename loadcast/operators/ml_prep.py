@@ -67,9 +67,11 @@ def column_quantiles(df: DataFrame, columns, probs) -> DataFrame:
     return group_quantiles(stacked, ["column"], "value", probs)
 
 
-def fit_medians(df: DataFrame, columns) -> dict[str, float]:
+def fit_medians(df: DataFrame, columns, exact: bool = True) -> dict[str, float]:
     """Median per column (nulls ignored). A fitted parameter per column is returned to the
-    driver: its size is the number of columns."""
+    driver: its size is the number of columns. ``exact=False`` uses sketches."""
+    if not exact:
+        return {c: q[0] for c, q in approx_column_quantiles(df, columns, [0.5]).items()}
     rows = column_quantiles(df, columns, [0.5]).collect()
     return {r["column"]: r["q_0.5"] for r in rows}
 
@@ -79,8 +81,16 @@ def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
                            for c, m in medians.items() if m is not None})
 
 
-def fit_robust_scaler(df: DataFrame, columns) -> dict[str, tuple[float, float]]:
-    """(median, IQR) per column with exact linear quantiles; zero or missing IQR -> 1.0."""
+def fit_robust_scaler(df: DataFrame, columns,
+                      exact: bool = True) -> dict[str, tuple[float, float]]:
+    """(median, IQR) per column with exact linear quantiles (or sketches with
+    ``exact=False``); zero or missing IQR -> 1.0."""
+    if not exact:
+        params = {}
+        for c, (q1, med, q3) in approx_column_quantiles(df, columns, [0.25, 0.5, 0.75]).items():
+            iqr = (q3 - q1) if q3 is not None else None
+            params[c] = (med or 0.0, iqr if iqr else 1.0)
+        return params
     rows = column_quantiles(df, columns, [0.25, 0.5, 0.75]).collect()
     params = {}
     for r in rows:
@@ -199,3 +209,23 @@ def top_k_importance(wide: DataFrame, features, k: int = 10) -> DataFrame:
     top = long.orderBy(F.desc_nulls_last("importance"), "feature").limit(k)
     w = Window.orderBy(F.desc_nulls_last("importance"), "feature")
     return top.withColumn("rank", F.row_number().over(w).cast("int"))
+
+
+def sample_about_n(df: DataFrame, n: int, total: int, key_cols) -> DataFrame:
+    """Deterministic sample of about ``n`` of ``total`` rows: keep a row when the md5 bucket of
+    its key (32 bits) falls below ``n / total`` of the range. A plain distributed filter - no
+    top-n merge in one task, so it suits large ``n`` on many partitions."""
+    if total <= n:
+        return df
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])
+    bucket = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+    return df.where(bucket < F.lit(int((n / total) * 2 ** 32)))
+
+
+def approx_column_quantiles(df: DataFrame, columns, probs, accuracy: int = 100_000) -> dict:
+    """Per-column quantiles from mergeable sketches (``percentile_approx``; rank error about
+    1/accuracy) in ONE aggregate - the choice for very large training tables, where the exact
+    path would sort columns x rows values. Returns {column: [q for q in probs]}."""
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [float(p) for p in probs],
+                                       accuracy).alias(c) for c in columns]).first()
+    return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}

@@ -84,13 +84,15 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
                  forest_trees: int = K.FOREST_TREES, cv_splits: int = K.CV_SPLITS,
                  models=None, parallelism: int = 4,
                  forest_sample_rows: int | None = 50_000, forest_sample_above: int = 100_000,
-                 forest_cv_rows: int | None = 3_000) -> TrainResult:
+                 forest_cv_rows: int | None = 3_000, exact_quantiles: bool = True) -> TrainResult:
     """Fit the four regressors and report CV and test metrics.
 
     The forest follows the source system's cost controls: above ``forest_sample_above``
     training rows it is fitted on a ``forest_sample_rows`` sample and cross-validated on a
     ``forest_cv_rows`` sample (both deterministic md5-of-key samples; evaluation still uses
-    all rows). ``None`` turns a sample off. The linear models always use every row."""
+    all rows). ``None`` turns a sample off. The linear models always use every row.
+    ``exact_quantiles=False`` fits medians and scaling quartiles from sketches in one pass
+    (for very large tables) instead of the exact sort of every column's values."""
     spark = data.sparkSession
     feats = feature_list(include_leaky)
     cats = [c for c in feats if c in K.CATEGORICAL_COLUMNS]
@@ -102,10 +104,10 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
     train = base.where("_train")
 
     vocab = M.fit_label_vocabularies(train, cats).checkpoint(eager=True)
-    medians = M.fit_medians(train, nums)
+    medians = M.fit_medians(train, nums, exact=exact_quantiles)
     enc = M.impute(M.apply_label_codes(base, vocab, cats), medians) \
         .withColumns({c: F.col(c).cast("double") for c in feats})
-    scaler = M.fit_robust_scaler(enc.where("_train"), feats)
+    scaler = M.fit_robust_scaler(enc.where("_train"), feats, exact=exact_quantiles)
     enc = M.robust_scale(enc, scaler, suffix="_s")
     enc = VectorAssembler(inputCols=feats, outputCol="x_raw").transform(enc)
     enc = VectorAssembler(inputCols=[c + "_s" for c in feats], outputCol="x_scaled").transform(enc)
@@ -159,7 +161,9 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
     forest_fit, forest_cv = tr, trf
     if "Random Forest" in grid:
         if forest_sample_rows is not None and n > forest_sample_above:
-            forest_fit = M.sample_n(tr, forest_sample_rows, key_cols).checkpoint(eager=True)
+            # a hash-threshold sample: distributed, no n x partitions merge in one task
+            forest_fit = M.sample_about_n(tr, forest_sample_rows, n, key_cols) \
+                .checkpoint(eager=True)
         if forest_cv_rows is not None and n > forest_cv_rows:
             forest_cv = M.expanding_folds(M.sample_n(tr, forest_cv_rows, key_cols),
                                           ["year", *key_cols], n_splits=cv_splits) \

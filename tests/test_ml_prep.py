@@ -60,3 +60,14 @@ def test_selector_median_rule_keeps_all_when_most_zero():
     coefs = [0.0, 0.0, 0.0, 1.0, 2.0]
     med = sorted(coefs)[len(coefs) // 2]
     assert [i for i, c in enumerate(coefs) if c >= med] == [0, 1, 2, 3, 4]
+
+
+def test_sample_about_n_and_approx_quantiles(spark):
+    df = spark.range(20000).withColumn("v", (F.col("id") % 1000).cast("double"))
+    s = M.sample_about_n(df, 2000, 20000, ["id"])
+    n = s.count()
+    assert 1700 < n < 2300
+    assert s.count() == n                                   # deterministic
+    approx = M.fit_robust_scaler(df, ["v"], exact=False)["v"]
+    exact = M.fit_robust_scaler(df, ["v"])["v"]
+    assert abs(approx[0] - exact[0]) <= 2 and abs(approx[1] - exact[1]) <= 3
