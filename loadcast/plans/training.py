@@ -68,6 +68,29 @@ class TrainResult:
     meta: dict = field(default_factory=dict)
 
 
+def _memory_mb(text: str) -> float:
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    t = text.strip().lower().rstrip("b")
+    return float(t[:-1]) * units[t[-1]] if t and t[-1] in units else float(t) / 2 ** 20
+
+
+def forest_memory_mb(spark) -> int:
+    """Per-task histogram memory for the forest: a quarter of the task heap share
+    (heap / cores / 4), within 64..1024 MB. Every concurrent task allocates up to this much,
+    so the bound keeps the whole forest within a quarter of the heap."""
+    try:
+        conf = spark.sparkContext.getConf()
+        if conf.get("spark.master", "").startswith("local"):
+            heap = spark._jvm.java.lang.Runtime.getRuntime().maxMemory() / 2 ** 20
+            cores = spark.sparkContext.defaultParallelism
+        else:
+            heap = _memory_mb(conf.get("spark.executor.memory", "1g"))
+            cores = int(conf.get("spark.executor.cores", "1"))
+        return int(max(64, min(1024, heap / (4 * max(cores, 1)))))
+    except Exception:  # noqa: BLE001 - e.g. no JVM view of the session
+        return 256
+
+
 def _ridge_reg(alpha: float, n: int, std_y: float) -> float:
     """sklearn ridge ``||y-Xw||^2 + a||w||^2`` == Spark normal solver with
     regParam = a / n * std_pop(y) (Spark standardises the label internally)."""
@@ -136,6 +159,8 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
         .checkpoint(eager=True).persist()
     tr = trf.drop("fold")
 
+    forest_mb = forest_memory_mb(spark)
+
     def lin(reg, l1):
         return lambda: LinearRegression(featuresCol="xs", labelCol=target, regParam=reg,
                                         elasticNetParam=l1, standardization=False,
@@ -149,7 +174,7 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
         "Random Forest": [({}, lambda: RandomForestRegressor(
             featuresCol="xr", labelCol=target, numTrees=forest_trees, maxDepth=K.FOREST_DEPTH,
             minInstancesPerNode=K.FOREST_MIN_LEAF, featureSubsetStrategy="sqrt",
-            seed=K.FOREST_SEED, maxMemoryInMB=1024, cacheNodeIds=True))],
+            seed=K.FOREST_SEED, maxMemoryInMB=forest_mb, cacheNodeIds=True))],
     }
     if models:
         grid = {k: v for k, v in grid.items() if k in models}
