@@ -83,3 +83,9 @@ def station_year_stream(daily_raw: DataFrame, table_path: str, checkpoint: str,
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def national_from_station_table(spark: SparkSession, table_path: str, stations=None) -> DataFrame:
+    """A2 over the whole upserted station-year table (an update-mode batch holds only the
+    changed rows, so the national roll-up is a batch query over the table)."""
+    return W.national_annual(spark.read.parquet(table_path).drop("batch_id"), stations)

@@ -69,3 +69,26 @@ def test_station_text_and_cache(spark, tmpdir_path):
     cache = os.path.join(tmpdir_path, "cache")
     WS.write_cache(daily, cache)
     assert WS.read_cache(spark, cache, stations=["260"], start_year=2020).count() == 1
+
+
+def test_file_level_company_and_year(spark, tmpdir_path):
+    import pytest
+    d = os.path.join(tmpdir_path, "Electricity")
+    os.makedirs(d)
+    _write(os.path.join(d, "liander_electricity_2019.csv"), "city,annual_consume",
+           [("Amsterdam", "5000")])
+    _write(os.path.join(d, "liander_electricity_01012020.csv"), "annual_consume,city",
+           [("7000", "Haarlem")])
+    _write(os.path.join(d, "stedin_electricity_2019.csv"), "city,annual_consume",
+           [("Rotterdam", "9000")])
+    a = E.load_company(spark, d, "LIANDER", "electricity")
+    assert sorted(r["city"] for r in a.collect()) == ["Amsterdam", "Haarlem"]
+    assert {r["company"] for r in a.collect()} == {"LIANDER"}
+    b = E.load_company(spark, d, "liander", "electricity", year=2020)
+    assert [r["city"] for r in b.collect()] == ["Haarlem"]
+    y = E.load_year(spark, d, 2019, "electricity")
+    assert sorted(r["city"] for r in y.collect()) == ["Amsterdam", "Rotterdam"]
+    with pytest.raises(ValueError):
+        E.load_company(spark, d, "enexis", "electricity")
+    with pytest.raises(ValueError):
+        E.load_year(spark, d, 2001, "electricity")

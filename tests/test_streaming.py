@@ -19,3 +19,17 @@ def test_scoring_stream_equals_batch(spark):
     q = E.queries()
     assert _sorted(q["st_score_requests"](spark, SF_SMALL)) == \
         _sorted(q["score_response"](spark, SF_SMALL))
+
+
+def test_national_rollup_over_stream_table(spark):
+    import uuid
+    from loadcast.catalog import _stream_of
+    from loadcast.session import scratch_path
+    from loadcast.sources import standins as S
+    from loadcast.streaming.jobs import national_from_station_table, station_year_stream
+    run = uuid.uuid4().hex
+    table = scratch_path(spark, f"t_nat/{run}/table")
+    station_year_stream(S.weather_raw_from(_stream_of(spark, SF_SMALL, "orders")), table,
+                        scratch_path(spark, f"t_nat/{run}/ckpt")).awaitTermination()
+    got = _sorted(national_from_station_table(spark, table))
+    assert got == _sorted(E.queries()["wx_national"](spark, SF_SMALL))
