@@ -74,10 +74,9 @@ def _memory_mb(text: str) -> float:
     return float(t[:-1]) * units[t[-1]] if t and t[-1] in units else float(t) / 2 ** 20
 
 
-def forest_memory_mb(spark) -> int:
-    """Per-task histogram memory for the forest: a quarter of the task heap share
-    (heap / cores / 4), within 64..1024 MB. Every concurrent task allocates up to this much,
-    so the bound keeps the whole forest within a quarter of the heap."""
+def task_heap_mb(spark) -> float:
+    """Heap share of one concurrent task: the driver heap over the local cores, or the
+    executor memory over the executor cores on a cluster."""
     try:
         conf = spark.sparkContext.getConf()
         if conf.get("spark.master", "").startswith("local"):
@@ -86,9 +85,24 @@ def forest_memory_mb(spark) -> int:
         else:
             heap = _memory_mb(conf.get("spark.executor.memory", "1g"))
             cores = int(conf.get("spark.executor.cores", "1"))
-        return int(max(64, min(1024, heap / (4 * max(cores, 1)))))
+        return heap / max(cores, 1)
     except Exception:  # noqa: BLE001 - e.g. no JVM view of the session
-        return 256
+        return 1024.0
+
+
+def fit_concurrency(spark, requested: int) -> int:
+    """How many fits run side by side: one per 512 MB of task heap share, at most
+    ``requested``. A small heap (e.g. 1 GB over 8 local cores) fits one model at a time, so
+    concurrent forest histograms cannot exhaust it."""
+    return int(max(1, min(requested, task_heap_mb(spark) // 512)))
+
+
+def forest_memory_mb(spark, concurrent_fits: int = 1) -> int:
+    """Per-task histogram memory for the forest: a quarter of the task heap share, divided
+    over the fits that may run at the same time, within 8..1024 MB. Every concurrent task
+    allocates up to this much (plus its map-side combine copy), so the forest stays within a
+    quarter of the heap. Spark still splits one node per pass when a node needs more."""
+    return int(max(8, min(1024, task_heap_mb(spark) / (4 * max(concurrent_fits, 1)))))
 
 
 def _ridge_reg(alpha: float, n: int, std_y: float) -> float:
@@ -159,7 +173,8 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
         .checkpoint(eager=True).persist()
     tr = trf.drop("fold")
 
-    forest_mb = forest_memory_mb(spark)
+    parallelism = fit_concurrency(spark, parallelism)
+    forest_mb = forest_memory_mb(spark, parallelism)
 
     def lin(reg, l1):
         return lambda: LinearRegression(featuresCol="xs", labelCol=target, regParam=reg,
