@@ -50,16 +50,20 @@ def iqr_bounds(df: DataFrame, group: str, value: str, factor: float = K.IQR_FACT
 
 
 def iqr_filter(df: DataFrame, group: str, value: str, factor: float = K.IQR_FACTOR,
-               min_group: int = K.IQR_MIN_GROUP, method: str = "sort") -> DataFrame:
+               min_group: int = K.IQR_MIN_GROUP, method: str = "sort",
+               persist: bool = False) -> DataFrame:
     """inside each group with more than ``min_group`` rows keep
     ``lower <= value <= upper`` (inclusive); smaller groups are kept whole; rows whose group
     key is NULL are dropped (pandas ``groupby`` semantics).
 
     The bounds table has one row per group and is joined back with a size-checked broadcast,
-    so the fact table is never shuffled for this filter. The input is read twice (the
-    quartile sort and the filter), so it is persisted (memory, spilling to disk)."""
-    from pyspark import StorageLevel
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    so the fact table is never shuffled for this filter. The input is read twice: the
+    quartile sort reads only the (group, value) columns, the filter reads the rest. Re-reading
+    a deterministic scan is cheaper at scale than caching every column of the fact table;
+    ``persist=True`` caches it instead (for an expensive, non-deterministic input)."""
+    if persist:
+        from pyspark import StorageLevel
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     # one row per group; materialised once because it is size-checked and then joined
     bounds = iqr_bounds(df, group, value, factor, method).select(
         F.col(group).alias("_g"), "group_rows", "lower_bound", "upper_bound").checkpoint(eager=True)
