@@ -97,12 +97,13 @@ def fit_concurrency(spark, requested: int) -> int:
     return int(max(1, min(requested, task_heap_mb(spark) // 512)))
 
 
-def forest_memory_mb(spark, concurrent_fits: int = 1) -> int:
-    """Per-task histogram memory for the forest: a quarter of the task heap share, divided
-    over the fits that may run at the same time, within 8..1024 MB. Every concurrent task
-    allocates up to this much (plus its map-side combine copy), so the forest stays within a
-    quarter of the heap. Spark still splits one node per pass when a node needs more."""
-    return int(max(8, min(1024, task_heap_mb(spark) / (4 * max(concurrent_fits, 1)))))
+def forest_memory_mb(spark) -> int:
+    """Per-task histogram memory for the forest: a quarter of the task heap share, within
+    8..1024 MB. Every concurrent task allocates up to this much (plus its map-side combine
+    copy). Only the final forest fit on its sample grows that large; the concurrent linear
+    fits aggregate a features x features Gram matrix. Spark still splits one node per pass
+    when a single node needs more."""
+    return int(max(8, min(1024, task_heap_mb(spark) / 4)))
 
 
 def _ridge_reg(alpha: float, n: int, std_y: float) -> float:
@@ -174,7 +175,7 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
     tr = trf.drop("fold")
 
     parallelism = fit_concurrency(spark, parallelism)
-    forest_mb = forest_memory_mb(spark, parallelism)
+    forest_mb = forest_memory_mb(spark)
 
     def lin(reg, l1):
         return lambda: LinearRegression(featuresCol="xs", labelCol=target, regParam=reg,
