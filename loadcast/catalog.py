@@ -658,13 +658,13 @@ def st_station_annual(spark, sf_dir):
     into a table, which must equal the batch station-year aggregate."""
     import uuid
     from .session import scratch_path
-    from .streaming.jobs import station_year_stream
+    from .streaming.jobs import read_station_year_table, station_year_stream
     run = uuid.uuid4().hex
     table = scratch_path(spark, f"st_station_annual/{run}/table")
     q = station_year_stream(S.weather_raw_from(_stream_of(spark, sf_dir, "orders")), table,
                             scratch_path(spark, f"st_station_annual/{run}/checkpoint"))
     q.awaitTermination()
-    return spark.read.parquet(table).select("year", *weather.MEASURES, "station",
+    return read_station_year_table(spark, table).select("year", *weather.MEASURES, "station",
                                             "station_name", "station_location")
 
 

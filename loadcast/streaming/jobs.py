@@ -8,8 +8,11 @@ replayed after a failure replaces its earlier partial output (idempotent sink).
 ST2 keeps per (station, year) running aggregates in the state store. Calendar years are not
 fixed windows and the state is tiny (stations x years), so there is no watermark: a late day
 updates its row. ``update`` mode emits changed rows; ``foreachBatch`` upserts them into the
-station-year table (read, replace changed keys, write a new version); the national roll-up
-is a batch query over that whole table.
+station-year table: every batch writes a new immutable version directory derived from the
+last committed one (a version is committed once Spark has written its ``_SUCCESS`` marker),
+so a batch that fails half-way and is replayed starts again from the same committed version
+and never sees a partly overwritten table. The national roll-up is a batch query over the
+latest committed version.
 """
 
 from __future__ import annotations
@@ -67,17 +70,19 @@ def station_year_stream(daily_raw: DataFrame, table_path: str, checkpoint: str,
     def upsert(changed: DataFrame, batch_id: int) -> None:
         spark = changed.sparkSession
         changed = W.with_station_info(changed, "station").withColumn("batch_id", F.lit(batch_id))
-        try:
-            current = spark.read.parquet(table_path)
+        # the base is the newest version committed by an earlier batch; a replay of this
+        # batch recomputes the same result from the same base (idempotent)
+        base = [v for v in committed_versions(spark, table_path) if v < batch_id]
+        if base:
+            current = spark.read.parquet(_version_path(table_path, base[-1]))
             keep = current.join(changed.select("station", "year"), ["station", "year"], "left_anti")
             merged = keep.unionByName(changed)
-        except Exception:  # noqa: BLE001 - first batch: no table yet
+        else:
             merged = changed
-        # write a new version next to the table and swap the pointer file (no in-place
-        # overwrite of the files being read)
-        version = f"{table_path}.v{batch_id}"
-        merged.write.mode("overwrite").parquet(version)
-        spark.read.parquet(version).write.mode("overwrite").parquet(table_path)
+        merged.write.mode("overwrite").parquet(_version_path(table_path, batch_id))
+        # versions older than the base are no longer read by anyone who starts now
+        for v in base[:-1]:
+            _delete(spark, _version_path(table_path, v))
 
     w = (running.writeStream.outputMode("update").foreachBatch(upsert)
          .option("checkpointLocation", checkpoint))
@@ -85,7 +90,46 @@ def station_year_stream(daily_raw: DataFrame, table_path: str, checkpoint: str,
     return w.start()
 
 
+def _version_path(table_path: str, batch_id: int) -> str:
+    return f"{table_path.rstrip('/')}/v{batch_id:012d}"
+
+
+def _fs_path(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def committed_versions(spark: SparkSession, table_path: str) -> list[int]:
+    """Batch ids whose version directory is complete (``_SUCCESS`` is written last, at job
+    commit). A driver-side listing of one directory per batch."""
+    fs, root = _fs_path(spark, table_path)
+    if not fs.exists(root):
+        return []
+    out = []
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if (st.isDirectory() and name.startswith("v") and name[1:].isdigit()
+                and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))):
+            out.append(int(name[1:]))
+    return sorted(out)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs_path(spark, path)
+    fs.delete(p, True)
+
+
+def read_station_year_table(spark: SparkSession, table_path: str) -> DataFrame:
+    """The latest committed version of the station-year table written by the stream."""
+    versions = committed_versions(spark, table_path)
+    if not versions:
+        raise FileNotFoundError(f"no committed version under {table_path}")
+    return spark.read.parquet(_version_path(table_path, versions[-1]))
+
+
 def national_from_station_table(spark: SparkSession, table_path: str, stations=None) -> DataFrame:
     """A2 over the whole upserted station-year table (an update-mode batch holds only the
     changed rows, so the national roll-up is a batch query over the table)."""
-    return W.national_annual(spark.read.parquet(table_path).drop("batch_id"), stations)
+    return W.national_annual(read_station_year_table(spark, table_path).drop("batch_id"),
+                             stations)

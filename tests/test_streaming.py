@@ -33,3 +33,26 @@ def test_national_rollup_over_stream_table(spark):
                         scratch_path(spark, f"t_nat/{run}/ckpt")).awaitTermination()
     got = _sorted(national_from_station_table(spark, table))
     assert got == _sorted(E.queries()["wx_national"](spark, SF_SMALL))
+
+
+def test_station_year_table_ignores_uncommitted_version(spark):
+    """A version directory without Spark's commit marker (a batch that died half-way) is
+    never read; the newest committed version is."""
+    import uuid
+    from loadcast.catalog import _stream_of
+    from loadcast.session import scratch_path
+    from loadcast.sources import standins as S
+    from loadcast.streaming import jobs as J
+    run = uuid.uuid4().hex
+    table = scratch_path(spark, f"t_ver/{run}/table")
+    J.station_year_stream(S.weather_raw_from(_stream_of(spark, SF_SMALL, "orders")), table,
+                          scratch_path(spark, f"t_ver/{run}/ckpt")).awaitTermination()
+    committed = J.committed_versions(spark, table)
+    assert committed
+    before = _sorted(J.read_station_year_table(spark, table))
+    # a later batch that wrote data files but never committed
+    partial = J._version_path(table, committed[-1] + 1)
+    spark.range(3).write.parquet(partial)
+    J._delete(spark, partial + "/_SUCCESS")
+    assert J.committed_versions(spark, table) == committed
+    assert _sorted(J.read_station_year_table(spark, table)) == before
