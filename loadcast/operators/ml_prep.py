@@ -118,11 +118,27 @@ def split_flag(key_cols, test_fraction: float = K.TEST_FRACTION) -> Column:
     return hash_bucket(key_cols) < F.lit(int(round(100 * (1 - test_fraction))))
 
 
-def sample_n(df: DataFrame, n: int, key_cols) -> DataFrame:
-    """Deterministic sample of ``n`` rows without replacement: the ``n`` smallest md5 keys
-    (per-task top-n, then one merge of at most n x tasks rows)."""
-    key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols]))
-    return df.withColumn("_h", key).orderBy("_h", *key_cols).limit(n).drop("_h")
+def sample_n(df: DataFrame, n: int, key_cols, total: int | None = None) -> DataFrame:
+    """Deterministic sample of ``n`` rows without replacement: the ``n`` smallest md5 keys.
+
+    An ordered limit merges ``n`` rows per input partition in one task, which grows with the
+    partition count. So the rows are first filtered by the leading 32 bits of their hash
+    against a threshold that lets about ``4n`` rows through (a distributed filter); when at
+    least ``n`` rows pass, every row outside has a larger hash than every row inside, so the
+    ordered limit over the candidates is exactly the one over the whole table. Otherwise the
+    threshold is widened. ``total`` (the row count, if known) saves one counting job."""
+    h = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols]))
+    keyed = df.withColumn("_h", h)
+    total = df.count() if total is None else total
+    if total > 4 * n:
+        prefix = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint")
+        threshold = int(4 * n / total * 2 ** 32) + 1
+        while threshold < 2 ** 32:
+            cand = keyed.where(prefix < F.lit(threshold))
+            if cand.count() >= n:
+                return cand.orderBy("_h", *key_cols).limit(n).drop("_h")
+            threshold *= 4
+    return keyed.orderBy("_h", *key_cols).limit(n).drop("_h")
 
 
 # ----------------------------------------------------------------------------- M11

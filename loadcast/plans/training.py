@@ -16,6 +16,7 @@ Scale notes
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -136,21 +137,31 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
     cats = [c for c in feats if c in K.CATEGORICAL_COLUMNS]
     nums = [c for c in feats if c not in K.CATEGORICAL_COLUMNS]
     key_cols = list(key_cols)
+    phases: dict[str, float] = {}
+    clock = [time.time()]
+
+    def mark(phase: str) -> None:  # wall seconds per phase, reported in meta
+        now = time.time()
+        phases[phase] = round(now - clock[0], 3)
+        clock[0] = now
 
     base = data.select(*key_cols, "year", *feats, target) \
         .withColumn("_train", M.split_flag(key_cols)).checkpoint(eager=True)
     train = base.where("_train")
+    mark("split")
 
     vocab = M.fit_label_vocabularies(train, cats).checkpoint(eager=True)
     medians = M.fit_medians(train, nums, exact=exact_quantiles)
     enc = M.impute(M.apply_label_codes(base, vocab, cats), medians) \
         .withColumns({c: F.col(c).cast("double") for c in feats})
     scaler = M.fit_robust_scaler(enc.where("_train"), feats, exact=exact_quantiles)
+    mark("fit_encoders_medians_scaler")
     enc = M.robust_scale(enc, scaler, suffix="_s")
     enc = VectorAssembler(inputCols=feats, outputCol="x_raw").transform(enc)
     enc = VectorAssembler(inputCols=[c + "_s" for c in feats], outputCol="x_scaled").transform(enc)
     enc = enc.select(*key_cols, "year", target, "_train", "x_raw", "x_scaled").checkpoint(eager=True)
     tr, te = enc.where("_train"), enc.where(~F.col("_train"))
+    mark("encode")
 
     # M5: LASSO(0.01) selector on scaled training features, keep |coef| >= median |coef|.
     # solver="normal": one distributed pass builds the Gram matrix, the L1 problem is then
@@ -166,6 +177,7 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
     enc = VectorSlicer(inputCol="x_scaled", outputCol="xs", indices=selected).transform(enc)
     enc = VectorSlicer(inputCol="x_raw", outputCol="xr", indices=selected).transform(enc)
     tr, te = enc.where("_train"), enc.where(~F.col("_train"))
+    mark("lasso_selection")
 
     n = tr.count()
     std_y = tr.agg(F.stddev_pop(target)).first()[0] or 0.0
@@ -173,6 +185,7 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
     trf = M.expanding_folds(tr, ["year", *key_cols], n_splits=cv_splits) \
         .checkpoint(eager=True).persist()
     tr = trf.drop("fold")
+    mark("folds")
 
     parallelism = fit_concurrency(spark, parallelism)
     forest_mb = forest_memory_mb(spark)
@@ -206,7 +219,7 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
             forest_fit = M.sample_about_n(tr, forest_sample_rows, n, key_cols) \
                 .checkpoint(eager=True)
         if forest_cv_rows is not None and n > forest_cv_rows:
-            forest_cv = M.expanding_folds(M.sample_n(tr, forest_cv_rows, key_cols),
+            forest_cv = M.expanding_folds(M.sample_n(tr, forest_cv_rows, key_cols, total=n),
                                           ["year", *key_cols], n_splits=cv_splits) \
                 .checkpoint(eager=True)
 
@@ -222,6 +235,7 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
              for i in range(cv_splits)]
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         scores = dict(pool.map(cv_score, tasks))
+    mark("cross_validation")
 
     def final_fit(name):
         best = None
@@ -241,6 +255,7 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         done = list(pool.map(final_fit, list(grid)))
+    mark("final_fits")
     fitted = {name: model for name, model, _ in done}
     rows = [row for _, _, row in done]
     metrics = spark.createDataFrame(rows, "model string, params string, cv_r2_mean double, "
@@ -262,7 +277,8 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
             "selected_indices": selected, "target_column": target, "use_scaled": best_row[9],
             "test_r2": best_row[5], "test_rmse": best_row[6], "cv_r2_mean": best_row[2],
             "cv_r2_std": best_row[3], "feature_count": len(feats),
-            "selected_feature_count": len(selected), "training_rows": n}
+            "selected_feature_count": len(selected), "training_rows": n,
+            "phase_seconds": phases}
     return TrainResult(metrics, best_name, best_model, best_row[9], feats, selected, vocab,
                        medians, scaler, importance, meta)
 

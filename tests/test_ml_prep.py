@@ -71,3 +71,16 @@ def test_sample_about_n_and_approx_quantiles(spark):
     approx = M.fit_robust_scaler(df, ["v"], exact=False)["v"]
     exact = M.fit_robust_scaler(df, ["v"])["v"]
     assert abs(approx[0] - exact[0]) <= 2 and abs(approx[1] - exact[1]) <= 3
+
+
+def test_sample_n_candidate_filter_is_exact(spark):
+    """The hash-threshold pre-filter returns exactly the n smallest md5 keys."""
+    from pyspark.sql import functions as F
+    from loadcast.operators.ml_prep import sample_n
+    df = spark.range(0, 20000, numPartitions=8).withColumn("k2", F.col("id") % 7)
+    for n in (1, 37, 4999, 6000):
+        brute = (df.withColumn("_h", F.md5(F.concat_ws("|", F.col("id").cast("string"),
+                                                       F.col("k2").cast("string"))))
+                 .orderBy("_h", "id", "k2").limit(n).drop("_h"))
+        got = sample_n(df, n, ["id", "k2"])
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, brute.collect()))
