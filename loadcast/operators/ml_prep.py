@@ -105,6 +105,110 @@ def robust_scale(df: DataFrame, params: dict[str, tuple[float, float]],
                            for c, (m, s) in params.items()})
 
 
+def _lerp_py(a: float, b: float, t: float) -> float:
+    """The same interpolation as ``ranking._lerp`` (numpy's linear method), in doubles."""
+    d = b - a
+    return b - d * (1.0 - t) if t >= 0.5 else a + d * t
+
+
+def fit_medians_and_scaler(df: DataFrame, impute_columns, scale_columns):
+    """Medians of ``impute_columns`` and the robust scaler of ``scale_columns`` *after* those
+    medians fill the nulls, from ONE exact sort of the stacked non-null values (instead of a
+    sort for the medians and a second one of the imputed table).
+
+    Filling ``m`` nulls with the median ``c`` inserts ``m`` copies of ``c`` into the sorted
+    values: with ``k`` values below ``c``, imputed position ``j`` holds value ``j`` when
+    ``j < k``, ``c`` when ``j < k + m``, else value ``j - m``. So the imputed quartiles are read
+    from the same ranked table after one count of ``value < c`` per column. Everything the
+    driver sees is a few numbers per column. Equal to ``fit_medians`` followed by
+    ``impute`` and ``fit_robust_scaler``."""
+    impute_columns = list(impute_columns)
+    columns = list(dict.fromkeys([*impute_columns, *scale_columns]))
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+        for c in columns])).alias("_s")).select("_s.column", "_s.value")
+    ranked = global_row_number(stacked, ["column", "value"])  # nulls first in each column
+    stats = {r["column"]: r for r in ranked.groupBy("column").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("value").alias("n"),
+        F.min("_rn").alias("first")).collect()}
+
+    def start(c):  # global rank of the first non-null value of column c
+        st = stats.get(c)
+        return st["first"] + st["rows"] - st["n"] if st else None
+
+    def positions(n, p):
+        pos = (n - 1) * p
+        lo = float(int(pos // 1))
+        frac = pos - lo
+        return int(lo), (int(lo) + 1 if frac > 0 else int(lo)), frac
+
+    def fetch(ranks) -> dict:
+        ranks = sorted(set(ranks))
+        if not ranks:
+            return {}
+        return {r["_rn"]: r["value"] for r in
+                ranked.where(F.col("_rn").isin(ranks)).select("_rn", "value").collect()}
+
+    # medians of the columns to impute (non-null values only)
+    need = {}
+    for c in impute_columns:
+        st = stats.get(c)
+        if st and st["n"] > 0:
+            lo, hi, frac = positions(st["n"], 0.5)
+            need[c] = (start(c) + lo, start(c) + hi, frac)
+    got = fetch([r for lo, hi, _ in need.values() for r in (lo, hi)])
+    medians = {c: None for c in impute_columns}
+    for c, (lo, hi, frac) in need.items():
+        medians[c] = got[lo] if frac == 0 else _lerp_py(got[lo], got[hi], frac)
+
+    # values below each median (one distributed count over the ranked table)
+    fill = {c: m for c, m in medians.items() if m is not None and c in scale_columns}
+    below = {}
+    if fill:
+        lookup = F.create_map(*[x for c, m in fill.items() for x in (F.lit(c), F.lit(float(m)))])
+        below = {r["column"]: r["k"] for r in ranked.where(F.col("value").isNotNull()).groupBy(
+            "column").agg(F.count_if(F.col("value") < F.element_at(lookup, F.col("column")))
+                          .alias("k")).collect() if r["column"] in fill}
+
+    # imputed quartiles: which ranked value (or the median itself) sits at each position
+    plan = {}
+    for c in scale_columns:
+        st = stats.get(c)
+        if not st:
+            continue
+        n, m = st["n"], (st["rows"] - st["n"]) if c in fill else 0
+        total = n + m
+        if total == 0:
+            continue
+        k = below.get(c, 0)
+
+        def at(j, c=c, k=k, m=m):
+            if j < k:
+                return ("rank", start(c) + j)
+            if j < k + m:
+                return ("const", fill[c])
+            return ("rank", start(c) + j - m)
+
+        plan[c] = [(at(lo), at(hi), frac) for lo, hi, frac in
+                   (positions(total, p) for p in (0.25, 0.5, 0.75))]
+    got = fetch([ref[1] for qs in plan.values() for a, b, _ in qs
+                 for ref in (a, b) if ref[0] == "rank"])
+
+    def value(ref):
+        return got[ref[1]] if ref[0] == "rank" else ref[1]
+
+    scaler = {}
+    for c in scale_columns:
+        if c not in plan:
+            scaler[c] = (0.0, 1.0)
+            continue
+        q = [value(a) if frac == 0 else _lerp_py(value(a), value(b), frac)
+             for a, b, frac in plan[c]]
+        iqr = q[2] - q[0]
+        scaler[c] = (q[1] or 0.0, iqr if iqr else 1.0)
+    return medians, scaler
+
+
 # ----------------------------------------------------------------------------- M3 / T5
 def hash_bucket(key_cols, buckets: int = 100) -> Column:
     """Stable bucket in [0, buckets) from md5 of the '|'-joined key (same in any engine)."""

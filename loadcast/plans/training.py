@@ -151,10 +151,15 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
     mark("split")
 
     vocab = M.fit_label_vocabularies(train, cats).checkpoint(eager=True)
-    medians = M.fit_medians(train, nums, exact=exact_quantiles)
-    enc = M.impute(M.apply_label_codes(base, vocab, cats), medians) \
-        .withColumns({c: F.col(c).cast("double") for c in feats})
-    scaler = M.fit_robust_scaler(enc.where("_train"), feats, exact=exact_quantiles)
+    coded = M.apply_label_codes(base, vocab, cats)
+    if exact_quantiles:
+        # one exact sort serves the medians and the quartiles of the imputed columns
+        medians, scaler = M.fit_medians_and_scaler(coded.where("_train"), nums, feats)
+        enc = M.impute(coded, medians).withColumns({c: F.col(c).cast("double") for c in feats})
+    else:
+        medians = M.fit_medians(train, nums, exact=False)
+        enc = M.impute(coded, medians).withColumns({c: F.col(c).cast("double") for c in feats})
+        scaler = M.fit_robust_scaler(enc.where("_train"), feats, exact=False)
     mark("fit_encoders_medians_scaler")
     enc = M.robust_scale(enc, scaler, suffix="_s")
     enc = VectorAssembler(inputCols=feats, outputCol="x_raw").transform(enc)

@@ -84,3 +84,34 @@ def test_sample_n_candidate_filter_is_exact(spark):
                  .orderBy("_h", "id", "k2").limit(n).drop("_h"))
         got = sample_n(df, n, ["id", "k2"])
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, brute.collect()))
+
+
+def test_medians_and_scaler_from_one_sort_equal_two_step(spark):
+    """One sort gives the same medians and imputed-column quartiles as fitting the medians,
+    imputing, and sorting again - with nulls, ties at the median, all-null and null-free
+    columns, odd and even counts."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(203):
+        a = None if i % 5 == 0 else float(rng.integers(0, 9))      # many ties, nulls
+        b = None if i % 2 == 0 else float(rng.normal())              # half null
+        c = float(rng.integers(0, 3))                                 # no nulls
+        rows.append((a, b, None, c))
+    df = spark.createDataFrame(rows, "a double, b double, z double, c double")
+    nums, feats = ["a", "b", "z"], ["a", "b", "z", "c"]
+    med_old = M.fit_medians(df, nums)
+    imputed = M.impute(df, med_old)
+    sc_old = M.fit_robust_scaler(imputed, feats)
+    med_new, sc_new = M.fit_medians_and_scaler(df, nums, feats)
+    assert {k: v for k, v in med_old.items() if v is not None} == \
+        {k: v for k, v in med_new.items() if v is not None}
+    assert med_new["z"] is None
+    for col in feats:
+        assert sc_new[col] == sc_old.get(col, (0.0, 1.0)), col
+    # and against numpy on the imputed values
+    for j, col in [(0, "a"), (1, "b"), (3, "c")]:
+        x = np.array([r[j] for r in rows], dtype=float)
+        if col in med_new:
+            x = np.where(np.isnan(x), med_new[col], x)
+        q1, q2, q3 = np.quantile(x, [0.25, 0.5, 0.75])
+        assert sc_new[col] == pytest.approx((q2, (q3 - q1) or 1.0), rel=1e-12)
