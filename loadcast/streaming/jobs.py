@@ -44,16 +44,22 @@ def score_request_stream(requests: DataFrame, out_path: str, quarantine_path: st
                          available_now: bool = True):
     """Start the scoring stream over a streaming request DataFrame. Returns the query."""
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        valid, bad = SC.split_valid(SC.validate(batch))
-        inputs = SC.to_model_input(valid)
-        if package is None:
-            scored, model_used = SC.rule_baseline(inputs), "Rule Baseline"
-        else:
-            from ..plans.package import score_inputs
-            scored, model_used = score_inputs(package, inputs), package["model_name"]
-        _write_partitioned(SC.response(scored, model_used), out_path, batch_id)
-        _write_partitioned(bad.withColumn("errors", F.array_join("errors", "; ")),
-                           quarantine_path, batch_id)
+        # both sinks read the validated batch: keep it for this batch only (a lost block is
+        # recomputed from the micro-batch's source offsets, which are fixed for the batch)
+        checked = SC.validate(batch).persist()
+        try:
+            valid, bad = SC.split_valid(checked)
+            inputs = SC.to_model_input(valid)
+            if package is None:
+                scored, model_used = SC.rule_baseline(inputs), "Rule Baseline"
+            else:
+                from ..plans.package import score_inputs
+                scored, model_used = score_inputs(package, inputs), package["model_name"]
+            _write_partitioned(SC.response(scored, model_used), out_path, batch_id)
+            _write_partitioned(bad.withColumn("errors", F.array_join("errors", "; ")),
+                               quarantine_path, batch_id)
+        finally:
+            checked.unpersist()
 
     w = requests.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
