@@ -91,6 +91,13 @@ def task_heap_mb(spark) -> float:
         return 1024.0
 
 
+def _parallelism(spark, default: int = 200) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - Spark Connect: no context on the client
+        return default
+
+
 def fit_concurrency(spark, requested: int) -> int:
     """How many fits run side by side: one per 512 MB of task heap share, at most
     ``requested``. A small heap (e.g. 1 GB over 8 local cores) fits one model at a time, so
@@ -220,9 +227,14 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
     forest_fit, forest_cv = tr, trf
     if "Random Forest" in grid:
         if forest_sample_rows is not None and n > forest_sample_above:
-            # a hash-threshold sample: distributed, no n x partitions merge in one task
+            # a hash-threshold sample: distributed, no n x partitions merge in one task. It
+            # would inherit the partitioning of the whole training table (at scale: ~50k rows
+            # over ~100k partitions, and every tree level is a pass with one task and one set
+            # of node statistics per partition), so its few rows are redistributed into a
+            # partition count sized from the sample (~5k rows each, at most the parallelism).
+            parts = max(1, min(_parallelism(spark), -(-forest_sample_rows // 5_000)))
             forest_fit = M.sample_about_n(tr, forest_sample_rows, n, key_cols) \
-                .checkpoint(eager=True)
+                .repartition(parts).checkpoint(eager=True)
         if forest_cv_rows is not None and n > forest_cv_rows:
             forest_cv = M.expanding_folds(M.sample_n(tr, forest_cv_rows, key_cols, total=n),
                                           ["year", *key_cols], n_splits=cv_splits) \
