@@ -719,5 +719,5 @@ def ml_train_models(spark, sf_dir):
     Iterative fits have no SQL form: the driver checks rows only."""
     from .plans.training import prepare_training_data, train_models
     data = prepare_training_data(S.energy_area(spark, sf_dir), _national(spark, sf_dir))
-    res = train_models(data.checkpoint(eager=True), KEYS)
+    res = train_models(data, KEYS)
     return res.metrics

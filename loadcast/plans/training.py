@@ -36,7 +36,8 @@ ORDER_KEY = "_row_key"
 
 def prepare_training_data(area: DataFrame, national: DataFrame) -> DataFrame:
     """Area rows x national weather (J2) -> features -> F1 -> F2 -> F3 -> F4, in the order of
-    the source system. The IQR filter groups by the raw connection type."""
+    the source system. The IQR filter groups by the raw connection type. Returns the cleaned
+    table checkpointed (materialised)."""
     weather_cols = [c for c in national.columns if c not in ("data_source", "stations_used",
                                                              "coverage")]
     # the yearly weather is a handful of rows: materialise it once (it is joined and
@@ -47,7 +48,13 @@ def prepare_training_data(area: DataFrame, national: DataFrame) -> DataFrame:
     df = Q.drop_incomplete(with_features(df))
     df = Q.household_range_filter(Q.active_filter(Q.with_preliminary_household(df)))
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return Q.iqr_filter(df, "type_of_connection", "preliminary_household_consumption")
+    try:
+        # the cleaned table is written to the shared checkpoint folder (lineage cut, survives
+        # executor loss); the cached intermediate is then released
+        return Q.iqr_filter(df, "type_of_connection", "preliminary_household_consumption") \
+            .checkpoint(eager=True)
+    finally:
+        df.unpersist()
 
 
 def feature_list(include_leaky: bool = False):

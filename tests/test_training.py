@@ -14,7 +14,7 @@ def test_train_package_and_score(spark, tmpdir_path):
     from loadcast.sources import standins as S
     data = prepare_training_data(S.energy_area(spark, SF_SMALL),
                                  weather.national_from_raw(S.weather_raw(spark, SF_SMALL)))
-    res = train_models(data.checkpoint(), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+    res = train_models(data, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
                        forest_trees=5)
     m = {r["model"]: r for r in res.metrics.collect()}
     assert set(m) == {"Linear Regression", "Ridge Regression", "Lasso Regression", "Random Forest"}
