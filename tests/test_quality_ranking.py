@@ -42,6 +42,10 @@ def test_iqr_filter_cases(spark):
     assert got["big"] == (20, 19.0)
     assert got["const"] == (30, 5.0)
     assert None not in got
+    # caching the input changes nothing but how often it is read
+    cached = quality.iqr_filter(df, "g", "v", persist=True)
+    assert sorted(map(tuple, cached.collect()), key=repr) == \
+        sorted(map(tuple, quality.iqr_filter(df, "g", "v").collect()), key=repr)
 
 
 def test_iqr_value_on_bound_is_kept(spark):
