@@ -166,9 +166,10 @@ def fit_medians_and_scaler(df: DataFrame, impute_columns, scale_columns):
     below = {}
     if fill:
         lookup = F.create_map(*[x for c, m in fill.items() for x in (F.lit(c), F.lit(float(m)))])
-        below = {r["column"]: r["k"] for r in ranked.where(F.col("value").isNotNull()).groupBy(
-            "column").agg(F.count_if(F.col("value") < F.element_at(lookup, F.col("column")))
-                          .alias("k")).collect() if r["column"] in fill}
+        below = {r["column"]: r["k"] for r in ranked.where(
+            F.col("column").isin(list(fill)) & F.col("value").isNotNull()).groupBy("column").agg(
+            F.count_if(F.col("value") < F.element_at(lookup, F.col("column"))).alias("k"))
+            .collect()}
 
     # imputed quartiles: which ranked value (or the median itself) sits at each position
     plan = {}
