@@ -3,7 +3,9 @@
 A text's fingerprint has 64 bits, one for each bit of its shingles' XXH64 values that is set in
 over half of them. Two fingerprints within ``r`` bits have a common variant: one of them flips at
 most ``r // 2`` bits to reach it, the other at most ``r - r // 2``. Each distinct fingerprint
-emits its variants, they meet in a shuffle on the variant, and colliding pairs are verified.
+emits its variants, they meet in a shuffle on the variant, and colliding pairs are verified. A
+task sends the variants for one partition as a block of 10 bytes each: the variant, spread over
+64 bits by an odd multiplier, and the number of the mask that gives the fingerprint back.
 
 For r = 3 the emitted set is cut without losing a pair: fingerprints at odd distance have bit
 counts of different parity, so only the even one flips two bits; among any three differing bits
@@ -28,7 +30,11 @@ from pyspark.sql import functions as F
 from .common import connected_components, partitions_for
 
 BLOCK = 1 << 14
+PRINTS_AT_ONCE = 4096
 VARIANTS_EACH = 1_000_000
+RANGES_EACH = 16                 # ranges of spread variants for each partition, to even them out
+SPREAD = 0x9E3779B97F4A7C15      # an odd number near 2**64 / golden ratio
+GATHER = pow(SPREAD, -1, 1 << 64)
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -67,41 +73,71 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, keep: tuple[st
     return slim.mapInArrow(run, schema).toDF(*keep, "fp")
 
 
-def flips(r: int) -> tuple[list[int], list[int]]:
-    """Masks (as signed longs) that fingerprints of even and of odd bit count apply."""
+def flips(r: int) -> tuple[np.ndarray, int, int]:
+    """Masks, and how many of the first ones fingerprints of even and of odd bit count apply."""
     if not 0 <= r <= 3:
         raise ValueError("distances of 0 to 3 bits are supported")
     one = [1 << i for i in range(64)]
     two = [(1 << i) | (1 << j) for half in (0, 32) for i in range(half, half + 32)
            for j in range(half, i)]
-    even = [0] + (one if r >= 2 else []) + (two if r == 3 else [])
-    odd = [0] + (one if r >= 1 else [])
-    signed = lambda masks: [m - (1 << 64) if m >> 63 else m for m in masks]
-    return signed(even), signed(odd)
+    even = 1 + 64 * (r >= 2) + len(two) * (r == 3)
+    odd = 1 + 64 * (r >= 1)
+    return np.array([0, *one, *two][:max(even, odd)], np.uint64), even, odd
+
+
+def _send_variants(r: int, ranges: int):
+    """Blocks of variants by range of the spread variant."""
+    masks, even, odd = flips(r)
+
+    def blocks(prints: np.ndarray):
+        mine = np.bitwise_count(prints) % 2 == 0
+        variant = np.concatenate([(prints[own][:, None] ^ masks[None, :n]).reshape(-1)
+                                  for own, n in ((mine, even), (~mine, odd))])
+        mask = np.concatenate([np.tile(np.arange(n, dtype=np.uint16), own.sum())
+                               for own, n in ((mine, even), (~mine, odd))])
+        variant *= np.uint64(SPREAD)
+        order = np.argsort(variant)
+        variant, mask = variant[order], mask[order]
+        at = ((variant >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        cuts = list(zip(start, np.r_[start[1:], len(at)]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(at[start].astype(np.int32)),
+             pa.array([variant[i:j].tobytes() for i, j in cuts], pa.binary()),
+             pa.array([mask[i:j].tobytes() for i, j in cuts], pa.binary())],
+            ["at", "variants", "masks"])
 
-
-def _longs(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("long") for v in values])
+    def run(batches):
+        for b in batches:
+            prints = b.column("fp").to_numpy().view(np.uint64)
+            for i in range(0, len(prints), PRINTS_AT_ONCE):
+                yield blocks(prints[i:i + PRINTS_AT_ONCE])
+    return run
 
 
 def _bucket_links(r: int):
+    """Links within the buckets of equal variants of one partition."""
+    masks, _, _ = flips(r)
+
     def run(batches):
-        parts = [(b.column("variant").to_numpy(), b.column("fp").to_numpy()) for b in batches]
-        if not parts:
+        blocks = [(np.frombuffer(v.as_py(), np.uint64), np.frombuffer(m.as_py(), np.uint16))
+                  for b in batches for v, m in zip(b.column("variants"), b.column("masks"))]
+        if not blocks:
             return
-        variant = np.concatenate([p[0] for p in parts])
-        fp = np.concatenate([p[1] for p in parts])
-        parts.clear()
-        order = np.argsort(variant, kind="stable")
-        variant, fp = variant[order], fp[order]
+        variant = np.concatenate([x[0] for x in blocks])
+        mask = np.concatenate([x[1] for x in blocks])
+        blocks.clear()
+        order = np.argsort(variant)
+        variant, mask = variant[order], mask[order]
         start = np.flatnonzero(np.r_[True, variant[1:] != variant[:-1]])
         size = np.diff(np.r_[start, len(variant)])
         shared = np.repeat(size > 1, size)
-        variant, fp, size = variant[shared], fp[shared], size[size > 1]
-        if not len(fp):
+        variant, mask, size = variant[shared] * np.uint64(GATHER), mask[shared], size[size > 1]
+        if not len(variant):
             return
+        fp = (variant ^ masks[mask]).view(np.int64)
         start = np.r_[0, np.cumsum(size)[:-1]]
-        near = np.bitwise_count((variant ^ fp).view(np.uint64)) <= r // 2
+        near = np.bitwise_count(masks[mask]) <= r // 2
         none = np.iinfo(np.int64).max
         hub = np.repeat(np.minimum.reduceat(np.where(near, fp, none), start), size)
         close = np.bitwise_count((hub ^ fp).view(np.uint64)) <= r
@@ -116,13 +152,11 @@ def near_links(distinct: DataFrame, r: int = 3) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that join every pair within ``r``
     bits into one component. Each link is itself a verified pair."""
     spark = distinct.sparkSession
-    even, odd = flips(r)
-    n = partitions_for(spark, distinct.count() * (len(even) + len(odd)) // 2, VARIANTS_EACH)
-    masks = F.when(F.bit_count("fp") % 2 == 0, _longs(even)).otherwise(_longs(odd))
-    variants = (distinct.select("fp", F.explode(masks).alias("mask"))
-                .select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp"))
-    return (variants.repartition(n, "variant")
-            .mapInArrow(_bucket_links(r), "a long, b long").distinct())
+    _, even, odd = flips(r)
+    n = partitions_for(spark, distinct.count() * (even + odd) // 2, VARIANTS_EACH)
+    sent = distinct.select("fp").mapInArrow(_send_variants(r, n * RANGES_EACH),
+                                            "at int, variants binary, masks binary")
+    return (sent.repartition(n, "at").mapInArrow(_bucket_links(r), "a long, b long").distinct())
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 3, max_distance: int = 3,
