@@ -37,9 +37,8 @@ def _daily(spark, sf_dir) -> DataFrame:
 
 
 def _national(spark, sf_dir) -> DataFrame:
-    """Nation-year weather: one row per year, materialised once into the checkpoint folder so
-    that its size check and every join reuse it instead of re-aggregating the daily rows."""
-    return weather.national_from_raw(S.weather_raw(spark, sf_dir)).checkpoint(eager=True)
+    """Nation-year weather: one row per year."""
+    return weather.national_from_raw(S.weather_raw(spark, sf_dir))
 
 
 @query("wx_range_scan")
@@ -109,10 +108,10 @@ KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def _area_weather(spark, sf_dir) -> DataFrame:
-    """Area rows x national weather on year (many-to-one, size-checked broadcast)."""
-    from .operators.joins import join_small
+    """Area rows x national weather on year (many-to-one; a row per year is broadcast)."""
+    from .operators.joins import join_by_year
     nat = _national(spark, sf_dir).select("year", *weather.MEASURES)
-    return join_small(S.energy_area(spark, sf_dir), nat, "year", "inner")
+    return join_by_year(S.energy_area(spark, sf_dir), nat)
 
 
 def _featured(spark, sf_dir) -> DataFrame:
@@ -120,6 +119,12 @@ def _featured(spark, sf_dir) -> DataFrame:
     return with_features(_area_weather(spark, sf_dir))
 
 
+def _area_featured(spark, sf_dir) -> DataFrame:
+    """The features that need no weather: no weather is read or joined."""
+    from .functions.features import with_features
+    return with_features(S.energy_area(spark, sf_dir), weather=False)
+
+
 @query("feat_weather_join")
 def feat_weather_join(spark, sf_dir):
     return _area_weather(spark, sf_dir).select(*KEYS, "year", *weather.MEASURES)
@@ -134,25 +139,25 @@ def feat_cons_per_connection(spark, sf_dir):
 
 @query("feat_households")
 def feat_households(spark, sf_dir):
-    return _featured(spark, sf_dir).select(*KEYS, "circuits_per_household",
+    return _area_featured(spark, sf_dir).select(*KEYS, "circuits_per_household",
                                            "estimated_households", "household_consumption")
 
 
 @query("feat_postal")
 def feat_postal(spark, sf_dir):
-    return _featured(spark, sf_dir).select(*KEYS, "postal_code_area", "postal_first_digit",
+    return _area_featured(spark, sf_dir).select(*KEYS, "postal_code_area", "postal_first_digit",
                                            "postal_province")
 
 
 @query("feat_clean_strings")
 def feat_clean_strings(spark, sf_dir):
-    return _featured(spark, sf_dir).select(*KEYS, "city_clean", "company_clean",
+    return _area_featured(spark, sf_dir).select(*KEYS, "city_clean", "company_clean",
                                            "connection_type_clean")
 
 
 @query("feat_capacity")
 def feat_capacity(spark, sf_dir):
-    return _featured(spark, sf_dir).select(*KEYS, "connection_phases", "connection_amperage",
+    return _area_featured(spark, sf_dir).select(*KEYS, "connection_phases", "connection_amperage",
                                            "total_electrical_capacity", "household_size_category")
 
 
@@ -169,7 +174,7 @@ def feat_voltage(spark, sf_dir):
 
 @query("feat_smart_meter")
 def feat_smart_meter(spark, sf_dir):
-    return _featured(spark, sf_dir).select(*KEYS, "smart_meter_adoption", "high_tech_area",
+    return _area_featured(spark, sf_dir).select(*KEYS, "smart_meter_adoption", "high_tech_area",
                                            "low_tech_area")
 
 
@@ -184,7 +189,7 @@ def feat_weather(spark, sf_dir):
 
 @query("feat_connections")
 def feat_connections(spark, sf_dir):
-    df = _featured(spark, sf_dir)
+    df = _area_featured(spark, sf_dir)
     return df.select(*KEYS, "total_connections",
                      round_half_even(F.col("log_connections"), 9).alias("log_connections"),
                      "connections_per_household", "active_connections_percentage",
@@ -378,9 +383,12 @@ def ml_best_model(spark, sf_dir):
 
 @query("ml_error_report")
 def ml_error_report(spark, sf_dir):
-    from .operators.ml_prep import error_report, sample_n
-    ms = S.model_score(spark, sf_dir).where(F.col("model") == "Random Forest")
-    return error_report(sample_n(ms, 10, KEYS)).select(*KEYS, "actual", "predicted", "error",
+    """P31 on the best model by R2: ten sampled rows (the report's length)."""
+    from .operators.ml_prep import best_model, error_report, regression_metrics, sample_n
+    scores = S.model_score(spark, sf_dir)
+    best = best_model(regression_metrics(scores, group_cols=["model"])).select("best_model")
+    of_best = scores.join(F.broadcast(best), F.col("model") == F.col("best_model"))   # one row
+    return error_report(sample_n(of_best, 10, KEYS)).select(*KEYS, "actual", "predicted", "error",
                                                         "error_pct")
 
 
@@ -557,13 +565,16 @@ def _responses(spark, sf_dir) -> DataFrame:
     return response(_scored(spark, sf_dir), "Rule Baseline")
 
 
-@query("score_response")
-def score_response(spark, sf_dir):
-    r = _responses(spark, sf_dir)
+SUMMARY_COLS = ["zipcode_from", "city", "company", "type_of_connection",
+                "circuits_per_household_input", "num_connections", "perc_of_active_connections",
+                "delivery_perc", "smartmeter_perc", "annual_consume", "scenario", *SCENARIO_COLS]
+
+
+def _flat_response(r: DataFrame) -> DataFrame:
+    """Response rows with every nested field as a column."""
     return r.select("request_id", "prediction_kwh", "monthly_kwh", "daily_kwh",
                     "estimated_monthly_cost", "estimated_yearly_cost", "model_used",
-                    "input_summary.zipcode_from", "input_summary.city", "input_summary.company",
-                    "input_summary.type_of_connection",
+                    *[f"input_summary.{c}" for c in SUMMARY_COLS],
                     "comparison_to_average.typical_dutch_household_kwh",
                     "comparison_to_average.difference_kwh",
                     "comparison_to_average.percentage_difference",
@@ -571,6 +582,24 @@ def score_response(spark, sf_dir):
                     F.col("timestamp").cast("string").alias("timestamp"))
 
 
+@query("score_response")
+def score_response(spark, sf_dir):
+    return _flat_response(_responses(spark, sf_dir))
+
+
+@query("req_density")
+def req_density(spark, sf_dir):
+    """Connections from a density word, and activity shares outside the range replaced."""
+    from .functions.requests import activity_or_default, density_connections
+    words = F.array(F.lit("urban"), F.lit("Rural"), F.lit("suburban"), F.lit(None).cast("string"))
+    e = S.read_table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), F.col("value").alias("pct"),
+        F.element_at(words, (F.col("user_id") % 4 + 1).cast("int")).alias("word"))
+    return e.select("request_id", density_connections(F.col("word")).cast("int")
+                    .alias("num_connections"),
+                    activity_or_default(F.col("pct")).cast("double").alias("active_pct"))
+
+
 @query("score_latest5")
 def score_latest5(spark, sf_dir):
     from .operators.scoring import latest
@@ -631,18 +660,93 @@ def src_summary(spark, sf_dir):
 
 @query("set_union_by_name")
 def set_union_by_name(spark, sf_dir):
+    """Early and late years with different columns, unioned by name."""
     area = S.energy_area(spark, sf_dir)
-    a = area.where(F.col("year") == 1995).select(*KEYS, "annual_consume", "city")
-    b = area.where(F.col("year") == 1996).select("company", "city", *KEYS, "num_connections")
+    a = area.where(F.col("year") <= 1997).select(*KEYS, "annual_consume", "city")
+    b = area.where(F.col("year") > 1997).select("company", "city", *KEYS, "num_connections")
     return a.unionByName(b, allowMissingColumns=True)
 
 
 @query("set_union_distinct")
 def set_union_distinct(spark, sf_dir):
+    """Companies that have electricity or gas rows (odd and even line numbers)."""
     area = S.energy_area(spark, sf_dir)
-    a = area.where(F.col("year") <= 1997).select("company")
-    b = area.where(F.col("year") >= 1999).select("company")
-    return a.union(b).distinct()
+    electricity = area.where(F.col("l_linenumber") % 2 == 1).select("company")
+    gas = area.where(F.col("l_linenumber") % 2 == 0).select("company")
+    return electricity.union(gas).distinct()
+
+
+@query("src_preview")
+def src_preview(spark, sf_dir):
+    """The first ten rows by key."""
+    return S.energy_area(spark, sf_dir).select(*KEYS, "city", "company", "year").orderBy(
+        *KEYS).limit(10)
+
+
+# ------------------------------------------------------------------------------ files
+FILE_COLS = ["annual_consume", "num_connections", "type_of_connection",
+             "perc_of_active_connections", "smartmeter_perc", "delivery_perc", "zipcode_from",
+             "city", "source_file", "company", "energy_type", "year"]
+
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+    from .session import scratch_path
+    return scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+
+
+def _file_rows(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(k).cast("int" if k == "l_linenumber" else "bigint").alias(k)
+                       for k in KEYS], *FILE_COLS)
+
+
+@query("src_read_energy")
+def src_read_energy(spark, sf_dir):
+    """CSV files of both energy types, with different headers, read and unioned."""
+    from .sources.energy import read_energy
+    folders = S.energy_csv_files(spark, sf_dir, _scratch(spark, "src_read_energy"))
+    electricity = read_energy(spark, folders["electricity"], "electricity")
+    gas = read_energy(spark, folders["gas"], "gas")
+    return _file_rows(electricity.unionByName(gas, allowMissingColumns=True))
+
+
+@query("src_load_company")
+def src_load_company(spark, sf_dir):
+    """The files of the companies whose names start with the argument."""
+    from .sources.energy import load_company
+    folders = S.energy_csv_files(spark, sf_dir, _scratch(spark, "src_load_company"))
+    return _file_rows(load_company(spark, folders["electricity"], "NATION-1", "electricity"))
+
+
+@query("src_load_year")
+def src_load_year(spark, sf_dir):
+    """The gas files of one year."""
+    from .sources.energy import load_year
+    folders = S.energy_csv_files(spark, sf_dir, _scratch(spark, "src_load_year"))
+    gas = load_year(spark, folders["gas"], 1997, "gas")
+    return _file_rows(gas.withColumn("smartmeter_perc", F.lit(None).cast("double")))
+
+
+DAILY_COLS = ["STN", "YYYYMMDD", "TG", "TN", "TX", "RH", "DR", "FG", "Q", "year", "month", "day"]
+
+
+@query("wx_station_text")
+def wx_station_text(spark, sf_dir):
+    """Station text written from the daily rows and read back."""
+    from .sources.weather import read_station_text
+    path = _scratch(spark, "wx_station_text")
+    S.station_text_files(spark, sf_dir, path)
+    return read_station_text(spark, path).select(*DAILY_COLS)
+
+
+@query("wx_cache_scan")
+def wx_cache_scan(spark, sf_dir):
+    """The daily weather cached by station and year; a scan of two stations and three years
+    prunes the other folders."""
+    from .sources.weather import read_cache, write_cache
+    path = _scratch(spark, "wx_cache_scan")
+    write_cache(_daily(spark, sf_dir), path)
+    return read_cache(spark, path, ["240", "330"], 1996, 1998).select(*DAILY_COLS)
 
 
 # ------------------------------------------------------------------------------ streaming
@@ -668,27 +772,30 @@ def st_station_annual(spark, sf_dir):
                                             "station_name", "station_location")
 
 
-@query("st_score_requests")
-def st_score_requests(spark, sf_dir):
+def _score_stream(spark, sf_dir) -> tuple[str, str]:
     """ST1: requests arrive as a stream and are validated, defaulted and scored per
     micro-batch into a scored table and a quarantine table."""
-    import uuid
-    from .session import scratch_path
     from .streaming.jobs import score_request_stream
-    run = uuid.uuid4().hex
-    out = scratch_path(spark, f"st_score/{run}/scored")
-    bad = scratch_path(spark, f"st_score/{run}/quarantine")
+    run = _scratch(spark, "st_score")
+    out, bad = f"{run}/scored", f"{run}/quarantine"
     q = score_request_stream(S.score_request_from(_stream_of(spark, sf_dir, "events")), out, bad,
-                             scratch_path(spark, f"st_score/{run}/checkpoint"))
+                             f"{run}/checkpoint")
     q.awaitTermination()
-    return spark.read.parquet(out).select(
-        "request_id", "prediction_kwh", "monthly_kwh", "daily_kwh", "estimated_monthly_cost",
-        "estimated_yearly_cost", "model_used", "input_summary.zipcode_from", "input_summary.city",
-        "input_summary.company", "input_summary.type_of_connection",
-        "comparison_to_average.typical_dutch_household_kwh",
-        "comparison_to_average.difference_kwh", "comparison_to_average.percentage_difference",
-        "comparison_to_average.comparison_text",
-        F.col("timestamp").cast("string").alias("timestamp"))
+    return out, bad
+
+
+@query("st_score_requests")
+def st_score_requests(spark, sf_dir):
+    """The scored table of ST1."""
+    out, _ = _score_stream(spark, sf_dir)
+    return _flat_response(spark.read.parquet(out))
+
+
+@query("st_quarantine")
+def st_quarantine(spark, sf_dir):
+    """The quarantine table of ST1."""
+    _, bad = _score_stream(spark, sf_dir)
+    return spark.read.parquet(bad).select("request_id", "errors")
 
 
 # ------------------------------------------------------------------------------ variants
@@ -711,6 +818,122 @@ def req_display_names(spark, sf_dir):
         display_name("energy_company").alias("company_display"))
 
 
+# ------------------------------------------------------------------------------ linear models
+LINEAR_X = ["num_connections", "perc_of_active_connections"]
+
+
+def _area_sums(spark, sf_dir, columns):
+    """Sums of products of the columns and annual_consume over rows that have them all."""
+    from .operators.gram import block_grams
+    rows = S.energy_area(spark, sf_dir).select(*columns, "annual_consume").dropna()
+    return block_grams(rows.withColumns({"x": F.array(*columns), "b": F.lit(0)}), "x",
+                       "annual_consume", "b")[0]
+
+
+def _coefficients(spark, model, columns) -> DataFrame:
+    row = [model.intercept, *model.coefficients]
+    names = ["intercept", *[f"coef_{c}" for c in columns]]
+    df = spark.createDataFrame([tuple(row)], ", ".join(f"{n} double" for n in names))
+    return _round(df, names, 4)
+
+
+@query("ml_ols")
+def ml_ols(spark, sf_dir):
+    """M6: least squares on two features."""
+    from .operators.gram import ridge
+    return _coefficients(spark, ridge(_area_sums(spark, sf_dir, LINEAR_X)), LINEAR_X)
+
+
+@query("ml_ridge")
+def ml_ridge(spark, sf_dir):
+    """M7: ridge with the largest alpha of the grid."""
+    from .operators.gram import ridge
+    return _coefficients(spark, ridge(_area_sums(spark, sf_dir, LINEAR_X), 100.0), LINEAR_X)
+
+
+@query("ml_lasso")
+def ml_lasso(spark, sf_dir):
+    """M8: lasso on one feature with the largest alpha of the grid."""
+    from .operators.gram import lasso
+    return _coefficients(spark, lasso(_area_sums(spark, sf_dir, LINEAR_X[:1]), 10.0),
+                         LINEAR_X[:1])
+
+
+@query("ml_forest_stump")
+def ml_forest_stump(spark, sf_dir):
+    """M9: one tree of depth one, no bagging; the prediction of every feature value."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+    area = S.energy_area(spark, sf_dir).select("delivery_perc", "annual_consume")
+    x = VectorAssembler(inputCols=["delivery_perc"], outputCol="x")
+    model = RandomForestRegressor(featuresCol="x", labelCol="annual_consume", numTrees=1,
+                                  maxDepth=1, featureSubsetStrategy="all", bootstrap=False).fit(
+        x.transform(area))
+    out = model.transform(x.transform(area.select("delivery_perc").distinct()))
+    return _round(out.select("delivery_perc", "prediction"), ["prediction"], 4)
+
+
+@query("ml_national_model")
+def ml_national_model(spark, sf_dir):
+    """M20 on two yearly weather measures."""
+    from .plans.training import national_model
+    integ = annual.integrated_annual(S.energy_area(spark, sf_dir), _national(spark, sf_dir))
+    _, out = national_model(integ, features=("avg_temp", "total_precipitation"))
+    return _round(out.select("r2", "rmse", "intercept", "coef_avg_temp",
+                             "coef_total_precipitation"),
+                  ["r2", "rmse", "intercept", "coef_avg_temp", "coef_total_precipitation"], 3)
+
+
+# ------------------------------------------------------------------------------ package
+PROVINCE_KWH = 5.0
+
+
+def _package(spark, sf_dir) -> dict:
+    """A package made from the area table, stored and loaded: least squares on two features,
+    and a fixed step per province code."""
+    from types import SimpleNamespace
+    from .operators.gram import LinearModel, r2, ridge
+    from .operators.ml_prep import fit_label_vocabularies
+    from .plans.package import load_package, save_package
+    sums = _area_sums(spark, sf_dir, LINEAR_X)
+    fit = ridge(sums)
+    vocab = fit_label_vocabularies(_area_featured(spark, sf_dir).where(
+        "postal_province != 'other'"), ["postal_province"])
+    feats = ["total_connections", "active_connections_percentage", "postal_province"]
+    meta = {"model_name": "Linear Regression", "feature_columns": feats,
+            "selected_indices": [0, 1, 2], "target_column": "annual_consume",
+            "use_scaled": False, "test_r2": r2(sums, fit), "test_rmse": None,
+            "cv_r2_mean": None, "cv_r2_std": None}
+    path = _scratch(spark, "package")
+    save_package(SimpleNamespace(
+        best_model=LinearModel([*fit.coefficients, PROVINCE_KWH], fit.intercept),
+        vocabulary=vocab, medians={"total_connections": 30.0,
+                                   "active_connections_percentage": 88.0},
+        scaler={}, meta=meta), path)
+    return load_package(spark, path)
+
+
+@query("score_package")
+def score_package(spark, sf_dir):
+    """Requests scored with a stored package."""
+    from .plans.package import score_requests
+    scored, _ = score_requests(_package(spark, sf_dir), S.score_request(spark, sf_dir))
+    return _round(scored.select("request_id", "model_used", "prediction_kwh"),
+                  ["prediction_kwh"], 4)
+
+
+@query("ml_model_info")
+def ml_model_info(spark, sf_dir):
+    """The stored package's performance, counts and allowed values."""
+    from .plans.package import model_info
+    info = model_info(spark, _package(spark, sf_dir))
+    lists = ["house_types", "companies", "weather_scenarios"]
+    return _round(info.select("model_name", "target_column", "use_scaled", "test_r2",
+                              "feature_count", "selected_feature_count",
+                              *[F.array_join(F.array_sort(c), ",").alias(c) for c in lists]),
+                  ["test_r2"], 6)
+
+
 # ------------------------------------------------------------------------------ training
 @query("ml_train_models")
 def ml_train_models(spark, sf_dir):

@@ -419,9 +419,10 @@ b AS (
   SELECT CAST(least(floor((household_consumption - lo) / width), 7) AS INTEGER) AS bin, lo, width
   FROM featured, w WHERE household_consumption IS NOT NULL
 )
-SELECT bin, round_even(any_value(lo) + bin * any_value(width), 4) AS bin_lo,
-  round_even(any_value(lo) + (bin + 1) * any_value(width), 4) AS bin_hi, count(*) AS n
-FROM b GROUP BY bin""")
+, c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
+SELECT CAST(i AS INTEGER) AS bin, round_even(lo + i * width, 4) AS bin_lo,
+  round_even(lo + (i + 1) * width, 4) AS bin_hi, coalesce(n, 0) AS n
+FROM range(8) r(i) CROSS JOIN w LEFT JOIN c ON c.bin = i""")
 REPORT_MEANS = ["household_consumption", "estimated_households", "connection_efficiency",
                 "active_connection_count", "smart_meter_adoption", "total_electrical_capacity",
                 "sunshine_ratio", "inactive_connections_percentage"]
@@ -520,8 +521,8 @@ SELECT model, round_even(avg(r2), 6) AS cv_r2_mean, round_even(stddev_pop(r2), 6
   count(*) AS folds FROM m2 GROUP BY model""")
 SQL["ml_best_model"] = with_ctes([MODEL_SCORE, metrics_sql("model")], """
 SELECT arg_max(model, r2) AS best_model, round_even(max(r2), 6) AS best_r2 FROM m2""")
-SQL["ml_error_report"] = with_ctes([MODEL_SCORE], f"""
-, s AS (SELECT * FROM model_score WHERE model = 'Random Forest'
+SQL["ml_error_report"] = with_ctes([MODEL_SCORE, metrics_sql("model")], f"""
+, s AS (SELECT * FROM model_score WHERE model = (SELECT arg_max(model, r2) FROM m2)
         ORDER BY md5({KEY_CONCAT}), {KEYS} LIMIT 10)
 SELECT {KEYS}, actual, predicted, round_even(predicted - actual, 1) AS error,
   round_even((predicted - actual) / nullif(actual, 0) * 100.0, 1) AS error_pct FROM s""")
@@ -680,13 +681,13 @@ SQL["score_derive"] = with_ctes(SCORED, f"SELECT request_id, prediction_kwh, {DE
 SQL["score_compare"] = with_ctes(SCORED, f"SELECT request_id, {COMPARE} FROM scored")
 SQL["score_insights"] = with_ctes(SCORED, f"""
 SELECT request_id, concat_ws(' | ',
-  CASE WHEN {PCT} > 20 THEN 'consumption well above average: consider energy-saving measures'
-    WHEN {PCT} < -20 THEN 'consumption well below average'
-    ELSE 'consumption close to the Dutch average' END,
-  CASE WHEN scenario = 'cold' THEN 'cold weather increases heating demand: consider insulation'
-    WHEN scenario = 'warm' THEN 'warm weather reduces heating needs but may increase cooling' END,
-  CASE WHEN smart_meter THEN 'smart meter helps optimise energy usage'
-    ELSE 'consider installing a smart meter' END) AS insights FROM scored""")
+  CASE WHEN {PCT} > 20 THEN 'use_high'
+    WHEN {PCT} < -20 THEN 'use_low'
+    ELSE 'use_typical' END,
+  CASE WHEN scenario = 'cold' THEN 'heat_more'
+    WHEN scenario = 'warm' THEN 'heat_less' END,
+  CASE WHEN smart_meter THEN 'meter_smart'
+    ELSE 'meter_plain' END) AS insights FROM scored""")
 SQL["score_sanity"] = with_ctes(SCORED, """
 SELECT request_id, prediction_kwh, prediction_kwh BETWEEN 500 AND 10000 AS is_sane FROM scored""")
 SQL["score_scenarios"] = with_ctes(REQ_INPUT, """
@@ -705,7 +706,9 @@ SELECT request_id, scenario, avg_temp,
 FROM model_input2""")
 SQL["score_response"] = with_ctes(SCORED, f"""
 SELECT request_id, prediction_kwh, {DERIVED}, 'Rule Baseline' AS model_used, zipcode_from, city,
-  company, type_of_connection, {COMPARE}, CAST(ts AS VARCHAR) AS timestamp FROM scored""")
+  company, type_of_connection, circuits_per_household_input, num_connections,
+  perc_of_active_connections, delivery_perc, smartmeter_perc, annual_consume, scenario,
+  {SCN_COLS}, {COMPARE}, CAST(ts AS VARCHAR) AS timestamp FROM scored""")
 SQL["score_latest5"] = with_ctes(SCORED, """
 SELECT request_id, CAST(ts AS VARCHAR) AS timestamp, prediction_kwh FROM scored
 ORDER BY ts DESC, request_id DESC LIMIT 5""")
@@ -795,13 +798,13 @@ SELECT CAST(count_if(energy_type = 'electricity') AS BIGINT) AS electricity_file
 FROM parsed""")
 SQL["set_union_by_name"] = with_ctes([ENERGY_AREA], f"""
 SELECT {KEYS}, annual_consume, city, NULL::VARCHAR AS company, NULL::DOUBLE AS num_connections
-FROM energy_area WHERE year = 1995
+FROM energy_area WHERE year <= 1997
 UNION ALL
 SELECT {KEYS}, NULL::DOUBLE AS annual_consume, city, company, num_connections
-FROM energy_area WHERE year = 1996""")
+FROM energy_area WHERE year > 1997""")
 SQL["set_union_distinct"] = with_ctes([ENERGY_AREA], """
-SELECT company FROM energy_area WHERE year <= 1997
-UNION SELECT company FROM energy_area WHERE year >= 1999""")
+SELECT company FROM energy_area WHERE l_linenumber % 2 = 1
+UNION SELECT company FROM energy_area WHERE l_linenumber % 2 = 0""")
 
 # ------------------------------------------------------------------------------ streaming
 SQL["st_station_annual"] = SQL["wx_station_annual"]
@@ -830,3 +833,124 @@ SELECT request_id,
   upper(substr(city, 1, 1)) || lower(substr(city, 2)) AS city_display,
   upper(substr(energy_company, 1, 1)) || lower(substr(energy_company, 2)) AS company_display
 FROM score_request""")
+
+# ------------------------------------------------------------------------------ files
+FILE_AREA = """
+file_area AS (
+  SELECT * EXCLUDE (smartmeter_perc, energy_type, source_file, company),
+    CASE WHEN l_linenumber % 2 = 1 THEN smartmeter_perc END AS smartmeter_perc,
+    CASE WHEN l_linenumber % 2 = 1 THEN 'electricity' ELSE 'gas' END AS energy_type,
+    CASE WHEN l_linenumber % 2 = 1 THEN source_file
+      ELSE replace(source_file, '_electricity_', '_gas_') END AS source_file,
+    string_split(source_file, '_')[1] AS company
+  FROM energy_area
+)"""
+FILE_COLS = KEYS + """, annual_consume, num_connections, type_of_connection,
+  perc_of_active_connections, smartmeter_perc, delivery_perc, zipcode_from, city, source_file,
+  energy_type, year"""
+DAILY_COLS = "STN, YYYYMMDD, TG, TN, TX, RH, DR, FG, Q, year, month, day"
+SQL["src_read_energy"] = with_ctes([ENERGY_AREA, FILE_AREA],
+                                   f"SELECT {FILE_COLS}, company FROM file_area")
+SQL["src_load_company"] = with_ctes([ENERGY_AREA, FILE_AREA], f"""
+SELECT {FILE_COLS}, 'NATION-1' AS company FROM file_area
+WHERE energy_type = 'electricity' AND starts_with(lower(source_file), 'nation-1')""")
+SQL["src_load_year"] = with_ctes([ENERGY_AREA, FILE_AREA], f"""
+SELECT {FILE_COLS}, company FROM file_area WHERE energy_type = 'gas' AND year = 1997""")
+SQL["src_preview"] = with_ctes([ENERGY_AREA], f"""
+SELECT {KEYS}, city, company, year FROM energy_area ORDER BY {KEYS} LIMIT 10""")
+SQL["wx_station_text"] = with_ctes([WEATHER_RAW, WEATHER_UNITS, WEATHER_DAILY],
+                                   f"SELECT {DAILY_COLS} FROM weather_daily")
+SQL["wx_cache_scan"] = with_ctes([WEATHER_RAW, WEATHER_UNITS, WEATHER_DAILY], f"""
+SELECT {DAILY_COLS} FROM weather_daily
+WHERE STN IN ('240', '330') AND year BETWEEN 1996 AND 1998""")
+SQL["req_density"] = """
+WITH e AS (
+  SELECT event_id AS request_id, value AS pct,
+    ['urban', 'Rural', 'suburban', NULL][CAST(user_id % 4 AS INTEGER) + 1] AS word FROM events)
+SELECT request_id,
+  CAST(CASE lower(word) WHEN 'urban' THEN 500 WHEN 'rural' THEN 50 ELSE 30 END AS INTEGER)
+    AS num_connections,
+  CASE WHEN pct BETWEEN 50 AND 95 THEN pct ELSE 88.0 END::DOUBLE AS active_pct FROM e"""
+SQL["st_quarantine"] = with_ctes(REQ, "SELECT request_id, errors FROM checked WHERE errors <> ''")
+
+# ------------------------------------------------------------------------------ linear models
+
+
+def two_features(x1: str, x2: str, y: str, source: str, alpha: float = 0.0) -> str:
+    """Least squares on two features from centred sums: b1, b2, b0, r2, rmse."""
+    return f"""sums AS (
+  SELECT count(*) AS n, avg({x1}) AS m1, avg({x2}) AS m2, avg({y}) AS my,
+    count(*) * var_pop({x1}) AS s11, count(*) * var_pop({x2}) AS s22,
+    count(*) * covar_pop({x1}, {x2}) AS s12, count(*) * covar_pop({x1}, {y}) AS s1y,
+    count(*) * covar_pop({x2}, {y}) AS s2y, count(*) * var_pop({y}) AS syy
+  FROM {source} WHERE {x1} IS NOT NULL AND {x2} IS NOT NULL AND {y} IS NOT NULL
+), slopes AS (
+  SELECT *, ((s22 + {alpha}) * s1y - s12 * s2y) / ((s11 + {alpha}) * (s22 + {alpha}) - s12 * s12)
+      AS b1,
+    ((s11 + {alpha}) * s2y - s12 * s1y) / ((s11 + {alpha}) * (s22 + {alpha}) - s12 * s12) AS b2
+  FROM sums
+), fit AS (
+  SELECT *, my - b1 * m1 - b2 * m2 AS b0, (b1 * s1y + b2 * s2y) / syy AS r2,
+    sqrt((syy - b1 * s1y - b2 * s2y) / n) AS rmse FROM slopes
+)"""
+
+
+AREA_FIT = ("num_connections", "perc_of_active_connections", "annual_consume", "energy_area")
+AREA_COEFS = """
+SELECT round_even(b0, 4) AS intercept, round_even(b1, 4) AS coef_num_connections,
+  round_even(b2, 4) AS coef_perc_of_active_connections FROM fit"""
+SQL["ml_ols"] = with_ctes([ENERGY_AREA, two_features(*AREA_FIT)], AREA_COEFS)
+SQL["ml_ridge"] = with_ctes([ENERGY_AREA, two_features(*AREA_FIT, 100.0)], AREA_COEFS)
+SQL["ml_lasso"] = with_ctes([ENERGY_AREA], """
+, m AS (
+  SELECT avg(num_connections) AS mx, avg(annual_consume) AS my, var_pop(num_connections) AS q,
+    covar_pop(num_connections, annual_consume) AS c
+  FROM energy_area WHERE num_connections IS NOT NULL
+), w AS (SELECT *, sign(c) * greatest(abs(c) - 10.0, 0.0) / q AS b FROM m)
+SELECT round_even(my - b * mx, 4) AS intercept, round_even(b, 4) AS coef_num_connections FROM w""")
+SQL["ml_forest_stump"] = with_ctes([ENERGY_AREA], """
+, v AS (
+  SELECT delivery_perc AS d, count(*) AS n, sum(annual_consume) AS s FROM energy_area GROUP BY 1
+), c AS (
+  SELECT a.d AS t, sum(CASE WHEN b.d <= a.d THEN b.n ELSE 0 END) AS nl,
+    sum(CASE WHEN b.d <= a.d THEN b.s ELSE 0 END) AS sl, sum(b.n) AS n, sum(b.s) AS s
+  FROM v a, v b GROUP BY a.d
+), g AS (
+  SELECT t, sl / nl AS low, (s - sl) / (n - nl) AS high FROM c WHERE nl < n
+  ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC LIMIT 1
+)
+SELECT d AS delivery_perc, round_even(CASE WHEN d <= t THEN low ELSE high END, 4) AS prediction
+FROM v, g""")
+SQL["ml_national_model"] = with_ctes(
+    [ENERGY_AREA, ENERGY_SUMMARY] + WX + [NATIONAL, INTEGRATED, two_features(
+        "avg_temp", "total_precipitation", "avg_annual_consume", "integrated")], """
+SELECT round_even(r2, 3) AS r2, round_even(rmse, 3) AS rmse, round_even(b0, 3) AS intercept,
+  round_even(b1, 3) AS coef_avg_temp, round_even(b2, 3) AS coef_total_precipitation FROM fit""")
+
+# ------------------------------------------------------------------------------ package
+
+
+def province(zipcode: str) -> str:
+    return (f"CASE substr({zipcode}, 1, 1) WHEN '1' THEN 'west_holland' WHEN '2' THEN 'west_holland' "
+            f"WHEN '3' THEN 'central' WHEN '4' THEN 'southwest' WHEN '5' THEN 'south' "
+            f"WHEN '6' THEN 'east' WHEN '7' THEN 'northeast' WHEN '8' THEN 'north' "
+            f"WHEN '9' THEN 'north' ELSE 'other' END")
+
+
+SQL["score_package"] = with_ctes(
+    REQ_INPUT + [ENERGY_AREA, two_features(*AREA_FIT), f"""vocabulary AS (
+  SELECT value, dense_rank() OVER (ORDER BY value) - 1 AS code
+  FROM (SELECT DISTINCT {province('zipcode_from')} AS value FROM energy_area)
+  WHERE value <> 'other'
+)"""], f"""
+SELECT request_id, 'Linear Regression' AS model_used,
+  round_even(b0 + b1 * coalesce(num_connections, 30.0)
+    + b2 * coalesce(perc_of_active_connections, 88.0) + 5.0 * coalesce(code, 0), 4)
+    AS prediction_kwh
+FROM model_input CROSS JOIN fit LEFT JOIN vocabulary ON value = {province('zipcode_from')}""")
+SQL["ml_model_info"] = with_ctes([ENERGY_AREA, two_features(*AREA_FIT)], """
+SELECT 'Linear Regression' AS model_name, 'annual_consume' AS target_column,
+  false AS use_scaled, round_even(r2, 6) AS test_r2, CAST(3 AS INTEGER) AS feature_count,
+  CAST(3 AS INTEGER) AS selected_feature_count, '1x25,1x35,3x25,3x35,3x50' AS house_types,
+  'coteq,enexis,liander,stedin,westland-infra' AS companies,
+  'cold,normal,warm' AS weather_scenarios FROM fit""")

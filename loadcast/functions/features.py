@@ -121,15 +121,6 @@ def activity_level_category(active_pct="perc_of_active_connections") -> Column:
 
 
 # ----------------------------------------------------------------------------- all features
-def household_columns() -> dict[str, Column]:
-    """P5/P6 only (the cleaning filters need these before the full feature set)."""
-    return {
-        "estimated_households": estimated_households(),
-        "household_consumption": household_consumption(
-            "annual_consume", estimated_households()),
-    }
-
-
 def weather_features(temp="avg_temp", precip="total_precipitation",
                      sunshine="total_sunshine_hours") -> dict[str, Column]:
     """P13-P15 (national weather features): squared temperature, degree days, flags."""
@@ -149,13 +140,13 @@ def weather_features(temp="avg_temp", precip="total_precipitation",
     }
 
 
-def with_features(df: DataFrame) -> DataFrame:
+def with_features(df: DataFrame, weather: bool = True) -> DataFrame:
     """Derive every training/serving feature (P5-P21) in a few ``withColumns`` projections
     that Catalyst collapses into one whole-stage-codegen projection.
 
     Expects ``annual_consume, num_connections, type_of_connection, zipcode_from, city, company,
     smartmeter_perc, perc_of_active_connections, avg_temp, total_precipitation,
-    total_sunshine_hours``.
+    total_sunshine_hours``; the last three only with ``weather``.
     """
     nc = F.col("num_connections")
     act = F.col("perc_of_active_connections")
@@ -169,7 +160,7 @@ def with_features(df: DataFrame) -> DataFrame:
         "smart_meter_adoption": sm / F.lit(100.0),
         "high_tech_area": _flag(sm > F.lit(K.HIGH_TECH_PCT)),
         "low_tech_area": _flag(sm < F.lit(K.LOW_TECH_PCT)),
-        **weather_features(),
+        **(weather_features() if weather else {}),
         "postal_first_digit": postal_first_digit(),
         "postal_province": postal_province(),
         "total_connections": nc,

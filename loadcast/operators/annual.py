@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_even
-from .joins import join_small
+from .joins import join_by_year
 
 SUMMARY_MEASURES = ["total_connections", "avg_annual_consume", "total_annual_consume",
                     "avg_delivery_perc", "avg_active_connections_perc", "avg_smartmeter_perc"]
@@ -46,7 +46,7 @@ def integrated_annual(area: DataFrame, national: DataFrame, energy_type: str = "
         area = area.filter(F.col("year") <= end_year)
         national = national.filter(F.col("year") <= end_year)
     summary = energy_year_summary(area, energy_type)
-    return join_small(summary, national, "year", "inner").withColumn(
+    return join_by_year(summary, national).withColumn(
         "energy_type", F.lit(energy_type))
 
 

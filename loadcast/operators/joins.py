@@ -1,14 +1,11 @@
-"""Join helpers: broadcast only behind a size check, with a shuffle join beyond it."""
+"""Join helpers. Spark picks the join from the sides' sizes (``autoBroadcastJoinThreshold``, AQE);
+only sides whose size is bounded by construction carry a hint."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A small side is broadcast only when it has at most this many rows; every caller joins
-# narrow tables (a key and a few measures), so this bounds the broadcast to a few MB.
-DEFAULT_BROADCAST_ROWS = 200_000
-
 
 def literal_dim(spark: SparkSession, rows, schema) -> DataFrame:
     """A dimension built from fixed values: its size is known by construction, so it is
@@ -16,15 +13,14 @@ def literal_dim(spark: SparkSession, rows, schema) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Join ``big`` with a side expected to be small (an aggregate keyed by year, group,
-    category...). The size is checked with a bounded count; a side above ``max_rows`` is
-    joined with a shuffle (AQE may still choose broadcast at run time from real sizes).
+def join_by_year(big: DataFrame, yearly: DataFrame, how: str = "inner") -> DataFrame:
+    """Join with a table that holds one row per calendar year. The number of years bounds its
+    size whatever the data, so it is broadcast and the fact side is never shuffled."""
+    return big.join(F.broadcast(yearly), "year", how)
+
 
-    ``small`` should be cheap to re-evaluate or persisted/checkpointed by the caller.
-    """
-    n = small.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+def broadcast_bytes(spark: SparkSession) -> int:
+    """The session's own limit for a broadcast side (-1: never)."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from .joins import join_small
-from .ranking import global_row_number, group_quantiles
+from .joins import broadcast_bytes
+from .ranking import counted_quantiles, global_row_number, group_quantiles, running_total
 
 NULL_CATEGORY = "nan"  # a missing category is a category of its own, as pandas astype(str)
 
@@ -30,26 +30,32 @@ def fit_label_vocabularies(df: DataFrame, columns) -> DataFrame:
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), _as_category(c).alias("value")) for c in columns]))
         .alias("_s")).select("_s.feature", "_s.value").distinct()
-    ranked = global_row_number(pairs, ["feature", "value"])
-    first = ranked.groupBy("feature").agg(F.min("_rn").alias("_first"))
-    return join_small(ranked, first, "feature").select(
-        "feature", "value", (F.col("_rn") - F.col("_first")).cast("int").alias("code")) \
+    ranked = running_total(pairs, ["feature", "value"])
+    first = ranked.groupBy("feature").agg(F.min("_before").alias("_first"))  # a row per column
+    return ranked.join(F.broadcast(first), "feature").select(
+        "feature", "value", (F.col("_before") - F.col("_first")).cast("int").alias("code")) \
         .checkpoint(eager=True)
 
 
-def apply_label_codes(df: DataFrame, vocab: DataFrame, columns, suffix: str = "") -> DataFrame:
+def vocabulary_bytes(vocab: DataFrame) -> dict[str, int]:
+    """About how many bytes each column's vocabulary takes as a broadcast side."""
+    return {r[0]: r[1] for r in vocab.groupBy("feature").agg(
+        F.sum(F.octet_length("value") + F.lit(48))).collect()}
+
+
+def apply_label_codes(df: DataFrame, vocab: DataFrame, columns, suffix: str = "",
+                      sizes: dict[str, int] | None = None) -> DataFrame:
     """Replace each categorical column by its code; unseen values get code 0 (the
-    alphabetically first label, as the source system does). Each column's vocabulary
-    size is checked (one small aggregate); a column below the bound is broadcast, a column
-    above it is joined with a shuffle."""
-    from .joins import DEFAULT_BROADCAST_ROWS
-    # one row per column: the vocabulary size of each column decides its join separately
-    sizes = {r["feature"]: r["count"] for r in vocab.groupBy("feature").count().collect()}
+    alphabetically first label, as the source system does). A column's vocabulary is broadcast
+    where its bytes stay below the session's broadcast limit, and joined with a shuffle beyond.
+    Pass ``sizes`` (see :func:`vocabulary_bytes`) where the same vocabulary is applied often."""
+    sizes = vocabulary_bytes(vocab) if sizes is None else sizes
+    limit = broadcast_bytes(df.sparkSession)
     out = df
     for c in columns:
         v = vocab.where(F.col("feature") == c).select(F.col("value").alias(f"_v_{c}"),
                                                       F.col("code").alias(f"_code_{c}"))
-        small = sizes.get(c, 0) <= DEFAULT_BROADCAST_ROWS
+        small = sizes.get(c, 0) <= limit
         out = out.withColumn(f"_k_{c}", _as_category(c)).join(
             F.broadcast(v) if small else v, F.col(f"_k_{c}") == F.col(f"_v_{c}"), "left")
         out = out.withColumn(c + suffix, F.coalesce(F.col(f"_code_{c}"), F.lit(0))) \
@@ -58,13 +64,17 @@ def apply_label_codes(df: DataFrame, vocab: DataFrame, columns, suffix: str = ""
 
 
 # ----------------------------------------------------------------------------- M2 / M4 / A7
-def column_quantiles(df: DataFrame, columns, probs) -> DataFrame:
-    """Exact quantiles of many numeric columns with one sort: the columns are stacked into
-    ``(column, value)`` rows and ranked per column. One row per column."""
-    stacked = df.select(F.explode(F.array(*[
+def _stacked(df: DataFrame, columns) -> DataFrame:
+    return df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
         for c in columns])).alias("_s")).select("_s.column", "_s.value")
-    return group_quantiles(stacked, ["column"], "value", probs)
+
+
+def column_quantiles(df: DataFrame, columns, probs) -> DataFrame:
+    """Exact quantiles of many numeric columns together: the columns are stacked into
+    ``(column, value)`` rows, counted by value where they are read, and only the distinct values
+    are ranked. One row per column."""
+    return group_quantiles(_stacked(df, columns), ["column"], "value", probs)
 
 
 def fit_medians(df: DataFrame, columns, exact: bool = True) -> dict[str, float]:
@@ -105,108 +115,32 @@ def robust_scale(df: DataFrame, params: dict[str, tuple[float, float]],
                            for c, (m, s) in params.items()})
 
 
-def _lerp_py(a: float, b: float, t: float) -> float:
-    """The same interpolation as ``ranking._lerp`` (numpy's linear method), in doubles."""
-    d = b - a
-    return b - d * (1.0 - t) if t >= 0.5 else a + d * t
-
-
 def fit_medians_and_scaler(df: DataFrame, impute_columns, scale_columns):
     """Medians of ``impute_columns`` and the robust scaler of ``scale_columns`` *after* those
-    medians fill the nulls, from ONE exact sort of the stacked non-null values (instead of a
-    sort for the medians and a second one of the imputed table).
-
-    Filling ``m`` nulls with the median ``c`` inserts ``m`` copies of ``c`` into the sorted
-    values: with ``k`` values below ``c``, imputed position ``j`` holds value ``j`` when
-    ``j < k``, ``c`` when ``j < k + m``, else value ``j - m``. So the imputed quartiles are read
-    from the same ranked table after one count of ``value < c`` per column. Everything the
-    driver sees is a few numbers per column. Equal to ``fit_medians`` followed by
-    ``impute`` and ``fit_robust_scaler``."""
-    impute_columns = list(impute_columns)
+    medians fill the nulls, from one table of value counts: the counts of null move to the
+    median's value, so no row is read twice. Equal to ``fit_medians`` followed by ``impute`` and
+    ``fit_robust_scaler``."""
+    impute_columns, scale_columns = list(impute_columns), list(scale_columns)
     columns = list(dict.fromkeys([*impute_columns, *scale_columns]))
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-        for c in columns])).alias("_s")).select("_s.column", "_s.value")
-    ranked = global_row_number(stacked, ["column", "value"])  # nulls first in each column
-    stats = {r["column"]: r for r in ranked.groupBy("column").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("value").alias("n"),
-        F.min("_rn").alias("first")).collect()}
-
-    def start(c):  # global rank of the first non-null value of column c
-        st = stats.get(c)
-        return st["first"] + st["rows"] - st["n"] if st else None
-
-    def positions(n, p):
-        pos = (n - 1) * p
-        lo = float(int(pos // 1))
-        frac = pos - lo
-        return int(lo), (int(lo) + 1 if frac > 0 else int(lo)), frac
-
-    def fetch(ranks) -> dict:
-        ranks = sorted(set(ranks))
-        if not ranks:
-            return {}
-        return {r["_rn"]: r["value"] for r in
-                ranked.where(F.col("_rn").isin(ranks)).select("_rn", "value").collect()}
-
-    # medians of the columns to impute (non-null values only)
-    need = {}
-    for c in impute_columns:
-        st = stats.get(c)
-        if st and st["n"] > 0:
-            lo, hi, frac = positions(st["n"], 0.5)
-            need[c] = (start(c) + lo, start(c) + hi, frac)
-    got = fetch([r for lo, hi, _ in need.values() for r in (lo, hi)])
+    counts = (_stacked(df, columns).groupBy("column", "value")
+              .agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True))
     medians = {c: None for c in impute_columns}
-    for c, (lo, hi, frac) in need.items():
-        medians[c] = got[lo] if frac == 0 else _lerp_py(got[lo], got[hi], frac)
-
-    # values below each median (one distributed count over the ranked table)
-    fill = {c: m for c, m in medians.items() if m is not None and c in scale_columns}
-    below = {}
+    if impute_columns:
+        rows = counted_quantiles(counts.where(F.col("column").isin(impute_columns)), ["column"],
+                                 "value", "n", [0.5]).collect()
+        medians.update({r["column"]: r["q_0.5"] for r in rows})
+    fill = [(c, m) for c, m in medians.items() if m is not None and c in scale_columns]
+    filled = counts.where(F.col("column").isin(scale_columns))
     if fill:
-        lookup = F.create_map(*[x for c, m in fill.items() for x in (F.lit(c), F.lit(float(m)))])
-        below = {r["column"]: r["k"] for r in ranked.where(
-            F.col("column").isin(list(fill)) & F.col("value").isNotNull()).groupBy("column").agg(
-            F.count_if(F.col("value") < F.element_at(lookup, F.col("column"))).alias("k"))
-            .collect()}
-
-    # imputed quartiles: which ranked value (or the median itself) sits at each position
-    plan = {}
-    for c in scale_columns:
-        st = stats.get(c)
-        if not st:
-            continue
-        n, m = st["n"], (st["rows"] - st["n"]) if c in fill else 0
-        total = n + m
-        if total == 0:
-            continue
-        k = below.get(c, 0)
-
-        def at(j, c=c, k=k, m=m):
-            if j < k:
-                return ("rank", start(c) + j)
-            if j < k + m:
-                return ("const", fill[c])
-            return ("rank", start(c) + j - m)
-
-        plan[c] = [(at(lo), at(hi), frac) for lo, hi, frac in
-                   (positions(total, p) for p in (0.25, 0.5, 0.75))]
-    got = fetch([ref[1] for qs in plan.values() for a, b, _ in qs
-                 for ref in (a, b) if ref[0] == "rank"])
-
-    def value(ref):
-        return got[ref[1]] if ref[0] == "rank" else ref[1]
-
-    scaler = {}
-    for c in scale_columns:
-        if c not in plan:
-            scaler[c] = (0.0, 1.0)
-            continue
-        q = [value(a) if frac == 0 else _lerp_py(value(a), value(b), frac)
-             for a, b, frac in plan[c]]
-        iqr = q[2] - q[0]
-        scaler[c] = (q[1] or 0.0, iqr if iqr else 1.0)
+        by_column = F.create_map(*[F.lit(x) for c, m in fill for x in (c, float(m))])
+        filled = (filled.withColumn("value", F.coalesce(
+            "value", F.try_element_at(by_column, F.col("column"))))
+            .groupBy("column", "value").agg(F.sum("n").alias("n")))
+    scaler = {c: (0.0, 1.0) for c in scale_columns}
+    for r in counted_quantiles(filled, ["column"], "value", "n", [0.25, 0.5, 0.75]).collect():
+        if r["n"]:
+            iqr = r["q_0.75"] - r["q_0.25"]
+            scaler[r["column"]] = (r["q_0.5"] or 0.0, iqr if iqr else 1.0)
     return medians, scaler
 
 
@@ -254,16 +188,29 @@ def expanding_folds(df: DataFrame, order_cols, n_splits: int = K.CV_SPLITS,
     n - n_splits*size rows and trains on everything before it. ``fold`` is the test block
     index (0..n_splits-1) or -1 for rows that are only ever training rows.
 
-    Only the boundary keys are located (on a ranked narrow projection); rows are then
-    labelled by comparing their order key with the boundaries, with no join back."""
-    n = df.count()
+    The first order column is a calendar column (few distinct values): its counts tell in which
+    year each boundary lies, and only the rows of those years are ranked. Rows are then labelled
+    by comparing their order key with the boundaries, with no join back."""
+    first = order_cols[0]
+    per = {r[0]: r[1] for r in df.groupBy(first).count().collect()}
+    n = sum(per.values())
     size = n // (n_splits + 1)
-    narrow = df.select(*order_cols)
     if size == 0:
         return df.withColumn(fold_col, F.lit(-1))
-    starts = [n - (n_splits - i) * size + 1 for i in range(n_splits)]
-    ranked = global_row_number(narrow, list(order_cols))
-    bounds = ranked.where(F.col("_rn").isin(starts)).orderBy("_rn").collect()
+    starts = [n - (n_splits - i) * size for i in range(n_splits)]
+    ranks, years, before, ranked_before = [], [], 0, 0
+    for year in sorted(per, key=lambda y: (y is not None, y)):
+        inside = [s - before for s in starts if before <= s < before + per[year]]
+        if inside:
+            ranks += [ranked_before + s + 1 for s in inside]
+            years.append(year)
+            ranked_before += per[year]
+        before += per[year]
+    near = F.col(first).isin([y for y in years if y is not None])
+    if None in years:
+        near = near | F.col(first).isNull()
+    ranked = global_row_number(df.where(near).select(*order_cols), list(order_cols))
+    bounds = ranked.where(F.col("_rn").isin(ranks)).orderBy("_rn").collect()
     key = F.struct(*[F.col(c) for c in order_cols])
     expr = F.lit(-1)
     for i, b in enumerate(bounds):

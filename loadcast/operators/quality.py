@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import features as FT
-from .joins import join_small
+from .joins import join_by_year
 from .ranking import group_quantiles
 
 
@@ -38,11 +38,11 @@ def household_range_filter(df: DataFrame, value: str = "preliminary_household_co
     return df.filter(F.col(value).between(F.lit(float(lo)), F.lit(float(hi))))
 
 
-def iqr_bounds(df: DataFrame, group: str, value: str, factor: float = K.IQR_FACTOR,
-               method: str = "sort") -> DataFrame:
+def iqr_bounds(df: DataFrame, group: str, value: str,
+               factor: float = K.IQR_FACTOR) -> DataFrame:
     """Per group: row count (all rows, as pandas ``len(group)``), Q1, Q3 and the bounds
     ``Q1 - f*IQR``, ``Q3 + f*IQR``. One row per group."""
-    b = group_quantiles(df, [group], value, [0.25, 0.75], method=method) \
+    b = group_quantiles(df, [group], value, [0.25, 0.75]) \
         .withColumnsRenamed({"q_0.25": "q1", "q_0.75": "q3", "rows": "group_rows"}).drop("n")
     iqr = F.col("q3") - F.col("q1")
     return b.withColumns({"lower_bound": F.col("q1") - F.lit(float(factor)) * iqr,
@@ -50,25 +50,22 @@ def iqr_bounds(df: DataFrame, group: str, value: str, factor: float = K.IQR_FACT
 
 
 def iqr_filter(df: DataFrame, group: str, value: str, factor: float = K.IQR_FACTOR,
-               min_group: int = K.IQR_MIN_GROUP, method: str = "sort",
-               persist: bool = False) -> DataFrame:
+               min_group: int = K.IQR_MIN_GROUP, persist: bool = False) -> DataFrame:
     """inside each group with more than ``min_group`` rows keep
     ``lower <= value <= upper`` (inclusive); smaller groups are kept whole; rows whose group
     key is NULL are dropped (pandas ``groupby`` semantics).
 
-    The bounds table has one row per group and is joined back with a size-checked broadcast,
-    so the fact table is never shuffled for this filter. The input is read twice: the
-    quartile sort reads only the (group, value) columns, the filter reads the rest. Re-reading
+    The bounds table has one row per group; Spark broadcasts it where it is small enough. The
+    input is read twice: the value counts read only the (group, value) columns, the filter reads
+    the rest. Re-reading
     a deterministic scan is cheaper at scale than caching every column of the fact table;
     ``persist=True`` caches it instead (for an expensive, non-deterministic input)."""
     if persist:
         from pyspark import StorageLevel
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    # one row per group; materialised once because it is size-checked and then joined
-    bounds = iqr_bounds(df, group, value, factor, method).select(
-        F.col(group).alias("_g"), "group_rows", "lower_bound", "upper_bound").checkpoint(eager=True)
-    j = join_small(df.where(F.col(group).isNotNull()), bounds,
-                   F.col(group) == F.col("_g"), "inner")
+    bounds = iqr_bounds(df, group, value, factor).select(
+        F.col(group).alias("_g"), "group_rows", "lower_bound", "upper_bound")
+    j = df.where(F.col(group).isNotNull()).join(bounds, F.col(group) == F.col("_g"))
     keep = (F.col("group_rows") <= F.lit(min_group)) | \
         F.col(value).between(F.col("lower_bound"), F.col("upper_bound"))
     return j.filter(keep).drop("_g", "group_rows", "lower_bound", "upper_bound")
@@ -80,7 +77,7 @@ def funnel(loaded: DataFrame, weather: DataFrame, columns=None) -> DataFrame:
     counts). Returns one row."""
     cols = [c for c in (columns or K.CRITICAL_COLUMNS)]
     w = weather.withColumn("_merged", F.lit(True))
-    j = join_small(loaded, w, "year", "left")
+    j = join_by_year(loaded, w, "left")
     complete = F.col("_merged").isNotNull()
     for c in cols:
         complete = complete & F.col(c).isNotNull()

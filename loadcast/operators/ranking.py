@@ -4,16 +4,14 @@
 one reducer; ``row_number() over (partition by g order by v)`` sorts a whole group in one
 task. With one group holding a third of the rows both break at scale. Instead:
 
-1. ``global_row_number``: range-partition + sort on the order columns (sampled bounds split a
-   hot key across many partitions), number rows inside each partition with
-   ``monotonically_increasing_id``, and add the row count of all earlier partitions (a
-   per-partition count table: one row per partition, so its size is bounded by the partition
-   count and it is safe to broadcast). The numbered narrow table is checkpointed into the
-   shared checkpoint folder, so both uses see the same partitioning and a lost executor does
-   not re-sort with different bounds.
-2. ``group_quantiles``: rank (group, value), derive the start rank and size of each group,
-   look up only the 1-2 rows each requested quantile needs, and interpolate linearly
-   (numpy's ``linear`` method, as pandas ``quantile``).
+1. ``running_total``: range-partition + sort on the order columns, sum a weight inside each
+   partition, and add the total of all earlier partitions (one number per partition reaches the
+   driver). The sorted narrow table is checkpointed into the shared folder, so its totals and its
+   rows see the same partitioning and a lost executor does not re-sort with different bounds.
+2. ``group_quantiles``: count rows by (group, value) first, so a value that many rows share is one
+   row; a running total over the counts gives the ranks each value covers, and a quantile is read
+   from the one or two values that cover its ranks (numpy's ``linear`` method, as pandas
+   ``quantile``).
 """
 
 from __future__ import annotations
@@ -21,28 +19,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import join_small
+ROW_BITS = (1 << 33) - 1   # of monotonically_increasing_id, the place within a partition
 
 
-def global_row_number(df: DataFrame, order_cols, name: str = "_rn",
-                      checkpoint: bool = True) -> DataFrame:
-    """1-based row number in ``order_cols`` order over the whole DataFrame, computed with one
-    range shuffle. Pass a narrow projection: every column is carried through the sort."""
-    # the input position is the last sort key: a run of identical keys (one value holding a
-    # third of the rows) is then still split across range partitions instead of landing in
-    # one task. It is deterministic for a given input split layout.
-    s = (df.withColumn("_tb", F.monotonically_increasing_id())
-         .orderBy(*order_cols, "_tb").drop("_tb")
-         .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
-    if checkpoint:
-        s = s.checkpoint(eager=True)
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_mid0"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", "_mid0",
-                            F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    out = s.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(name, F.col("_off") + (F.col("_mid") - F.col("_mid0")) + F.lit(1)) \
-              .drop("_pid", "_mid", "_mid0", "_off")
+def running_total(df: DataFrame, order_cols, weight: str | None = None,
+                  name: str = "_before") -> DataFrame:
+    """Add ``name``: the sum of ``weight`` (default: one a row) over all rows that sort earlier.
+    Pass a narrow projection: every column is carried through the sort."""
+    spark = df.sparkSession
+    placed = (df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                    *order_cols)
+              .sortWithinPartitions(*order_cols).checkpoint(eager=True)
+              .withColumns({"_pid": F.spark_partition_id(),
+                            "_row": F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS))}))
+    amount = F.lit(1) if weight is None else F.col(weight)
+    totals = {r[0]: r[1] for r in placed.groupBy("_pid").agg(F.sum(amount)).collect()}
+    offsets, total = [], 0
+    for pid in range(max(totals, default=-1) + 1):
+        offsets.append(total)
+        total += totals.get(pid, 0)
+    offset = F.element_at(F.array(*[F.lit(v).cast("long") for v in offsets or [0]]),
+                          F.col("_pid") + 1)
+    if weight is None:
+        inside = F.col("_row")
+    else:
+        earlier = (Window.partitionBy("_pid").orderBy("_row")
+                   .rowsBetween(Window.unboundedPreceding, -1))
+        inside = F.coalesce(F.sum(weight).over(earlier), F.lit(0))
+    return placed.withColumn(name, (offset + inside).cast("long")).drop("_pid", "_row")
+
+
+def global_row_number(df: DataFrame, order_cols, name: str = "_rn") -> DataFrame:
+    """1-based row number in ``order_cols`` order over the whole DataFrame. The input position is
+    the last sort key, so a run of identical keys is still split across range partitions."""
+    numbered = running_total(df.withColumn("_tb", F.monotonically_increasing_id()),
+                             [*order_cols, "_tb"], name="_b")
+    return numbered.withColumn(name, F.col("_b") + 1).drop("_tb", "_b")
 
 
 def _lerp(a: Column, b: Column, t: Column) -> Column:
@@ -51,66 +63,48 @@ def _lerp(a: Column, b: Column, t: Column) -> Column:
     return F.when(t >= F.lit(0.5), b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
 
 
-def group_quantiles(df: DataFrame, group_cols, value: str, probs,
-                    method: str = "sort") -> DataFrame:
-    """Exact linear-interpolated quantiles of ``value`` per group (nulls ignored).
-
-    Returns one row per group: group columns, ``rows`` (all rows), ``n`` (non-null values)
-    and one column per probability named ``q_<p>`` (e.g. ``q_0.25``). Null values sort first,
-    so group sizes and ranks come from the same single sort. ``method="sort"`` is skew-safe (see module
-    doc); ``method="hash"`` uses Spark's ``percentile`` aggregate, adequate when the number
-    of distinct values per group is bounded.
-    """
+def counted_quantiles(counts: DataFrame, group_cols, value: str, count: str, probs) -> DataFrame:
+    """Quantiles per group of a table that holds one row per (group, value) with its row count.
+    Returns the group columns, ``rows``, ``n`` (non-null values) and ``q_<p>`` per probability."""
     group_cols = list(group_cols)
     probs = [float(p) for p in probs]
-    names = [f"q_{p}" for p in probs]
-    base = df.select(*group_cols, F.col(value).cast("double").alias("_v"))
-    if method == "hash":
-        return base.groupBy(*group_cols).agg(
-            F.count(F.lit(1)).alias("rows"), F.count("_v").alias("n"),
-            *[F.percentile("_v", F.lit(p)).alias(nm) for p, nm in zip(probs, names)])
+    keys = [f"_g{i}" for i in range(max(len(group_cols), 1))]
+    source = [F.col(c) for c in group_cols] or [F.lit(0)]
+    placed = running_total(
+        counts.select(*[c.alias(k) for c, k in zip(source, keys)], F.col(value).alias("_v"),
+                      F.col(count).alias("_n")), [*keys, "_v"], "_n")
+    has = F.col("_v").isNotNull()
+    stats = placed.groupBy(*keys).agg(
+        F.sum("_n").alias("rows"), F.coalesce(F.sum(F.when(has, F.col("_n"))), F.lit(0)).alias("n"),
+        F.min(F.when(has, F.col("_before"))).alias("_start"))
+    side = stats.select(*[F.col(k).alias(f"_s{k}") for k in keys], "n", "_start")
+    joined = placed.where(has).join(side, [F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in keys])
+    first = F.col("_before") - F.col("_start")
+    picks = []
+    for i, p in enumerate(probs):
+        position = (F.col("n") - 1).cast("double") * F.lit(p)
+        low = F.floor(position)
+        high = low + (position > low).cast("int")
+        for name, rank in (("a", low), ("b", high)):
+            covers = (first <= rank) & (rank < first + F.col("_n"))
+            picks.append(F.max(F.when(covers, F.col("_v"))).alias(f"_{name}{i}"))
+    read = joined.groupBy(*[F.col(f"_s{k}") for k in keys]).agg(*picks)
+    out = stats.join(read, [F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in keys], "left")
+    quantiles = []
+    for i, p in enumerate(probs):
+        position = (F.col("n") - 1).cast("double") * F.lit(p)
+        t = position - F.floor(position)
+        quantiles.append(F.when(t == 0, F.col(f"_a{i}")).otherwise(
+            _lerp(F.col(f"_a{i}"), F.col(f"_b{i}"), t)).alias(f"q_{p}"))
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, group_cols)], "rows", "n",
+                      *quantiles)
 
-    ranked = global_row_number(base, [*group_cols, "_v"])
-    stats = (ranked.groupBy(*group_cols)
-             .agg(F.count(F.lit(1)).alias("rows"), F.count("_v").alias("n"),
-                  F.min("_rn").alias("_first"))
-             .withColumn("_start", F.col("_first") + F.col("rows") - F.col("n"))
-             .checkpoint(eager=True))
-    pos = (F.col("n") - F.lit(1)).cast("double") * F.col("_p")
-    wanted = (stats.where(F.col("n") > 0).select(*group_cols, "n", "_start",
-                           F.explode(F.array(*[F.lit(p) for p in probs])).alias("_p"))
-              .withColumns({"_lo": F.floor(pos), "_frac": pos - F.floor(pos)})
-              .withColumn("_hi", F.when(F.col("_frac") > 0, F.col("_lo") + 1)
-                          .otherwise(F.col("_lo")))
-              .checkpoint(eager=True))  # groups x probabilities rows, used twice below
-    # the (at most two) ranks each quantile needs; keyed by global rank
-    needs = wanted.select(*group_cols, "_p", (F.col("_start") + F.col("_lo")).alias("_rn"),
-                          F.lit(0).alias("_side")).unionByName(
-        wanted.select(*group_cols, "_p", (F.col("_start") + F.col("_hi")).alias("_rn"),
-                      F.lit(1).alias("_side")))
-    picked = join_small(ranked.select("_rn", "_v"), needs.select("_rn", "_p", "_side",
-                                                                  *group_cols), "_rn")
-    vals = picked.groupBy(*group_cols, "_p").agg(
-        F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_a"),
-        F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_b"))
-    q = join_small(vals, wanted.select(*group_cols, "_p", "_frac", "n"), [*group_cols, "_p"])
-    q = q.withColumn("_q", F.when(F.col("_frac") == 0, F.col("_a"))
-                     .otherwise(_lerp(F.col("_a"), F.col("_b"), F.col("_frac"))))
-    out = q.groupBy(*group_cols).agg(
-        *[F.max(F.when(F.col("_p") == F.lit(p), F.col("_q"))).alias(nm)
-          for p, nm in zip(probs, names)])
-    if not group_cols:  # one row on each side: join on a constant key
-        return stats.select(F.lit(0).alias("_k"), "rows", "n") \
-            .join(out.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
-    return join_small(stats.select(*group_cols, "rows", "n"), out, group_cols, "left")
 
-
-def dense_rank_vocabulary(df: DataFrame, col: str, code: str = "code",
-                          start: int = 0) -> DataFrame:
-    """Sorted vocabulary of the distinct non-null values of ``col`` with 0-based codes
-    (alphabetical, like a label encoder). Ranks only the distinct set (a hash-aggregated
-    shuffle), never the fact table."""
-    distinct = df.select(F.col(col).cast("string").alias("value")).where(
-        F.col("value").isNotNull()).distinct()
-    numbered = global_row_number(distinct, ["value"], name="_rn")
-    return numbered.select("value", (F.col("_rn") - F.lit(1 - start)).cast("int").alias(code))
+def group_quantiles(df: DataFrame, group_cols, value: str, probs) -> DataFrame:
+    """Exact linear-interpolated quantiles of ``value`` per group (nulls ignored): one row per
+    group with the group columns, ``rows`` (all rows), ``n`` (non-null values) and one column
+    ``q_<p>`` per probability (e.g. ``q_0.25``)."""
+    group_cols = list(group_cols)
+    counts = (df.select(*group_cols, F.col(value).cast("double").alias("_value"))
+              .groupBy(*group_cols, "_value").agg(F.count(F.lit(1)).alias("_count")))
+    return counted_quantiles(counts, group_cols, "_value", "_count", probs)

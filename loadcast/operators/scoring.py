@@ -146,8 +146,11 @@ def response(df: DataFrame, model_used: str, pred: str = "prediction_kwh",
     d = derived_outputs(pred)
     c = comparison(pred)
     summary = F.struct(*[F.col(x).alias(x) for x in (
-        "zipcode_from", "city", "company", "type_of_connection", "num_connections",
-        "perc_of_active_connections", "smartmeter_perc", "scenario")])
+        "zipcode_from", "city", "company", "type_of_connection", "circuits_per_household_input",
+        "num_connections", "perc_of_active_connections", "delivery_perc", "smartmeter_perc",
+        "annual_consume", "scenario", "avg_temp", "total_precipitation", "total_sunshine_hours",
+        "avg_wind_speed", "avg_min_temp", "avg_max_temp", "avg_precipitation",
+        "total_global_radiation")])
     return df.select(
         "request_id", F.col(pred).alias("prediction_kwh"), *[v.alias(k) for k, v in d.items()],
         F.lit(model_used).alias("model_used"), summary.alias("input_summary"),

@@ -1,7 +1,8 @@
 """Model package store (S13/S14, M19) and batch scoring with a stored package.
 
 Layout under one directory on shared storage:
-  model/       Spark ML model (``save``/``load``)
+  model/       Spark ML model of a forest (``save``/``load``); a linear model is its coefficients
+               in meta.json
   vocabulary/  parquet (feature, value, code)
   meta.json    model name, feature list, selected indices, medians, scaler, metrics
 """
@@ -9,43 +10,44 @@ Layout under one directory on shared storage:
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.ml.regression import (LinearRegressionModel, RandomForestRegressionModel)
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions.features import with_features
 from ..operators import ml_prep as M
 from ..operators import scoring as SC
+from ..operators.gram import LinearModel
 from ..operators.scoring_model import fill_missing_features
 
 
-def _meta_path(path: str) -> str:
-    return os.path.join(path, "meta.json")
-
-
 def save_package(result, path: str) -> None:
+    """Store a training result (anything with best_model, vocabulary, medians, scaler, meta)."""
     spark = result.vocabulary.sparkSession
-    result.best_model.write().overwrite().save(os.path.join(path, "model"))
-    result.vocabulary.write.mode("overwrite").parquet(os.path.join(path, "vocabulary"))
     meta = dict(result.meta, medians=result.medians,
-                scaler={k: list(v) for k, v in result.scaler.items()},
-                model_class=type(result.best_model).__name__)
+                scaler={k: list(v) for k, v in result.scaler.items()})
+    if isinstance(result.best_model, LinearModel):
+        meta["linear"] = vars(result.best_model)
+    else:
+        result.best_model.write().overwrite().save(f"{path}/model")
+    result.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
     # meta is a handful of scalars: written as one JSON line through Spark (shared storage)
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
-        .write.mode("overwrite").text(_meta_path(path))
+        .write.mode("overwrite").text(f"{path}/meta.json")
 
 
 def load_package(spark: SparkSession, path: str) -> dict | None:
-    """The package, or None when it is absent or unreadable."""
+    """The package, or None when it is absent or unreadable. The sizes of the vocabularies are
+    measured here once, not for every scored batch."""
     try:
-        meta = json.loads(spark.read.text(_meta_path(path)).first()[0])
-        cls = {"LinearRegressionModel": LinearRegressionModel,
-               "RandomForestRegressionModel": RandomForestRegressionModel}[meta["model_class"]]
-        meta["model"] = cls.load(os.path.join(path, "model"))
-        meta["vocabulary"] = spark.read.parquet(os.path.join(path, "vocabulary"))
+        meta = json.loads(spark.read.text(f"{path}/meta.json").first()[0])
+        meta["model"] = LinearModel(**meta["linear"]) if "linear" in meta else \
+            RandomForestRegressionModel.load(f"{path}/model")
+        meta["vocabulary"] = spark.read.parquet(f"{path}/vocabulary")
+        meta["vocabulary_bytes"] = M.vocabulary_bytes(meta["vocabulary"])
         return meta
     except Exception:  # noqa: BLE001 - a broken package reads as "no model"
         return None
@@ -54,23 +56,38 @@ def load_package(spark: SparkSession, path: str) -> dict | None:
 def score_inputs(pkg: dict, inputs: DataFrame, pred: str = "prediction_kwh") -> DataFrame:
     """Model-input rows (see ``operators.scoring.to_model_input``) -> prediction column,
     with the same feature functions as training, stored vocabulary (unseen -> 0), stored
-    medians, stored scaling and the stored feature selection; one ``transform`` for the
-    whole table."""
+    medians for missing numbers (0 for absent columns), stored scaling and the stored feature
+    selection; one projection for the whole table."""
     feats = pkg["feature_columns"]
-    cats = [c for c in feats if c in M.K.CATEGORICAL_COLUMNS]
-    df = fill_missing_features(with_features(inputs), feats)
-    df = M.impute(M.apply_label_codes(df, pkg["vocabulary"], cats), pkg["medians"])
-    df = df.withColumns({c: F.col(c).cast("double") for c in feats})
+    cats = [c for c in feats if c in K.CATEGORICAL_COLUMNS]
+    df = fill_missing_features(with_features(inputs), feats, fill_numbers=False)
+    df = M.apply_label_codes(df, pkg["vocabulary"], cats, sizes=pkg["vocabulary_bytes"])
+    df = M.impute(df, pkg["medians"])
+    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feats]
     if pkg["use_scaled"]:
-        df = M.robust_scale(df, {k: tuple(v) for k, v in pkg["scaler"].items()}, suffix="_s")
-        cols, col_out = [c + "_s" for c in feats], "xs"
-    else:
-        cols, col_out = feats, "xr"
-    df = VectorAssembler(inputCols=cols, outputCol="_x_all").transform(df)
-    df = VectorSlicer(inputCol="_x_all", outputCol=col_out,
-                      indices=pkg["selected_indices"]).transform(df)
-    out = pkg["model"].transform(df).withColumnRenamed("prediction", pred)
-    return out.drop("_x_all", col_out)
+        x = [(v - F.lit(float(pkg["scaler"][c][0]))) / F.lit(float(pkg["scaler"][c][1]))
+             for v, c in zip(x, feats)]
+    x = [x[i] for i in pkg["selected_indices"]]
+    if isinstance(pkg["model"], LinearModel):
+        return df.withColumn(pred, pkg["model"].predict(x))
+    out = pkg["model"].transform(df.withColumn("xr", array_to_vector(F.array(*x))))
+    return out.withColumnRenamed(pkg["model"].getPredictionCol(), pred).drop("xr")
+
+
+def model_info(spark: SparkSession, pkg: dict) -> DataFrame:
+    """One row with the stored performance, the feature counts and the values that requests
+    may hold."""
+    row = {k: pkg.get(k) for k in ("model_name", "target_column", "use_scaled", "test_r2",
+                                   "test_rmse", "cv_r2_mean", "cv_r2_std")}
+    row |= {"feature_count": len(pkg["feature_columns"]),
+            "selected_feature_count": len(pkg["selected_indices"]),
+            "house_types": list(K.HOUSE_TYPES), "companies": list(K.COMPANIES),
+            "weather_scenarios": list(K.WEATHER_SCENARIOS)}
+    return spark.createDataFrame(
+        [tuple(row.values())], "model_name string, target_column string, use_scaled boolean, "
+        "test_r2 double, test_rmse double, cv_r2_mean double, cv_r2_std double, "
+        "feature_count int, selected_feature_count int, house_types array<string>, "
+        "companies array<string>, weather_scenarios array<string>")
 
 
 def score_requests(pkg: dict, requests: DataFrame):

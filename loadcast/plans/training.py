@@ -4,13 +4,15 @@ and the model package (M1-M20, S13).
 
 Scale notes
 -----------
-* The cleaned training table is checkpointed once (lineage cut; every fit re-reads it).
-* Encoders, medians and scaling parameters are fitted on the training part only, each with a
-  single pass (vocabularies: one sort of the distinct (column, value) pairs; medians and
-  quartiles: one sort of the stacked columns).
+* The training table is checkpointed twice: as cleaned, and as encoded (lineage cut; every fit
+  re-reads the latter).
+* Encoders, medians and scaling parameters are fitted on the training part only, from counts of
+  distinct values.
 * Folds are labelled by comparing order keys with three boundary keys (no join back).
-* The models are Spark ML estimators (distributed L-BFGS/OWLQN/normal-equation solvers and a
-  distributed random forest); nothing is sampled.
+* One pass adds up the feature products per fold; the selector, every linear candidate and its
+  scores on every fold are solved from these sums.
+* Every model is fitted and scored on the same rows and folds; nothing is sampled unless the
+  caller asks for it.
 """
 
 from __future__ import annotations
@@ -19,19 +21,21 @@ import json
 import time
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.features import with_features
+from ..operators import gram as G
 from ..operators import ml_prep as M
 from ..operators import quality as Q
-from ..operators.joins import join_small
+from ..operators.joins import join_by_year
 
-ORDER_KEY = "_row_key"
+ROWS_PER_PARTITION = 25_000     # of the training table; from the rows alone, not the cluster
 
 
 def prepare_training_data(area: DataFrame, national: DataFrame) -> DataFrame:
@@ -40,11 +44,8 @@ def prepare_training_data(area: DataFrame, national: DataFrame) -> DataFrame:
     table checkpointed (materialised)."""
     weather_cols = [c for c in national.columns if c not in ("data_source", "stations_used",
                                                              "coverage")]
-    # the yearly weather is a handful of rows: materialise it once (it is joined and
-    # size-checked); the range-filtered table feeds three consumers of the IQR filter
-    # (group sizes, quartile sort, the filter itself), so it is persisted once.
-    national = national.select(*weather_cols).checkpoint(eager=True)
-    df = join_small(area, national, "year", "inner")
+    # the range-filtered table feeds both the quartiles and the filter: persisted once
+    df = join_by_year(area, national.select(*weather_cols))
     df = Q.drop_incomplete(with_features(df))
     df = Q.household_range_filter(Q.active_filter(Q.with_preliminary_household(df)))
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -98,13 +99,6 @@ def task_heap_mb(spark) -> float:
         return 1024.0
 
 
-def _parallelism(spark, default: int = 200) -> int:
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - Spark Connect: no context on the client
-        return default
-
-
 def fit_concurrency(spark, requested: int) -> int:
     """How many fits run side by side: one per 512 MB of task heap share, at most
     ``requested``. A small heap (e.g. 1 GB over 8 local cores) fits one model at a time, so
@@ -115,37 +109,22 @@ def fit_concurrency(spark, requested: int) -> int:
 def forest_memory_mb(spark) -> int:
     """Per-task histogram memory for the forest: a quarter of the task heap share, within
     8..1024 MB. Every concurrent task allocates up to this much (plus its map-side combine
-    copy). Only the final forest fit on its sample grows that large; the concurrent linear
-    fits aggregate a features x features Gram matrix. Spark still splits one node per pass
-    when a single node needs more."""
+    copy). Spark still splits one node per pass when a single node needs more."""
     return int(max(8, min(1024, task_heap_mb(spark) / 4)))
 
 
-def _ridge_reg(alpha: float, n: int, std_y: float) -> float:
-    """sklearn ridge ``||y-Xw||^2 + a||w||^2`` == Spark normal solver with
-    regParam = a / n * std_pop(y) (Spark standardises the label internally)."""
-    return alpha / n * std_y if std_y else alpha / n
-
-
-def _r2(pred: DataFrame, label: str) -> float:
-    m = M.regression_metrics(pred, actual=label, predicted="prediction").first()
-    return m["r2"]
-
-
 def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
                  include_leaky: bool = False, select_by: str = "cv",
                  forest_trees: int = K.FOREST_TREES, cv_splits: int = K.CV_SPLITS,
-                 models=None, parallelism: int = 4,
-                 forest_sample_rows: int | None = 50_000, forest_sample_above: int = 100_000,
-                 forest_cv_rows: int | None = 3_000, exact_quantiles: bool = True) -> TrainResult:
-    """Fit the four regressors and report CV and test metrics.
-
-    The forest follows the source system's cost controls: above ``forest_sample_above``
-    training rows it is fitted on a ``forest_sample_rows`` sample and cross-validated on a
-    ``forest_cv_rows`` sample (both deterministic md5-of-key samples; evaluation still uses
-    all rows). ``None`` turns a sample off. The linear models always use every row.
-    ``exact_quantiles=False`` fits medians and scaling quartiles from sketches in one pass
-    (for very large tables) instead of the exact sort of every column's values."""
+                 models=None, parallelism: int = 4, forest_sample_rows: int | None = None,
+                 exact_quantiles: bool = True) -> TrainResult:
+    """Fit the four regressors and report CV and test metrics, all on the same rows and folds.
+
+    ``forest_sample_rows`` fits the final forest on about so many training rows (a deterministic
+    md5-of-key sample, off by default); CV and evaluation always use all rows.
+    ``exact_quantiles=False`` fits medians and scaling quartiles from sketches in one pass (for
+    very large tables) instead of exact value counts."""
+    from concurrent.futures import ThreadPoolExecutor
     spark = data.sparkSession
     feats = feature_list(include_leaky)
     cats = [c for c in feats if c in K.CATEGORICAL_COLUMNS]
@@ -159,15 +138,16 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
         phases[phase] = round(now - clock[0], 3)
         clock[0] = now
 
-    base = data.select(*key_cols, "year", *feats, target) \
-        .withColumn("_train", M.split_flag(key_cols)).checkpoint(eager=True)
+    # dealt and sorted by key into a number of partitions that depends on the rows alone: the
+    # forest draws its bags by partition and place, so the trees don't depend on the cluster
+    parts = max(1, -(-data.count() // ROWS_PER_PARTITION))
+    base = (data.select(*key_cols, "year", *feats, target)
+            .withColumn("_train", M.split_flag(key_cols))
+            .repartition(parts, *key_cols).sortWithinPartitions(*key_cols))
     train = base.where("_train")
-    mark("split")
-
-    vocab = M.fit_label_vocabularies(train, cats).checkpoint(eager=True)
+    vocab = M.fit_label_vocabularies(train, cats)
     coded = M.apply_label_codes(base, vocab, cats)
     if exact_quantiles:
-        # one exact sort serves the medians and the quartiles of the imputed columns
         medians, scaler = M.fit_medians_and_scaler(coded.where("_train"), nums, feats)
         enc = M.impute(coded, medians).withColumns({c: F.col(c).cast("double") for c in feats})
     else:
@@ -175,126 +155,112 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
         enc = M.impute(coded, medians).withColumns({c: F.col(c).cast("double") for c in feats})
         scaler = M.fit_robust_scaler(enc.where("_train"), feats, exact=False)
     mark("fit_encoders_medians_scaler")
-    enc = M.robust_scale(enc, scaler, suffix="_s")
-    enc = VectorAssembler(inputCols=feats, outputCol="x_raw").transform(enc)
-    enc = VectorAssembler(inputCols=[c + "_s" for c in feats], outputCol="x_scaled").transform(enc)
-    enc = enc.select(*key_cols, "year", target, "_train", "x_raw", "x_scaled").checkpoint(eager=True)
-    tr, te = enc.where("_train"), enc.where(~F.col("_train"))
-    mark("encode")
-
-    # M5: LASSO(0.01) selector on scaled training features, keep |coef| >= median |coef|.
-    # solver="normal": one distributed pass builds the Gram matrix, the L1 problem is then
-    # solved on that small matrix (OWL-QN), instead of one Spark job per iteration.
-    lasso_sel = LinearRegression(featuresCol="x_scaled", labelCol=target, regParam=0.01,
-                                 elasticNetParam=1.0, standardization=False,
-                                 solver="normal").fit(tr)
-    coefs = [abs(c) for c in lasso_sel.coefficients.toArray()]
-    med = sorted(coefs)[len(coefs) // 2] if len(coefs) % 2 else \
-        (sorted(coefs)[len(coefs) // 2 - 1] + sorted(coefs)[len(coefs) // 2]) / 2
-    selected = [i for i, c in enumerate(coefs) if c >= med]
-    from pyspark.ml.feature import VectorSlicer
-    enc = VectorSlicer(inputCol="x_scaled", outputCol="xs", indices=selected).transform(enc)
-    enc = VectorSlicer(inputCol="x_raw", outputCol="xr", indices=selected).transform(enc)
-    tr, te = enc.where("_train"), enc.where(~F.col("_train"))
-    mark("lasso_selection")
-
-    n = tr.count()
-    std_y = tr.agg(F.stddev_pop(target)).first()[0] or 0.0
-    # lineage is cut by the checkpoint; the in-memory copy only speeds up the repeated fits
-    trf = M.expanding_folds(tr, ["year", *key_cols], n_splits=cv_splits) \
-        .checkpoint(eager=True).persist()
-    tr = trf.drop("fold")
-    mark("folds")
-
-    parallelism = fit_concurrency(spark, parallelism)
-    forest_mb = forest_memory_mb(spark)
-
-    def lin(reg, l1):
-        return lambda: LinearRegression(featuresCol="xs", labelCol=target, regParam=reg,
-                                        elasticNetParam=l1, standardization=False,
-                                        solver="normal")
-
-    grid = {
-        "Linear Regression": [({}, lin(0.0, 0.0))],
-        "Ridge Regression": [({"alpha": a}, lin(_ridge_reg(a, n, std_y), 0.0))
-                             for a in K.RIDGE_ALPHAS],
-        "Lasso Regression": [({"alpha": a}, lin(a, 1.0)) for a in K.LASSO_ALPHAS],
-        "Random Forest": [({}, lambda: RandomForestRegressor(
-            featuresCol="xr", labelCol=target, numTrees=forest_trees, maxDepth=K.FOREST_DEPTH,
-            minInstancesPerNode=K.FOREST_MIN_LEAF, featureSubsetStrategy="sqrt",
-            seed=K.FOREST_SEED, maxMemoryInMB=forest_mb, cacheNodeIds=True))],
+    enc = M.robust_scale(enc, scaler, suffix="_s").select(
+        *key_cols, "year", F.col(target).cast("double").alias(target), "_train",
+        F.array(*[F.coalesce(c, F.lit(0.0)) for c in feats]).alias("x_raw"),
+        F.array(*[F.coalesce(c + "_s", F.lit(0.0)) for c in feats]).alias("x_scaled")) \
+        .checkpoint(eager=True)
+    te = enc.where(~F.col("_train"))
+    tr = M.expanding_folds(enc.where("_train"), ["year", *key_cols], n_splits=cv_splits)
+    mark("encode_and_folds")
+
+    grams = G.block_grams(tr, "x_scaled", target, "fold")
+    zero = np.zeros((len(feats) + 2, len(feats) + 2))
+    total = sum(grams.values(), zero)
+    n = int(total[0, 0])
+    # M5: LASSO selector on scaled features, keep |coef| >= median |coef|
+    coefs = np.abs(G.lasso(total, K.SELECTOR_LASSO_ALPHA).coefficients)
+    selected = [int(i) for i in np.flatnonzero(coefs >= np.median(coefs))]
+    total = G.subset(total, selected)
+    blocks = {k: G.subset(g, selected) for k, g in grams.items()}
+    mark("products_and_selection")
+
+    linear = {
+        "Linear Regression": [({}, lambda g: G.ridge(g))],
+        "Ridge Regression": [({"alpha": a}, lambda g, a=a: G.ridge(g, a)) for a in K.RIDGE_ALPHAS],
+        "Lasso Regression": [({"alpha": a}, lambda g, a=a: G.lasso(g, a)) for a in K.LASSO_ALPHAS],
     }
-    if models:
-        grid = {k: v for k, v in grid.items() if k in models}
+    names = [*linear, "Random Forest"]
+    names = [m for m in names if not models or m in models]
+    fitted: dict[str, object] = {}
+    cv: dict[str, tuple[float, float, dict]] = {}
 
-    # Every (candidate, fold) fit is an independent Spark job; they are submitted
-    # concurrently (Spark schedules them side by side, as a grid search with n_jobs does).
-    from concurrent.futures import ThreadPoolExecutor
+    def summary(scores, params):
+        return float(np.mean(scores)), float(np.std(scores)), params
 
-    forest_fit, forest_cv = tr, trf
-    if "Random Forest" in grid:
-        if forest_sample_rows is not None and n > forest_sample_above:
-            # a hash-threshold sample: distributed, no n x partitions merge in one task. It
-            # would inherit the partitioning of the whole training table (at scale: ~50k rows
-            # over ~100k partitions, and every tree level is a pass with one task and one set
-            # of node statistics per partition), so its few rows are redistributed into a
-            # partition count sized from the sample (~5k rows each, at most the parallelism).
-            parts = max(1, min(_parallelism(spark), -(-forest_sample_rows // 5_000)))
-            forest_fit = M.sample_about_n(tr, forest_sample_rows, n, key_cols) \
-                .repartition(parts).checkpoint(eager=True)
-        if forest_cv_rows is not None and n > forest_cv_rows:
-            forest_cv = M.expanding_folds(M.sample_n(tr, forest_cv_rows, key_cols, total=n),
-                                          ["year", *key_cols], n_splits=cv_splits) \
-                .checkpoint(eager=True)
-
-    def cv_score(task):
-        name, ci, i = task
-        make = grid[name][ci][1]
-        src = forest_cv if name == "Random Forest" else trf
-        fit_part = src.where(F.col("fold") < i)
-        test_part = src.where(F.col("fold") == i)
-        return task, _r2(make().fit(fit_part).transform(test_part), target)
-
-    tasks = [(name, ci, i) for name, cands in grid.items() for ci in range(len(cands))
-             for i in range(cv_splits)]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        scores = dict(pool.map(cv_score, tasks))
-    mark("cross_validation")
-
-    def final_fit(name):
+    for name in [m for m in names if m in linear]:
         best = None
-        for ci, (params, make) in enumerate(grid[name]):
-            s = [scores[(name, ci, i)] for i in range(cv_splits)]
-            mean = sum(s) / len(s)
-            std = (sum((x - mean) ** 2 for x in s) / len(s)) ** 0.5
-            if best is None or mean > best[0]:
-                best = (mean, std, params, make)
-        model = best[3]().fit(forest_fit if name == "Random Forest" else tr)
-        test_m = M.regression_metrics(model.transform(te), actual=target,
-                                      predicted="prediction").first()
-        train_r2 = _r2(model.transform(tr), target)
-        return name, model, (name, json.dumps(best[2]), float(best[0]), float(best[1]),
-                             float(train_r2), test_m["r2"], test_m["rmse"], test_m["mae"],
-                             test_m["relative_error_pct"], name != "Random Forest")
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        done = list(pool.map(final_fit, list(grid)))
-    mark("final_fits")
-    fitted = {name: model for name, model, _ in done}
-    rows = [row for _, _, row in done]
+        for params, fit in linear[name]:
+            scores = []
+            for i in range(cv_splits):
+                seen = [g for k, g in blocks.items() if k < i]
+                if seen and i in blocks:
+                    scores.append(G.r2(blocks[i], fit(sum(seen[1:], seen[0]))))
+            candidate = (*summary(scores or [0.0], params), fit)
+            best = candidate if best is None or candidate[0] > best[0] else best
+        cv[name], fitted[name] = best[:3], best[3](total)
+    mark("linear_models")
+
+    chosen = F.array(*[F.col("x_raw")[i] for i in selected])
+    if "Random Forest" in names:
+        forest_mb = forest_memory_mb(spark)
+
+        def forest():
+            return RandomForestRegressor(
+                featuresCol="xr", labelCol=target, numTrees=forest_trees, maxDepth=K.FOREST_DEPTH,
+                minInstancesPerNode=K.FOREST_MIN_LEAF, featureSubsetStrategy="sqrt",
+                seed=K.FOREST_SEED, maxMemoryInMB=forest_mb, cacheNodeIds=True)
+
+        # the in-memory copy only speeds up the repeated fits; it is released below
+        rows = tr.select(*key_cols, target, "fold", array_to_vector(chosen).alias("xr")).persist()
+        try:
+            final = rows if forest_sample_rows is None else \
+                M.sample_about_n(rows, forest_sample_rows, n, key_cols)
+
+            def fold_score(i):
+                seen = rows.where(F.col("fold") < i)
+                return _r2(forest().fit(seen).transform(rows.where(F.col("fold") == i)), target)
+
+            with ThreadPoolExecutor(fit_concurrency(spark, parallelism)) as pool:
+                last = pool.submit(lambda: forest().fit(final))
+                scores = list(pool.map(fold_score, [i for i in range(cv_splits) if i in blocks]))
+                fitted["Random Forest"] = last.result()
+            cv["Random Forest"] = summary(scores or [0.0], {})
+        finally:
+            rows.unpersist()
+    mark("forest")
+
+    # one pass over both parts scores every model
+    scaled = [F.col("x_scaled")[i] for i in selected]
+    scored = enc.withColumns({f"_p{i}": fitted[m].predict(scaled) for i, m in enumerate(names)
+                              if m in linear})
+    if "Random Forest" in names:
+        scored = fitted["Random Forest"].setPredictionCol(f"_p{names.index('Random Forest')}") \
+            .transform(scored.withColumn("xr", array_to_vector(chosen)))
+    long = scored.select("_train", F.col(target).alias("actual"), F.explode(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.col(f"_p{i}").alias("predicted"))
+        for i, m in enumerate(names)])).alias("_s")).select("_train", "actual", "_s.*")
+    measured = {(r["model"], r["_train"]): r for r in M.regression_metrics(
+        long, group_cols=["model", "_train"]).collect()}
+    mark("evaluation")
+    rows = []
+    for m in names:
+        mean, std, params = cv[m]
+        t, f = measured.get((m, False)), measured[(m, True)]
+        rows.append((m, json.dumps(params), mean, std, f["r2"],
+                     *([t["r2"], t["rmse"], t["mae"], t["relative_error_pct"]] if t
+                       else [None] * 4), m != "Random Forest"))
     metrics = spark.createDataFrame(rows, "model string, params string, cv_r2_mean double, "
                                           "cv_r2_std double, train_r2 double, test_r2 double, "
                                           "test_rmse double, test_mae double, "
                                           "relative_error_pct double, use_scaled boolean")
-    key = "cv_r2_mean" if select_by == "cv" else "test_r2"
-    best_row = max(rows, key=lambda r: r[2] if key == "cv_r2_mean" else r[5])
+    column = 2 if select_by == "cv" else 5
+    best_row = max(rows, key=lambda r: float("-inf") if r[column] is None else r[column])
     best_name = best_row[0]
     best_model = fitted[best_name]
     sel_names = [feats[i] for i in selected]
-    if hasattr(best_model, "featureImportances"):
-        imp = best_model.featureImportances.toArray()
-    else:
-        imp = [abs(c) for c in best_model.coefficients.toArray()]
+    imp = best_model.featureImportances.toArray() if best_name not in linear else \
+        np.abs(best_model.coefficients)
     wide = spark.createDataFrame([tuple(float(v) for v in imp)], sel_names)
     importance = M.top_k_importance(wide, sel_names, 10)
     meta = {"model_name": best_name, "feature_columns": feats, "selected_features": sel_names,
@@ -307,6 +273,12 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
                        medians, scaler, importance, meta)
 
 
+def _r2(pred: DataFrame, label: str) -> float:
+    """R2 of the column ``prediction``; 0 where the label is constant."""
+    r = M.regression_metrics(pred, actual=label, predicted="prediction").first()["r2"]
+    return 0.0 if r is None else r
+
+
 def national_model(integrated: DataFrame, target: str = "avg_annual_consume",
                    features=("avg_temp", "total_precipitation", "total_sunshine_hours",
                              "avg_wind_speed")):
@@ -314,11 +286,13 @@ def national_model(integrated: DataFrame, target: str = "avg_annual_consume",
     Returns (model, one-row DataFrame with r2, rmse and the coefficients by name)."""
     feats = list(features)
     rows = integrated.select(*feats, target).dropna()
-    x = VectorAssembler(inputCols=feats, outputCol="x").transform(rows)
-    model = LinearRegression(featuresCol="x", labelCol=target, solver="normal").fit(x)
-    s = model.summary
-    spark = integrated.sparkSession
-    coefs = {f"coef_{f}": float(c) for f, c in zip(feats, model.coefficients.toArray())}
-    out = spark.createDataFrame([dict(r2=float(s.r2), rmse=float(s.rootMeanSquaredError),
-                                      intercept=float(model.intercept), **coefs)])
+    sums = G.block_grams(rows.withColumns({"_x": F.array(*[F.col(f).cast("double") for f in feats]),
+                                           "_b": F.lit(0)}), "_x", target, "_b")[0]
+    model = G.ridge(sums)
+    score = G.r2(sums, model)
+    sst = sums[-1, -1] - sums[0, -1] ** 2 / sums[0, 0]
+    rmse = float(max((1 - score) * sst, 0.0) / sums[0, 0]) ** 0.5
+    coefs = {f"coef_{f}": c for f, c in zip(feats, model.coefficients)}
+    out = integrated.sparkSession.createDataFrame(
+        [dict(r2=score, rmse=rmse, intercept=model.intercept, **coefs)])
     return model, out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,8 +45,9 @@ def build_session(master: str | None = None, app: str = "loadcast",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local runs, tests) a private folder is created and
-    recorded in the session so every later caller sees the same one.
+    Only when the setting is absent on a local master (tests) a private folder is created and
+    recorded in the session so every later caller sees the same one; on a cluster a missing
+    setting is an error, because a folder of one machine would lose data.
     """
     try:
         sc = spark.sparkContext
@@ -57,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
+    if not configured and not sc.master.split("[")[0] == "local":
+        raise RuntimeError(f"{CHECKPOINT_CONF} is not set: a cluster needs a shared folder")
     if not configured:
         configured = tempfile.mkdtemp(prefix="loadcast-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
@@ -65,9 +67,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A table location under the shared checkpoint folder (never a machine-local temp dir
-    unless the session itself is local and has no configured folder)."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "tables", name)
+    """A table location under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}"

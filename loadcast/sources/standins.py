@@ -29,22 +29,7 @@ MODEL_CYCLE = ["Linear Regression", "Ridge Regression", "Lasso Regression", "Ran
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """A file with a single row group is scanned by one task, and every narrow operator
-    after it (joins against broadcast dimensions, the feature projection) would then run in
-    that one task. Only when the scan yields fewer partitions than the cluster has cores is it
-    spread round-robin; a real 100 TB input has thousands of splits and is left untouched
-    (checked from the plan, no job runs)."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session)
-        pass
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _arr(values):
@@ -60,15 +45,14 @@ def energy_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    from ..operators.joins import join_small
     base = sf_dir.rstrip("/")
     sup = spark.read.parquet(f"{base}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey")
     nat = spark.read.parquet(f"{base}/nation.parquet").select("n_nationkey", "n_name")
-    # nation is a fixed 25-row table; the supplier dimension grows with the data, so it is
-    # broadcast only below the size bound and shuffle-joined above it
+    # nation is a fixed 25-row table; the supplier dimension grows with the data, so its join is
+    # left to Spark
     dim = sup.join(F.broadcast(nat), sup.s_nationkey == nat.n_nationkey) \
         .select("s_suppkey", "s_name", "n_name")
-    df = join_small(li, dim, li.l_suppkey == dim.s_suppkey)
+    df = li.join(dim, li.l_suppkey == dim.s_suppkey)
     year = F.year("l_shipdate").cast("int")
     company = F.col("n_name")
     return df.select(
@@ -159,3 +143,52 @@ def model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         actual.alias("actual"),
         (actual * (F.lit(1.0) + noise)).alias("predicted"),
     )
+
+
+# ------------------------------------------------------------------------------ files
+def energy_csv_files(spark: SparkSession, sf_dir: str, directory: str) -> dict[str, str]:
+    """The area rows as CSV files named as the sources expect, in one folder per energy type
+    (odd line numbers are electricity, even ones gas). Gas files have another column order and
+    no smart meters. Returns the folders by type."""
+    area = energy_area(spark, sf_dir)
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    columns = {
+        "electricity": [*keys, "city", "zipcode_from", "type_of_connection", "num_connections",
+                        "annual_consume", "perc_of_active_connections", "smartmeter_perc",
+                        "delivery_perc"],
+        "gas": ["annual_consume", "delivery_perc", *keys, "type_of_connection", "zipcode_from",
+                "perc_of_active_connections", "city", "num_connections"],
+    }
+    jvm = spark._jvm
+    folders = {}
+    for odd, kind in ((1, "electricity"), (0, "gas")):
+        name = F.replace("source_file", F.lit("_electricity_"), F.lit(f"_{kind}_"))
+        written = f"{directory}/{kind}-by-name"
+        (area.where(F.col("l_linenumber") % 2 == odd).select(*columns[kind], name.alias("name"))
+         .repartition("name").write.partitionBy("name").option("header", True).csv(written))
+        folders[kind] = f"{directory}/{kind}"
+        target = jvm.org.apache.hadoop.fs.Path(folders[kind])
+        fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(target)
+        for entry in fs.listStatus(jvm.org.apache.hadoop.fs.Path(written)):
+            file_name = entry.getPath().getName().partition("=")[2]
+            if file_name:
+                part = next(p.getPath() for p in fs.listStatus(entry.getPath())
+                            if p.getPath().getName().startswith("part-"))
+                fs.rename(part, jvm.org.apache.hadoop.fs.Path(target, file_name))
+    return folders
+
+
+def station_text_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The daily rows as station text: comment lines, space-padded fields, blanks for what was
+    not measured."""
+    from ..functions import constants as K
+    raw = weather_raw(spark, sf_dir)
+    fields = [F.lpad(F.coalesce(F.col(v).cast("bigint").cast("string"), F.lit("")), 6, " ")
+              for v in K.WEATHER_VARIABLES]
+    lines = raw.select(F.concat(F.lit("  "), F.concat_ws(",", "STN", "YYYYMMDD", *fields))
+                       .alias("value"))
+    head = spark.createDataFrame([("# daily values",), ("# STN,YYYYMMDD,"
+                                                        + ",".join(K.WEATHER_VARIABLES),)],
+                                 "value string")
+    head.unionByName(lines).write.text(path)

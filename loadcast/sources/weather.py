@@ -24,13 +24,15 @@ def station_text_schema(variables=None) -> T.StructType:
 
 def read_station_text(spark: SparkSession, path: str, variables=None) -> DataFrame:
     """Comment lines skipped, leading/trailing blanks trimmed, blank fields -> NULL,
-    malformed numbers -> NULL (PERMISSIVE), then units (P2) and date parts (P3). Files are
+    malformed numbers and NaN -> NULL (PERMISSIVE), then units (P2) and date parts (P3). Files are
     split and parsed in parallel by the CSV source."""
     raw = (spark.read.schema(station_text_schema(variables))
            .option("comment", "#").option("ignoreLeadingWhiteSpace", True)
            .option("ignoreTrailingWhiteSpace", True).option("mode", "PERMISSIVE")
            .csv(path))
-    return W.with_date_parts(W.to_units(raw.where(F.col("STN").isNotNull())))
+    measured = raw.withColumns({f.name: F.when(~F.isnan(f.name), F.col(f.name))
+                                for f in raw.schema.fields if f.dataType == T.DoubleType()})
+    return W.with_date_parts(W.to_units(measured.where(F.col("STN").isNotNull())))
 
 
 def write_cache(daily: DataFrame, path: str) -> None:
@@ -42,7 +44,8 @@ def write_cache(daily: DataFrame, path: str) -> None:
 
 def read_cache(spark: SparkSession, path: str, stations=None, start_year=None,
                end_year=None) -> DataFrame:
-    df = spark.read.parquet(path)
+    # station numbers come back from the folder names as numbers
+    df = spark.read.parquet(path).withColumn("STN", F.col("STN").cast("string"))
     if stations is not None:
         df = df.filter(F.col("STN").isin([str(s) for s in stations]))
     if start_year is not None:

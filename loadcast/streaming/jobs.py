@@ -17,20 +17,11 @@ latest committed version.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scoring as SC
 from ..operators import weather as W
-from ..session import scratch_path
-
-
-def _checkpoint_location(spark: SparkSession, name: str, fresh: bool) -> str:
-    base = scratch_path(spark, os.path.join("streams", name))
-    return os.path.join(base, uuid.uuid4().hex) if fresh else base
 
 
 def _write_partitioned(df: DataFrame, path: str, batch_id: int) -> None:
@@ -75,17 +66,23 @@ def station_year_stream(daily_raw: DataFrame, table_path: str, checkpoint: str,
 
     def upsert(changed: DataFrame, batch_id: int) -> None:
         spark = changed.sparkSession
-        changed = W.with_station_info(changed, "station").withColumn("batch_id", F.lit(batch_id))
+        # read twice below; a lost block is recomputed from the batch's fixed offsets
+        changed = (W.with_station_info(changed, "station")
+                   .withColumn("batch_id", F.lit(batch_id)).persist())
         # the base is the newest version committed by an earlier batch; a replay of this
         # batch recomputes the same result from the same base (idempotent)
         base = [v for v in committed_versions(spark, table_path) if v < batch_id]
         if base:
             current = spark.read.parquet(_version_path(table_path, base[-1]))
-            keep = current.join(changed.select("station", "year"), ["station", "year"], "left_anti")
+            # null-safe: an unparseable date gives a null year, which must replace its row too
+            new = changed.select(F.col("station").alias("_s"), F.col("year").alias("_y"))
+            keep = current.join(new, F.col("station").eqNullSafe(F.col("_s"))
+                                & F.col("year").eqNullSafe(F.col("_y")), "left_anti")
             merged = keep.unionByName(changed)
         else:
             merged = changed
         merged.write.mode("overwrite").parquet(_version_path(table_path, batch_id))
+        changed.unpersist()
         # versions older than the base are no longer read by anyone who starts now
         for v in base[:-1]:
             _delete(spark, _version_path(table_path, v))

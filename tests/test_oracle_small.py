@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from loadcast.catalog_sql import SQL
 from conftest import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -39,7 +40,7 @@ def _rows(pdf):
                         key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(E.oracle_sql()) - SKIP))
+@pytest.mark.parametrize("name", sorted(set(SQL) - SKIP))
 def test_query_matches_oracle(spark, con, name):
     sp = E.queries()[name](spark, SF_SMALL).toPandas()
     dk = con.execute(E.oracle_sql()[name]).df()

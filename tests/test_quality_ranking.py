@@ -13,13 +13,40 @@ def test_quantiles_match_numpy(spark):
     vals = {g: rng.normal(size=n).round(3).tolist() for g, n in (("a", 37), ("b", 1), ("c", 200))}
     rows = [(g, float(v)) for g, vs in vals.items() for v in vs] + [("a", None)]
     df = spark.createDataFrame(rows, "g string, v double")
-    for method in ("sort", "hash"):
-        got = {r["g"]: r for r in ranking.group_quantiles(df, ["g"], "v", [0.25, 0.5, 0.75],
-                                                          method=method).collect()}
-        for g, vs in vals.items():
-            for p in (0.25, 0.5, 0.75):
-                assert got[g][f"q_{p}"] == pytest.approx(np.quantile(vs, p), abs=1e-12)
-            assert got[g]["n"] == len(vs)
+    got = {r["g"]: r for r in ranking.group_quantiles(df, ["g"], "v", [0.25, 0.5, 0.75]).collect()}
+    for g, vs in vals.items():
+        for p in (0.25, 0.5, 0.75):
+            assert got[g][f"q_{p}"] == pytest.approx(np.quantile(vs, p), abs=1e-12)
+        assert got[g]["n"] == len(vs)
+
+
+def test_quantiles_of_null_groups_all_null_groups_and_no_groups(spark):
+    rows = [(None, 1.0), (None, 3.0), ("empty", None), ("a", 2.0), ("a", 2.0), ("a", 9.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["rows"], r["n"], r["q_0.5"]) for r in
+           ranking.group_quantiles(df, ["g"], "v", [0.5]).collect()}
+    assert got == {None: (2, 2, 2.0), "empty": (1, 0, None), "a": (3, 3, 2.0)}
+    whole = ranking.group_quantiles(df, [], "v", [0.5]).collect()
+    assert [(r["rows"], r["n"], r["q_0.5"]) for r in whole] == [(6, 5, 2.0)]
+
+
+def test_histogram_lists_empty_bins(spark):
+    from loadcast.operators.reports import histogram
+    df = spark.createDataFrame([(0.0,), (10.0,), (None,)], "v double")
+    got = sorted((r["bin"], r["n"]) for r in histogram(df, "v", 8).collect())
+    assert got == [(0, 1), *[(i, 0) for i in range(1, 7)], (7, 1)]
+    assert histogram(df.where("v < 0"), "v", 8).count() == 0
+
+
+def test_building_quantiles_runs_few_jobs(spark):
+    """Counting by value first leaves a handful of jobs, whatever the number of columns."""
+    from loadcast.operators.quality import iqr_filter
+    df = spark.range(5000).select((F.col("id") % 7).cast("string").alias("g"),
+                                  (F.col("id") % 100).cast("double").alias("v"))
+    before = spark.sparkContext._jsc.sc().statusTracker().getJobIdsForGroup(None)
+    iqr_filter(df, "g", "v")
+    after = spark.sparkContext._jsc.sc().statusTracker().getJobIdsForGroup(None)
+    assert len(after) - len(before) <= 10
 
 
 def test_global_row_number_is_dense(spark):

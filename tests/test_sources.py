@@ -92,3 +92,21 @@ def test_file_level_company_and_year(spark, tmpdir_path):
         E.load_company(spark, d, "enexis", "electricity")
     with pytest.raises(ValueError):
         E.load_year(spark, d, 2001, "electricity")
+
+
+def test_nan_is_null_and_quoted_headers_are_names(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "Electricity")
+    os.makedirs(d)
+    _write(os.path.join(d, "liander_electricity_2019.csv"),
+           '"city","annual_consume",num_connections,"note, long"',
+           [("Amsterdam", "NaN", "20", "a"), ('"Haar,lem"', "100", "nan", "b")])
+    df = E.read_energy(spark, d, "electricity")
+    assert {"city", "annual_consume", "num_connections", "note, long"} <= set(df.columns)
+    assert df.agg(F.sum("annual_consume"), F.avg("num_connections")).first()[:] == (100.0, 20.0)
+    assert {r["city"] for r in df.collect()} == {"Amsterdam", "Haar,lem"}
+    from loadcast.sources import weather as WS
+    p = os.path.join(tmpdir_path, "knmi.txt")
+    with open(p, "w") as f:
+        f.write("# x\n  260,20190101, NaN, 20, 80, 3, 10, 40, 200\n"
+                "  260,20190102, 30, 10, 70, 1, 20, 30, 100\n")
+    assert WS.read_station_text(spark, p).agg(F.avg("TG")).first()[0] == 3.0

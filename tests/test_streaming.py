@@ -56,3 +56,20 @@ def test_station_year_table_ignores_uncommitted_version(spark):
     J._delete(spark, partial + "/_SUCCESS")
     assert J.committed_versions(spark, table) == committed
     assert _sorted(J.read_station_year_table(spark, table)) == before
+
+
+def test_station_year_rows_without_a_year_are_replaced(spark, tmpdir_path):
+    """Dates that don't parse give a null year; a later batch replaces that row too."""
+    from loadcast.functions import constants as K
+    from loadcast.streaming import jobs as J
+    schema = "STN string, YYYYMMDD string, " + ", ".join(f"{v} double" for v in
+                                                         K.WEATHER_VARIABLES)
+    source, table = tmpdir_path + "/in", tmpdir_path + "/table"
+    for day, value in (("bad", 10.0), ("worse", 30.0), ("20190101", 50.0)):
+        spark.createDataFrame([("240", day, *[value] * 7)], schema).write.mode("append").parquet(
+            source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        J.station_year_stream(stream, table, tmpdir_path + "/ckpt").awaitTermination()
+    assert len(J.committed_versions(spark, table)) >= 1
+    rows = J.read_station_year_table(spark, table).select("station", "year").collect()
+    assert sorted(rows, key=repr) == sorted([("240", 2019), ("240", None)], key=repr)

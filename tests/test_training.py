@@ -12,12 +12,16 @@ def test_train_package_and_score(spark, tmpdir_path):
     from loadcast.plans.package import load_package, save_package, score_requests
     from loadcast.plans.training import prepare_training_data, train_models
     from loadcast.sources import standins as S
+    from loadcast.operators import ml_prep as M
+    KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     data = prepare_training_data(S.energy_area(spark, SF_SMALL),
                                  weather.national_from_raw(S.weather_raw(spark, SF_SMALL)))
     res = train_models(data, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
                        forest_trees=5)
     m = {r["model"]: r for r in res.metrics.collect()}
     assert set(m) == {"Linear Regression", "Ridge Regression", "Lasso Regression", "Random Forest"}
+    assert all(r["test_r2"] is not None and r["cv_r2_std"] >= 0 for r in m.values())
+    assert res.meta["training_rows"] == data.where(M.split_flag(KEYS)).count()
     assert res.meta["selected_feature_count"] == len(res.selected) > 0
     assert "connection_efficiency" not in res.feature_columns          # leaky feature excluded
     assert res.importance.count() == min(10, len(res.selected))
@@ -30,22 +34,65 @@ def test_train_package_and_score(spark, tmpdir_path):
     assert resp.where(F.col("prediction_kwh").isNull()).count() == 0
 
 
-def test_ridge_mapping_matches_closed_form(spark):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    from loadcast.plans.training import _ridge_reg
-    rng = np.random.default_rng(0)
-    X = rng.normal(size=(300, 3))
-    y = X @ np.array([2.0, -1.0, 0.5]) + 3 + rng.normal(scale=0.5, size=300)
-    alpha = 10.0
-    Xc, yc = X - X.mean(0), y - y.mean()
-    w = np.linalg.solve(Xc.T @ Xc + alpha * np.eye(3), Xc.T @ yc)
-    df = spark.createDataFrame([tuple(map(float, r)) + (float(t),) for r, t in zip(X, y)],
-                               "a double, b double, c double, y double")
-    x = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x").transform(df)
-    m = LinearRegression(featuresCol="x", labelCol="y", regParam=_ridge_reg(alpha, 300, float(y.std())),
-                         elasticNetParam=0.0, standardization=False, solver="normal").fit(x)
-    assert np.allclose(m.coefficients.toArray(), w, atol=1e-8)
+def _rows(spark, n=400, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 3)) * [1.0, 5.0, 0.3]
+    y = x @ np.array([2.0, -1.0, 0.5]) + 3 + rng.normal(scale=0.5, size=n)
+    fold = np.repeat([-1, 0, 1, 2], n // 4)
+    df = spark.createDataFrame([([float(v) for v in r], float(t), int(f))
+                                for r, t, f in zip(x, y, fold)],
+                               "x array<double>, y double, fold int")
+    return df, x, y, fold
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.1, 10.0, 100.0])
+def test_ridge_of_every_fold_matches_numpy(spark, alpha):
+    """The penalty is applied to each fold's own rows."""
+    from loadcast.operators import gram as G
+    df, x, y, fold = _rows(spark)
+    grams = G.block_grams(df, "x", "y", "fold")
+    for i in range(3):
+        xf, yf = x[fold < i], y[fold < i]
+        xc, yc = xf - xf.mean(0), yf - yf.mean()
+        w = np.linalg.solve(xc.T @ xc + alpha * np.eye(3), xc.T @ yc)
+        seen = [g for k, g in grams.items() if k < i]
+        model = G.ridge(sum(seen[1:], seen[0]), alpha)
+        assert np.allclose(model.coefficients, w, atol=1e-8)
+        test, truth = x[fold == i], y[fold == i]
+        pred = test @ w + model.intercept
+        want = 1 - ((truth - pred) ** 2).sum() / ((truth - truth.mean()) ** 2).sum()
+        assert G.r2(grams[i], model) == pytest.approx(want, abs=1e-9)
+
+
+def test_lasso_meets_its_optimality_conditions(spark):
+    from loadcast.operators import gram as G
+    df, x, y, fold = _rows(spark)
+    total = sum(G.block_grams(df, "x", "y", "fold").values(), np.zeros((5, 5)))
+    for alpha in (0.01, 0.3, 1.0, 100.0):
+        m = G.lasso(total, alpha)
+        residual = y - m.intercept - x @ np.array(m.coefficients)
+        pull = (x - x.mean(0)).T @ residual / len(y)
+        for g, w in zip(pull, m.coefficients):
+            assert abs(g) <= alpha + 1e-7
+            if w:
+                assert g == pytest.approx(alpha * np.sign(w), abs=1e-7)
+
+
+def test_constant_target_scores_zero(spark):
+    from loadcast.operators import gram as G
+    df = spark.createDataFrame([([float(i)], 5.0, 0) for i in range(10)],
+                               "x array<double>, y double, fold int")
+    g = G.block_grams(df, "x", "y", "fold")[0]
+    assert G.r2(g, G.ridge(g)) == 0.0
+
+
+def test_no_default_drops_rows():
+    """Sampling is off unless the caller asks for it."""
+    import inspect
+    from loadcast.plans.training import train_models
+    defaults = {k: p.default for k, p in inspect.signature(train_models).parameters.items()}
+    assert defaults["forest_sample_rows"] is None
+    assert not [k for k in defaults if "rows" in k and k != "forest_sample_rows"]
 
 
 def test_national_model(spark):
