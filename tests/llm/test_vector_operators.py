@@ -139,3 +139,16 @@ def test_search_over_the_graph_finds_the_range():
     np.fill_diagonal(truth, False)
     assert truth[i, j].all()
     assert len(i) >= 0.99 * truth.sum()
+
+
+def test_near_duplicates_match_sql(spark):
+    import duckdb
+    from loadcast.llm.oracle import SQL
+    from loadcast.llm.queries import op10_pruned_graph
+    base = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{base}/embeddings.parquet')")
+    want = con.execute(SQL["op10_pruned_graph"]).fetchall()
+    columns = [d[0] for d in con.description]
+    got = op10_pruned_graph(spark, base).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
