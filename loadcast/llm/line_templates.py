@@ -36,9 +36,14 @@ def _key(doc_id: str, text: str) -> Column:
 
 
 def template_tokens(line: Column) -> Column:
-    """The line's tokens with variable fields as wildcards."""
-    plain = F.trim(F.regexp_replace(line, r"\s+", " "))
-    return F.split(F.regexp_replace(plain, r"[^ ]*[0-9@][^ ]*", WILDCARD), " ")
+    """The line's tokens with variable fields as wildcards. Regular expressions run only on lines
+    that need them."""
+    uneven = line.startswith(" ") | line.endswith(" ")
+    for mark in ("  ", "\t", "\r", "\f", "\v"):
+        uneven = uneven | line.contains(mark)
+    even = F.when(uneven, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
+    field = F.regexp_replace(even, r"[^ 0-9@]*+[0-9@][^ ]*+", WILDCARD)
+    return F.split(F.when(even.rlike("[0-9@]"), field).otherwise(even), " ")
 
 
 def segment_hashes(tokens: Column) -> Column:
