@@ -125,7 +125,8 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
                 [b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())),
                  pa.array([d for _, d in done], pa.string())], ["doc_id", "ids", "decoded"])
 
-    schema = docs.select("doc_id", F.array(F.lit(0)).alias("ids"), F.lit("").alias("decoded")).schema
+    schema = docs.select("doc_id", F.array(F.lit(0)).alias("ids"),
+                         F.lit("").alias("decoded")).schema
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOW_33_BITS = (1 << 33) - 1
-
+from ..operators.ranking import running_total
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,33 +24,8 @@ def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
 def with_running_total(df: DataFrame, order_cols: list[str], weight: str | None = None,
                        name: str = "before") -> DataFrame:
     """Add ``name``: the sum of ``weight`` (default: 1 a row) over all rows that sort earlier.
-
-    The rows are range-sorted and checkpointed, so that their places are fixed; only one total
-    per partition reaches the driver. ``df`` should be narrow: it is written once.
-    """
-    spark = df.sparkSession
-    placed = (df.repartitionByRange(shuffle_partitions(spark), *order_cols)
-              .sortWithinPartitions(*order_cols).checkpoint()
-              .withColumns({"_llm_part": F.spark_partition_id(),
-                            "_llm_row": F.monotonically_increasing_id().bitwiseAND(
-                                F.lit(LOW_33_BITS))}))
-    amount = F.lit(1) if weight is None else F.col(weight)
-    totals = {r[0]: r[1] for r in
-              placed.groupBy("_llm_part").agg(F.sum(amount).alias("t")).collect()}
-    offsets, total = [], 0
-    for part in range(max(totals, default=-1) + 1):
-        offsets.append(total)
-        total += totals.get(part, 0)
-    offset = F.element_at(F.array(*[F.lit(v).cast("long") for v in offsets or [0]]),
-                          F.col("_llm_part") + 1)
-    if weight is None:
-        inside = F.col("_llm_row")
-    else:
-        from pyspark.sql import Window
-        earlier = (Window.partitionBy("_llm_part").orderBy("_llm_row")
-                   .rowsBetween(Window.unboundedPreceding, -1))
-        inside = F.coalesce(F.sum(weight).over(earlier), F.lit(0))
-    return placed.withColumn(name, (offset + inside).cast("long")).drop("_llm_part", "_llm_row")
+    ``df`` should be narrow: it is written once."""
+    return running_total(df, order_cols, weight, name)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

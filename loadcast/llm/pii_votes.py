@@ -51,8 +51,8 @@ _PROPOSALS = {
     "ip": re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
     "card": re.compile(r"(?<![0-9.])[0-9]{4}(?:[ .-]{1,2}[0-9]{4,6}){2}[ .-]{1,2}[0-9]{3,5}"
                        r"(?![0-9.])|(?<![0-9])[0-9]{13,19}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9A-Za-z+.-])(?:\+[1-9][0-9]{0,2}[ .-]?|00[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{2,5}\)|"
-                        r"[0-9]{2,5})[ ./-][0-9]{3,4}[ .-][0-9]{3,5}(?![0-9A-Za-z.-])"),
+    "phone": re.compile(r"(?<![0-9A-Za-z+.-])(?:(?:\+|00)[1-9][0-9]{0,2}[ .-]?)?"
+                        r"(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-][0-9]{3,4}[ .-][0-9]{3,5}(?![0-9A-Za-z.-])"),
 }
 # fixed values: gazetteers and cue words
 _ENDINGS = frozenset("com org net edu gov io co info biz de fr es uk us eu example".split())
