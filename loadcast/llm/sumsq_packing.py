@@ -25,30 +25,32 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TABLE_WORDS = 400_000
+TABLE_WORDS = 800_000
 LONG_WORD = 256
 #: white space and controls that Python and the tokenizer may class differently
 _UNSURE = re.compile("[\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029"
                      "\u202f\u205f\u2060\u3000\ufeff]")
-#: the tokenizer's pattern, for words without the characters of _OTHER
+#: the tokenizer's pattern, for texts without the characters of _OTHER_TEXT
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-_OTHER = re.compile("[^\x21-\x7e\u00c0-\u00ff]")
+_OTHER_TEXT = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u00ff]|<[|]")
 #: byte-level alphabet: printable Latin-1 stands for itself, other bytes for code points from 256
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(
     b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
 
-class WordIds(dict):
-    """White-space-delimited word -> its ids, little-endian unsigned 32-bit.
+class WordIds:
+    """Ids, little-endian unsigned 32-bit, of texts by their white-space-delimited words.
 
-    A word of ASCII and Latin-1 letters is split by the tokenizer's own pattern and each part is
-    merged once by the tokenizer's model; any other word goes through the whole library.
+    A text of ASCII and Latin-1 letters is put in lower case, as the tokenizer does; its words are
+    split by the tokenizer's own pattern and each part is merged once by the tokenizer's model.
+    Words of any other text go through the whole library.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -58,41 +60,43 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}        # plain words in lower case
+        self.others: dict[str, bytes] = {}       # words of other texts as they stand
         sample = "It's PLAIN text_1, d\u00e9j\u00e0 vu: x=42!!'tis \u00dcber\u00df"
-        self.by_part = b"".join(map(self.split, sample.split())) == self.whole(sample)
+        self.by_part = b"".join(map(self.split, sample.lower().split())) == self.whole(sample)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids,
-                        dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def merge(self, part: str) -> bytes:
+        mapped = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def split(self, word: str) -> bytes:
-        out = []
-        for part in _PARTS.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                if len(self.parts) >= TABLE_WORDS:
-                    self.parts.clear()
-                mapped = part if part.isascii() else part.encode().decode("latin-1").translate(
-                    _BYTE_CHARS)
-                ids = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-                if len(part) <= LONG_WORD:
-                    self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def __missing__(self, word: str) -> bytes:
-        plain = self.by_part and not _OTHER.search(word) and "<|" not in word
-        ids = self.split(word) if plain else self.whole(word)
-        if len(word) <= LONG_WORD:
-            if len(self) >= TABLE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        return b"".join([_known(self.parts, p, self.merge) for p in _PARTS.findall(word)])
 
     def encode(self, text: str) -> bytes:
-        if _UNSURE.search(text):
+        if self.by_part and not _OTHER_TEXT.search(text):
+            table, words, make = self.words, text.lower().split(), self.split
+        elif _UNSURE.search(text):
             return self.whole(text)
-        return b"".join([self[w] for w in text.split()])
+        else:
+            table, words, make = self.others, text.split(), self.whole
+        try:
+            return b"".join([table[w] for w in words])
+        except KeyError:
+            return b"".join([table[w] if w in table else _known(table, w, make) for w in words])
+
+
+def _known(table: dict[str, bytes], word: str, make) -> bytes:
+    ids = table.get(word)
+    if ids is None:
+        ids = make(word)
+        if len(word) <= LONG_WORD:
+            if len(table) >= TABLE_WORDS:
+                table.clear()
+            table[word] = ids
+    return ids
 
 
 _TABLES: dict[str, WordIds] = {}
