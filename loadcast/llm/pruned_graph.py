@@ -36,7 +36,7 @@ BLOCK_ROWS = 2048
 SHARD_ROWS = 1024
 CANDIDATES, DEGREE, ALPHA, BEAM = 48, 24, 1.2, 16
 AUDIT_ROWS = 256
-PAIRS_AT_ONCE = 1 << 18
+PAIRS_AT_ONCE = 1 << 19
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -88,19 +88,29 @@ def robust_prune(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def adjacency(lists, n: int) -> np.ndarray:
-    """Neighbour lists (pairs of index arrays) and their reverses as one padded array."""
-    a, b = lists
-    a, b = np.concatenate([a, b]), np.concatenate([b, a])
-    key = np.unique(a * n + b)
-    a, b = key // n, key % n
-    keep = a != b
-    a, b = a[keep], b[keep]
-    degree = np.bincount(a, minlength=n)
-    start = np.concatenate([[0], np.cumsum(degree)[:-1]])
-    out = np.full((n, max(int(degree.max(initial=0)), 1)), -1, np.int64)
-    out[a, np.arange(len(a)) - start[a]] = b
-    return out
+class Graph:
+    """United neighbour lists with their reverses: all of them in one run of indices, and the
+    first ``2 * DEGREE`` of each node (own before reverse) as a padded array for the beam."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, n: int):
+        own = np.unique(a[a != b] * n + b[a != b])
+        back = np.setdiff1d(own % n * n + own // n, own, assume_unique=True)
+        a, b = np.concatenate([own, back]) // n, np.concatenate([own, back]) % n
+        order = np.argsort(a, kind="stable")
+        a, self.near = a[order], b[order]
+        self.degree = np.bincount(a, minlength=n)
+        self.start = np.concatenate([[0], np.cumsum(self.degree)[:-1]])
+        place = np.arange(len(a)) - self.start[a]
+        short = place < 2 * DEGREE
+        width = max(1, min(2 * DEGREE, int(self.degree.max(initial=0))))
+        self.padded = np.full((n, width), -1, np.int64)
+        self.padded[a[short], place[short]] = self.near[short]
+
+    def neighbours(self, nodes: np.ndarray) -> np.ndarray:
+        """The lists of the nodes, one after the other."""
+        d = self.degree[nodes]
+        shift = self.start[nodes] - np.concatenate([[0], np.cumsum(d)[:-1]])
+        return self.near[np.repeat(shift, d) + np.arange(d.sum())]
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, start: int) -> np.ndarray:
@@ -139,60 +149,80 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int) -> np.ndarray:
     return pool
 
 
-def range_links(x: np.ndarray, graph: np.ndarray, threshold: float):
-    """Verified links (i, j), i != j, both ways: greedy search from the medoid, then expansion
-    along the graph from every hit."""
+def range_links(x: np.ndarray, graph: Graph, threshold: float) -> np.ndarray:
+    """Verified links as a symmetric matrix of flags: greedy search from the medoid, then
+    expansion along the graph from every hit. Memory is a few flags a pair of the piece's nodes,
+    however many links there are."""
     n = len(x)
-    medoid = int((x @ x.mean(axis=0)).argmax())
-    pool = beam_search(x, graph, medoid)
-    seen = np.zeros((n, n), bool)
-    q = np.repeat(np.arange(n), pool.shape[1])
-    v = pool.reshape(-1)
-    # a search that misses its own node goes on from it
-    q, v = np.concatenate([q[v >= 0], np.arange(n)]), np.concatenate([v[v >= 0], np.arange(n)])
-    found = []
-    while len(q):
-        nq, nv = [], []
-        for at in range(0, len(q), PAIRS_AT_ONCE):
-            a, b = q[at:at + PAIRS_AT_ONCE], v[at:at + PAIRS_AT_ONCE]
-            key = np.unique(a * n + b)
-            a, b = key // n, key % n
-            new = ~seen[a, b]
-            a, b = a[new], b[new]
-            seen[a, b] = True
-            for i in range(0, len(a), 1 << 15):
-                u, w = a[i:i + (1 << 15)], b[i:i + (1 << 15)]
-                hit = (x[u] * x[w]).sum(axis=1) >= threshold
-                hit |= u == w
-                u, w = u[hit], w[hit]
-                found.append((u[u != w], w[u != w]))
-                nb = graph[w]
-                ok = nb >= 0
-                nq.append(np.repeat(u, ok.sum(axis=1)))
-                nv.append(nb[ok])
-        q = np.concatenate(nq) if nq else np.empty(0, np.int64)
-        v = np.concatenate(nv) if nv else np.empty(0, np.int64)
-        if len(q):
-            fresh = ~seen[q, v]
-            q, v = q[fresh], v[fresh]
-    a = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
-    b = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
-    key = np.unique(np.concatenate([a * n + b, b * n + a]))
-    return key // n, key % n
-
-
-def local_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    seen, hit, fresh = (np.zeros(n * n, bool) for _ in range(3))
+
+    def visit(pairs):
+        seen[pairs] = True
+        for i in range(0, len(pairs), 1 << 14):
+            k = pairs[i:i + (1 << 14)]
+            u, w = np.divmod(k, n)
+            near = k[(x[u] * x[w]).sum(axis=1) >= threshold]
+            hit[near] = True
+            fresh[near] = True
+
+    pool = beam_search(x, graph.padded, int((x @ x.mean(axis=0)).argmax()))
+    rows = np.repeat(np.arange(n), pool.shape[1])
+    own = np.arange(n) * (n + 1)
+    met = pool.reshape(-1) >= 0
+    visit(np.unique(rows[met] * n + pool.reshape(-1)[met]))
+    for flags in (seen, hit, fresh):      # a search that misses its own node goes on from it
+        flags[own] = True
+    while len(pairs := np.flatnonzero(fresh)):
+        fresh[pairs] = False
+        reach = np.cumsum(graph.degree[pairs % n])
+        at = 0
+        while at < len(pairs):
+            done = reach[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(reach, done + PAIRS_AT_ONCE, "right")))
+            u, w = np.divmod(pairs[at:end], n)
+            new = np.repeat(u, graph.degree[w]) * n + graph.neighbours(w)
+            visit(np.unique(new[~seen[new]]))
+            at = end
+    hit[own] = False
+    links = hit.reshape(n, n)
+    return links | links.T
+
+
+def local_components(links: np.ndarray) -> np.ndarray:
     """Smallest index that each index reaches over the links."""
+    n = len(links)
     label = np.arange(n)
     while True:
         new = label.copy()
-        np.minimum.at(new, a, label[b])
-        new = np.minimum(new, new[new])
+        for at in range(0, n, 256):
+            new[at:at + 256] = np.minimum(label[at:at + 256], np.where(
+                links[at:at + 256], label, n).min(axis=1, initial=n))
+        new = new[new]
         if (new == label).all():
             return label
         label = new
 
 
+def count_links(links: np.ndarray, copies: np.ndarray, shards: np.ndarray, shard: int,
+                apart: np.ndarray | None) -> np.ndarray:
+    """Copies linked to each node by pairs that this piece counts: those that share no smaller
+    shard, and lie in different blocks where ``apart`` tells the blocks."""
+    count = np.zeros(len(links), np.int64)
+    some = np.flatnonzero(links.any(axis=1))
+    smaller = np.where(shards < shard, shards, -1)
+    for at in range(0, len(some), 128):
+        u = some[at:at + 128]
+        ours = links[np.ix_(u, some)]
+        for i in range(shards.shape[1]):
+            for j in range(shards.shape[1]):
+                mine, other = smaller[u, i], smaller[some, j]
+                ours &= ~((mine[:, None] == other[None, :]) & (mine >= 0)[:, None])
+        if apart is not None:
+            ours &= apart[u][:, None] != apart[some][None, :]
+        count[u] = ours @ copies[some]
+    return count
+
+
 def _pieces(nodes: DataFrame, centres, overlap: int) -> DataFrame:
     """Every node in each piece of work it belongs to: shard, i, j (blocks), own block, and the
     sorted list of its shards."""
@@ -242,20 +272,11 @@ def _search(threshold: float):
                if size.sum() else np.empty(0, np.int64))
         b = np.clip(np.searchsorted(rep, ids), 0, n - 1)
         here = rep[b] == ids
-        graph = adjacency((a[here], b[here]), n)
-        a, b = range_links(x, graph, threshold)
-        # a pair counts in the first shard that both share, in the piece of its two blocks
-        shards = np.stack(pdf["shards"].to_numpy())
-        count = np.zeros(n, np.int64)
-        copies = pdf["copies"].to_numpy()
-        shard, i, j = int(pdf["shard"][0]), int(pdf["i"][0]), int(pdf["j"][0])
-        for at in range(0, len(a), PAIRS_AT_ONCE):
-            u, w = a[at:at + PAIRS_AT_ONCE], b[at:at + PAIRS_AT_ONCE]
-            both = shards[u][:, :, None] == shards[w][:, None, :]
-            first = np.where(both.any(axis=2), shards[u], np.iinfo(np.int32).max).min(axis=1)
-            ours = (first == shard) & ((block[u] != block[w]) if i != j else True)
-            np.add.at(count, u[ours], copies[w[ours]])
-        root = rep[local_components(a, b, n)]
+        links = range_links(x, Graph(a[here], b[here], n), threshold)
+        first = pdf.iloc[0]
+        count = count_links(links, pdf["copies"].to_numpy(), np.stack(pdf["shards"].to_numpy()),
+                            int(first["shard"]), block if first["i"] != first["j"] else None)
+        root = rep[local_components(links)]
         return pd.DataFrame({"rep": rep, "links": count, "root": root})
     return run
 

@@ -133,12 +133,20 @@ def test_search_over_the_graph_finds_the_range():
     x = pruned_graph.unit_rows(np.repeat(centre, 30, 0) + rng.normal(scale=0.1, size=(600, 24)))
     lists = pruned_graph.robust_prune(x)
     a = np.repeat(np.arange(600), (lists >= 0).sum(1))
-    graph = pruned_graph.adjacency((a, lists[lists >= 0]), 600)
-    i, j = pruned_graph.range_links(x, graph, 0.95)
+    graph = pruned_graph.Graph(a, lists[lists >= 0], 600)
+    links = pruned_graph.range_links(x, graph, 0.95)
     truth = (x @ x.T >= 0.95)
     np.fill_diagonal(truth, False)
-    assert truth[i, j].all()
-    assert len(i) >= 0.99 * truth.sum()
+    assert truth[links].all() and (links == links.T).all()
+    assert links.sum() >= 0.99 * truth.sum()
+    label = pruned_graph.local_components(links)
+    assert all(label[i] == label[j] for i, j in zip(*np.nonzero(links)))
+    shards = np.tile([1, 4, 7], (600, 1))
+    shards[:300, 0] = 2
+    assert (pruned_graph.count_links(links, np.ones(600, int), shards, 1, None)
+            == links.sum(1)).all()
+    only = pruned_graph.count_links(links, np.ones(600, int), shards, 4, None)
+    assert (only == np.r_[links[:300, 300:].sum(1), links[300:, :300].sum(1)]).all()
 
 
 def test_near_duplicates_match_sql(spark):
