@@ -10,8 +10,9 @@ inflected forms of an expression share their first letters. A word counts once a
 text that repeats itself doesn't weigh more.
 
 A word's log-likelihood ratio is the sum over its letters; a text is judged by length-normalised
-ratios: the mean over all its words and the highest mean over runs of 1, 2, 4, 8 and 16 words. A
-logistic calibrator turns these and the text's length into a score from 0 to 1.
+ratios: the mean over all its words, the highest mean over runs of 1, 2, 4, 8 and 16 words, and
+the mean over its 2, 3, 5 and 8 highest distinct words. A logistic calibrator turns these and the
+text's length into a score from 0 to 1.
 
 Learning: at most about ``sample_rows`` labelled documents (a stated bound; picked by a hash of
 the id) whose crc32(doc_id) mod 5 is not 0 give the class counts (remainders 1-3) and fit the
@@ -27,6 +28,7 @@ the toxic share of the sample (0 without labels); repeated rows get equal scores
 from __future__ import annotations
 
 import re
+from heapq import nlargest
 from itertools import chain
 
 import numpy as np
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 DEPTH = 8
 CLASS_DISCOUNT, SHARED_DISCOUNT = 0.95, 0.75
 WINDOWS = (1, 2, 4, 8, 16)
+HIGHEST = (2, 3, 5, 8)
 WORDS_KEPT = 300_000
 GROUP_CHARS = 1 << 21
 _LETTERS = re.compile(r"[^\W_]+")
@@ -110,6 +113,7 @@ def step_ratios(words: DataFrame) -> tuple[DataFrame, DataFrame]:
                      F.expr("substring(word, k, 1)").alias("letter"), *n)
              .groupBy("start", "context", "letter").agg(*[F.sum(c).alias(c) for c in n])
              .checkpoint())
+    # a row a character at most
     letters = steps.groupBy("letter").agg(F.count("*").alias("continues"))
     total = F.lit(max(steps.count(), 1))
     contexts = steps.groupBy("context").agg(
@@ -128,7 +132,7 @@ def step_ratios(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     p = {c: F.when(F.col(f"sum_{c}") > 0, discounted(c, CLASS_DISCOUNT)).otherwise(0.0)
          + left_over(c, CLASS_DISCOUNT) * F.col("shared") for c in n[1:]}
     known = F.col("sum_n_toxic") + F.col("sum_n_ordinary") > 0
-    seen = (steps.join(contexts.where(known), "context").join(letters, "letter")
+    seen = (steps.join(contexts.where(known), "context").join(F.broadcast(letters), "letter")
             .where("n_toxic + n_ordinary > 0").withColumn("shared", shared)
             .select(F.xxhash64("start").alias("key"),
                     F.log(p["n_toxic"] / p["n_ordinary"]).cast("float").alias("ratio")))
@@ -140,7 +144,7 @@ def step_ratios(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class Model:
-    """Step ratios in two sorted tables, and the calibrator."""
+    """Step ratios in two sorted tables."""
 
     def __init__(self, seen, unseen):
         self.tables = []
@@ -148,7 +152,6 @@ class Model:
             order = np.argsort(keys)
             self.tables.append((np.append(keys[order], np.iinfo(np.int64).max),
                                 np.append(ratios[order], np.float32(0))))
-        self.center = self.spread = self.coefficients = None
         self.words: dict[str, float] = {}
 
     def __getstate__(self):
@@ -187,7 +190,7 @@ class Model:
                 new = list(every)
             self.learn(new)
         get = self.words.__getitem__
-        out = np.zeros((len(texts), len(WINDOWS) + 2))
+        out = np.zeros((len(texts), 1 + len(WINDOWS) + len(HIGHEST) + 1))
         for i, words in enumerate(split):
             n = len(words)
             if n:
@@ -195,10 +198,16 @@ class Model:
                 out[i, 0], out[i, -1] = sums[-1] / n, np.log1p(n)
                 for k, w in enumerate(WINDOWS):
                     out[i, 1 + k] = ((sums[w:] - sums[:-w]).max() if n >= w else sums[-1]) / w
+                top = nlargest(HIGHEST[-1], map(get, set(words)))
+                for k, w in enumerate(HIGHEST):
+                    out[i, 1 + len(WINDOWS) + k] = sum(top[:w]) / w
         return out
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression by Newton steps, with a small penalty."""
+
+class Calibrator:
+    """Logistic regression by Newton steps, with a small penalty."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
         self.center, self.spread = x.mean(0), np.maximum(x.std(0), 1e-9)
         z = np.c_[np.ones(len(x)), (x - self.center) / self.spread]
         w = np.zeros(z.shape[1])
@@ -213,9 +222,8 @@ class Model:
                 break
         self.coefficients = w
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        z = (self.features(texts) - self.center) / self.spread
-        v = self.coefficients[0] + z @ self.coefficients[1:]
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        v = self.coefficients[0] + (x - self.center) / self.spread @ self.coefficients[1:]
         return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
 
 
@@ -233,7 +241,8 @@ def _groups(texts: list[str | None]):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000):
-    """A broadcast :class:`Model`, or the toxic share of the sample where it lacks a class."""
+    """A broadcast :class:`Model` and its :class:`Calibrator`, or the toxic share of the sample
+    where it lacks a class."""
     spark = docs.sparkSession
     sample = labelled_sample(labels, sample_rows).checkpoint()
     size = sample.agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("int"))).first()
@@ -247,16 +256,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000):
     words = word_counts(marked.select("text", train.alias("toxic")))
 
     def pull(frame):                                # word beginnings of the sample
-        pdf = frame.toPandas()
-        return pdf["key"].to_numpy(np.int64), pdf["ratio"].to_numpy(np.float32)
+        table = frame.toArrow()
+        return tuple(table.column(c).to_numpy() for c in ("key", "ratio"))
 
-    model = Model(*map(pull, step_ratios(words)))
-    first = spark.sparkContext.broadcast(model)
+    model = spark.sparkContext.broadcast(Model(*map(pull, step_ratios(words))))
 
     def run(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
-            x = [f for g in _groups(texts) for f in first.value.features(g).tolist()]
+            x = [f for g in _groups(texts) for f in model.value.features(g).tolist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
@@ -266,23 +274,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000):
     y = np.array([float(r["toxic"] > 0) for r in rows])
     if len(set(y)) < 2:
         return share
-    model.calibrate(np.array([r["x"] for r in rows]), y)
-    return spark.sparkContext.broadcast(model)
+    return model, Calibrator(np.array([r["x"] for r in rows]), y)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000,
                     keep: tuple[str, ...] | None = None, name: str = "score") -> DataFrame:
     """Columns ``keep`` (default: all) of every document and its toxicity score."""
     keep = list(docs.columns if keep is None else keep)
-    model = fit(docs, labels, sample_rows)
-    if isinstance(model, (int, float)):
-        return docs.select(*keep, F.lit(float(model)).alias(name))
+    fitted = fit(docs, labels, sample_rows)
+    if not isinstance(fitted, tuple):
+        return docs.select(*keep, F.lit(float(fitted)).alias(name))
+    model, calibrator = fitted
     schema = docs.select(*keep, F.lit(0.0).alias(name)).schema
 
     def run(batches):
         for b in batches:
             texts = b.column(len(keep)).to_pylist()
-            scores = [s for g in _groups(texts) for s in model.value.scores(g).tolist()]
+            scores = [s for g in _groups(texts)
+                      for s in calibrator.scores(model.value.features(g)).tolist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())],
                                              schema.names)
 
