@@ -1,7 +1,12 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
-Words are spelled out letter by letter, up to ``DEPTH`` letters, and each class, toxic and
-ordinary, has a Kneser-Ney model of the next letter after what the word has so far. A class's
+Words are spelled out letter by letter, and each class, toxic and ordinary, has a Kneser-Ney model
+of the next letter. In a word of ``DEPTH`` letters or fewer its context is what the word has so
+far. Longer words, and text without spaces, are spelled out to their end: a letter after the
+first ``DEPTH`` follows the last letters before it, as many of ``CONTEXTS`` as a class has seen
+together; so does an earlier one where no class has seen the beginning of the long word. Every
+letter and digit enters both likelihoods; what separates words does not, and no context reaches
+from one word into the next. A class's
 counts are discounted by ``CLASS_DISCOUNT``; what they lose goes to the counts of *all*
 documents, labelled or not, after the same letters, which both classes share; those are
 discounted in turn and back off to how many different word beginnings a letter continues. A
@@ -9,15 +14,16 @@ beginning that a class has never seen is thus smoothed alike in both and says li
 inflected forms of an expression share their first letters. A word counts once a document, so a
 text that repeats itself doesn't weigh more.
 
-A word's log-likelihood ratio is the sum over its letters; a text is judged by length-normalised
-ratios: the mean over all its words, the highest mean over runs of 1, 2, 4, 8 and 16 words, and
-the mean over its 2, 3, 5 and 8 highest distinct words. A logistic calibrator turns these and the
+A word's log-likelihood ratio is the sum over its letters, and a long word counts as pieces of
+``DEPTH`` letters; a text is judged by length-normalised ratios: the mean over all its pieces, the
+highest mean over runs of 1, 2, 4, 8 and 16 pieces, and the mean over its 2, 3, 5 and 8 highest
+distinct pieces. A logistic calibrator turns these and the
 text's length into a score from 0 to 1.
 
 Learning: at most about ``sample_rows`` labelled documents (a stated bound; picked by a hash of
 the id) whose crc32(doc_id) mod 5 is not 0 give the class counts (remainders 1-3) and fit the
 calibrator (remainder 4). The shared counts cover every document. What is broadcast holds the
-word beginnings of the sample only.
+word beginnings and letter runs of the sample only.
 
 Defined cases: null and empty texts have no words and get the score of zero ratios; labels
 without id or class are ignored, of several labels of one id the largest counts; a null id is
@@ -37,6 +43,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEPTH = 8
+CONTEXTS = (4, 1)
+FIRST, LATER = "+", "_"
 CLASS_DISCOUNT, SHARED_DISCOUNT = 0.95, 0.75
 WINDOWS = (1, 2, 4, 8, 16)
 HIGHEST = (2, 3, 5, 8)
@@ -50,6 +58,20 @@ def words_of(text: str | None) -> list[str]:
     return [w[:DEPTH] for w in _LETTERS.findall((text or "").lower())]
 
 
+def pieces_of(text: str | None) -> list[str]:
+    """The text's words in lower case, whole: a word longer than ``DEPTH`` is its first letters,
+    marked ``FIRST``, and pieces of the others, marked ``LATER`` and led by the context of their
+    first letter."""
+    out = []
+    for w in _LETTERS.findall((text or "").lower()):
+        if len(w) <= DEPTH:
+            out.append(w)
+        else:
+            out.append(FIRST + w[:DEPTH])
+            out += [LATER + w[k - CONTEXTS[0]:k + DEPTH] for k in range(DEPTH, len(w), DEPTH)]
+    return out
+
+
 def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5
 
@@ -67,7 +89,7 @@ def labelled_sample(labels: DataFrame, sample_rows: int) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n_all, n_toxic, n_ordinary): in how many documents a word stands, of all and of
+    """(word, n_all, n_toxic, n_ordinary): in how many documents a piece stands, of all and of
     each class (column ``toxic``, null where unlabelled). Sums within a task come first."""
     def run(batches):
         counts: dict[str, list[int]] = {}
@@ -85,7 +107,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for text, toxic in zip(batch.column("text"), batch.column("toxic")):
                 label = toxic.as_py()
                 column = 0 if label is None else 1 if label > 0 else 2
-                for w in set(words_of(text.as_py())):
+                for w in set(pieces_of(text.as_py())):
                     n = counts.get(w)
                     if n is None:
                         n = counts[w] = [0, 0, 0]
@@ -104,18 +126,31 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def step_ratios(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Log-likelihood ratios (toxic over ordinary) of single letters: (key, ratio) for word
     beginnings that a class has, and for beginnings after which a class has letters, the ratio
-    of any letter that neither class has there. Keys are XXH64 of the beginning."""
+    of any letter that neither class has there. Keys are XXH64 of the beginning. In long words
+    the runs of a letter and its last ``CONTEXTS`` letters are beginnings too, led by ``LATER``."""
     n = ["n_all", "n_toxic", "n_ordinary"]
-    k = F.explode(F.sequence(F.lit(1), F.char_length("word")))
-    steps = (words.where("word != ''").select("word", k.alias("k"), *n)
-             .select(F.expr("substring(word, 1, k)").alias("start"),
-                     F.expr("substring(word, 1, k - 1)").alias("context"),
-                     F.expr("substring(word, k, 1)").alias("letter"), *n)
-             .groupBy("start", "context", "letter").agg(*[F.sum(c).alias(c) for c in n])
+    first, later = F.col("word").startswith(FIRST), F.col("word").startswith(LATER)
+    inside = [F.lit(m) for m in CONTEXTS]
+    # reach 0: all that the word has so far
+    reach = (F.when(later, F.array(*inside)).when(first, F.array(F.lit(0), *inside))
+             .otherwise(F.array(F.lit(0))))
+    lead = F.when(later, CONTEXTS[0]).otherwise(0)
+    letters = F.when(first | later, F.expr("substring(word, 2)")).otherwise(F.col("word"))
+    k = F.explode(F.sequence(F.greatest("reach", "lead") + 1, F.char_length("word")))
+    cut = f"if(reach = 0, substring(word, 1, {{0}}), concat('{LATER}', substring(word, k - reach, {{1}})))"
+    steps = (words.where("word != ''")
+             .select(letters.alias("word"), lead.alias("lead"), F.explode(reach).alias("reach"), *n)
+             .select("word", "reach", k.alias("k"), *n)
+             .select(F.expr(cut.format("k", "reach + 1")).alias("start"),
+                     F.expr(cut.format("k - 1", "reach")).alias("context"),
+                     F.expr("substring(word, k, 1)").alias("letter"),
+                     (F.col("reach") > 0).alias("inner"), *n)
+             .groupBy("start", "context", "letter", "inner").agg(*[F.sum(c).alias(c) for c in n])
              .checkpoint())
-    # a row a character at most
-    letters = steps.groupBy("letter").agg(F.count("*").alias("continues"))
-    total = F.lit(max(steps.count(), 1))
+    # two rows a character at most
+    letters = steps.groupBy("inner", "letter").agg(F.count("*").alias("continues"))
+    sizes = {r["inner"]: r["count"] for r in steps.groupBy("inner").count().collect()}
+    total = F.when(F.col("inner"), sizes.get(True, 1)).otherwise(sizes.get(False, 1))
     contexts = steps.groupBy("context").agg(
         *[F.sum(c).alias(f"sum_{c}") for c in n],
         *[F.count(F.when(F.col(c) > 0, 1)).alias(f"kinds_{c}") for c in n])
@@ -132,7 +167,8 @@ def step_ratios(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     p = {c: F.when(F.col(f"sum_{c}") > 0, discounted(c, CLASS_DISCOUNT)).otherwise(0.0)
          + left_over(c, CLASS_DISCOUNT) * F.col("shared") for c in n[1:]}
     known = F.col("sum_n_toxic") + F.col("sum_n_ordinary") > 0
-    seen = (steps.join(contexts.where(known), "context").join(F.broadcast(letters), "letter")
+    seen = (steps.join(contexts.where(known), "context")
+            .join(F.broadcast(letters), ["inner", "letter"])
             .where("n_toxic + n_ordinary > 0").withColumn("shared", shared)
             .select(F.xxhash64("start").alias("key"),
                     F.log(p["n_toxic"] / p["n_ordinary"]).cast("float").alias("ratio")))
@@ -162,27 +198,48 @@ class Model:
         at = np.searchsorted(stored[:-1], keys)
         return stored[at] == keys, ratios[at]
 
-    def learn(self, words: list[str]) -> None:
-        """Ratios of words that the cache lacks."""
-        from xxhash import xxh64_intdigest
-        sizes = np.array([len(w) for w in words])
-        keys = np.array([xxh64_intdigest(w[:k].encode("utf-8", "replace"), 42)
-                         for w in words for k in range(len(w) + 1)], np.uint64).view(np.int64)
-        first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        is_step = np.ones(len(keys), bool)
-        is_step[first] = False                       # the empty beginning is a context only
-        starts, contexts = keys[is_step], keys[np.flatnonzero(is_step) - 1]
+    def _steps(self, starts: np.ndarray, contexts: np.ndarray):
+        """Ratios of the steps, and whether a class knows their contexts."""
         has, ratio = self._lookup(0, starts)
         known, other = self._lookup(1, contexts)
-        value = np.where(has, ratio, np.where(known, other, 0)).astype(np.float64)
-        total = np.add.reduceat(value, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        return np.where(has, ratio, np.where(known, other, 0)), has | known
+
+    def learn(self, words: list[str]) -> None:
+        """Ratios of pieces that the cache lacks."""
+        from xxhash import xxh64_intdigest
+
+        def keys(strings):
+            return np.array([xxh64_intdigest(s.encode("utf-8", "replace"), 42) for s in strings],
+                            np.uint64).view(np.int64)
+
+        marked = np.array([w[0] in (FIRST, LATER) for w in words])
+        lead = np.array([CONTEXTS[0] if w[0] == LATER else 0 for w in words])
+        letters = [w[1:] if m else w for w, m in zip(words, marked.tolist())]
+        sizes = np.array([len(w) for w in letters]) - lead
+        first = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(owner)) - first[owner] + lead[owner]
+        value, found = np.zeros(len(owner)), np.zeros(len(owner), bool)
+        begun = np.flatnonzero(lead == 0)
+        prefixes = keys(letters[i][:k] for i in begun.tolist() for k in range(sizes[i] + 1))
+        is_step = np.ones(len(prefixes), bool)       # the empty beginning is a context only
+        is_step[np.cumsum(sizes[begun] + 1) - sizes[begun] - 1] = False
+        steps = np.flatnonzero(is_step)
+        own = lead[owner] == 0
+        value[own], found[own] = self._steps(prefixes[steps], prefixes[steps - 1])
+        for m in CONTEXTS:
+            rest = np.flatnonzero(~found & marked[owner] & (place >= m))
+            runs = [LATER + letters[i][p - m:p + 1]
+                    for i, p in zip(owner[rest].tolist(), place[rest].tolist())]
+            value[rest], found[rest] = self._steps(keys(runs), keys(r[:-1] for r in runs))
+        total = np.add.reduceat(value, first)
         if len(self.words) + len(words) > WORDS_KEPT:
             self.words.clear()
         self.words.update(zip(words, total.tolist()))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Length-normalised log-likelihood ratios of each text, and its log length."""
-        split = [words_of(t) for t in texts]
+        split = [pieces_of(t) for t in texts]
         every = dict.fromkeys(chain.from_iterable(split))
         new = [w for w in every if w not in self.words]
         if new:
@@ -255,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000):
     train = F.when(remainder(F.col("doc_id")) < 4, F.col("toxic").cast("int"))
     words = word_counts(marked.select("text", train.alias("toxic")))
 
-    def pull(frame):                                # word beginnings of the sample
+    def pull(frame):                                # beginnings and letter runs of the sample
         table = frame.toArrow()
         return tuple(table.column(c).to_numpy() for c in ("key", "ratio"))
 

@@ -559,3 +559,33 @@ def test_toxicity(spark):
     none = kn_toxicity.score_documents(docs, marked.limit(0), keep=("doc_id",)).collect()
     assert {r["score"] for r in none} == {0.0}
     assert kn_toxicity.score_documents(docs.limit(0), marked, name="_s").count() == 0
+
+
+@pytest.mark.parametrize("spaced", [True, False])
+def test_toxicity_reads_whole_words(spark, spaced):
+    """Words that differ after their eighth letter only, and text without spaces."""
+    rng = random.Random(8)
+    texts = []
+    for i in range(600):
+        if spaced:
+            words = ["compound" + "".join(rng.choices("abcdef", k=4)) for _ in range(20)]
+            if i % 4 == 0:
+                words[rng.randrange(20)] = "compoundzzyx"
+            texts.append(" ".join(words))
+        else:
+            run = [chr(0x4e00 + rng.randrange(20)) for _ in range(60)]
+            if i % 4 == 0:
+                run[(at := rng.randrange(10, 50)):at + 4] = "\u4e07\u4e03\u4e11\u4e05"
+            texts.append("".join(run))
+    for t in texts[:8]:
+        letters = [p[5:] if p[0] == kn_toxicity.LATER else p.lstrip(kn_toxicity.FIRST)
+                   for p in kn_toxicity.pieces_of(t)]
+        assert "".join(letters) == t.replace(" ", "")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)],
+                                   "doc_id long, toxic int")
+    scored = kn_toxicity.score_documents(documents(spark, texts), labels, name="_s").collect()
+    held = [r for r in scored if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    toxic, other = ([r["_s"] for r in held if (r["doc_id"] % 4 == 0) == kind]
+                    for kind in (True, False))
+    assert len(toxic) > 15 and len(other) > 50
+    assert np.mean([t > o for t in toxic for o in other]) > 0.9
