@@ -12,9 +12,13 @@ appears, and every link is verified by the cosine in double precision. A pair th
 several pieces is counted in the first only. Components are settled inside the pieces first, so
 what leaves a piece is one edge a node at most, not its pairs.
 
-Recall is audited: for a bounded set of nodes the number of links is compared with a comparison
-against all nodes; where the found share is under ``min_recall``, the overlap is doubled and the
-graph is built anew.
+The overlap is at least what lets ``min_recall`` of the pairs at the threshold meet in a shard:
+this is counted on sampled nodes, each with a vector planted at just that angle, so it needs no
+links in the data. Recall is audited besides: the links of sampled nodes are compared with a
+comparison against all nodes, more of them (up to ``AUDIT_MOST``) until ``AUDIT_LINKED`` have
+links. Where the mean share found per linked node is under ``min_recall``, the overlap is doubled
+and the graph is built anew. Without any linked node in the sample nothing is audited: a warning
+says so, and audited_recall reads 1.
 
 Defined cases: vectors that are null, zero, of another length than most or hold null or
 non-finite components link with nothing; so do rows without id (component_id is null there);
@@ -23,6 +27,8 @@ rows that share an id are one vertex; an empty table gives no rows.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,10 +38,13 @@ from pyspark.sql import functions as F
 from .common import connected_components
 from .partition_ann import bounded_sample, matrix, valid_vectors
 
+log = logging.getLogger(__name__)
+
 BLOCK_ROWS = 2048
 SHARD_ROWS = 1024
 CANDIDATES, DEGREE, ALPHA, BEAM = 48, 24, 1.2, 16
-AUDIT_ROWS = 256
+AUDIT_ROWS, AUDIT_LINKED, AUDIT_MOST = 256, 200, 4096
+PLANTED = 4096
 PAIRS_AT_ONCE = 1 << 19
 
 
@@ -60,6 +69,27 @@ def fit_centres(x: np.ndarray, k: int, seed: int = 5, rounds: int = 8) -> np.nda
     return centres
 
 
+def needed_overlap(x: np.ndarray, centres: np.ndarray, threshold: float, min_recall: float,
+                   seed: int = 7) -> int:
+    """Least overlap with which ``min_recall`` of the pairs share a shard that unit rows form with
+    vectors at the threshold angle, each in a random direction."""
+    rng = np.random.default_rng(seed)
+    x = x[:PLANTED]
+    aside = rng.normal(size=x.shape)
+    aside = unit_rows(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+    y = threshold * x + np.sqrt(max(0.0, 1 - threshold * threshold)) * aside
+
+    def ranks(rows):
+        order = np.argsort(-(rows @ centres.T), axis=1, kind="stable")
+        out = np.empty_like(order)
+        np.put_along_axis(out, order, np.arange(order.shape[1])[None, :], axis=1)
+        return out
+
+    need = np.concatenate([np.maximum(ranks(x[i:i + 256]), ranks(y[i:i + 256])).min(axis=1) + 1
+                           for i in range(0, len(x), 256)])
+    return int(np.quantile(need, min_recall, method="inverted_cdf"))
+
+
 def robust_prune(x: np.ndarray) -> np.ndarray:
     """(len(x), DEGREE) neighbour indices, -1 where there are fewer. Rows are unit vectors, so
     squared distance is 2 - 2 cosine."""
@@ -281,31 +311,47 @@ def _search(threshold: float):
     return run
 
 
-def audit_recall(nodes: DataFrame, links: DataFrame, threshold: float, rows: int = AUDIT_ROWS
-                 ) -> float:
-    """Share of the links of about ``rows`` nodes (picked by a hash) that ``links`` (rep, links)
-    has, against a comparison of these nodes with all nodes."""
-    spark = nodes.sparkSession
-    picked = bounded_sample(nodes.select("rep", "v"), rows, "rep").collect()   # bounded
+def audit_recall(nodes: DataFrame, links: DataFrame, threshold: float) -> float | None:
+    """Mean share of a linked node's links that ``links`` (rep, links) has, against a comparison of
+    sampled nodes (picked by a hash) with all nodes; None if no sampled node has a link."""
+    n, whole = max(nodes.count(), 1), 1 << 31
+    place = F.pmod(F.xxhash64("rep"), F.lit(whole))
+    rows, low, linked, total = AUDIT_ROWS, 0, 0, 0.0
+    while low < whole and rows <= AUDIT_MOST and linked < AUDIT_LINKED:
+        high = min(whole, -(-rows * whole // n))
+        more, found = _audit(nodes, nodes.where((place >= low) & (place < high)), links, threshold)
+        linked, total = linked + more, total + found
+        rows, low = 4 * rows, high
+    return total / linked if linked else None
+
+
+def _audit(nodes: DataFrame, sample: DataFrame, links: DataFrame, threshold: float
+           ) -> tuple[int, float]:
+    """How many nodes of the sample have links, and the sum of the shares found."""
+    picked = sample.select("rep", "v").collect()                               # bounded
     if not picked:
-        return 1.0
-    asked = spark.sparkContext.broadcast((np.array([r["rep"] for r in picked]), unit_rows(
-        np.array([r["v"] for r in picked], dtype=np.float64))))
+        return 0, 0.0
+    asked = nodes.sparkSession.sparkContext.broadcast((
+        np.array([r["rep"] for r in picked]),
+        unit_rows(np.array([r["v"] for r in picked], dtype=np.float64))))
 
     def count(batches):
         ids, q = asked.value
         total = np.zeros(len(ids), np.int64)
         for b in batches:
-            s = unit_rows(matrix(b.column("v"))) @ q.T >= threshold
-            s &= b.column("rep").to_numpy()[:, None] != ids[None, :]
-            total += (s * b.column("copies").to_numpy()[:, None]).sum(axis=0)
+            x, rep = unit_rows(matrix(b.column("v"))), b.column("rep").to_numpy()
+            copies = b.column("copies").to_numpy()
+            for i in range(0, len(ids), AUDIT_ROWS):
+                s = x @ q[i:i + AUDIT_ROWS].T >= threshold
+                s &= rep[:, None] != ids[None, i:i + AUDIT_ROWS]
+                total[i:i + AUDIT_ROWS] += copies @ s
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["rep", "truth"])
 
     truth = (nodes.select("rep", "copies", "v").mapInArrow(count, "rep long, truth long")
              .groupBy("rep").agg(F.sum("truth").alias("truth")).where("truth > 0"))
-    r = (truth.join(links, "rep", "left")
-         .agg(F.sum(F.least("truth", F.coalesce("links", F.lit(0)))), F.sum("truth")).first())
-    return float(r[0]) / float(r[1]) if r[1] else 1.0
+    share = F.least("truth", F.coalesce("links", F.lit(0))) / F.col("truth")
+    r = truth.join(links, "rep", "left").agg(F.count("*"), F.sum(share)).first()
+    return r[0], r[1] or 0.0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int = 3,
@@ -328,7 +374,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int =
             nodes.select("rep", "v"), sample_rows, "rep").orderBy("rep").collect()],
             dtype=np.float64))
         k = max(1, min(-(-n // SHARD_ROWS), len(x) // 8))
-        centres = spark.sparkContext.broadcast(fit_centres(x, k))
+        fitted = fit_centres(x, k)
+        overlap = max(overlap, needed_overlap(x, fitted, threshold, min_recall))
+        centres = spark.sparkContext.broadcast(fitted)
         piece = ["shard", "i", "j"]
         while True:
             pieces = _pieces(nodes.select("rep", "copies", "v"), centres, overlap)
@@ -340,7 +388,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int =
                      .applyInPandas(_search(threshold), "rep long, links long, root long")
                      .checkpoint())
             links = found.groupBy("rep").agg(F.sum("links").alias("links")).checkpoint()
-            recall = audit_recall(nodes, links, threshold)
+            audited = audit_recall(nodes, links, threshold)
+            if audited is None:
+                log.warning("no sampled node has a link: recall is not audited, overlap %d is "
+                            "that of planted pairs", overlap)
+            recall = 1.0 if audited is None else audited
             if recall >= min_recall or overlap >= k:
                 break
             overlap = min(2 * overlap, k)

@@ -160,3 +160,23 @@ def test_near_duplicates_match_sql(spark):
     columns = [d[0] for d in con.description]
     got = op10_pruned_graph(spark, base).select(*columns).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_audit_counts_lost_pairs_beside_a_large_group(spark):
+    rng = np.random.default_rng(9)
+    pairs = rng.normal(size=(20, 64)).repeat(2, 0)
+    x = np.concatenate([rng.normal(size=(1, 64)).repeat(100, 0), pairs])
+    x += rng.normal(scale=0.01, size=x.shape)
+    links, _ = near_by_hand(x, 0.95)
+    assert sorted(set(links)) == [1, 99]
+    nodes = spark.createDataFrame([(i, 1, v) for i, v in enumerate(x.astype(float).tolist())],
+                                  "rep long, copies long, v array<double>")
+    found = spark.createDataFrame([(i, 99) for i in range(100)], "rep long, links long")
+    assert pruned_graph.audit_recall(nodes, found, 0.95) == pytest.approx(100 / 140)
+    assert pruned_graph.audit_recall(nodes.where("rep in (0, 100)"), found, 0.95) is None
+
+
+def test_overlap_grows_with_the_shards():
+    x = pruned_graph.unit_rows(random_vectors(3000, 4, 64).astype(np.float64))
+    few, many = (pruned_graph.needed_overlap(x, x[:k], 0.95, 0.995) for k in (2, 1000))
+    assert few <= 2 and many > 3
