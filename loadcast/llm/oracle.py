@@ -23,5 +23,35 @@ select e.vec_id, coalesce(c.n_links, 0) as n_links,
        least(e.vec_id, coalesce(l.b, e.vec_id)) as component_id,
        e.vec_id <= coalesce(l.b, e.vec_id) as kept, 1.0::double as audited_recall
 from embeddings e left join counted c on c.a = e.vec_id left join least l on l.a = e.vec_id
+""",
+    "op11_stratified_search": r"""
+with words as (
+    select d, doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from (select row_number() over () as d, doc_id, text from documents)),
+asked as (
+    select distinct item_id, text, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from benchmark),
+lengths as (select d, any_value(doc_id) as doc_id, count(*) as n from words group by d),
+totals as (select count(*) as docs, sum(n)::bigint as occurrences from lengths),
+postings as (select d, term, count(*) as tf from words group by d, term),
+weights as (
+    select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w
+    from (select term, count(*) as df from postings group by term), totals),
+scored as (
+    select a.item_id, a.text, l.doc_id, l.d,
+           sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (
+               100 - 50 + ((50 * l.n * t.docs) // t.occurrences)))))::bigint as score
+    from asked a join postings p using (term) join weights w using (term)
+         join lengths l using (d), totals t
+    group by a.item_id, a.text, l.doc_id, l.d),
+ranked as (
+    select item_id, row_number() over (partition by item_id, text
+                                       order by score desc, doc_id) as rank, doc_id, score
+    from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 50
 """,
 }

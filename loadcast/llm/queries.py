@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import (chunk_sentencepiece, hilbert_shards, host_boilerplate, kn_toxicity, line_templates,
-               partition_ann, pii_votes, pruned_graph, simhash_balls, sumsq_packing)
+               partition_ann, pii_votes, pruned_graph, simhash_balls, stratified_search,
+               sumsq_packing)
 from .common import table
 
 
@@ -69,7 +70,12 @@ def op10_pruned_graph(spark, sf_dir):
     return pruned_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_stratified_search(spark, sf_dir):
+    return stratified_search.rank(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                  table(spark, sf_dir, "benchmark").select("item_id", "text"), 50)
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_line_templates, op2_learned_partitions, op3_weak_supervision, op4_hilbert_shards,
     op5_distinct_chunks, op6_simhash_balls, op7_host_suffixes, op8_sum_of_squares,
-    op9_kneser_ney, op10_pruned_graph)}
+    op9_kneser_ney, op10_pruned_graph, op11_stratified_search)}
