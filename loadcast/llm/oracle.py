@@ -53,5 +53,59 @@ ranked as (
                                        order by score desc, doc_id) as rank, doc_id, score
     from scored where score > 0)
 select item_id, rank::int as rank, doc_id, score from ranked where rank <= 50
+""",
+    "op12_count_streams": r"""
+with pieces as (
+    select lang, row_number() over () as p, regexp_extract_all(piece, '[^\x20\x09]+') as words
+    from (select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+          from documents)),
+places as (select lang, p, unnest(words) as w, generate_subscripts(words, 1) as i from pieces),
+runs as (
+    select lang, w as w1, lead(w, 1) over piece as w2, lead(w, 2) over piece as w3
+    from places window piece as (partition by p order by i)),
+counted as (
+    select lang, 1 as k, w1, null as w2, null as w3, count(*) as f from runs group by lang, w1
+    union all
+    select lang, 2, w1, w2, null, count(*) from runs where w2 is not null group by lang, w1, w2
+    union all
+    select lang, 3, w1, w2, w3, count(*) from runs where w3 is not null
+    group by lang, w1, w2, w3),
+ones as (select lang, w1, f from counted where k = 1),
+twos as (select lang, w1, w2, f from counted where k = 2),
+totals as (select lang, sum(f) as n from ones group by lang),
+cuts as (
+    select c.lang, c.w1, c.w2, null as w3, c.f as a, 1 as cut, x.f as l, y.f as r
+    from twos c join ones x on x.lang = c.lang and x.w1 = c.w1
+    join ones y on y.lang = c.lang and y.w1 = c.w2 where c.f >= 10
+    union all
+    select c.lang, c.w1, c.w2, c.w3, c.f, 1, x.f, y.f
+    from counted c join ones x on x.lang = c.lang and x.w1 = c.w1
+    join twos y on y.lang = c.lang and y.w1 = c.w2 and y.w2 = c.w3 where c.k = 3 and c.f >= 10
+    union all
+    select c.lang, c.w1, c.w2, c.w3, c.f, 2, x.f, y.f
+    from counted c join twos x on x.lang = c.lang and x.w1 = c.w1 and x.w2 = c.w2
+    join ones y on y.lang = c.lang and y.w1 = c.w3 where c.k = 3 and c.f >= 10),
+scored as (
+    select *, (1000000 * a::hugeint * a::hugeint) // (l::hugeint * r::hugeint) as score
+    from cuts),
+weakest as (
+    select * from scored
+    qualify row_number() over (partition by lang, w1, w2, w3 order by score, cut) = 1),
+longest as (
+    select lang, w1, w2, max(f) as f from (
+        select lang, w1, w2, f from counted where k = 3 and f >= 10
+        union all
+        select lang, w2, w3, f from counted where k = 3 and f >= 10)
+    group by lang, w1, w2),
+kept as (
+    select w.*, concat_ws(' ', w.w1, w.w2, w.w3) as phrase
+    from weakest w left join longest o on o.lang = w.lang and o.w1 = w.w1 and o.w2 = w.w2
+    where w.w3 is not null or o.f is null or 100 * o.f < 50 * w.a),
+ranked as (select *, row_number() over (partition by lang
+                                        order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score
+from ranked join totals using (lang) where rank <= 2000
 """,
 }

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (chunk_sentencepiece, hilbert_shards, host_boilerplate, kn_toxicity, line_templates,
-               partition_ann, pii_votes, pruned_graph, simhash_balls, stratified_search,
-               sumsq_packing)
+from . import (chunk_sentencepiece, collocation_streams, hilbert_shards, host_boilerplate,
+               kn_toxicity, license_automaton, line_templates, partition_ann, pii_votes,
+               pruned_graph, simhash_balls, stratified_search, sumsq_packing)
 from .common import table
 
 
@@ -75,7 +75,20 @@ def op11_stratified_search(spark, sf_dir):
                                   table(spark, sf_dir, "benchmark").select("item_id", "text"), 50)
 
 
+def op12_count_streams(spark, sf_dir):
+    return collocation_streams.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_suffix_automaton(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = license_automaton.scan(docs)
+    span = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"], s["stop"]))
+    return scanned.select("doc_id", *license_automaton.digest(),
+                          F.array_join(span, ",").alias("spans"))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_line_templates, op2_learned_partitions, op3_weak_supervision, op4_hilbert_shards,
     op5_distinct_chunks, op6_simhash_balls, op7_host_suffixes, op8_sum_of_squares,
-    op9_kneser_ney, op10_pruned_graph, op11_stratified_search)}
+    op9_kneser_ney, op10_pruned_graph, op11_stratified_search,
+    op12_count_streams, op13_suffix_automaton)}
