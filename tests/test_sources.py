@@ -110,3 +110,64 @@ def test_nan_is_null_and_quoted_headers_are_names(spark, tmpdir_path):
         f.write("# x\n  260,20190101, NaN, 20, 80, 3, 10, 40, 200\n"
                 "  260,20190102, 30, 10, 70, 1, 20, 30, 100\n")
     assert WS.read_station_text(spark, p).agg(F.avg("TG")).first()[0] == 3.0
+
+
+def test_ten_thousand_small_files_of_three_headers(spark, tmpdir_path):
+    """No list of files reaches the driver: headers are found by tasks, and in groups of files if
+    the table of headers is larger than a broadcast may be."""
+    d = os.path.join(tmpdir_path, "Electricity")
+    os.makedirs(d)
+    headers = ["city,annual_consume,num_connections", "num_connections,city,annual_consume",
+               "annual_consume,city,smartmeter_perc"]
+    for i in range(10_000):
+        values = {"city": f"c{i}", "annual_consume": str(i), "num_connections": "2",
+                  "smartmeter_perc": "50"}
+        header = headers[i % 3]
+        _write(os.path.join(d, f"f{i}_electricity_{2009 + i % 12}.csv"), header,
+               [[values[c] for c in header.split(",")]])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for smaller in (limit, "400k"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", smaller)
+        try:
+            row = E.read_energy(spark, d, "electricity").agg(
+                F.count("*"), F.sum("annual_consume"), F.sum("num_connections"),
+                F.sum("smartmeter_perc"), F.count_distinct("company"),
+                F.count_if(F.concat(F.lit("c"), F.col("annual_consume").cast("int"))
+                           == F.col("city"))).first()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        assert row[:] == (10_000, 9999 * 5000.0, 2.0 * 6667, 50.0 * 3333, 10_000, 10_000)
+
+
+def test_headers_of_split_files_and_repeated_names(spark, tmpdir_path):
+    """A file of many splits has its header in the first one only; a header that stands again
+    is not data; blank lines are skipped."""
+    d = os.path.join(tmpdir_path, "Electricity")
+    os.makedirs(d)
+    for k, header in enumerate(["city,annual_consume,note,note", "note,annual_consume,city"]):
+        width = header.count(",") + 1
+        rows = [[f"v{i}", str(i), "x", "y"][:width] for i in range(20_000)]
+        rows[5000:5000] = [header.split(","), [" "]]
+        _write(os.path.join(d, f"big{k}_electricity_2010.csv"), header, rows)
+    open(os.path.join(d, "empty_electricity_2011.csv"), "w").close()
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        assert E.file_headers(E._lines(spark, d)).count() == 2
+        df = E.read_energy(spark, d, "electricity").cache()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert df.count() == 40_000 and "note.1" in df.columns
+    assert df.agg(F.sum("annual_consume")).first()[0] == 2 * sum(range(20_000))
+    assert df.where("company = 'big0' and `note.1` = 'y'").count() == 20_000
+    assert df.where("company = 'big1' and city = 'x'").count() == 20_000
+
+
+def test_a_folder_without_files(spark, tmpdir_path):
+    import pytest
+    d = os.path.join(tmpdir_path, "Gas")
+    os.makedirs(d)
+    with pytest.raises(FileNotFoundError):
+        E.read_energy(spark, d, "gas")
+    with pytest.raises(ValueError):
+        E.read_energy(spark, d, "water")
