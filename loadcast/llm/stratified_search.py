@@ -40,7 +40,7 @@ from .common import partitions_for, with_running_total
 
 BLOCK_DOCS = 4096
 BLOCK_POSTINGS = 1 << 20
-ROWS_EACH = 50_000
+POSTINGS_EACH = 200_000
 QUERY_BYTES = 8 << 20
 TRIES = 2
 TERMS_KEPT = 200_000
@@ -140,12 +140,13 @@ def _block(m: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 def build_index(docs: DataFrame, vocabulary: frozenset[bytes] | None = None) -> Index:
     """Index of ``docs`` (doc_id, text) over all terms, or those in ``vocabulary``."""
     vectors = term_vectors(docs, vocabulary).where("n > 0").checkpoint()
-    documents, occurrences = vectors.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    documents, occurrences, postings = vectors.agg(
+        F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", F.size("terms"))]).first()
     m = F.expr(f"100L - 50L + ((50L * n * {documents}L) div {max(occurrences, 1)}L)")
     # a stratum that holds very many documents is split by row; the sort keeps ids in order
     placed = (vectors.select(m.alias("m"), "doc_id", "terms", "tfs")
               .withColumn("row", F.monotonically_increasing_id()).where("size(terms) > 0")
-              .repartitionByRange(partitions_for(docs.sparkSession, documents, ROWS_EACH),
+              .repartitionByRange(partitions_for(docs.sparkSession, postings, POSTINGS_EACH),
                                   "m", "row")
               .sortWithinPartitions("m", F.asc_nulls_last("doc_id")))
 
