@@ -5,23 +5,28 @@ same functions as the batch path, then written to the scored table and the quara
 in ``foreachBatch``. Each batch overwrites its own ``batch_id`` partition, so a batch that is
 replayed after a failure replaces its earlier partial output (idempotent sink).
 
-ST2 keeps per (station, year) running aggregates in the state store. Calendar years are not
-fixed windows and the state is tiny (stations x years), so there is no watermark: a late day
-updates its row. ``update`` mode emits changed rows; ``foreachBatch`` upserts them into the
-station-year table: every batch writes a new immutable version directory derived from the
-last committed one (a version is committed once Spark has written its ``_SUCCESS`` marker),
-so a batch that fails half-way and is replayed starts again from the same committed version
-and never sees a partly overwritten table. The national roll-up is a batch query over the
-latest committed version.
+ST2 keeps the readings themselves: every batch appends its readings, one per reading key, to a log
+partitioned by batch, station and year. The station-years that a batch touches are aggregated
+anew from their log, in which a later batch's reading takes the place of an earlier one: a day
+that is delivered twice counts once, and a corrected day takes back what it had added. A batch
+writes the changed rows only, as a new version that counts once Spark has written its
+``_SUCCESS`` marker; every ``SNAPSHOT_EVERY`` batches a version holds the whole table, and versions
+before the last snapshot but one are deleted. Whatever a batch writes it overwrites when it is
+replayed, from the log of earlier batches alone. Readers take each row from its newest version.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import constants as K
 from ..operators import scoring as SC
 from ..operators import weather as W
+from ..sources import storage
+
+SNAPSHOT_EVERY = 32
 
 
 def _write_partitioned(df: DataFrame, path: str, batch_id: int) -> None:
@@ -58,37 +63,54 @@ def score_request_stream(requests: DataFrame, out_path: str, quarantine_path: st
 
 
 # ----------------------------------------------------------------------------- ST2
+def _latest(rows: DataFrame, key, order: Column) -> DataFrame:
+    """One row per key (null-safe), the one with the highest ``order``."""
+    rest = [c for c in rows.columns if c not in key]
+    newest = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_r"))
+    return newest.select(*key, "_r.*")
+
+
 def station_year_stream(daily_raw: DataFrame, table_path: str, checkpoint: str,
+                        reading_key=None, order_by: str | None = None,
                         available_now: bool = True):
-    """Running station-year aggregates from a stream of raw daily rows."""
-    daily = W.with_date_parts(W.to_units(daily_raw))
-    running = W.station_annual_core(daily)
-
-    def upsert(changed: DataFrame, batch_id: int) -> None:
-        spark = changed.sparkSession
-        # read twice below; a lost block is recomputed from the batch's fixed offsets
-        changed = (W.with_station_info(changed, "station")
-                   .withColumn("batch_id", F.lit(batch_id)).persist())
-        # the base is the newest version committed by an earlier batch; a replay of this
-        # batch recomputes the same result from the same base (idempotent)
-        base = [v for v in committed_versions(spark, table_path) if v < batch_id]
-        if base:
-            current = spark.read.parquet(_version_path(table_path, base[-1]))
-            # null-safe: an unparseable date gives a null year, which must replace its row too
-            new = changed.select(F.col("station").alias("_s"), F.col("year").alias("_y"))
-            keep = current.join(new, F.col("station").eqNullSafe(F.col("_s"))
-                                & F.col("year").eqNullSafe(F.col("_y")), "left_anti")
-            merged = keep.unionByName(changed)
-        else:
-            merged = changed
-        merged.write.mode("overwrite").parquet(_version_path(table_path, batch_id))
-        changed.unpersist()
-        # versions older than the base are no longer read by anyone who starts now
-        for v in base[:-1]:
-            _delete(spark, _version_path(table_path, v))
-
-    w = (running.writeStream.outputMode("update").foreachBatch(upsert)
-         .option("checkpointLocation", checkpoint))
+    """Station-year aggregates of a stream of raw daily rows. Rows with an equal
+    ``reading_key`` (by default all columns that are not measured) are one reading: of several in a batch the one with the highest ``order_by``
+    counts (without it, the highest values), and a later batch replaces an earlier one."""
+    key, log = reading_key, f"{table_path.rstrip('/')}/readings"
+    if key is None:
+        key = [c for c in daily_raw.columns if c not in K.WEATHER_VARIABLES and c != order_by]
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        daily = W.with_date_parts(W.to_units(batch))
+        rest = F.struct(*[c for c in daily.columns if c not in key])
+        daily = _latest(daily, key, F.struct(order_by, rest) if order_by else rest)
+        daily.write.mode("overwrite").partitionBy("STN", "year").parquet(
+            f"{log}/batch_id={batch_id}")
+        schema = T.StructType([*daily.schema.fields, T.StructField("batch_id", T.LongType())])
+        readings = spark.read.schema(schema).option("basePath", log).parquet(log).where(
+            F.col("batch_id") <= batch_id)
+        new = readings.where(F.col("batch_id") == batch_id).select(
+            F.col("STN").alias("_s"), F.col("year").alias("_y")).distinct()
+        # null-safe: an unparseable date gives a null year, whose row is replaced too
+        touched = readings.join(new, F.col("STN").eqNullSafe(F.col("_s"))
+                                & F.col("year").eqNullSafe(F.col("_y")), "left_semi")
+        changed = W.station_annual_core(_latest(touched, key, F.col("batch_id")))
+        changed = W.with_station_info(changed, "station").withColumn("batch_id",
+                                                                     F.lit(batch_id))
+        versions = [v for v in committed_versions(spark, table_path) if v < batch_id]
+        if batch_id % SNAPSHOT_EVERY or not versions:
+            changed.write.mode("overwrite").parquet(_version_path(table_path, batch_id))
+            return
+        whole = _latest(_read_versions(spark, table_path, versions).unionByName(changed),
+                        ["station", "year"], F.col("batch_id"))
+        whole.write.mode("overwrite").parquet(_version_path(table_path, batch_id))
+        # a reader that started before this version still needs the snapshot it began with
+        for v in versions:
+            if v < batch_id - SNAPSHOT_EVERY:
+                _delete(spark, _version_path(table_path, v))
+
+    w = daily_raw.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
@@ -97,38 +119,36 @@ def _version_path(table_path: str, batch_id: int) -> str:
     return f"{table_path.rstrip('/')}/v{batch_id:012d}"
 
 
-def _fs_path(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def committed_versions(spark: SparkSession, table_path: str) -> list[int]:
     """Batch ids whose version directory is complete (``_SUCCESS`` is written last, at job
-    commit). A driver-side listing of one directory per batch."""
-    fs, root = _fs_path(spark, table_path)
-    if not fs.exists(root):
-        return []
+    commit). A driver-side listing of one directory per batch since the last snapshot but
+    one."""
     out = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if (st.isDirectory() and name.startswith("v") and name[1:].isdigit()
-                and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))):
+    for name in storage.names(spark, table_path):
+        if name.startswith("v") and name[1:].isdigit() and \
+                "_SUCCESS" in storage.names(spark, f"{table_path.rstrip('/')}/{name}"):
             out.append(int(name[1:]))
     return sorted(out)
 
 
+def _read_versions(spark: SparkSession, table_path: str, versions: list[int]) -> DataFrame:
+    """The rows of the versions since the newest snapshot."""
+    start = max([v for v in versions if v % SNAPSHOT_EVERY == 0], default=0)
+    return spark.read.parquet(*[_version_path(table_path, v) for v in versions if v >= start])
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    fs, p = _fs_path(spark, path)
-    fs.delete(p, True)
+    storage.delete(spark, path)
 
 
 def read_station_year_table(spark: SparkSession, table_path: str) -> DataFrame:
-    """The latest committed version of the station-year table written by the stream."""
+    """The station-year table written by the stream: every row from its newest committed
+    version."""
     versions = committed_versions(spark, table_path)
     if not versions:
         raise FileNotFoundError(f"no committed version under {table_path}")
-    return spark.read.parquet(_version_path(table_path, versions[-1]))
+    return _latest(_read_versions(spark, table_path, versions), ["station", "year"],
+                   F.col("batch_id"))
 
 
 def national_from_station_table(spark: SparkSession, table_path: str, stations=None) -> DataFrame:
