@@ -171,3 +171,65 @@ def test_a_folder_without_files(spark, tmpdir_path):
         E.read_energy(spark, d, "gas")
     with pytest.raises(ValueError):
         E.read_energy(spark, d, "water")
+
+
+def _daily(spark, rows, variables):
+    from loadcast.operators import weather as W
+    return W.with_date_parts(spark.createDataFrame(
+        rows, "STN string, YYYYMMDD string, " + ", ".join(f"{v} double" for v in variables)))
+
+
+def test_cache_grows_by_station_year_and_variable(spark, tmpdir_path):
+    """Adding stations, days or variables keeps what is there."""
+    from loadcast.sources import weather as WS
+    c = tmpdir_path + "/cache"
+    import pytest
+    with pytest.raises(FileNotFoundError):
+        WS.read_cache(spark, c)
+    WS.write_cache(_daily(spark, [("0240", "20190101", 1.0, 2.0), ("0240", "20200101", 3.0, 4.0),
+                                  ("260", "20190101", 5.0, 6.0)], ["TG", "RH"]), c)
+    WS.write_cache(_daily(spark, [("330", "20190101", 7.0, 8.0)], ["TG", "RH"]), c)
+    WS.write_cache(_daily(spark, [("0240", "20190101", 9.0), ("0240", "20190102", 10.0)],
+                          ["Q"]), c)
+    WS.write_cache(_daily(spark, [("260", "20190101", 50.0)], ["TG"]), c)
+    got = {(r["STN"], r["YYYYMMDD"]): (r["TG"], r["RH"], r["Q"])
+           for r in WS.read_cache(spark, c).collect()}
+    assert got == {("0240", "20190101"): (1.0, 2.0, 9.0), ("0240", "20190102"): (None, None, 10.0),
+                   ("0240", "20200101"): (3.0, 4.0, None), ("260", "20190101"): (50.0, 6.0, None),
+                   ("330", "20190101"): (7.0, 8.0, None)}
+    assert WS.read_cache(spark, c, ["0240"], 2020).count() == 1
+
+
+def test_a_request_lists_exactly_its_missing_days(spark, tmpdir_path):
+    import datetime as dt
+    import random
+    from loadcast.sources import weather as WS
+    rng, c, held = random.Random(3), tmpdir_path + "/cache", set()
+    base = dt.date(2019, 12, 1)
+    day = lambda i: base + dt.timedelta(days=i)
+    ask = ["240", "260", "330"], day(5).isoformat(), day(70).isoformat(), ["TG", "Q"]
+
+    def gaps():
+        out = set()
+        for r in WS.missing_days(spark, c, *ask).collect():
+            span = range((r["first"] - base).days, (r["last"] - base).days + 1)
+            days = {(r["STN"], r["variable"], i) for i in span}
+            assert days and not days & out
+            out |= days
+            for i in (span[0] - 1, span[-1] + 1):               # as long as they can be
+                assert not 5 <= i <= 70 or (r["STN"], r["variable"], i) in held
+        return out
+
+    every = {(s, v, i) for s in ask[0] for v in ask[3] for i in range(5, 71)}
+    assert gaps() == every
+    for k in range(4):
+        s, v = rng.choice(ask[0][:2]), rng.choice([["TG"], ["TG", "Q"]])
+        days = rng.sample(range(80), 30)
+        daily = _daily(spark, [(s, day(i).strftime("%Y%m%d"), *[1.0] * len(v)) for i in days], v)
+        if k == 2:
+            WS.write_cache(daily, c, v, day(0).isoformat(), day(30).isoformat())
+            days = range(31)
+        else:
+            WS.write_cache(daily, c, v)
+        held |= {(s, x, i) for x in v for i in days}
+        assert gaps() == every - held
