@@ -392,23 +392,16 @@ def ml_error_report(spark, sf_dir):
                                                         "error_pct")
 
 
-IMPORTANCE_FEATURES = ["avg_temp", "total_precipitation", "cooling_degree_days",
-                       "connection_phases", "connection_amperage", "total_electrical_capacity",
-                       "smart_meter_adoption", "total_connections", "connections_per_household",
-                       "active_connections_percentage", "active_connection_count",
-                       "inactive_connection_count", "connection_efficiency", "high_tech_area"]
-
-
 @query("ml_importance")
 def ml_importance(spark, sf_dir):
-    """Top-10 features by |corr(feature, target)| (stand-in for model importances: the
-    ranking/top-k operator is the same)."""
-    from .operators.annual import safe_corr
+    """Importances read from the node table of a fitted tree of depth two, sorted."""
+    from .operators.forest import importances
     from .operators.ml_prep import top_k_importance
-    from .functions import constants as K
-    df = _featured(spark, sf_dir)
-    wide = df.agg(*[F.abs(safe_corr(c, K.TARGET_COLUMN)).alias(c) for c in IMPORTANCE_FEATURES])
-    return _round(top_k_importance(wide, IMPORTANCE_FEATURES, 10), ["importance"], 6)
+    nodes, _ = _tree(spark, sf_dir, TREE_X, 2)
+    shares = importances(nodes).select(_named("feature").alias("feature"), "importance")
+    wide = shares.agg(*[F.coalesce(F.max(F.when(F.col("feature") == c, F.col("importance"))),
+                                   F.lit(0.0)).alias(c) for c in TREE_X])
+    return _round(top_k_importance(wide, TREE_X, 10), ["importance"], 6)
 
 
 # ------------------------------------------------------------------------------ requests
@@ -749,6 +742,22 @@ def wx_cache_scan(spark, sf_dir):
     return read_cache(spark, path, ["240", "330"], 1996, 1998).select(*DAILY_COLS)
 
 
+@query("wx_cache_gaps")
+def wx_cache_gaps(spark, sf_dir):
+    """A cache filled in two steps, the second with another station and fewer variables;
+    the days that a later request still has to fetch, by station and variable."""
+    from .sources.weather import missing_days, write_cache
+    path = _scratch(spark, "wx_cache_gaps")
+    daily = _daily(spark, sf_dir)
+    write_cache(daily.where("STN in ('240', '330') and YYYYMMDD < '19980301'"), path)
+    write_cache(daily.where("STN in ('260', '330') and YYYYMMDD >= '19970501'"), path,
+                ["TG", "RH"])
+    gaps = missing_days(spark, path, ["240", "260", "330", "391"], "1996-06-01", "1998-06-30",
+                        ["TG", "Q"])
+    return gaps.select("STN", "variable", F.col("first").cast("string").alias("first"),
+                       F.col("last").cast("string").alias("last"))
+
+
 # ------------------------------------------------------------------------------ streaming
 def _stream_of(spark, sf_dir, table):
     path = f"{sf_dir.rstrip('/')}/{table}.parquet"
@@ -772,6 +781,24 @@ def st_station_annual(spark, sf_dir):
                                             "station_name", "station_location")
 
 
+@query("st_corrections")
+def st_corrections(spark, sf_dir):
+    """ST2 with a second delivery: readings that come again unchanged count once, corrected ones
+    take the place of the first. The stream is stopped and resumed in between."""
+    from .streaming.jobs import read_station_year_table, station_year_stream
+    path = _scratch(spark, "st_corrections")
+    first = S.weather_raw(spark, sf_dir)
+    again = first.where("obs_id % 3 = 0").withColumn(
+        "TG", F.when(F.col("obs_id") % 2 == 0, F.col("TG") + F.lit(30.0))
+        .otherwise(F.col("TG")))
+    for delivery in (first, again):
+        delivery.write.mode("append").parquet(f"{path}/in")
+        station_year_stream(spark.readStream.schema(first.schema).parquet(f"{path}/in"),
+                            f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    return read_station_year_table(spark, f"{path}/table").select(
+        "year", *weather.MEASURES, "station", "station_name", "station_location")
+
+
 def _score_stream(spark, sf_dir) -> tuple[str, str]:
     """ST1: requests arrive as a stream and are validated, defaulted and scored per
     micro-batch into a scored table and a quarantine table."""
@@ -859,18 +886,94 @@ def ml_lasso(spark, sf_dir):
                          LINEAR_X[:1])
 
 
+SELECT_X = ["total_connections", "log_connections", "active_connections_percentage",
+            "smart_meter_adoption", "total_electrical_capacity", "postal_digit"]
+SELECT_ALPHAS = [0.01, 60.0]      # the selector's, and one that leaves features out
+
+
+def _scaled_rows(spark, sf_dir) -> DataFrame:
+    """Keys, year, x (the columns SELECT_X, robustly scaled) and household_consumption."""
+    from .operators import ml_prep as M
+    rows = _area_featured(spark, sf_dir).withColumn(
+        "postal_digit", F.substring("zipcode_from", 1, 1).cast("double"))
+    rows = rows.select(*KEYS, "year", "household_consumption",
+                       *[F.col(c).cast("double").alias(c) for c in SELECT_X]).dropna()
+    scaled = M.robust_scale(rows, M.fit_robust_scaler(rows, SELECT_X))
+    return scaled.select(*KEYS, "year", F.array(*SELECT_X).alias("x"),
+                         "household_consumption")
+
+
+@query("ml_selector")
+def ml_selector(spark, sf_dir):
+    """M5: lasso coefficients of every feature with their optimality certificate, and which
+    features the selector keeps."""
+    from .operators import gram as G
+    rows = _scaled_rows(spark, sf_dir).withColumn("b", F.lit(0))
+    sums = G.block_grams(rows, "x", "household_consumption", "b")[0]
+    values = ["coefficient", "gradient", "slack"]
+    found = [(a, *r) for a in SELECT_ALPHAS for r in G.selection(sums, SELECT_X, a)]
+    out = spark.createDataFrame(found, "alpha double, feature string, coefficient double, "
+                                       "gradient double, slack double, kept boolean")
+    out = _round(out.withColumn("kept", F.col("kept").cast("int")), values, 3)
+    return out.withColumns({c: F.col(c) + F.lit(0.0) for c in values})      # no -0.0
+
+
+@query("ml_grid_cv")
+def ml_grid_cv(spark, sf_dir):
+    """Every candidate of the linear models' grids on every expanding-window fold, and
+    the one chosen by its mean."""
+    from .operators import gram as G
+    from .operators import ml_prep as M
+    from .plans.training import LINEAR_GRIDS
+    folds = M.expanding_folds(_scaled_rows(spark, sf_dir), ["year", *KEYS])
+    blocks = G.block_grams(folds, "x", "household_consumption", "fold")
+    rows, best = G.grid_search(blocks, LINEAR_GRIDS, 3)
+    out = spark.createDataFrame(
+        [(m, a or 0.0, f, n, t, r, int(best[m][2] == a)) for m, a, f, n, t, r in rows],
+        "model string, alpha double, fold int, n_train bigint, n_test bigint, r2 double, "
+        "chosen int")
+    return _round(out, ["r2"], 6)
+
+
+TREE_X = ["num_connections", "perc_of_active_connections", "delivery_perc"]
+
+
+def _tree(spark, sf_dir, columns, depth):
+    """(nodes, thresholds) of one tree over all rows of the area table that have the columns."""
+    from .operators import forest as FO
+    rows = (S.energy_area(spark, sf_dir).select(*KEYS, *columns, "annual_consume").dropna()
+            .select(F.xxhash64(*KEYS).alias("id"), F.lit(0).alias("fold"),
+                    F.array(*columns).alias("x"), "annual_consume"))
+    params = FO.ForestParams(trees=1, depth=depth, bootstrap=False, bins=64)
+    cuts = FO.feature_bins(rows, "x", len(columns), params.bins)
+    binned = FO.binned_rows(rows, "x", "annual_consume", cuts).checkpoint()
+    return FO.grow_forests(binned, cuts, [1], params), cuts
+
+
 @query("ml_forest_stump")
 def ml_forest_stump(spark, sf_dir):
     """M9: one tree of depth one, no bagging; the prediction of every feature value."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-    area = S.energy_area(spark, sf_dir).select("delivery_perc", "annual_consume")
-    x = VectorAssembler(inputCols=["delivery_perc"], outputCol="x")
-    model = RandomForestRegressor(featuresCol="x", labelCol="annual_consume", numTrees=1,
-                                  maxDepth=1, featureSubsetStrategy="all", bootstrap=False).fit(
-        x.transform(area))
-    out = model.transform(x.transform(area.select("delivery_perc").distinct()))
-    return _round(out.select("delivery_perc", "prediction"), ["prediction"], 4)
+    from .operators.forest import ForestModel
+    nodes, cuts = _tree(spark, sf_dir, TREE_X[2:], 1)
+    out = S.energy_area(spark, sf_dir).select("delivery_perc").distinct().select(
+        "delivery_perc", ForestModel(nodes, cuts).predict([F.col("delivery_perc")])
+        .alias("prediction"))
+    return _round(out, ["prediction"], 4)
+
+
+def _named(feature):
+    return F.get(F.array(*[F.lit(c) for c in TREE_X]), F.col(feature))
+
+
+@query("ml_tree_depth2")
+def ml_tree_depth2(spark, sf_dir):
+    """M9: the nodes of one tree of depth two over three features, no bagging."""
+    nodes, _ = _tree(spark, sf_dir, TREE_X, 2)
+    out = nodes.select("node", _named("feature").alias("feature"), "threshold",
+                       F.col("weight").cast("bigint").alias("n"), "prediction", "impurity",
+                       "gain")
+    out = _round(out, ["threshold", "prediction"], 4)
+    return _round(out, ["impurity", "gain"], 1)
 
 
 @query("ml_national_model")
@@ -922,6 +1025,27 @@ def score_package(spark, sf_dir):
                   ["prediction_kwh"], 4)
 
 
+@query("score_forest_package")
+def score_forest_package(spark, sf_dir):
+    """M16/M17, S13/S14 with a forest: a tree of depth two, stored, loaded and applied."""
+    from types import SimpleNamespace
+    from .operators.forest import ForestModel
+    from .operators.ml_prep import fit_label_vocabularies
+    from .plans.package import load_package, save_package, score_requests
+    nodes, cuts = _tree(spark, sf_dir, LINEAR_X, 2)
+    feats = ["total_connections", "active_connections_percentage"]
+    meta = {"model_name": "Random Forest", "feature_columns": feats, "selected_indices": [0, 1],
+            "target_column": "annual_consume", "use_scaled": False}
+    vocabulary = fit_label_vocabularies(_area_featured(spark, sf_dir), ["postal_province"])
+    path = _scratch(spark, "forest_package")
+    save_package(SimpleNamespace(
+        best_model=ForestModel(nodes, cuts), vocabulary=vocabulary, scaler={}, meta=meta,
+        medians={"total_connections": 30.0, "active_connections_percentage": 88.0}), path)
+    scored, _ = score_requests(load_package(spark, path), S.score_request(spark, sf_dir))
+    return _round(scored.select("request_id", "model_used", "prediction_kwh"),
+                  ["prediction_kwh"], 4)
+
+
 @query("ml_model_info")
 def ml_model_info(spark, sf_dir):
     """The stored package's performance, counts and allowed values."""
@@ -940,7 +1064,7 @@ def ml_train_models(spark, sf_dir):
     """Prepare (join, features, cleaning), encode/impute/scale on the training part,
     LASSO selection, OLS/ridge/lasso/forest with expanding-window CV; one metrics row per model.
     Iterative fits have no SQL form: the driver checks rows only."""
-    from .plans.training import prepare_training_data, train_models
-    data = prepare_training_data(S.energy_area(spark, sf_dir), _national(spark, sf_dir))
-    res = train_models(data, KEYS)
+    from .plans.training import prepare_with_counts, train_models
+    data, counts = prepare_with_counts(S.energy_area(spark, sf_dir), _national(spark, sf_dir))
+    res = train_models(data, KEYS, stage_counts=counts)
     return res.metrics

@@ -527,19 +527,6 @@ SQL["ml_error_report"] = with_ctes([MODEL_SCORE, metrics_sql("model")], f"""
 SELECT {KEYS}, actual, predicted, round_even(predicted - actual, 1) AS error,
   round_even((predicted - actual) / nullif(actual, 0) * 100.0, 1) AS error_pct FROM s""")
 
-IMPORTANCE = ["avg_temp", "total_precipitation", "cooling_degree_days", "connection_phases",
-              "connection_amperage", "total_electrical_capacity", "smart_meter_adoption",
-              "total_connections", "connections_per_household", "active_connections_percentage",
-              "active_connection_count", "inactive_connection_count", "connection_efficiency",
-              "high_tech_area"]
-SQL["ml_importance"] = with_ctes(FEAT_CTES, "\n, imp AS (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, abs(covar_pop({c}, household_consumption) / "
-    f"nullif(stddev_pop({c}) * stddev_pop(household_consumption), 0)) AS importance "
-    f"FROM featured" for c in IMPORTANCE) + """)
-SELECT feature, round_even(importance, 6) AS importance,
-  CAST(row_number() OVER (ORDER BY importance DESC NULLS LAST, feature) AS INTEGER) AS rank
-FROM imp ORDER BY importance DESC NULLS LAST, feature LIMIT 10""")
-
 # ------------------------------------------------------------------------------ requests
 SCORE_REQUEST = """
 score_request AS (
@@ -863,6 +850,20 @@ SQL["wx_station_text"] = with_ctes([WEATHER_RAW, WEATHER_UNITS, WEATHER_DAILY],
 SQL["wx_cache_scan"] = with_ctes([WEATHER_RAW, WEATHER_UNITS, WEATHER_DAILY], f"""
 SELECT {DAILY_COLS} FROM weather_daily
 WHERE STN IN ('240', '330') AND year BETWEEN 1996 AND 1998""")
+SQL["wx_cache_gaps"] = with_ctes([WEATHER_RAW, WEATHER_UNITS, WEATHER_DAILY], """
+, held AS (
+  SELECT DISTINCT STN, variable, date FROM weather_daily, (VALUES ('TG'), ('Q')) v(variable)
+  WHERE (STN IN ('240', '330') AND date < DATE '1998-03-01')
+     OR (STN IN ('260', '330') AND date >= DATE '1997-05-01' AND variable = 'TG')),
+asked AS (
+  SELECT STN, variable, CAST(d AS DATE) AS date
+  FROM (VALUES ('240'), ('260'), ('330'), ('391')) s(STN), (VALUES ('TG'), ('Q')) v(variable),
+    generate_series(TIMESTAMP '1996-06-01', TIMESTAMP '1998-06-30', INTERVAL 1 DAY) g(d)),
+missing AS (SELECT * FROM asked ANTI JOIN held USING (STN, variable, date)),
+runs AS (SELECT *, date - CAST(row_number() OVER (PARTITION BY STN, variable ORDER BY date)
+                               AS INTEGER) AS run FROM missing)
+SELECT STN, variable, CAST(min(date) AS VARCHAR) AS first, CAST(max(date) AS VARCHAR) AS last
+FROM runs GROUP BY STN, variable, run""")
 SQL["req_density"] = """
 WITH e AS (
   SELECT event_id AS request_id, value AS pct,
@@ -927,6 +928,155 @@ SQL["ml_national_model"] = with_ctes(
 SELECT round_even(r2, 3) AS r2, round_even(rmse, 3) AS rmse, round_even(b0, 3) AS intercept,
   round_even(b1, 3) AS coef_avg_temp, round_even(b2, 3) AS coef_total_precipitation FROM fit""")
 
+# ------------------------------------------------------------------------------ trees
+def tree_ctes(columns: list[str], depth: int, y: str = "annual_consume") -> list[str]:
+    """``level<l>``: the rows with their node; ``best<l>``: each node's best split by value
+    counts; ``stats``: each node's rows, mean and variance."""
+    xs = "[" + ", ".join(columns) + "]"
+    out = [f"level0 AS (SELECT 1 AS node, {xs} AS x, {y} AS y FROM energy_area WHERE "
+           + " AND ".join(f"{c} IS NOT NULL" for c in [*columns, y]) + ")"]
+    for d in range(depth):
+        out += [f"""counts{d} AS (
+  SELECT node, f, v, count(*) AS n, sum(y) AS s
+  FROM (SELECT node, y, unnest(x) AS v, generate_subscripts(x, 1) AS f FROM level{d})
+  GROUP BY node, f, v
+)""", f"""cuts{d} AS (
+  SELECT node, f, v, sum(n) OVER upto AS nl, sum(s) OVER upto AS sl,
+    sum(n) OVER whole AS n, sum(s) OVER whole AS s FROM counts{d}
+  WINDOW upto AS (PARTITION BY node, f ORDER BY v), whole AS (PARTITION BY node, f)
+)""", f"""best{d} AS (
+  SELECT node, f, v, (sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n) / n AS gain
+  FROM cuts{d} WHERE nl >= 2 AND n - nl >= 2 AND n >= 5
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) = 1
+)""", f"""level{d + 1} AS (
+  SELECT CAST(2 * l.node + CASE WHEN l.x[b.f] <= b.v THEN 0 ELSE 1 END AS INTEGER) AS node, l.x,
+    l.y FROM level{d} l JOIN best{d} b USING (node)
+)"""]
+    every = " UNION ALL ".join(f"SELECT node, y FROM level{d}" for d in range(depth + 1))
+    splits = " UNION ALL ".join(f"SELECT * FROM best{d}" for d in range(depth))
+    return out + [f"splits AS ({splits})",
+                  f"stats AS (SELECT node, count(*) AS n, avg(y) AS mean, var_pop(y) AS var "
+                  f"FROM ({every}) GROUP BY node)"]
+
+
+TREE_X = ["num_connections", "perc_of_active_connections", "delivery_perc"]
+TREE_NAME = "[" + ", ".join(f"'{c}'" for c in TREE_X) + "]"
+SQL["ml_tree_depth2"] = with_ctes([ENERGY_AREA, *tree_ctes(TREE_X, 2)], f"""
+SELECT CAST(node AS INTEGER) AS node, {TREE_NAME}[f] AS feature, round_even(v, 4) AS threshold,
+  n, round_even(mean, 4) AS prediction, round_even(var, 1) AS impurity,
+  round_even(coalesce(gain, 0), 1) AS gain
+FROM stats LEFT JOIN splits USING (node)""")
+SQL["ml_importance"] = with_ctes([ENERGY_AREA, *tree_ctes(TREE_X, 2)], f"""
+, names AS (SELECT unnest({TREE_NAME}) AS feature), shares AS (
+  SELECT feature, coalesce(sum(n * gain), 0) / (SELECT sum(n * gain)
+    FROM stats JOIN splits USING (node)) AS importance
+  FROM names LEFT JOIN (SELECT {TREE_NAME}[f] AS feature, n, gain
+                        FROM stats JOIN splits USING (node)) USING (feature)
+  GROUP BY feature)
+SELECT feature, round_even(importance, 6) AS importance,
+  CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM shares""")
+
+# ------------------------------------------------------------------------------ grids
+SELECT_X = {
+    "total_connections": "num_connections", "log_connections": "ln(1 + num_connections)",
+    "active_connections_percentage": "perc_of_active_connections",
+    "smart_meter_adoption": "smartmeter_perc / 100.0::DOUBLE",
+    "total_electrical_capacity": "CASE type_of_connection WHEN '1x35' THEN 35.0 WHEN '3x25' THEN "
+                                 "75.0 WHEN '3x35' THEN 105.0 WHEN '3x50' THEN 150.0 WHEN '3x63' "
+                                 "THEN 189.0 WHEN '3x80' THEN 240.0 ELSE 25.0 END::DOUBLE",
+    "postal_digit": "CAST(substr(zipcode_from, 1, 1) AS DOUBLE)",
+}
+_N = len(SELECT_X)
+SCALED = ["plain AS (SELECT " + KEYS + ", year, annual_consume / greatest(num_connections / ("
+          + CIRCUITS.format(t="type_of_connection") + "), 0.1) AS y, "
+          + ", ".join(f"{e} AS {c}" for c, e in SELECT_X.items()) + " FROM energy_area), "
+          "whole AS (SELECT * FROM plain WHERE "
+          + " AND ".join(f"{c} IS NOT NULL" for c in SELECT_X) + "), quartiles AS (SELECT "
+          + ", ".join(f"quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.5) AS m_{c}, "
+                      f"quantile_cont({c}, 0.75) AS b_{c}" for c in SELECT_X)
+          + " FROM whole), scaled AS (SELECT " + KEYS + ", year, y, "
+          + ", ".join(f"({c} - m_{c}) / CASE WHEN b_{c} - a_{c} = 0 THEN 1.0 ELSE b_{c} - a_{c} "
+                      f"END AS x{i}" for i, c in enumerate(SELECT_X, 1))
+          + " FROM whole, quartiles)"]
+
+
+def moments(source: str, by: str) -> str:
+    """Covariances of the features (q) and with the target (c), and means, per ``by``."""
+    q = "[" + ", ".join("[" + ", ".join(f"covar_pop(x{i}, x{j})" for j in range(1, _N + 1)) + "]"
+                        for i in range(1, _N + 1)) + "]"
+    c = "[" + ", ".join(f"covar_pop(x{i}, y)" for i in range(1, _N + 1)) + "]"
+    m = "[" + ", ".join(f"avg(x{i})" for i in range(1, _N + 1)) + "]"
+    return (f"SELECT {by}, count(*) AS n, {q} AS q, {c} AS c, {m} AS m, avg(y) AS my "
+            f"FROM {source} GROUP BY {by}")
+
+
+def descent(name: str, source: str, key: str, sweeps: int = 300) -> str:
+    """Coordinate descent for the lasso: rows of ``source`` (key, alpha, q, c) get weights w."""
+    at = f"(step % {_N} + 1)"
+    rho = f"(c[{at}] - list_dot_product(q[{at}], w) + q[{at}][{at}] * w[{at}])"
+    return f"""{name}_steps AS (
+  SELECT {key}, alpha, q, c, 0 AS step, {[0.0] * _N}::DOUBLE[] AS w FROM {source}
+  UNION ALL
+  SELECT {key}, alpha, q, c, step + 1, list_transform(w, lambda v, i: CASE WHEN i = {at}
+    THEN sign({rho}) * greatest(abs({rho}) - alpha, 0) / q[{at}][{at}] ELSE v END)
+  FROM {name}_steps WHERE step < {_N * sweeps}
+), {name} AS (SELECT * FROM {name}_steps WHERE step = {_N * sweeps})"""
+
+
+SQL["ml_selector"] = with_ctes([ENERGY_AREA, *SCALED, f"""
+asked AS (SELECT * FROM (VALUES (0.01::DOUBLE), (60.0::DOUBLE)) v(alpha),
+  ({moments("scaled", "1::INTEGER")}) t(one, n, q, c, m, my))""",
+    descent("lasso", "asked", "one")], f"""
+, flat AS (
+  SELECT alpha, unnest({list(SELECT_X)}) AS feature, unnest(w) AS coefficient,
+    unnest(list_transform(c, lambda v, i: v - list_dot_product(q[i], w))) AS gradient FROM lasso)
+SELECT alpha, feature, round_even(coefficient, 3) + 0.0 AS coefficient,
+  round_even(gradient, 3) + 0.0 AS gradient,
+  round_even(alpha - abs(gradient), 3) + 0.0 AS slack,
+  CAST(abs(coefficient) >= median(abs(coefficient)) OVER (PARTITION BY alpha) AS INTEGER) AS kept
+FROM flat""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+_X = "[" + ", ".join(f"x{i}" for i in range(1, _N + 1)) + "]"
+SQL["ml_grid_cv"] = with_ctes([ENERGY_AREA, *SCALED, f"""
+placed AS (SELECT *, row_number() OVER (ORDER BY year, {KEYS}) AS rn, count(*) OVER () AS total
+  FROM scaled)""", """
+folded AS (SELECT *, CASE WHEN total // 4 = 0 THEN -1 WHEN rn > total - total // 4 THEN 2
+  WHEN rn > total - 2 * (total // 4) THEN 1 WHEN rn > total - 3 * (total // 4) THEN 0
+  ELSE -1 END AS fold FROM placed)""", f"""
+trained AS ({moments("(SELECT t.fold AS test, f.* FROM folded f JOIN (VALUES (0), (1), (2)) "
+                     "t(fold) ON f.fold < t.fold)", "test")})""", """
+ridge_steps AS (
+  SELECT model, alpha, test, n, m, my, 0 AS step,
+    list_transform(q, lambda r, i: list_append(list_transform(r, lambda v, j:
+      v + CASE WHEN i = j THEN alpha / n ELSE 0 END), c[i])) AS a
+  FROM trained, (VALUES ('Linear Regression', 0.0::DOUBLE), ('Ridge Regression', 0.1::DOUBLE),
+    ('Ridge Regression', 1.0::DOUBLE), ('Ridge Regression', 10.0::DOUBLE),
+    ('Ridge Regression', 100.0::DOUBLE)) g(model, alpha)
+  UNION ALL
+  SELECT model, alpha, test, n, m, my, step + 1, list_transform(a, lambda r, i:
+    CASE WHEN i = step + 1 THEN list_transform(r, lambda v: v / a[step + 1][step + 1])
+    ELSE list_transform(r, lambda v, k: v - r[step + 1] * a[step + 1][k]
+      / a[step + 1][step + 1]) END)
+  FROM ridge_steps WHERE step < """ + str(_N) + """
+)""", "asked AS (SELECT * FROM trained, (VALUES (0.01::DOUBLE), (0.1::DOUBLE), (1.0::DOUBLE), "
+      "(10.0::DOUBLE)) g(alpha))", descent("lasso", "asked", "test, n, m, my")], f"""
+, fits AS (
+  SELECT model, alpha, test, n, m, my, list_transform(a, lambda r: r[{_N + 1}]) AS w
+  FROM ridge_steps WHERE step = {_N}
+  UNION ALL SELECT 'Lasso Regression', alpha, test, n, m, my, w FROM lasso),
+scored AS (
+  SELECT model, alpha, test AS fold, any_value(f.n) AS n_train, count(*) AS n_test,
+    1 - sum((y - (my + list_dot_product(w, list_transform({_X}, lambda v, i: v - m[i])))) ** 2)
+      / (count(*) * var_pop(y)) AS r2
+  FROM fits f JOIN folded r ON r.fold = f.test GROUP BY model, alpha, test),
+means AS (SELECT model, alpha, avg(r2) AS mean FROM scored GROUP BY model, alpha),
+best AS (SELECT model, alpha FROM means
+         QUALIFY row_number() OVER (PARTITION BY model ORDER BY mean DESC, alpha) = 1)
+SELECT s.model, s.alpha, CAST(fold AS INTEGER) AS fold, n_train, n_test,
+  round_even(r2, 6) AS r2, CAST(b.alpha IS NOT NULL AS INTEGER) AS chosen
+FROM scored s LEFT JOIN best b ON b.model = s.model AND b.alpha = s.alpha""").replace(
+    "WITH ", "WITH RECURSIVE ", 1)
+
 # ------------------------------------------------------------------------------ package
 
 
@@ -948,9 +1098,23 @@ SELECT request_id, 'Linear Regression' AS model_used,
     + b2 * coalesce(perc_of_active_connections, 88.0) + 5.0 * coalesce(code, 0), 4)
     AS prediction_kwh
 FROM model_input CROSS JOIN fit LEFT JOIN vocabulary ON value = {province('zipcode_from')}""")
+_ROUTE = "CASE WHEN x[s{0}.f] <= s{0}.v THEN 0 ELSE 1 END"
+SQL["score_forest_package"] = with_ctes(REQ_INPUT + [ENERGY_AREA, *tree_ctes(
+    ["num_connections", "perc_of_active_connections"], 2)], f"""
+, asked AS (SELECT request_id, [coalesce(num_connections, 30.0),
+    coalesce(perc_of_active_connections, 88.0)] AS x FROM model_input),
+first AS (SELECT request_id, x, coalesce(2 + {_ROUTE.format(1)}, 1) AS node
+          FROM asked LEFT JOIN splits s1 ON s1.node = 1),
+second AS (SELECT request_id, coalesce(2 * first.node + {_ROUTE.format(2)}, first.node) AS node
+           FROM first LEFT JOIN splits s2 ON s2.node = first.node AND first.node > 1)
+SELECT request_id, 'Random Forest' AS model_used, round_even(mean, 4) AS prediction_kwh
+FROM second JOIN stats USING (node)""")
 SQL["ml_model_info"] = with_ctes([ENERGY_AREA, two_features(*AREA_FIT)], """
 SELECT 'Linear Regression' AS model_name, 'annual_consume' AS target_column,
   false AS use_scaled, round_even(r2, 6) AS test_r2, CAST(3 AS INTEGER) AS feature_count,
   CAST(3 AS INTEGER) AS selected_feature_count, '1x25,1x35,3x25,3x35,3x50' AS house_types,
   'coteq,enexis,liander,stedin,westland-infra' AS companies,
   'cold,normal,warm' AS weather_scenarios FROM fit""")
+SQL["st_corrections"] = SQL["wx_station_annual"].replace(
+    "CAST(o_custkey % 250 AS DOUBLE) AS TG", "CAST(o_custkey % 250 AS DOUBLE) + CASE WHEN "
+    "o_orderkey % 6 = 0 THEN 30.0 ELSE 0.0 END::DOUBLE AS TG")

@@ -21,10 +21,9 @@ def block_grams(df: DataFrame, features: str, target: str, block: str) -> dict[i
     def run(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in b.column("x").to_pylist()]) \
-                if b.num_rows else np.zeros((0, 0))
-            if not len(x):
+            if not b.num_rows:
                 continue
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             z = np.c_[np.ones(len(x)), x, b.column("y").to_numpy(zero_copy_only=False)]
             blocks = b.column("block").to_numpy(zero_copy_only=False)
             for k in np.unique(blocks):
@@ -117,3 +116,39 @@ def r2(gram: np.ndarray, model: LinearModel) -> float:
     sse = gram[-1, -1] - 2 * b @ gram[:-1, -1] + b @ gram[:-1, :-1] @ b
     sst = gram[-1, -1] - gram[0, -1] ** 2 / gram[0, 0]
     return float(1 - sse / sst) if sst > 0 else 0.0
+
+
+def selection(gram: np.ndarray, names: list[str], alpha: float) -> list[tuple]:
+    """M5 with its certificate: (feature, coefficient, gradient, slack, kept) of the lasso with
+    ``alpha``. The gradient is that of half the mean squared error, taken away: it equals alpha
+    with the coefficient's sign where there is one and lies within alpha (slack >= 0) elsewhere,
+    which only the optimum does. Kept are coefficients no smaller than the median in size."""
+    n, _, sxx, sxy = _centred(gram)
+    w = np.array(lasso(gram, alpha).coefficients)
+    pull = (sxy - sxx @ w) / n
+    kept = np.abs(w) >= np.median(np.abs(w))
+    return [(f, float(c), float(g), float(alpha - abs(g)), bool(k))
+            for f, c, g, k in zip(names, w, pull, kept)]
+
+
+def grid_search(blocks: dict[int, np.ndarray], grids: dict, splits: int):
+    """M10/M12 for linear models: ``grids`` names for each model its candidates (alpha, fit),
+    where ``fit`` turns sums of products into a model. A candidate is fitted on all blocks before
+    a fold and scored on the fold. Returns rows (model, alpha, fold, n_train, n_test, r2) and,
+    per model, (mean r2, population std, alpha, fit) of the best mean, the first one among
+    equals."""
+    rows, best = [], {}
+    for name, candidates in grids.items():
+        for alpha, fit in candidates:
+            scores = []
+            for i in range(splits):
+                seen = [g for k, g in blocks.items() if k < i]
+                if not seen or i not in blocks:
+                    continue
+                train = sum(seen[1:], seen[0])
+                scores.append(r2(blocks[i], fit(train)))
+                rows.append((name, alpha, i, int(train[0, 0]), int(blocks[i][0, 0]), scores[-1]))
+            mean = float(np.mean(scores or [0.0]))
+            if name not in best or mean > best[name][0]:
+                best[name] = (mean, float(np.std(scores or [0.0])), alpha, fit)
+    return rows, best

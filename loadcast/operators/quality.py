@@ -3,7 +3,7 @@ per-group IQR outlier removal (F4) and the stage row-count funnel (F8)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -71,23 +71,24 @@ def iqr_filter(df: DataFrame, group: str, value: str, factor: float = K.IQR_FACT
     return j.filter(keep).drop("_g", "group_rows", "lower_bound", "upper_bound")
 
 
-def funnel(loaded: DataFrame, weather: DataFrame, columns=None) -> DataFrame:
-    """F8: row counts after load, weather merge, critical-null removal, activity floor and
-    household range, computed in one pass (a left join flags the merge, then conditional
-    counts). Returns one row."""
-    cols = [c for c in (columns or K.CRITICAL_COLUMNS)]
-    w = weather.withColumn("_merged", F.lit(True))
-    j = join_by_year(loaded, w, "left")
+def funnel_counts(columns=None) -> list[Column]:
+    """Conditional counts over area rows that are left-joined to the weather (``_merged`` is null
+    where there is none): after load, merge, critical-null removal, activity floor and household
+    range. For an aggregate, or to observe a table on its way to another one."""
     complete = F.col("_merged").isNotNull()
-    for c in cols:
+    for c in columns or K.CRITICAL_COLUMNS:
         complete = complete & F.col(c).isNotNull()
     hh = F.col("annual_consume") / FT.estimated_households()
     active = complete & (F.col("perc_of_active_connections") >= F.lit(K.MIN_ACTIVE_PCT))
     in_range = active & hh.between(F.lit(K.HOUSEHOLD_KWH_MIN), F.lit(K.HOUSEHOLD_KWH_MAX))
-    return j.agg(
-        F.count(F.lit(1)).alias("after_load"),
-        F.count_if(F.col("_merged").isNotNull()).alias("after_merge"),
-        F.count_if(complete).alias("after_dropna"),
-        F.count_if(active).alias("after_active_filter"),
-        F.count_if(in_range).alias("after_range_filter"),
-    )
+    return [F.count(F.lit(1)).alias("after_load"),
+            F.count_if(F.col("_merged").isNotNull()).alias("after_merge"),
+            F.count_if(complete).alias("after_dropna"),
+            F.count_if(active).alias("after_active_filter"),
+            F.count_if(in_range).alias("after_range_filter")]
+
+
+def funnel(loaded: DataFrame, weather: DataFrame, columns=None) -> DataFrame:
+    """F8: the counts of ``funnel_counts`` in one pass. Returns one row."""
+    return join_by_year(loaded, weather.withColumn("_merged", F.lit(True)), "left").agg(
+        *funnel_counts(columns))

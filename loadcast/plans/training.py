@@ -11,6 +11,7 @@ Scale notes
 * Folds are labelled by comparing order keys with three boundary keys (no join back).
 * One pass adds up the feature products per fold; the selector, every linear candidate and its
   scores on every fold are solved from these sums.
+* The forests of all folds and the final one grow side by side over one binned table.
 * Every model is fitted and scored on the same rows and folds; nothing is sampled unless the
   caller asks for it.
 """
@@ -22,14 +23,12 @@ import time
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.features import with_features
+from ..operators import forest as FO
 from ..operators import gram as G
 from ..operators import ml_prep as M
 from ..operators import quality as Q
@@ -37,25 +36,37 @@ from ..operators.joins import join_by_year
 
 ROWS_PER_PARTITION = 25_000     # of the training table; from the rows alone, not the cluster
 
+LINEAR_GRIDS = {
+    "Linear Regression": [(None, G.ridge)],
+    "Ridge Regression": [(a, lambda g, a=a: G.ridge(g, a)) for a in K.RIDGE_ALPHAS],
+    "Lasso Regression": [(a, lambda g, a=a: G.lasso(g, a)) for a in K.LASSO_ALPHAS],
+}
 
-def prepare_training_data(area: DataFrame, national: DataFrame) -> DataFrame:
+
+def prepare_with_counts(area: DataFrame, national: DataFrame) -> tuple[DataFrame, dict]:
     """Area rows x national weather (J2) -> features -> F1 -> F2 -> F3 -> F4, in the order of
     the source system. The IQR filter groups by the raw connection type. Returns the cleaned
-    table checkpointed (materialised)."""
+    table checkpointed (materialised), and how many rows each stage kept (F8): counted while the
+    rows pass, without a scan of their own."""
     weather_cols = [c for c in national.columns if c not in ("data_source", "stations_used",
                                                              "coverage")]
-    # the range-filtered table feeds both the quartiles and the filter: persisted once
-    df = join_by_year(area, national.select(*weather_cols))
+    seen = Observation("funnel")
+    df = join_by_year(area, national.select(*weather_cols, F.lit(True).alias("_merged")), "left")
+    df = df.observe(seen, *Q.funnel_counts()).where("_merged").drop("_merged")
     df = Q.drop_incomplete(with_features(df))
     df = Q.household_range_filter(Q.active_filter(Q.with_preliminary_household(df)))
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        # the cleaned table is written to the shared checkpoint folder (lineage cut, survives
-        # executor loss); the cached intermediate is then released
-        return Q.iqr_filter(df, "type_of_connection", "preliminary_household_consumption") \
-            .checkpoint(eager=True)
-    finally:
-        df.unpersist()
+    # the range-filtered table feeds both the quartiles and the filter: written once, to the
+    # shared checkpoint folder (lineage cut, survives executor loss)
+    df = df.checkpoint()
+    kept = Observation("kept")
+    out = Q.iqr_filter(df, "type_of_connection", "preliminary_household_consumption") \
+        .observe(kept, F.count(F.lit(1)).alias("after_iqr_filter")).checkpoint()
+    return out, {**seen.get, **kept.get}
+
+
+def prepare_training_data(area: DataFrame, national: DataFrame) -> DataFrame:
+    """The table of ``prepare_with_counts``."""
+    return prepare_with_counts(area, national)[0]
 
 
 def feature_list(include_leaky: bool = False):
@@ -77,54 +88,18 @@ class TrainResult:
     meta: dict = field(default_factory=dict)
 
 
-def _memory_mb(text: str) -> float:
-    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
-    t = text.strip().lower().rstrip("b")
-    return float(t[:-1]) * units[t[-1]] if t and t[-1] in units else float(t) / 2 ** 20
-
-
-def task_heap_mb(spark) -> float:
-    """Heap share of one concurrent task: the driver heap over the local cores, or the
-    executor memory over the executor cores on a cluster."""
-    try:
-        conf = spark.sparkContext.getConf()
-        if conf.get("spark.master", "").startswith("local"):
-            heap = spark._jvm.java.lang.Runtime.getRuntime().maxMemory() / 2 ** 20
-            cores = spark.sparkContext.defaultParallelism
-        else:
-            heap = _memory_mb(conf.get("spark.executor.memory", "1g"))
-            cores = int(conf.get("spark.executor.cores", "1"))
-        return heap / max(cores, 1)
-    except Exception:  # noqa: BLE001 - e.g. no JVM view of the session
-        return 1024.0
-
-
-def fit_concurrency(spark, requested: int) -> int:
-    """How many fits run side by side: one per 512 MB of task heap share, at most
-    ``requested``. A small heap (e.g. 1 GB over 8 local cores) fits one model at a time, so
-    concurrent forest histograms cannot exhaust it."""
-    return int(max(1, min(requested, task_heap_mb(spark) // 512)))
-
-
-def forest_memory_mb(spark) -> int:
-    """Per-task histogram memory for the forest: a quarter of the task heap share, within
-    8..1024 MB. Every concurrent task allocates up to this much (plus its map-side combine
-    copy). Spark still splits one node per pass when a single node needs more."""
-    return int(max(8, min(1024, task_heap_mb(spark) / 4)))
-
-
 def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
                  include_leaky: bool = False, select_by: str = "cv",
                  forest_trees: int = K.FOREST_TREES, cv_splits: int = K.CV_SPLITS,
-                 models=None, parallelism: int = 4, forest_sample_rows: int | None = None,
-                 exact_quantiles: bool = True) -> TrainResult:
+                 models=None, forest_sample_rows: int | None = None,
+                 exact_quantiles: bool = True, stage_counts: dict | None = None) -> TrainResult:
     """Fit the four regressors and report CV and test metrics, all on the same rows and folds.
 
     ``forest_sample_rows`` fits the final forest on about so many training rows (a deterministic
     md5-of-key sample, off by default); CV and evaluation always use all rows.
     ``exact_quantiles=False`` fits medians and scaling quartiles from sketches in one pass (for
-    very large tables) instead of exact value counts."""
-    from concurrent.futures import ThreadPoolExecutor
+    very large tables) instead of exact value counts. ``stage_counts`` (of
+    ``prepare_with_counts``) goes into the metadata."""
     spark = data.sparkSession
     feats = feature_list(include_leaky)
     cats = [c for c in feats if c in K.CATEGORICAL_COLUMNS]
@@ -138,12 +113,11 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
         phases[phase] = round(now - clock[0], 3)
         clock[0] = now
 
-    # dealt and sorted by key into a number of partitions that depends on the rows alone: the
-    # forest draws its bags by partition and place, so the trees don't depend on the cluster
-    parts = max(1, -(-data.count() // ROWS_PER_PARTITION))
-    base = (data.select(*key_cols, "year", *feats, target)
-            .withColumn("_train", M.split_flag(key_cols))
-            .repartition(parts, *key_cols).sortWithinPartitions(*key_cols))
+    base = data.select(*key_cols, "year", *feats, target).withColumn("_train",
+                                                                     M.split_flag(key_cols))
+    parts = -(-data.count() // ROWS_PER_PARTITION)
+    if parts > data.rdd.getNumPartitions():     # a few large files: more tasks than partitions
+        base = base.repartition(parts, *key_cols)
     train = base.where("_train")
     vocab = M.fit_label_vocabularies(train, cats)
     coded = M.apply_label_codes(base, vocab, cats)
@@ -169,74 +143,53 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
     total = sum(grams.values(), zero)
     n = int(total[0, 0])
     # M5: LASSO selector on scaled features, keep |coef| >= median |coef|
-    coefs = np.abs(G.lasso(total, K.SELECTOR_LASSO_ALPHA).coefficients)
-    selected = [int(i) for i in np.flatnonzero(coefs >= np.median(coefs))]
+    chosen = G.selection(total, feats, K.SELECTOR_LASSO_ALPHA)
+    selected = [i for i, row in enumerate(chosen) if row[4]]
     total = G.subset(total, selected)
     blocks = {k: G.subset(g, selected) for k, g in grams.items()}
     mark("products_and_selection")
 
-    linear = {
-        "Linear Regression": [({}, lambda g: G.ridge(g))],
-        "Ridge Regression": [({"alpha": a}, lambda g, a=a: G.ridge(g, a)) for a in K.RIDGE_ALPHAS],
-        "Lasso Regression": [({"alpha": a}, lambda g, a=a: G.lasso(g, a)) for a in K.LASSO_ALPHAS],
-    }
-    names = [*linear, "Random Forest"]
-    names = [m for m in names if not models or m in models]
-    fitted: dict[str, object] = {}
-    cv: dict[str, tuple[float, float, dict]] = {}
-
-    def summary(scores, params):
-        return float(np.mean(scores)), float(np.std(scores)), params
-
-    for name in [m for m in names if m in linear]:
-        best = None
-        for params, fit in linear[name]:
-            scores = []
-            for i in range(cv_splits):
-                seen = [g for k, g in blocks.items() if k < i]
-                if seen and i in blocks:
-                    scores.append(G.r2(blocks[i], fit(sum(seen[1:], seen[0]))))
-            candidate = (*summary(scores or [0.0], params), fit)
-            best = candidate if best is None or candidate[0] > best[0] else best
-        cv[name], fitted[name] = best[:3], best[3](total)
+    linear = {m: candidates for m, candidates in LINEAR_GRIDS.items()
+              if not models or m in models}
+    names = [*linear, *(["Random Forest"] if not models or "Random Forest" in models else [])]
+    _, best = G.grid_search(blocks, linear, cv_splits)
+    cv = {m: (mean, std, {} if alpha is None else {"alpha": alpha})
+          for m, (mean, std, alpha, _) in best.items()}
+    fitted: dict[str, object] = {m: fit(total) for m, (_, _, _, fit) in best.items()}
     mark("linear_models")
 
-    chosen = F.array(*[F.col("x_raw")[i] for i in selected])
+    inputs = {m: [F.col("x_scaled" if m in linear else "x_raw")[i] for i in selected]
+              for m in names}
     if "Random Forest" in names:
-        forest_mb = forest_memory_mb(spark)
-
-        def forest():
-            return RandomForestRegressor(
-                featuresCol="xr", labelCol=target, numTrees=forest_trees, maxDepth=K.FOREST_DEPTH,
-                minInstancesPerNode=K.FOREST_MIN_LEAF, featureSubsetStrategy="sqrt",
-                seed=K.FOREST_SEED, maxMemoryInMB=forest_mb, cacheNodeIds=True)
-
-        # the in-memory copy only speeds up the repeated fits; it is released below
-        rows = tr.select(*key_cols, target, "fold", array_to_vector(chosen).alias("xr")).persist()
-        try:
-            final = rows if forest_sample_rows is None else \
-                M.sample_about_n(rows, forest_sample_rows, n, key_cols)
-
-            def fold_score(i):
-                seen = rows.where(F.col("fold") < i)
-                return _r2(forest().fit(seen).transform(rows.where(F.col("fold") == i)), target)
-
-            with ThreadPoolExecutor(fit_concurrency(spark, parallelism)) as pool:
-                last = pool.submit(lambda: forest().fit(final))
-                scores = list(pool.map(fold_score, [i for i in range(cv_splits) if i in blocks]))
-                fitted["Random Forest"] = last.result()
-            cv["Random Forest"] = summary(scores or [0.0], {})
-        finally:
-            rows.unpersist()
+        params = FO.ForestParams(trees=forest_trees, depth=K.FOREST_DEPTH,
+                                 min_split=K.FOREST_MIN_SPLIT, min_leaf=K.FOREST_MIN_LEAF,
+                                 features=max(1, int(len(selected) ** 0.5)), seed=K.FOREST_SEED)
+        rows = tr.select(F.xxhash64(*key_cols).alias("id"), *key_cols, "fold",
+                         F.col(target).alias("y"), F.array(*inputs["Random Forest"]).alias("x"))
+        cuts = FO.feature_bins(rows, "x", len(selected), params.bins)
+        binned = FO.binned_rows(rows, "x", "y", cuts).checkpoint()
+        tested = [i for i in range(cv_splits) if i in blocks]
+        if forest_sample_rows is None:
+            nodes = FO.grow_forests(binned, cuts, [*tested, cv_splits], params)
+            final = nodes.where(F.col("forest") == len(tested))
+        else:
+            nodes = FO.grow_forests(binned, cuts, tested, params)
+            some = M.sample_about_n(rows, forest_sample_rows, n, key_cols)
+            final = FO.grow_forests(FO.binned_rows(some, "x", "y", cuts).checkpoint(), cuts,
+                                    [cv_splits], params)
+        scores = []
+        for k, i in enumerate(tested):
+            model = FO.ForestModel(nodes.where(F.col("forest") == k), cuts)
+            scores.append(_r2(tr.where(F.col("fold") == i).select(
+                target, model.predict(inputs["Random Forest"]).alias("prediction")), target))
+        fitted["Random Forest"] = FO.ForestModel(final, cuts)
+        cv["Random Forest"] = (float(np.mean(scores or [0.0])), float(np.std(scores or [0.0])),
+                               {})
     mark("forest")
 
     # one pass over both parts scores every model
-    scaled = [F.col("x_scaled")[i] for i in selected]
-    scored = enc.withColumns({f"_p{i}": fitted[m].predict(scaled) for i, m in enumerate(names)
-                              if m in linear})
-    if "Random Forest" in names:
-        scored = fitted["Random Forest"].setPredictionCol(f"_p{names.index('Random Forest')}") \
-            .transform(scored.withColumn("xr", array_to_vector(chosen)))
+    scored = enc.withColumns({f"_p{i}": fitted[m].predict(inputs[m])
+                              for i, m in enumerate(names)})
     long = scored.select("_train", F.col(target).alias("actual"), F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), F.col(f"_p{i}").alias("predicted"))
         for i, m in enumerate(names)])).alias("_s")).select("_train", "actual", "_s.*")
@@ -259,8 +212,12 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
     best_name = best_row[0]
     best_model = fitted[best_name]
     sel_names = [feats[i] for i in selected]
-    imp = best_model.featureImportances.toArray() if best_name not in linear else \
-        np.abs(best_model.coefficients)
+    if best_name in linear:
+        imp = np.abs(best_model.coefficients)
+    else:
+        imp = np.zeros(len(selected))
+        for r in FO.importances(best_model.nodes).collect():     # a row per feature
+            imp[r["feature"]] = r["importance"]
     wide = spark.createDataFrame([tuple(float(v) for v in imp)], sel_names)
     importance = M.top_k_importance(wide, sel_names, 10)
     meta = {"model_name": best_name, "feature_columns": feats, "selected_features": sel_names,
@@ -268,7 +225,7 @@ def train_models(data: DataFrame, key_cols, target: str = K.TARGET_COLUMN,
             "test_r2": best_row[5], "test_rmse": best_row[6], "cv_r2_mean": best_row[2],
             "cv_r2_std": best_row[3], "feature_count": len(feats),
             "selected_feature_count": len(selected), "training_rows": n,
-            "phase_seconds": phases}
+            "phase_seconds": phases, "stage_counts": stage_counts or {}}
     return TrainResult(metrics, best_name, best_model, best_row[9], feats, selected, vocab,
                        medians, scaler, importance, meta)
 

@@ -107,13 +107,12 @@ def test_national_model(spark):
     assert r["r2"] is not None and "coef_avg_temp" in out.columns
 
 
-def test_training_memory_from_heap(spark):
-    """Concurrent fits and the forest budget follow the heap share of one task."""
-    from loadcast.plans import training as TR
-    share = TR.task_heap_mb(spark)
-    assert share > 0
-    assert 1 <= TR.fit_concurrency(spark, 4) <= 4
-    assert TR.fit_concurrency(spark, 4) == max(1, min(4, int(share // 512)))
-    assert TR.fit_concurrency(spark, 1) == 1
-    assert 8 <= TR.forest_memory_mb(spark) <= 1024
-    assert TR.forest_memory_mb(spark) == int(max(8, min(1024, share / 4)))
+def test_stage_counts_of_a_training_run_equal_the_funnel(spark):
+    import __spark_entry__ as E
+    from loadcast.operators import weather
+    from loadcast.plans.training import prepare_with_counts
+    from loadcast.sources import standins as S
+    data, counts = prepare_with_counts(S.energy_area(spark, SF_SMALL), weather.national_from_raw(
+        S.weather_raw(spark, SF_SMALL)))
+    funnel = E.queries()["dq_funnel"](spark, SF_SMALL).first().asDict()
+    assert counts == {**funnel, "after_iqr_filter": data.count()}
