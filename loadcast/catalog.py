@@ -243,6 +243,30 @@ def dq_quartiles(spark, sf_dir):
     return _round(b, ["q1", "q3", "lower_bound", "upper_bound"], 6)
 
 
+@query("dq_sketch_quantiles")
+def dq_sketch_quantiles(spark, sf_dir):
+    """A6/A7 from stored sketches, one a year: the exact quartiles of all years, and whether the
+    merged sketches' quartiles have a rank within their stated error."""
+    from .operators import sketches as SK
+    from .operators.ml_prep import column_quantiles
+    columns, probs = ["annual_consume", "num_connections", "smartmeter_perc"], [0.25, 0.5, 0.75]
+    area = S.energy_area(spark, sf_dir)
+    path = _scratch(spark, "dq_sketch_quantiles")
+    for part in (F.col("year") < 1998, F.col("year") >= 1998):
+        SK.store_sketches(SK.sketch_columns(area.where(part), columns), path)
+    merged = SK.merged_quantiles(SK.load_sketches(spark, path), probs).collect()  # a row a column
+    ranks = SK.ranks(area, {(r["column"], p): r[f"q_{p}"] for r in merged for p in probs})
+    error = SK.rank_error()
+    held = spark.createDataFrame(
+        [(c, p, int(low - error <= p <= high + error)) for (c, p), (low, high) in ranks.items()],
+        "column string, prob double, within_error int")
+    exact = column_quantiles(area, columns, probs)
+    long = exact.select("column", "n", F.explode(F.array(*[
+        F.struct(F.lit(p).alias("prob"), F.col(f"`q_{p}`").alias("quantile"))
+        for p in probs])).alias("_q")).select("column", "n", "_q.*")
+    return _round(long.join(held, ["column", "prob"]), ["quantile"], 4)
+
+
 @query("dq_iqr_filter")
 def dq_iqr_filter(spark, sf_dir):
     from .operators.quality import iqr_filter

@@ -384,6 +384,11 @@ SELECT {', '.join('c.' + k.strip() for k in KEYS.split(','))} FROM complete_hh c
 JOIN bounds b ON c.type_of_connection = b.type_of_connection
 WHERE b.group_rows <= 20
    OR c.preliminary_household_consumption BETWEEN b.lower_bound AND b.upper_bound""")
+SQL["dq_sketch_quantiles"] = with_ctes([ENERGY_AREA], " UNION ALL ".join(
+    f"SELECT '{c}' AS column, {p}::DOUBLE AS prob, count({c}) AS n, "
+    f"round_even(quantile_cont({c}, {p}), 4) AS quantile, 1::INTEGER AS within_error "
+    f"FROM energy_area" for c in ("annual_consume", "num_connections", "smartmeter_perc")
+    for p in (0.25, 0.5, 0.75)))
 SQL["dq_funnel"] = with_ctes([ENERGY_AREA] + WX + [NATIONAL], """
 , flags AS (
   SELECT a.*, n.year IS NOT NULL AS merged, n.avg_temp, n.total_precipitation,
