@@ -4,6 +4,10 @@ and personal data; what stays is packed into training sequences.
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``docs``. ``run`` writes every stage's rows to the shared checkpoint folder and reads
 them again, so a lost executor costs one stage's work at most.
+
+Every stage reads texts whole, keeps rows with a null id or text unless it says otherwise, treats
+repeated rows alike, gives an empty table for an empty one, and leaves columns besides text and
+n_chars as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ def _with_text_length(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under one half."""
+    """Documents with a toxicity score under one half; a null or empty text has the score of a
+    text without words and stays if that is under one half."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = kn_toxicity.score_documents(docs, labels, name="_llm_score")
     return scored.where("_llm_score < 0.5").select(*docs.columns)
@@ -33,24 +38,26 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go from all documents but the first; a document that consisted of such
-    lines only goes as a whole."""
+    lines only goes as a whole. A null or empty text stays."""
     left = line_templates.drop_recurring_lines(docs).where(
         "not (_llm_dropped > 0 and text = '')  or text is null")
     return _with_text_length(left, docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies. All texts without words (null and empty ones)
+    are one group, of which one row stays."""
     return simhash_balls.keep_one_of_each_group(docs, 3, 3)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data read as their kind in angle brackets."""
+    """Spans of personal data read as their kind in angle brackets; a null text stays null."""
     return _with_text_length(pii_votes.redact(docs), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
+    """Pieces of documents in sequences of at most 2048 tokens; a null or empty text is its end
+    id alone."""
     import public_tokenizers
     return sumsq_packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 

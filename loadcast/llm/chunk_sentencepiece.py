@@ -10,7 +10,8 @@ but changes no result. Words longer than ``LONG_WORD`` leave it with their group
 Models that don't meet the condition, or that change texts before they split them, are refused.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to an empty
-text; repeated rows give equal rows; other columns are ignored.
+text; repeated rows give equal rows; a very long text or word is segmented whole; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -28,7 +28,9 @@ word beginnings and letter runs of the sample only.
 Defined cases: null and empty texts have no words and get the score of zero ratios; labels
 without id or class are ignored, of several labels of one id the largest counts; a null id is
 never labelled and its held_out is null; without both classes in the sample every document gets
-the toxic share of the sample (0 without labels); repeated rows get equal scores.
+the toxic share of the sample (0 without labels); repeated rows get equal scores; a very long text
+is read whole; an empty table gives no rows; columns are kept as they are, so pass another ``name``
+where the input has a column of the score's name.
 """
 
 from __future__ import annotations

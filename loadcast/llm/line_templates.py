@@ -16,7 +16,9 @@ equi-joins on checkpointed small sides, so that Spark splits their hot keys.
 
 Defined cases: a null text has no lines and stays null; a text all of whose lines are dropped
 becomes empty; rows equal in doc_id and text are one document, and each gets its result; a null
-doc_id sorts first; other columns are carried along, whatever their names.
+doc_id sorts first; a very long text is read whole (the test of its dropped lines takes time with
+the square of their number); an empty table gives an empty result; other columns are carried
+along, whatever their names.
 """
 
 from __future__ import annotations

@@ -17,8 +17,9 @@ Only counts by vote pattern and shape bucket reach the driver: at most 3^labeler
 ``SHAPES`` x 4, whatever the number of texts.
 
 Defined cases: a null text counts as empty; an empty text has no spans; offsets are code points,
-end exclusive; without proposals only base spans remain; repeated rows give equal rows; other
-columns are ignored.
+end exclusive; without proposals only base spans remain; repeated rows give equal rows; a
+very long text is read whole; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ says so, and audited_recall reads 1.
 
 Defined cases: vectors that are null, zero, of another length than most or hold null or
 non-finite components link with nothing; so do rows without id (component_id is null there);
-rows that share an id are one vertex; an empty table gives no rows.
+rows that share an id are one vertex; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

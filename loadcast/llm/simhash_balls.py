@@ -17,7 +17,9 @@ rows only, and join the same components as all pairs would.
 
 Defined cases: a null text counts as empty; fewer words than the shingle length give one shingle
 of all words; no words give fingerprint 0, linked like any other; a component without ids has a
-null component_id.
+null component_id; a very long text is read whole; repeated rows are linked to each other and each
+gets its row (``keep_one_of_each_group`` keeps one row of each group, so one of all texts without
+words); an empty table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ drops white space and never merges over it. Texts with separators that Python an
 may class differently are encoded whole.
 
 Defined cases: a null text counts as empty; an empty text has the end id only; repeated rows are
-packed one by one; other columns are ignored.
+packed one by one; a very long text is cut into pieces that cover it; an empty table gives no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
