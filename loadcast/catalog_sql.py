@@ -1022,7 +1022,8 @@ def descent(name: str, source: str, key: str, sweeps: int = 300) -> str:
     return f"""{name}_steps AS (
   SELECT {key}, alpha, q, c, 0 AS step, {[0.0] * _N}::DOUBLE[] AS w FROM {source}
   UNION ALL
-  SELECT {key}, alpha, q, c, step + 1, list_transform(w, lambda v, i: CASE WHEN i = {at}
+  SELECT {key}, alpha, q, c, step + 1, list_transform(w, lambda v, i: CASE
+    WHEN i = {at} AND q[{at}][{at}] = 0 THEN 0 WHEN i = {at}
     THEN sign({rho}) * greatest(abs({rho}) - alpha, 0) / q[{at}][{at}] ELSE v END)
   FROM {name}_steps WHERE step < {_N * sweeps}
 ), {name} AS (SELECT * FROM {name}_steps WHERE step = {_N * sweeps})"""
@@ -1059,7 +1060,8 @@ ridge_steps AS (
     ('Ridge Regression', 100.0::DOUBLE)) g(model, alpha)
   UNION ALL
   SELECT model, alpha, test, n, m, my, step + 1, list_transform(a, lambda r, i:
-    CASE WHEN i = step + 1 THEN list_transform(r, lambda v: v / a[step + 1][step + 1])
+    CASE WHEN a[step + 1][step + 1] = 0 THEN r      -- a constant feature has no weight
+    WHEN i = step + 1 THEN list_transform(r, lambda v: v / a[step + 1][step + 1])
     ELSE list_transform(r, lambda v, k: v - r[step + 1] * a[step + 1][k]
       / a[step + 1][step + 1]) END)
   FROM ridge_steps WHERE step < """ + str(_N) + """

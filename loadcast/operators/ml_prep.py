@@ -16,6 +16,7 @@ from ..functions import constants as K
 from .joins import broadcast_bytes
 from .ranking import counted_quantiles, global_row_number, group_quantiles, running_total
 
+MAP_VALUES = 64       # a map is searched value by value
 NULL_CATEGORY = "nan"  # a missing category is a category of its own, as pandas astype(str)
 
 
@@ -37,30 +38,43 @@ def fit_label_vocabularies(df: DataFrame, columns) -> DataFrame:
         .checkpoint(eager=True)
 
 
-def vocabulary_bytes(vocab: DataFrame) -> dict[str, int]:
-    """About how many bytes each column's vocabulary takes as a broadcast side."""
-    return {r[0]: r[1] for r in vocab.groupBy("feature").agg(
-        F.sum(F.octet_length("value") + F.lit(48))).collect()}
+def vocabulary_sides(vocab: DataFrame) -> dict[str, int | dict[str, int]]:
+    """How each column's vocabulary is looked up: its values and codes themselves where there are
+    ``MAP_VALUES`` or fewer, else about how many bytes it takes as a broadcast side."""
+    rows = vocab.groupBy("feature").agg(F.count("*").alias("n"), F.sum(
+        F.octet_length("value") + F.lit(48)).alias("bytes")).collect()
+    out: dict = {r["feature"]: {} if r["n"] <= MAP_VALUES else r["bytes"] for r in rows}
+    few = [c for c, side in out.items() if side == {}]
+    for r in vocab.where(F.col("feature").isin(few)).collect():
+        out[r["feature"]][r["value"]] = r["code"]
+    return out
 
 
 def apply_label_codes(df: DataFrame, vocab: DataFrame, columns, suffix: str = "",
-                      sizes: dict[str, int] | None = None) -> DataFrame:
+                      sides: dict | None = None) -> DataFrame:
     """Replace each categorical column by its code; unseen values get code 0 (the
-    alphabetically first label, as the source system does). A column's vocabulary is broadcast
-    where its bytes stay below the session's broadcast limit, and joined with a shuffle beyond.
-    Pass ``sizes`` (see :func:`vocabulary_bytes`) where the same vocabulary is applied often."""
-    sizes = vocabulary_bytes(vocab) if sizes is None else sizes
+    alphabetically first label, as the source system does). All small vocabularies are map
+    lookups in one projection, without a join. Of the others, those whose bytes stay below the
+    session's broadcast limit are broadcast; beyond it a vocabulary is joined with a shuffle,
+    whose hot values Spark splits. Pass ``sides`` (see :func:`vocabulary_sides`) where the same
+    vocabulary is applied often."""
+    sides = vocabulary_sides(vocab) if sides is None else sides
     limit = broadcast_bytes(df.sparkSession)
-    out = df
+    lookups, out = {}, df
     for c in columns:
+        side = sides.get(c, {})
+        if isinstance(side, dict):
+            codes = F.create_map(*[F.lit(x) for pair in side.items() for x in pair])
+            lookups[c + suffix] = F.coalesce(F.try_element_at(codes, _as_category(c)), F.lit(0)) \
+                if side else F.lit(0)
+            continue
         v = vocab.where(F.col("feature") == c).select(F.col("value").alias(f"_v_{c}"),
                                                       F.col("code").alias(f"_code_{c}"))
-        small = sizes.get(c, 0) <= limit
         out = out.withColumn(f"_k_{c}", _as_category(c)).join(
-            F.broadcast(v) if small else v, F.col(f"_k_{c}") == F.col(f"_v_{c}"), "left")
+            F.broadcast(v) if side <= limit else v, F.col(f"_k_{c}") == F.col(f"_v_{c}"), "left")
         out = out.withColumn(c + suffix, F.coalesce(F.col(f"_code_{c}"), F.lit(0))) \
                  .drop(f"_k_{c}", f"_v_{c}", f"_code_{c}")
-    return out
+    return out.withColumns(lookups)
 
 
 # ----------------------------------------------------------------------------- M2 / M4 / A7

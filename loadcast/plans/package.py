@@ -102,8 +102,8 @@ def save_package(result, path: str) -> int:
 
 def load_package(spark: SparkSession, path: str) -> dict | None:
     """The newest package, or None when there is none or its tables are not those that its
-    manifest describes. Errors of the storage itself are raised. The sizes of the vocabularies
-    are measured here once, not for every scored batch."""
+    manifest describes. Errors of the storage itself are raised. The vocabularies' sizes are
+    measured here once, not for every scored batch."""
     path = path.rstrip("/")
     manifests = _manifests(spark, path)
     if not manifests:
@@ -122,7 +122,7 @@ def load_package(spark: SparkSession, path: str) -> dict | None:
     meta["model"] = LinearModel(**meta["linear"]) if "linear" in meta else \
         ForestModel(tables["nodes"], meta["thresholds"])
     meta["vocabulary"] = tables["vocabulary"]
-    meta["vocabulary_bytes"] = M.vocabulary_bytes(meta["vocabulary"])
+    meta["vocabulary_sides"] = M.vocabulary_sides(meta["vocabulary"])
     return meta
 
 
@@ -134,7 +134,7 @@ def score_inputs(pkg: dict, inputs: DataFrame, pred: str = "prediction_kwh") ->
     feats = pkg["feature_columns"]
     cats = [c for c in feats if c in K.CATEGORICAL_COLUMNS]
     df = fill_missing_features(with_features(inputs), feats, fill_numbers=False)
-    df = M.apply_label_codes(df, pkg["vocabulary"], cats, sizes=pkg["vocabulary_bytes"])
+    df = M.apply_label_codes(df, pkg["vocabulary"], cats, sides=pkg["vocabulary_sides"])
     df = M.impute(df, pkg["medians"])
     x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feats]
     if pkg["use_scaled"]:

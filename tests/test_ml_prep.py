@@ -115,3 +115,27 @@ def test_medians_and_scaler_from_one_sort_equal_two_step(spark):
             x = np.where(np.isnan(x), med_new[col], x)
         q1, q2, q3 = np.quantile(x, [0.25, 0.5, 0.75])
         assert sc_new[col] == pytest.approx((q2, (q3 - q1) or 1.0), rel=1e-12)
+
+
+def test_codes_are_equal_however_the_vocabulary_is_looked_up(spark, monkeypatch):
+    """Map lookups, broadcast joins and shuffle joins, with unseen and missing values."""
+    rows = [(i, f"c{i % 5}" if i % 7 else None, f"v{i % 200}", f"x{i % 3}") for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, small string, large string, seen string")
+    vocab = M.fit_label_vocabularies(df.where("large < 'v7' and small != 'c4'"),
+                                     ["small", "large"])
+    sides = M.vocabulary_sides(vocab)
+    assert isinstance(sides["small"], dict) and isinstance(sides["large"], int)
+    codes = {(r["feature"], r["value"]): r["code"] for r in vocab.collect()}
+    want = sorted((i, codes.get(("small", s or "nan"), 0), codes.get(("large", v), 0), 0)
+                  for i, s, v, _ in rows)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for few, broadcast in ((64, limit), (0, limit), (0, "-1"), (1000, limit)):
+        monkeypatch.setattr(M, "MAP_VALUES", few)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        try:
+            got = M.apply_label_codes(df, vocab, ["small", "large", "seen"])
+            joins = got._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+            assert sorted(map(tuple, got.collect())) == want
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        assert joins == (0 if few == 1000 else 1 if few == 64 else 2)
