@@ -85,8 +85,9 @@ def station_year_stream(daily_raw: DataFrame, table_path: str, checkpoint: str,
         daily = W.with_date_parts(W.to_units(batch))
         rest = F.struct(*[c for c in daily.columns if c not in key])
         daily = _latest(daily, key, F.struct(order_by, rest) if order_by else rest)
-        daily.write.mode("overwrite").partitionBy("STN", "year").parquet(
-            f"{log}/batch_id={batch_id}")
+        # one file a station-year, not one for each of them in every task
+        daily.repartition("STN", "year").write.mode("overwrite").partitionBy(
+            "STN", "year").parquet(f"{log}/batch_id={batch_id}")
         schema = T.StructType([*daily.schema.fields, T.StructField("batch_id", T.LongType())])
         readings = spark.read.schema(schema).option("basePath", log).parquet(log).where(
             F.col("batch_id") <= batch_id)
