@@ -21,7 +21,7 @@ counted as (select a, count(*) as n_links from links group by a),
 least as (select a, min(b) as b from reach group by a)
 select e.vec_id, coalesce(c.n_links, 0) as n_links,
        least(e.vec_id, coalesce(l.b, e.vec_id)) as component_id,
-       e.vec_id <= coalesce(l.b, e.vec_id) as kept, 1.0::double as audited_recall
+       e.vec_id <= coalesce(l.b, e.vec_id) as kept, null::double as audited_recall
 from embeddings e left join counted c on c.a = e.vec_id left join least l on l.a = e.vec_id
 """,
     "op11_stratified_search": r"""

@@ -13,12 +13,13 @@ several pieces is counted in the first only. Components are settled inside the p
 what leaves a piece is one edge a node at most, not its pairs.
 
 The overlap is at least what lets ``min_recall`` of the pairs at the threshold meet in a shard:
-this is counted on sampled nodes, each with a vector planted at just that angle, so it needs no
-links in the data. Recall is audited besides: the links of sampled nodes are compared with a
+this is counted on sampled nodes that the centres are not fitted on, each with a vector planted at
+just that angle, so it needs no links in the data. Recall is audited besides: the links of sampled
+nodes are compared with a
 comparison against all nodes, more of them (up to ``AUDIT_MOST``) until ``AUDIT_LINKED`` have
 links. Where the mean share found per linked node is under ``min_recall``, the overlap is doubled
 and the graph is built anew. Without any linked node in the sample nothing is audited: a warning
-says so, and audited_recall reads 1.
+says so, and audited_recall is null.
 
 Defined cases: vectors that are null, zero, of another length than most or hold null or
 non-finite components link with nothing; so do rows without id (component_id is null there);
@@ -346,7 +347,9 @@ def _audit(nodes: DataFrame, sample: DataFrame, links: DataFrame, threshold: flo
                 s = x @ q[i:i + AUDIT_ROWS].T >= threshold
                 s &= rep[:, None] != ids[None, i:i + AUDIT_ROWS]
                 total[i:i + AUDIT_ROWS] += copies @ s
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["rep", "truth"])
+        seen = total > 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids[seen]), pa.array(total[seen])],
+                                         ["rep", "truth"])
 
     truth = (nodes.select("rep", "copies", "v").mapInArrow(count, "rep long, truth long")
              .groupBy("rep").agg(F.sum("truth").alias("truth")).where("truth > 0"))
@@ -369,14 +372,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int =
              .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"),
                   F.first("embedding").alias("v")).checkpoint())
     n = nodes.count()
-    recall = 1.0
+    recall = None
     if n:
         x = unit_rows(np.array([r["v"] for r in bounded_sample(
             nodes.select("rep", "v"), sample_rows, "rep").orderBy("rep").collect()],
             dtype=np.float64))
         k = max(1, min(-(-n // SHARD_ROWS), len(x) // 8))
-        fitted = fit_centres(x, k)
-        overlap = max(overlap, needed_overlap(x, fitted, threshold, min_recall))
+        planted = x[::8]                        # rows in the order of their ids
+        fitted = fit_centres(np.delete(x, np.s_[::8], axis=0) if len(x) > 1 else x, k)
+        overlap = max(overlap, needed_overlap(planted, fitted, threshold, min_recall))
         centres = spark.sparkContext.broadcast(fitted)
         piece = ["shard", "i", "j"]
         while True:
@@ -389,12 +393,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int =
                      .applyInPandas(_search(threshold), "rep long, links long, root long")
                      .checkpoint())
             links = found.groupBy("rep").agg(F.sum("links").alias("links")).checkpoint()
-            audited = audit_recall(nodes, links, threshold)
-            if audited is None:
+            recall = audit_recall(nodes, links, threshold)
+            if recall is None:
                 log.warning("no sampled node has a link: recall is not audited, overlap %d is "
                             "that of planted pairs", overlap)
-            recall = 1.0 if audited is None else audited
-            if recall >= min_recall or overlap >= k:
+            if recall is None or recall >= min_recall or overlap >= k:
                 break
             overlap = min(2 * overlap, k)
         parts = connected_components(found.where("rep != root").select(
@@ -416,4 +419,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int =
                     .alias("n_links"),
                     component.alias("component_id"),
                     F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"),
-                    F.lit(float(recall)).alias("audited_recall")))
+                    F.lit(recall).cast("double").alias("audited_recall")))
