@@ -74,8 +74,9 @@ def station_year_stream(daily_raw: DataFrame, table_path: str, checkpoint: str,
                         reading_key=None, order_by: str | None = None,
                         available_now: bool = True):
     """Station-year aggregates of a stream of raw daily rows. Rows with an equal
-    ``reading_key`` (by default all columns that are not measured) are one reading: of several in a batch the one with the highest ``order_by``
-    counts (without it, the highest values), and a later batch replaces an earlier one."""
+    ``reading_key`` (by default all columns that are not measured) are one reading: of several in
+    a batch the one with the highest ``order_by`` counts (without it, the highest values), and a
+    later batch replaces an earlier one."""
     key, log = reading_key, f"{table_path.rstrip('/')}/readings"
     if key is None:
         key = [c for c in daily_raw.columns if c not in K.WEATHER_VARIABLES and c != order_by]
