@@ -1,35 +1,45 @@
 """Line dedup over a log-template tree, in DataFrame operations only.
 
 A line's tokens are its white-space-delimited words; a token that holds a digit or an ``@`` is a
-variable field and reads ``<*>``. The tree has a fixed depth: a leaf is the token count and the
-first ``DEPTH`` tokens. Within a leaf, lines agree with the leaf's most frequent line in at least
-a share ``SIMILAR`` of up to ``SEGMENTS`` stretches of the tokens (single tokens, in a line of no
-more), or stand alone: lines that agree form one template, whose differing stretches generalise
-to a wildcard. (Comparing stretches by hash keeps rows narrow: no line is shuffled as text.)
+variable field and reads ``<*>`` (a line of such fields only is read as it stands). The tree has a
+fixed depth: a leaf is the token count and the first ``DEPTH`` tokens. Within a leaf the most
+frequent line becomes a template; lines that agree with it in at least a share ``SIMILAR`` of
+their tokens belong to it, their differing tokens being wildcards; of the lines left the most
+frequent is the next template, until none is left. Tokens are compared by 15-bit hashes, so that
+no line is shuffled as text.
+
+Two lines of a leaf that agree so far differ in one token of five at most. With one stretch more
+than these, cut from the tokens after the leading ones, they share a stretch: only lines that do
+are compared. A line that is the most frequent one in each of its stretches becomes a template at
+once, so that all leaves, and unrelated parts of one leaf, advance together; a line joins the most
+frequent template that it agrees with in that round. Rounds follow the longest chain of ever rarer
+unlike lines with a common stretch, not the lines.
 
 A template that stands in two or more distinct documents recurs. Its lines are dropped from all
-of them but the first by doc_id, so one copy of every passage stays. Lines shorter than
-``MIN_TOKENS`` are left alone.
+of them but the first by doc_id, so one copy of every passage stays. Lines of fewer than
+``MIN_TOKENS`` tokens without a letter or digit (rules, brackets) are left alone.
 
 A line that very many documents share is summed before it is shuffled, and the joins are plain
 equi-joins on checkpointed small sides, so that Spark splits their hot keys.
 
 Defined cases: a null text has no lines and stays null; a text all of whose lines are dropped
 becomes empty; rows equal in doc_id and text are one document, and each gets its result; a null
-doc_id sorts first; a very long text is read whole (the test of its dropped lines takes time with
-the square of their number); an empty table gives an empty result; other columns are carried
-along, whatever their names.
+doc_id sorts first; equally frequent lines are taken by their hash; a very long text is read whole,
+in time linear in its lines; an empty table gives an empty result; other columns are carried along,
+whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEPTH = 3
 MIN_TOKENS = 3
-SEGMENTS = 16
 SIMILAR = 0.8
+UNLIKE = 5          # of so many tokens one may differ
 WILDCARD = "<*>"
 
 
@@ -37,40 +47,81 @@ def _key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id).cast("string"), F.lit("|"), F.col(text))
 
 
-def template_tokens(line: Column) -> Column:
-    """The line's tokens with variable fields as wildcards. Regular expressions run only on lines
-    that need them."""
+def template_tokens(lines: DataFrame) -> DataFrame:
+    """Column ``raw`` replaced by ``tokens``: the line's tokens with variable fields as wildcards.
+    Regular expressions run only on lines that need them."""
+    line = F.col("raw")
     uneven = line.startswith(" ") | line.endswith(" ")
     for mark in ("  ", "\t", "\r", "\f", "\v"):
         uneven = uneven | line.contains(mark)
     even = F.when(uneven, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
-    field = F.regexp_replace(even, r"[^ 0-9@]*+[0-9@][^ ]*+", WILDCARD)
-    return F.split(F.when(even.rlike("[0-9@]"), field).otherwise(even), " ")
-
-
-def segment_hashes(tokens: Column) -> Column:
-    """15-bit hashes of ``SEGMENTS`` stretches of the tokens, as equal in length as they can be;
-    some are empty where there are fewer tokens."""
-    n = F.size(tokens)
-
-    def bound(k):
-        return F.floor(n * F.lit(k) / F.lit(SEGMENTS)).cast("int")
-
-    return F.array(*[F.hash(F.slice(tokens, bound(k) + 1, bound(k + 1) - bound(k)))
-                     .bitwiseAND(0x7FFF).cast("short") for k in range(SEGMENTS)])
+    field = F.regexp_replace("raw", r"[^ 0-9@]*+[0-9@][^ ]*+", WILDCARD)
+    fixed = F.col("field").isNull() | F.col("field").rlike(r"^<\*>( <\*>)*+$")
+    return (lines.withColumn("raw", even)
+            .withColumn("field", F.when(F.col("raw").rlike("[0-9@]"), field))
+            .withColumn("tokens", F.split(F.when(fixed, F.col("raw")).otherwise(F.col("field")),
+                                          " "))
+            .drop("raw", "field"))
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
     """(key, doc_id, at, tokens, leaf, line, signature) of every line that can be a template."""
     lines = docs.select(_key("doc_id", "text").alias("key"), "doc_id",
                         F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    tokens = lines.select("key", "doc_id", "at", template_tokens(F.col("raw")).alias("tokens"))
-    size = F.size("tokens")
-    return tokens.where(size >= MIN_TOKENS).select(
+    tokens, size = template_tokens(lines), F.size("tokens")
+    worded = (size >= MIN_TOKENS) | F.array_join("tokens", " ").rlike(r"[\p{L}\p{N}]")
+    token = lambda t: F.hash(t).bitwiseAND(0x7FFF).cast("short")        # noqa: E731
+    return tokens.where(worded).select(
         "key", "doc_id", "at", size.alias("tokens"),
         F.xxhash64(size, F.slice("tokens", 1, DEPTH)).alias("leaf"),
         F.xxhash64("tokens").alias("line"),
-        segment_hashes(F.col("tokens")).alias("signature"))
+        F.when(size >= UNLIKE, F.transform("tokens", token)).alias("signature"))
+
+
+def stretches(lines: DataFrame) -> DataFrame:
+    """(sub, leaf, line, n): the stretches of each line, one more than its tokens that may differ
+    from a template's."""
+    parts, size = F.floor(F.col("tokens") / UNLIKE) + 1, F.col("tokens") - DEPTH
+    cut = lambda k: F.floor(size * k / F.col("parts")).cast("int")      # noqa: E731
+    k = F.col("k")
+    return (lines.withColumn("parts", parts).withColumn("k", F.explode(F.expr(
+        "sequence(0L, parts - 1)"))).select(
+            F.xxhash64("leaf", k, F.slice("signature", cut(k) + DEPTH + 1,
+                                          cut(k + 1) - cut(k))).alias("sub"),
+            "leaf", "line", "n"))
+
+
+def similar_lines(lines: DataFrame) -> DataFrame | None:
+    """(leaf, line, template) of distinct lines that belong to a more frequent line's template;
+    ``lines`` holds leaf, line, n, tokens and signature."""
+    rows, joined = stretches(lines).checkpoint(), []
+    while True:
+        hubs = (rows.groupBy("sub").agg(F.max(F.struct("n", "line")).alias("top"),
+                                        F.count("*").alias("lines"))
+                .where("lines > 1").select("sub", F.col("top.line").alias("hub"),
+                                           F.col("top.n").alias("hub_n")).checkpoint())
+        rows = rows.join(hubs, "sub").checkpoint()
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, joined) if joined else None
+        leaders = (rows.groupBy("leaf", F.col("line").alias("hub"))
+                   .agg(F.min(F.col("line") == F.col("hub")).alias("leads"))
+                   .where("leads").select("leaf", "hub").checkpoint())
+        pairs = (rows.where("line != hub").join(leaders, ["leaf", "hub"])
+                 .select("leaf", "line", "hub", "hub_n").distinct())
+        sides = lines.select("leaf", "line", "signature")
+        pairs = pairs.join(sides, ["leaf", "line"]).join(
+            sides.select("leaf", F.col("line").alias("hub"), F.col("signature").alias("other")),
+            ["leaf", "hub"])
+        same = F.size(F.filter(F.zip_with("signature", "other", lambda x, y: x == y),
+                               lambda equal: equal))
+        found = (pairs.where(same >= F.size("signature") * SIMILAR)
+                 .groupBy("leaf", "line").agg(F.max(F.struct("hub_n", "hub")).alias("top"))
+                 .select("leaf", "line", F.col("top.hub").alias("template")).checkpoint())
+        joined.append(found)
+        settled = found.select("leaf", "line").unionByName(
+            leaders.select("leaf", F.col("hub").alias("line")))
+        rows = (rows.select("sub", "leaf", "line", "n")
+                .join(settled, ["leaf", "line"], "left_anti").checkpoint())
 
 
 def recurring_lines(lines: DataFrame) -> DataFrame:
@@ -81,19 +132,18 @@ def recurring_lines(lines: DataFrame) -> DataFrame:
                      F.min(F.struct("doc_id", "key")).alias("first"),
                      F.min("tokens").alias("tokens"),
                      F.min("signature").alias("signature"))).checkpoint()
-    leaves = distinct.groupBy("leaf").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-                                          F.max(F.struct("n", "line", "signature")).alias("top"))
-    shared = (leaves.where("lo != hi").select("leaf", F.col("top.line").alias("top_line"),
-                                              F.col("top.signature").alias("top_signature"))
-              .checkpoint())
-    same = sum([(F.col("signature")[k] == F.col("top_signature")[k]).cast("int")
-                for k in range(SEGMENTS)], F.lit(0))
-    filled = F.least(F.col("tokens"), F.lit(SEGMENTS))
-    agree = same - (F.lit(SEGMENTS) - filled) >= filled * SIMILAR
-    template = F.when(agree, F.col("top_line")).otherwise(F.col("line"))
-    member = (distinct.join(shared, "leaf")
-              .select("leaf", "line", template.alias("template"), "lo", "hi", "first")
-              .checkpoint())
+    leaves = (distinct.groupBy("leaf")
+              .agg(F.min("lo").alias("leaf_lo"), F.max("hi").alias("leaf_hi"),
+                   F.count("*").alias("leaf_lines"))
+              .where("leaf_lo != leaf_hi").select("leaf", "leaf_lines").checkpoint())
+    shared = distinct.join(leaves, "leaf").checkpoint()
+    similar = similar_lines(shared.where((F.col("leaf_lines") > 1) & (F.col("tokens") >= UNLIKE)))
+    member = shared.select("leaf", "line", "lo", "hi", "first")
+    if similar is None:
+        member = member.withColumn("template", F.col("line"))
+    else:
+        member = (member.join(similar, ["leaf", "line"], "left")
+                  .withColumn("template", F.coalesce("template", "line")).checkpoint())
     recurring = (member.groupBy("leaf", "template")
                  .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"),
                       F.min("first").alias("first")).where("lo != hi")
@@ -102,6 +152,14 @@ def recurring_lines(lines: DataFrame) -> DataFrame:
         "leaf", "line", "keep_key")
 
 
+def position_mask(positions: Column) -> Column:
+    """Array of booleans, true at the given distinct positions, up to the last of them."""
+    at = F.sort_array(positions)
+    before = F.concat(F.array(F.lit(-1)), F.slice(at, 1, F.size(at) - 1))
+    return F.flatten(F.transform(F.zip_with(before, at, lambda p, x: x - p - 1), lambda gap: F.concat(
+        F.array_repeat(F.lit(False), gap), F.array(F.lit(True)))))
+
+
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with recurring lines gone from ``text``, and ``_llm_lines`` and ``_llm_dropped``,
     the number of lines before and of dropped lines."""
@@ -110,12 +168,14 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     dropped = (lines.select("leaf", "line", "key", "at").join(recurring, ["leaf", "line"])
                .where("key != keep_key")
                .groupBy(F.col("key").alias("_llm_key"))
-               .agg(F.collect_set("at").alias("_llm_at")))
+               .agg(F.collect_set("at").alias("at"))
+               .select("_llm_key", position_mask(F.col("at")).alias("_llm_at"),
+                       F.size("at").alias("_llm_dropped")))
     raw = F.split("text", "\n")
-    kept = F.filter(raw, lambda x, i: ~F.array_contains("_llm_at", i))
+    kept = F.filter(raw, lambda x, i: ~F.coalesce(F.get("_llm_at", i), F.lit(False)))
     joined = docs.join(dropped, _key("doc_id", "text") == F.col("_llm_key"), "left")
     return joined.withColumns({
         "_llm_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(raw)).cast("long"),
-        "_llm_dropped": F.coalesce(F.size("_llm_at"), F.lit(0)).cast("long"),
+        "_llm_dropped": F.coalesce("_llm_dropped", F.lit(0)).cast("long"),
         "text": F.when(F.col("_llm_at").isNull(), F.col("text")).otherwise(
             F.array_join(kept, "\n"))}).drop("_llm_key", "_llm_at")

@@ -84,32 +84,31 @@ def test_connected_components(spark):
 
 # ------------------------------------------------------------------------------ 1
 def drop_lines_by_hand(texts, ids):
-    """The operator's rules, line by line; ties between equally frequent lines are left to the
-    caller (the test's texts have none that matter)."""
-    lines, docs = [], {}
-    for i, t in zip(ids, texts):
-        docs[(i, t)] = None
+    """Whole tokens, one line after the other: in each group of lines with the same number of
+    tokens and the same first three, the most frequent line left takes all lines that have four
+    of five tokens in common with it. Ties between equally frequent lines are left to the caller
+    (the test's texts have none that matter)."""
+    lines, docs = [], dict.fromkeys(zip(ids, texts))
     for i, t in docs:
-        for at, raw in enumerate((t or "").split("\n") if t is not None else []):
-            tokens = [("<*>" if re.search("[0-9@]", w) else w) for w in raw.split()]
-            if len(tokens) >= line_templates.MIN_TOKENS:
-                lines.append(((i, t), at, tuple(tokens)))
-    count, where = defaultdict(int), defaultdict(set)
+        for at, raw in enumerate(t.split("\n") if t is not None else []):
+            fixed = tuple("<*>" if re.search("[0-9@]", w) else w for w in raw.split())
+            tokens = tuple(raw.split()) if set(fixed) == {"<*>"} else fixed
+            if len(tokens) > 2 or re.search(r"[^\W_]", " ".join(tokens)):
+                lines.append(((i, t), at, tokens))
+    count, where, leaves = defaultdict(int), defaultdict(set), defaultdict(list)
     for doc, _, tokens in lines:
         count[tokens] += 1
         where[tokens].add(doc)
-    leaves = defaultdict(list)
     for tokens in count:
-        leaves[(len(tokens), tokens[:line_templates.DEPTH])].append(tokens)
+        leaves[(len(tokens), tokens[:3])].append(tokens)
     template = {}
     for members in leaves.values():
-        top = max(members, key=lambda m: count[m])
-        for m in members:
-            n, k = len(m), line_templates.SEGMENTS
-            cuts = [(n * s // k, n * (s + 1) // k) for s in range(k)]
-            cuts = [c for c in cuts if c[0] < c[1]]
-            same = sum(m[a:b] == top[a:b] for a, b in cuts)
-            template[m] = top if same >= line_templates.SIMILAR * min(n, k) else m
+        left = sorted(members, key=lambda m: -count[m])
+        while left:
+            top = left[0]
+            taken = [m for m in left if 5 * sum(map(str.__eq__, m, top)) >= 4 * len(m)]
+            template.update(dict.fromkeys(taken, top))
+            left = [m for m in left if m not in taken]
     docs_of = defaultdict(set)
     for m, t in template.items():
         docs_of[t] |= where[m]
@@ -150,6 +149,56 @@ def test_line_templates_similar_lines(spark):
     assert got == {0: 0, 1: 1, 2: 0, 3: 1}
 
 
+def dropped_lines(spark, texts):
+    return [r["_llm_dropped"] for r in line_templates.drop_recurring_lines(
+        documents(spark, texts)).orderBy("doc_id").collect()]
+
+
+def test_every_template_of_a_leaf_recurs(spark):
+    """Several families of lines behind the same opener, none a majority, each line once."""
+    rng = random.Random(8)
+    tails = [[f"{'abcdefgh'[f]}{'klmnopqrst'[k]}" for k in range(10)] for f in range(6)]
+    texts = []
+    for f, tail in enumerate(tails):
+        for k in range(12):
+            own = list(tail)
+            own[rng.randrange(10)] = "v" + "xyzuvwabcdef"[k]
+            texts.append("INFO the job " + " ".join(own if k else tail))
+            if not k:
+                texts += [texts[-1]] * (f + 1)      # the family's most frequent line
+    want = drop_lines_by_hand(texts, range(len(texts)))
+    assert dropped_lines(spark, texts) == [int(want[(i, t)] != t) for i, t in enumerate(texts)]
+    assert sum(dropped_lines(spark, texts)) == len(texts) - 6
+
+
+def test_whole_tokens_decide(spark):
+    line = [f"{'abcdefghijklmnopqrstuvwxyz'[k % 26]}{'abcdefg'[k // 26]}" for k in range(160)]
+    near, far = list(line), list(line)
+    for k in (9, 49, 89, 129):                  # 97.5 % equal, one word changed in four stretches
+        near[k] = "changed"
+    for k in range(10, 10 + 33):                # 33 of 160: less than four of five are equal
+        far[k] = "changed"
+    texts = [" ".join(x) for x in (line, line, near, far)]
+    assert dropped_lines(spark, texts) == [0, 1, 1, 0]
+
+
+def test_short_lines(spark):
+    texts = ["Advertisement\nbody of a", "Advertisement\nanother body here", "Read more\n---\n}",
+             "Read more\n---\n}", "Page 12\n7 8 9\n17", "Page 13\n8 9 7\n18", "7 8 9\n17"]
+    assert dropped_lines(spark, texts) == [0, 1, 0, 1, 0, 1, 2]
+
+
+def test_text_of_very_many_lines(spark):
+    text = "\n".join(f"line {k % 7} of {'abcdefg'[k % 7] * (k % 50 + 1)}" for k in range(200_000))
+    assert dropped_lines(spark, [text, text, None]) == [0, 200_000, 0]
+
+
+def test_position_mask(spark):
+    rows = spark.createDataFrame([([0, 1, 4],), ([2],), ([5, 0],)], "at array<int>")
+    got = [r[0] for r in rows.select(line_templates.position_mask(F.col("at"))).collect()]
+    assert got == [[k in at for k in range(max(at) + 1)] for at in ([0, 1, 4], [2], [5, 0])]
+
+
 def test_line_templates_empty(spark):
     assert line_templates.drop_recurring_lines(documents(spark, []).limit(0)).count() == 0
 
