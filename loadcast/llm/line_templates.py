@@ -3,17 +3,17 @@
 A line's tokens are its white-space-delimited words; a token that holds a digit or an ``@`` is a
 variable field and reads ``<*>`` (a line of such fields only is read as it stands). The tree has a
 fixed depth: a leaf is the token count and the first ``DEPTH`` tokens. Within a leaf the most
-frequent line becomes a template; lines that agree with it in at least a share ``SIMILAR`` of
-their tokens belong to it, their differing tokens being wildcards; of the lines left the most
+frequent line becomes a template; lines that agree with it in four of five
+tokens belong to it, their differing tokens being wildcards; of the lines left the most
 frequent is the next template, until none is left. Tokens are compared by 15-bit hashes, so that
 no line is shuffled as text.
 
-Two lines of a leaf that agree so far differ in one token of five at most. With one stretch more
-than these, cut from the tokens after the leading ones, they share a stretch: only lines that do
-are compared. A line that is the most frequent one in each of its stretches becomes a template at
-once, so that all leaves, and unrelated parts of one leaf, advance together; a line joins the most
-frequent template that it agrees with in that round. Rounds follow the longest chain of ever rarer
-unlike lines with a common stretch, not the lines.
+Two lines of a leaf that agree so far differ in one token of ``UNLIKE`` at most. With one stretch
+more than these, cut from the tokens after the leading ones, they share a stretch: a line without
+a stretch in common with another stands alone. Of the others a round takes each leaf's ``BLOCK``
+most frequent lines (fewer, if they are very long), finds the templates among them in that order,
+and compares the leaf's lines with these. A leaf with more lines than that goes on with those
+that agree with none: the templates are those of one long list, whatever the block.
 
 A template that stands in two or more distinct documents recurs. Its lines are dropped from all
 of them but the first by doc_id, so one copy of every passage stays. Lines of fewer than
@@ -33,13 +33,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEPTH = 3
 MIN_TOKENS = 3
-SIMILAR = 0.8
-UNLIKE = 5          # of so many tokens one may differ
+UNLIKE = 5                  # of so many tokens one may differ from a template
+BLOCK = 256                 # lines of a leaf that a round orders, of
+BLOCK_TOKENS = 1 << 21      # so many tokens, two lines at least
 WILDCARD = "<*>"
 
 
@@ -79,7 +80,7 @@ def document_lines(docs: DataFrame) -> DataFrame:
 
 
 def stretches(lines: DataFrame) -> DataFrame:
-    """(sub, leaf, line, n): the stretches of each line, one more than its tokens that may differ
+    """(sub, leaf, line): the stretches of each line, one more than its tokens that may differ
     from a template's."""
     parts, size = F.floor(F.col("tokens") / UNLIKE) + 1, F.col("tokens") - DEPTH
     cut = lambda k: F.floor(size * k / F.col("parts")).cast("int")      # noqa: E731
@@ -87,41 +88,38 @@ def stretches(lines: DataFrame) -> DataFrame:
     return (lines.withColumn("parts", parts).withColumn("k", F.explode(F.expr(
         "sequence(0L, parts - 1)"))).select(
             F.xxhash64("leaf", k, F.slice("signature", cut(k) + DEPTH + 1,
-                                          cut(k + 1) - cut(k))).alias("sub"),
-            "leaf", "line", "n"))
+                                          cut(k + 1) - cut(k))).alias("sub"), "leaf", "line"))
+
+
+def agree(a: Column, b: Column) -> Column:
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda equal: equal))
+    return same * UNLIKE >= F.size(a) * (UNLIKE - 1)
 
 
 def similar_lines(lines: DataFrame) -> DataFrame | None:
     """(leaf, line, template) of distinct lines that belong to a more frequent line's template;
     ``lines`` holds leaf, line, n, tokens and signature."""
-    rows, joined = stretches(lines).checkpoint(), []
-    while True:
-        hubs = (rows.groupBy("sub").agg(F.max(F.struct("n", "line")).alias("top"),
-                                        F.count("*").alias("lines"))
-                .where("lines > 1").select("sub", F.col("top.line").alias("hub"),
-                                           F.col("top.n").alias("hub_n")).checkpoint())
-        rows = rows.join(hubs, "sub").checkpoint()
-        if rows.isEmpty():
-            return reduce(DataFrame.unionByName, joined) if joined else None
-        leaders = (rows.groupBy("leaf", F.col("line").alias("hub"))
-                   .agg(F.min(F.col("line") == F.col("hub")).alias("leads"))
-                   .where("leads").select("leaf", "hub").checkpoint())
-        pairs = (rows.where("line != hub").join(leaders, ["leaf", "hub"])
-                 .select("leaf", "line", "hub", "hub_n").distinct())
-        sides = lines.select("leaf", "line", "signature")
-        pairs = pairs.join(sides, ["leaf", "line"]).join(
-            sides.select("leaf", F.col("line").alias("hub"), F.col("signature").alias("other")),
-            ["leaf", "hub"])
-        same = F.size(F.filter(F.zip_with("signature", "other", lambda x, y: x == y),
-                               lambda equal: equal))
-        found = (pairs.where(same >= F.size("signature") * SIMILAR)
-                 .groupBy("leaf", "line").agg(F.max(F.struct("hub_n", "hub")).alias("top"))
-                 .select("leaf", "line", F.col("top.hub").alias("template")).checkpoint())
-        joined.append(found)
-        settled = found.select("leaf", "line").unionByName(
-            leaders.select("leaf", F.col("hub").alias("line")))
-        rows = (rows.select("sub", "leaf", "line", "n")
-                .join(settled, ["leaf", "line"], "left_anti").checkpoint())
+    rows = stretches(lines).checkpoint()
+    paired = rows.join(rows.groupBy("sub").count().where("count > 1"), "sub")
+    left = lines.join(paired.select("leaf", "line").distinct(), ["leaf", "line"],
+                      "left_semi").checkpoint()
+    by_rank = Window.partitionBy("leaf").orderBy(F.desc("n"), "line")
+    joined = []
+    while not left.isEmpty():
+        block = (left.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= BLOCK)
+                 .where((F.col("rank") <= 2) | (F.col("rank") * F.col("tokens") <= BLOCK_TOKENS)))
+        ordered = block.groupBy("leaf").agg(F.sort_array(F.collect_list(
+            F.struct("rank", "line", "signature"))).alias("ordered"))
+        templates = ordered.select("leaf", F.aggregate(
+            "ordered", F.slice("ordered", 1, 0), lambda found, x: F.when(
+                F.exists(found, lambda t: agree(t["signature"], x["signature"])), found
+            ).otherwise(F.concat(found, F.array(x)))).alias("templates")).checkpoint()
+        first = F.get(F.filter("templates", lambda t: agree(t["signature"], F.col("signature"))), 0)
+        seen = left.join(templates, "leaf").select(*left.columns,
+                                                   first["line"].alias("template")).checkpoint()
+        joined.append(seen.where("template != line").select("leaf", "line", "template"))
+        left = seen.where("template is null").drop("template")
+    return reduce(DataFrame.unionByName, joined) if joined else None
 
 
 def recurring_lines(lines: DataFrame) -> DataFrame:
@@ -129,15 +127,18 @@ def recurring_lines(lines: DataFrame) -> DataFrame:
     that keeps them."""
     distinct = (lines.groupBy("leaf", "line")
                 .agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"),
-                     F.min(F.struct("doc_id", "key")).alias("first"),
-                     F.min("tokens").alias("tokens"),
-                     F.min("signature").alias("signature"))).checkpoint()
+                     F.min(F.struct("doc_id", "key", "at")).alias("first"),
+                     F.min("tokens").alias("tokens"))).checkpoint()
     leaves = (distinct.groupBy("leaf")
               .agg(F.min("lo").alias("leaf_lo"), F.max("hi").alias("leaf_hi"),
                    F.count("*").alias("leaf_lines"))
               .where("leaf_lo != leaf_hi").select("leaf", "leaf_lines").checkpoint())
     shared = distinct.join(leaves, "leaf").checkpoint()
-    similar = similar_lines(shared.where((F.col("leaf_lines") > 1) & (F.col("tokens") >= UNLIKE)))
+    places = (shared.where((F.col("leaf_lines") > 1) & (F.col("tokens") >= UNLIKE))
+              .select("leaf", "line", "n", "tokens", "first.key", "first.at").checkpoint())
+    # equal documents give a place several times
+    similar = similar_lines(places.join(lines.select("key", "at", "signature"), ["key", "at"])
+                            .dropDuplicates(["leaf", "line"]).drop("key", "at").checkpoint())
     member = shared.select("leaf", "line", "lo", "hi", "first")
     if similar is None:
         member = member.withColumn("template", F.col("line"))
