@@ -37,10 +37,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go from all documents but the first; a document that consisted of such
-    lines only goes as a whole. A null or empty text stays."""
+    """Recurring lines go from all documents but the first; a document of which nothing but white
+    space is left goes as a whole. A null or empty text stays."""
     left = line_templates.drop_recurring_lines(docs).where(
-        "not (_llm_dropped > 0 and text = '')  or text is null")
+        "not (_llm_dropped > 0 and trim(both ' \t\r\n' from text) = '') or text is null")
     return _with_text_length(left, docs.columns)
 
 

@@ -3,9 +3,9 @@
 A line's tokens are its white-space-delimited words; a token that holds a digit or an ``@`` is a
 variable field and reads ``<*>`` (a line of such fields only is read as it stands). The tree has a
 fixed depth: a leaf is the token count and the first ``DEPTH`` tokens. Within a leaf the most
-frequent line becomes a template; lines that agree with it in four of five
-tokens belong to it, their differing tokens being wildcards; of the lines left the most
-frequent is the next template, until none is left. Tokens are compared by 15-bit hashes, so that
+frequent line becomes a template; lines that agree with it in four of five tokens belong to it,
+their differing tokens being wildcards; of the lines left the most frequent is the next template,
+until none is left. Tokens are compared by 15-bit hashes, so that
 no line is shuffled as text.
 
 Two lines of a leaf that agree so far differ in one token of ``UNLIKE`` at most. With one stretch
@@ -67,8 +67,10 @@ def template_tokens(lines: DataFrame) -> DataFrame:
 
 def document_lines(docs: DataFrame) -> DataFrame:
     """(key, doc_id, at, tokens, leaf, line, signature) of every line that can be a template."""
-    lines = docs.select(_key("doc_id", "text").alias("key"), "doc_id",
-                        F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    # the text is hashed once a document, below the generator, not once a line
+    split = docs.select(_key("doc_id", "text").alias("key"), "doc_id",
+                        F.split("text", "\n").alias("lines"))
+    lines = split.select("key", "doc_id", F.posexplode("lines").alias("at", "raw"))
     tokens, size = template_tokens(lines), F.size("tokens")
     worded = (size >= MIN_TOKENS) | F.array_join("tokens", " ").rlike(r"[\p{L}\p{N}]")
     token = lambda t: F.hash(t).bitwiseAND(0x7FFF).cast("short")        # noqa: E731

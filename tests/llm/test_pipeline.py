@@ -44,3 +44,15 @@ def test_awkward_rows(spark, tmpdir_path, name, stage):
         assert out.columns == docs.columns
     assert 0 < out.count()
     assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_line_dedup_leaves_no_stubs(spark):
+    """Nothing but white space is left of the second copy; the third has a line of its own."""
+    text = "one fine line of text here\n\nand another one after it\n \t"
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(
+        [text, text + "\r", text + "\nwords of its own", "", "\n"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, "
+                                 "n_chars long")
+    out = corpus_pipeline.line_dedup(spark, docs, SMALL).collect()
+    assert {r["doc_id"]: r["text"].strip() for r in out} == {
+        0: text.strip(), 2: "words of its own", 3: "", 4: ""}
