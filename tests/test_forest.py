@@ -124,3 +124,35 @@ def test_constant_targets_and_empty_folds(spark):
     assert df.select(model.predict([F.col("x")[0]])).distinct().first()[0] == 2.5
     with pytest.raises(ValueError):
         FO.ForestParams(bins=1)
+
+
+def test_leaves_at_full_depth_are_summed_up_by_the_pass(spark, monkeypatch):
+    """No task is dealt the rows of a leaf, however many they are."""
+    def refuse(*_):
+        raise AssertionError("rows were dealt")
+    df, x, y = _table(spark)
+    cuts = FO.feature_bins(df, "x", 3, 64)
+    binned = FO.binned_rows(df, "x", "y", cuts).checkpoint()
+    for depth in (1, 2):
+        params = FO.ForestParams(trees=1, depth=depth, bootstrap=False, bins=64)
+        whole = _nodes(FO.grow_forests(binned, cuts, [9], params))
+        with monkeypatch.context() as m:
+            m.setattr(FO, "LOCAL_ROWS", 20)
+            m.setattr(FO, "_subtrees", refuse)
+            by_passes = _nodes(FO.grow_forests(binned, cuts, [9], params))
+        assert set(whole) == set(by_passes) and len(whole) == 2 ** (depth + 1) - 1
+        for key, r in whole.items():
+            for name, value in r.asDict().items():
+                want = value if value is None else pytest.approx(value, rel=1e-9, abs=1e-9)
+                assert by_passes[key][name] == want
+
+
+def test_bags_are_the_poisson_counts_of_the_hash():
+    """The table of counts decides as the distribution does, at its steps too."""
+    ids = np.random.default_rng(0).integers(-2 ** 62, 2 ** 62, 200_000)
+    bag = FO._bag(ids, 3, FO.ForestParams())
+    shares = np.bincount(bag, minlength=8)[:8] / len(ids)
+    want = [math.exp(-1) / math.factorial(k) for k in range(8)]
+    assert shares == pytest.approx(want, abs=0.005)
+    for step in FO._POISSON[:6]:
+        assert FO._COUNTS[int(step * 4096)] == 255
