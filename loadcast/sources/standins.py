@@ -25,6 +25,7 @@ STATION_CYCLE = ["240", "260", "330", "370", "391"]
 EVENT_HOUSE_TYPE = {"click": "1x25", "view": "3x25", "signup": "3x35", "purchase": "3x50"}
 SCENARIO_CYCLE = ["cold", "NORMAL", "warm", "extreme"]
 COMPANY_CYCLE = ["liander", "enexis", "STEDIN", "unknown"]
+ROWS_A_TASK = 2_000_000     # of the line items that a task of the supplier join reads
 MODEL_CYCLE = ["Linear Regression", "Ridge Regression", "Lasso Regression", "Random Forest"]
 
 
@@ -41,10 +42,18 @@ def _nz(c):
     return c + F.lit(0.0)
 
 
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` for a join, where the session's shuffle partitions would hold more
+    than ``ROWS_A_TASK`` rows each. The rows are counted from the files' footers."""
+    parts = -(-df.count() // ROWS_A_TASK)
+    few = parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if few else df.repartition(parts, key)
+
+
 def energy_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").select(
+    li = _dealt(read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+        "l_extendedprice", "l_discount", "l_tax", "l_shipdate"), "l_suppkey")
     base = sf_dir.rstrip("/")
     sup = spark.read.parquet(f"{base}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey")
     nat = spark.read.parquet(f"{base}/nation.parquet").select("n_nationkey", "n_name")
