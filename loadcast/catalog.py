@@ -921,7 +921,9 @@ def _scaled_rows(spark, sf_dir) -> DataFrame:
     rows = _area_featured(spark, sf_dir).withColumn(
         "postal_digit", F.substring("zipcode_from", 1, 1).cast("double"))
     rows = rows.select(*KEYS, "year", "household_consumption",
-                       *[F.col(c).cast("double").alias(c) for c in SELECT_X]).dropna()
+                       *[F.col(c).cast("double").alias(c) for c in SELECT_X])
+    # computed once for all readers, and not a second time by the null filter
+    rows = rows.checkpoint().dropna()
     scaled = M.robust_scale(rows, M.fit_robust_scaler(rows, SELECT_X))
     return scaled.select(*KEYS, "year", F.array(*SELECT_X).alias("x"),
                          "household_consumption")

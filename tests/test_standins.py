@@ -31,3 +31,13 @@ def test_line_items_are_joined_in_tasks_of_bounded_rows(spark, tmpdir_path, monk
         assert sorted(map(str, dealt.collect())) == sorted(map(str, whole.collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_rows_of_the_grid_search_are_stored_before_they_are_filtered(spark):
+    """Neither the readers nor the null filter compute the features again."""
+    from conftest import SF_SMALL
+    from loadcast.catalog import _scaled_rows
+    rows = _scaled_rows(spark, SF_SMALL)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "parquet" not in plan
+    assert rows.where("household_consumption is null or x is null").count() == 0
