@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadcast.llm import (kn_toxicity, line_templates, pii_votes, simhash_balls, sumsq_packing)
+from loadcast.llm.common import spark_cores
 from loadcast.session import ensure_checkpoint_dir
 
 
@@ -28,6 +29,12 @@ def _with_text_length(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns)
 
 
+def _in_few_files(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """At most as many partitions as ``docs`` has, so that a stage behind a shuffle doesn't write
+    a file for each of the session's shuffle partitions (see ``loadcast.llm.common.stored``)."""
+    return df.coalesce(max(docs.rdd.getNumPartitions(), spark_cores(df.sparkSession)))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under one half; a null or empty text has the score of a
     text without words and stays if that is under one half."""
@@ -41,13 +48,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     space is left goes as a whole. A null or empty text stays."""
     left = line_templates.drop_recurring_lines(docs).where(
         "not (_llm_dropped > 0 and trim(both ' \t\r\n' from text) = '') or text is null")
-    return _with_text_length(left, docs.columns)
+    return _in_few_files(_with_text_length(left, docs.columns), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies. All texts without words (null and empty ones)
     are one group, of which one row stays."""
-    return simhash_balls.keep_one_of_each_group(docs, 3, 3)
+    return _in_few_files(simhash_balls.keep_one_of_each_group(docs, 3, 3), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

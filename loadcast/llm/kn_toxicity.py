@@ -44,6 +44,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 DEPTH = 8
 CONTEXTS = (4, 1)
 FIRST, LATER = "+", "_"
@@ -303,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000):
     """A broadcast :class:`Model` and its :class:`Calibrator`, or the toxic share of the sample
     where it lacks a class."""
     spark = docs.sparkSession
-    sample = labelled_sample(labels, sample_rows).checkpoint()
+    sample = stored(labelled_sample(labels, sample_rows), sample_rows)
     size = sample.agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("int"))).first()
     share = (size[1] or 0) / max(size[0], 1)
     if size[1] in (None, 0, size[0]):

@@ -36,6 +36,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import spark_cores, stored
+
 DEPTH = 3
 MIN_TOKENS = 3
 UNLIKE = 5                  # of so many tokens one may differ from a template
@@ -102,9 +104,10 @@ def similar_lines(lines: DataFrame) -> DataFrame | None:
     """(leaf, line, template) of distinct lines that belong to a more frequent line's template;
     ``lines`` holds leaf, line, n, tokens and signature."""
     rows = stretches(lines).checkpoint()
+    size = lines.count()
     paired = rows.join(rows.groupBy("sub").count().where("count > 1"), "sub")
-    left = lines.join(paired.select("leaf", "line").distinct(), ["leaf", "line"],
-                      "left_semi").checkpoint()
+    left = stored(lines.join(paired.select("leaf", "line").distinct(), ["leaf", "line"],
+                             "left_semi"), size)
     by_rank = Window.partitionBy("leaf").orderBy(F.desc("n"), "line")
     joined = []
     while not left.isEmpty():
@@ -112,13 +115,13 @@ def similar_lines(lines: DataFrame) -> DataFrame | None:
                  .where((F.col("rank") <= 2) | (F.col("rank") * F.col("tokens") <= BLOCK_TOKENS)))
         ordered = block.groupBy("leaf").agg(F.sort_array(F.collect_list(
             F.struct("rank", "line", "signature"))).alias("ordered"))
-        templates = ordered.select("leaf", F.aggregate(
+        templates = stored(ordered.select("leaf", F.aggregate(
             "ordered", F.slice("ordered", 1, 0), lambda found, x: F.when(
                 F.exists(found, lambda t: agree(t["signature"], x["signature"])), found
-            ).otherwise(F.concat(found, F.array(x)))).alias("templates")).checkpoint()
+            ).otherwise(F.concat(found, F.array(x)))).alias("templates")), size)
         first = F.get(F.filter("templates", lambda t: agree(t["signature"], F.col("signature"))), 0)
-        seen = left.join(templates, "leaf").select(*left.columns,
-                                                   first["line"].alias("template")).checkpoint()
+        seen = stored(left.join(templates, "leaf").select(
+            *left.columns, first["line"].alias("template")), size)
         joined.append(seen.where("template != line").select("leaf", "line", "template"))
         left = seen.where("template is null").drop("template")
     return reduce(DataFrame.unionByName, joined) if joined else None
@@ -127,32 +130,37 @@ def similar_lines(lines: DataFrame) -> DataFrame | None:
 def recurring_lines(lines: DataFrame) -> DataFrame:
     """(leaf, line, keep_key): lines whose template stands in several documents, and the document
     that keeps them."""
+    # in no more tasks than the lines, which are at least as many
     distinct = (lines.groupBy("leaf", "line")
                 .agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"),
                      F.min(F.struct("doc_id", "key", "at")).alias("first"),
-                     F.min("tokens").alias("tokens"))).checkpoint()
-    leaves = (distinct.groupBy("leaf")
-              .agg(F.min("lo").alias("leaf_lo"), F.max("hi").alias("leaf_hi"),
-                   F.count("*").alias("leaf_lines"))
-              .where("leaf_lo != leaf_hi").select("leaf", "leaf_lines").checkpoint())
-    shared = distinct.join(leaves, "leaf").checkpoint()
-    places = (shared.where((F.col("leaf_lines") > 1) & (F.col("tokens") >= UNLIKE))
-              .select("leaf", "line", "n", "tokens", "first.key", "first.at").checkpoint())
+                     F.min("tokens").alias("tokens"))
+                .coalesce(max(lines.rdd.getNumPartitions(), spark_cores(lines.sparkSession)))
+                .checkpoint())
+    rows = distinct.count()
+    leaves = stored(distinct.groupBy("leaf")
+                    .agg(F.min("lo").alias("leaf_lo"), F.max("hi").alias("leaf_hi"),
+                         F.count("*").alias("leaf_lines"))
+                    .where("leaf_lo != leaf_hi").select("leaf", "leaf_lines"), rows)
+    shared = stored(distinct.join(leaves, "leaf"), rows)
+    places = stored(shared.where((F.col("leaf_lines") > 1) & (F.col("tokens") >= UNLIKE))
+                    .select("leaf", "line", "n", "tokens", "first.key", "first.at"), rows)
     # equal documents give a place several times
-    similar = similar_lines(places.join(lines.select("key", "at", "signature"), ["key", "at"])
-                            .dropDuplicates(["leaf", "line"]).drop("key", "at").checkpoint())
+    similar = similar_lines(stored(
+        places.join(lines.select("key", "at", "signature"), ["key", "at"])
+        .dropDuplicates(["leaf", "line"]).drop("key", "at"), rows))
     member = shared.select("leaf", "line", "lo", "hi", "first")
     if similar is None:
         member = member.withColumn("template", F.col("line"))
     else:
-        member = (member.join(similar, ["leaf", "line"], "left")
-                  .withColumn("template", F.coalesce("template", "line")).checkpoint())
-    recurring = (member.groupBy("leaf", "template")
-                 .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-                      F.min("first").alias("first")).where("lo != hi")
-                 .select("leaf", "template", F.col("first.key").alias("keep_key")).checkpoint())
-    return member.select("leaf", "line", "template").join(recurring, ["leaf", "template"]).select(
-        "leaf", "line", "keep_key")
+        member = stored(member.join(similar, ["leaf", "line"], "left")
+                        .withColumn("template", F.coalesce("template", "line")), rows)
+    recurring = stored(member.groupBy("leaf", "template")
+                       .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                            F.min("first").alias("first")).where("lo != hi")
+                       .select("leaf", "template", F.col("first.key").alias("keep_key")), rows)
+    return stored(member.select("leaf", "line", "template").join(recurring, ["leaf", "template"])
+                  .select("leaf", "line", "keep_key"), rows)
 
 
 def position_mask(positions: Column) -> Column:
@@ -167,7 +175,7 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with recurring lines gone from ``text``, and ``_llm_lines`` and ``_llm_dropped``,
     the number of lines before and of dropped lines."""
     lines = document_lines(docs.select("doc_id", "text")).checkpoint()
-    recurring = recurring_lines(lines).checkpoint()
+    recurring = recurring_lines(lines)
     dropped = (lines.select("leaf", "line", "key", "at").join(recurring, ["leaf", "line"])
                .where("key != keep_key")
                .groupBy(F.col("key").alias("_llm_key"))

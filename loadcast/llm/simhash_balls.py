@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, partitions_for
+from .common import connected_components, partitions_for, stored
 
 BLOCK = 1 << 14
 PRINTS_AT_ONCE = 4096
@@ -167,14 +167,16 @@ def near_duplicate_groups(docs: DataFrame, words: int = 3, max_distance: int = 3
     doc_id reachable over fingerprints that differ in at most ``max_distance`` bits, group_fp the
     smallest such fingerprint."""
     prints = fingerprints(docs, words, seed, keep).checkpoint()
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).checkpoint()
+    rows = prints.count()
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), rows)
     parts = connected_components(near_links(distinct.select("fp"), max_distance))
-    linked = (distinct.join(parts, distinct.fp == parts.node, "left")
-              .select("fp", "first_id", F.coalesce("component", "fp").alias("group_fp"))
-              .checkpoint())
+    linked = stored(distinct.join(parts, distinct.fp == parts.node, "left")
+                    .select("fp", "first_id", F.coalesce("component", "fp").alias("group_fp")),
+                    rows)
     least = linked.groupBy("group_fp").agg(F.min("first_id").alias("component_id"))
-    member = linked.join(least.checkpoint(), "group_fp").select("fp", "component_id", "group_fp")
-    return prints.join(member.checkpoint(), "fp").select(*keep, "fp", "component_id", "group_fp")
+    member = (linked.join(stored(least, rows), "group_fp")
+              .select("fp", "component_id", "group_fp"))
+    return prints.join(stored(member, rows), "fp").select(*keep, "fp", "component_id", "group_fp")
 
 
 def keep_one_of_each_group(docs: DataFrame, words: int = 3, max_distance: int = 3) -> DataFrame:
@@ -184,9 +186,9 @@ def keep_one_of_each_group(docs: DataFrame, words: int = 3, max_distance: int =
     row = F.xxhash64(*[F.struct(F.col(c), F.col(c).isNull()) for c in docs.columns])
     groups = near_duplicate_groups(docs.select("doc_id", "text", row.alias("_llm_row")), words,
                                    max_distance, keep=("doc_id", "_llm_row"))
-    first = (groups.groupBy("group_fp").agg(F.min(F.struct(
+    first = stored(groups.groupBy("group_fp").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_llm_row")).alias("f"))
-        .select(F.col("f._llm_row").alias("_llm_first")).checkpoint())
+        .select(F.col("f._llm_row").alias("_llm_first")), docs.count())
     again = F.row_number().over(Window.partitionBy("_llm_row").orderBy("_llm_row"))
     return (docs.withColumn("_llm_row", row)
             .join(first, F.col("_llm_row") == F.col("_llm_first"), "left_semi")

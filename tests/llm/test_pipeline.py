@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from loadcast.llm import common  # noqa: E402
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -56,3 +58,28 @@ def test_line_dedup_leaves_no_stubs(spark):
     out = corpus_pipeline.line_dedup(spark, docs, SMALL).collect()
     assert {r["doc_id"]: r["text"].strip() for r in out} == {
         0: text.strip(), 2: "words of its own", 3: "", 4: ""}
+
+
+def test_files_follow_rows_not_shuffle_partitions(spark):
+    """A small table is stored in a file a core, and the stages behind a shuffle have as many
+    partitions as they read, whatever the session's number of shuffle partitions."""
+    conf = {"spark.sql.shuffle.partitions": "40",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = [(i, f"line {w} of some text here\n{w} {i}", "en", "s", 0)
+                for i, w in enumerate("abcdefgh" * 5)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, "
+                                     "source string, n_chars long")
+        kept = common.stored(docs.groupBy("doc_id").count(), len(rows))
+        assert kept.rdd.getNumPartitions() <= cores and kept.count() == len(rows)
+        for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_dedup):
+            out = stage(spark, docs, SMALL)
+            assert out.rdd.getNumPartitions() <= max(docs.rdd.getNumPartitions(), cores)
+            assert out.count() > 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
