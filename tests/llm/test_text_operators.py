@@ -532,6 +532,26 @@ def test_suffixes_cover_what_brute_force_covers(spark):
         assert got[i] == " ".join(w for k, w in enumerate(p) if k not in gone)
 
 
+def test_suffixes_decide_open_blocks_of_marked_pages(spark):
+    """A headline before the article and text after it stay; what other pages of the host repeat
+    goes, unless an article holds it."""
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(5))
+                               for _ in range(n))
+    boiler, shared = words(12), words(10)
+    rows, want = [], []
+    for i in range(4):
+        title, article, rest = words(9), [words(20), shared, boiler], words(15)
+        body = (f"<h1>{title}</h1><div>{boiler}</div><article>"
+                + "".join(f"<p>{p}</p>" for p in article) + f"</article><div>{rest}</div>")
+        rows.append((i, f"https://h.org/{i}", PAGE.replace("{0}", body)))
+        want.append("\n".join([title, *article, rest]))
+    rows.append((4, "https://h.org/4", PAGE.replace("{0}", f"<div>{boiler}</div><main>m</main>")))
+    got = {r["page_id"]: r["text"] for r in host_boilerplate.extract(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(5)] == [*want, "m"]
+
+
 # ------------------------------------------------------------------------------ 9
 def ratios_by_hand(texts, labels):
     """Word ratios by the formulas, with plain dictionaries."""
