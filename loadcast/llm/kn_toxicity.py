@@ -36,6 +36,8 @@ where the input has a column of the score's name.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable
 from heapq import nlargest
 from itertools import chain
 
@@ -44,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import returning_memory, stored
 
 DEPTH = 8
 CONTEXTS = (4, 1)
@@ -53,7 +55,7 @@ CLASS_DISCOUNT, SHARED_DISCOUNT = 0.95, 0.75
 WINDOWS = (1, 2, 4, 8, 16)
 HIGHEST = (2, 3, 5, 8)
 WORDS_KEPT = 300_000
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 19
 _LETTERS = re.compile(r"[^\W_]+")
 
 
@@ -96,30 +98,27 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n_all, n_toxic, n_ordinary): in how many documents a piece stands, of all and of
     each class (column ``toxic``, null where unlabelled). Sums within a task come first."""
     def run(batches):
-        counts: dict[str, list[int]] = {}
+        counts = [Counter(), Counter(), Counter()]      # of all, toxic and ordinary documents
 
         def rows():
-            n = list(counts.values())
+            words = list(counts[0])
             out = pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()),
-                 *(pa.array([x[k] for x in n], pa.int64()) for k in range(3))],
+                [pa.array(words, pa.string()),
+                 *(pa.array([c.get(w, 0) for w in words], pa.int64()) for c in counts)],
                 ["word", "n_all", "n_toxic", "n_ordinary"])
-            counts.clear()
+            for c in counts:
+                c.clear()
             return out
 
-        for batch in batches:
+        for batch in returning_memory(batches):
             for text, toxic in zip(batch.column("text"), batch.column("toxic")):
-                label = toxic.as_py()
-                column = 0 if label is None else 1 if label > 0 else 2
-                for w in set(pieces_of(text.as_py())):
-                    n = counts.get(w)
-                    if n is None:
-                        n = counts[w] = [0, 0, 0]
-                    n[0] += 1
-                    if column:
-                        n[column] += 1
-            if len(counts) >= WORDS_KEPT:
-                yield rows()
+                words, label = set(pieces_of(text.as_py())), toxic.as_py()
+                counts[0].update(words)
+                if label is not None:
+                    counts[1 if label > 0 else 2].update(words)
+                # a batch can hold many times as many
+                if len(counts[0]) >= WORDS_KEPT:
+                    yield rows()
         yield rows()
 
     return (docs.mapInArrow(run, "word string, n_all long, n_toxic long, n_ordinary long")
@@ -288,10 +287,12 @@ class Calibrator:
         return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
 
 
-def _groups(texts: list[str | None]):
-    """Runs of texts of about ``GROUP_CHARS`` characters, so that few words are new at once."""
+def _groups(texts: Iterable[pa.Scalar]):
+    """Runs of texts of about ``GROUP_CHARS`` characters, so that few words are new at once and
+    only one run of a batch is in strings of its own."""
     group, size = [], 0
-    for t in texts:
+    for text in texts:
+        t = text.as_py()
         group.append(t)
         size += len(t or "")
         if size >= GROUP_CHARS:
@@ -323,9 +324,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000):
     model = spark.sparkContext.broadcast(Model(*map(pull, step_ratios(words))))
 
     def run(batches):
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            x = [f for g in _groups(texts) for f in model.value.features(g).tolist()]
+        for b in returning_memory(batches):
+            x = [f for g in _groups(b.column("text")) for f in model.value.features(g).tolist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
@@ -347,13 +347,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_00
         return docs.select(*keep, F.lit(float(fitted)).alias(name))
     model, calibrator = fitted
     schema = docs.select(*keep, F.lit(0.0).alias(name)).schema
+    # a kept text is sent once
+    at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches):
-        for b in batches:
-            texts = b.column(len(keep)).to_pylist()
-            scores = [s for g in _groups(texts)
+        for b in returning_memory(batches):
+            scores = [s for g in _groups(b.column(at))
                       for s in calibrator.scores(model.value.features(g)).tolist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())],
-                                             schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:len(keep)], pa.array(scores, pa.float64())], schema.names)
 
-    return docs.select(*keep, F.col("text").alias("_llm_text")).mapInArrow(run, schema)
+    sent = [*keep, F.col("text").alias("_llm_text")][:max(at + 1, len(keep))]
+    return docs.select(*sent).mapInArrow(run, schema)

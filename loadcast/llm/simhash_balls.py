@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, partitions_for, stored
+from .common import connected_components, partitions_for, returning_memory, stored
 
 BLOCK = 1 << 14
 PRINTS_AT_ONCE = 4096
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, keep: tuple[st
                          F.lit(0).cast("long").alias("fp")).schema
 
     def run(batches):
-        for b in batches:
+        for b in returning_memory(batches):
             fps = np.array([fingerprint(t.as_py(), words, seed) for t in b.column("text")],
                            dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(

@@ -27,13 +27,16 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TABLE_WORDS = 800_000
+from .common import returning_memory
+
+TABLE_WORDS = 200_000
 LONG_WORD = 256
 #: white space and controls that Python and the tokenizer may class differently
 _UNSURE = re.compile("[\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029"
@@ -58,6 +61,7 @@ class WordIds:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        self.path = tokenizer_path
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
@@ -66,6 +70,9 @@ class WordIds:
         sample = "It's PLAIN text_1, d\u00e9j\u00e0 vu: x=42!!'tis \u00dcber\u00df"
         self.by_part = b"".join(map(self.split, sample.lower().split())) == self.whole(sample)
 
+    def __reduce__(self):
+        return WordIds, (self.path,)
+
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -95,18 +102,16 @@ def _known(table: dict[str, bytes], word: str, make) -> bytes:
         ids = make(word)
         if len(word) <= LONG_WORD:
             if len(table) >= TABLE_WORDS:
+                # common words come early: the first half stays
+                first = list(islice(table.items(), TABLE_WORDS // 2))
                 table.clear()
+                table.update(first)
             table[word] = ids
     return ids
 
 
-_TABLES: dict[str, WordIds] = {}
-
-
 def word_ids(tokenizer_path: str) -> WordIds:
-    if tokenizer_path not in _TABLES:
-        _TABLES[tokenizer_path] = WordIds(tokenizer_path)
-    return _TABLES[tokenizer_path]
+    return WordIds(tokenizer_path)
 
 
 class LevelPacker:
@@ -179,10 +184,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_i
     if size & (size - 1):
         raise ValueError("the window must be a power of two")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    # a worker's tables go when it turns to tasks without this broadcast
+    shared = docs.sparkSession.sparkContext.broadcast(word_ids(tokenizer_path))
 
     def run(batches):
         from pyspark import TaskContext
-        table, packer = word_ids(tokenizer_path), LevelPacker(size)
+        table, packer = shared.value, LevelPacker(size)
         next_id = TaskContext.get().partitionId() << 33
         kind = None
         rows: list[tuple] = []
@@ -205,7 +212,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_i
             rows.clear()
             return pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
 
-        for b in batches:
+        for b in returning_memory(batches):
             kind = b.schema.field("doc_id").type
             for doc, text in zip(b.column("doc_id"), b.column("text")):
                 ids = np.frombuffer(table.encode(text.as_py() or "") + end, dtype="<u4")

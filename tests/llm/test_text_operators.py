@@ -658,3 +658,54 @@ def test_toxicity_reads_whole_words(spark, spaced):
                     for kind in (True, False))
     assert len(toxic) > 15 and len(other) > 50
     assert np.mean([t > o for t in toxic for o in other]) > 0.9
+
+
+def test_packing_tables_are_bounded_and_keep_early_words(monkeypatch):
+    """A full table keeps its first half; what is sent to the workers carries no table."""
+    import pickle
+    monkeypatch.setattr(sumsq_packing, "TABLE_WORDS", 50)
+    table = sumsq_packing.word_ids(WORDS)
+    for text in ("the first words", *(f"word{i} x{i}" for i in range(200)), "\u4e2d\u6587 text",
+                 "the last words"):
+        assert table.encode(text) == table.whole(text)
+        assert max(map(len, (table.parts, table.words, table.others))) <= 50
+    assert "first" in table.words and len(table.words) > 25
+    sent = pickle.loads(pickle.dumps(table))
+    assert not sent.words and sent.encode("the first words") == table.encode("the first words")
+
+
+def test_word_counts_of_a_task_are_bounded_within_a_batch(monkeypatch):
+    """One batch of many words is counted in several parts with the same sums."""
+    import pyarrow as pa
+    monkeypatch.setattr(kn_toxicity, "WORDS_KEPT", 50)
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            raise StopIteration(run)
+
+    try:
+        kn_toxicity.word_counts(Docs())
+    except StopIteration as caught:
+        run = caught.value
+    texts = [f"common w{i} v{i}" for i in range(100)] + [None]
+    marks = [1 if i % 3 == 0 else 0 if i % 3 == 1 else None for i in range(101)]
+    out = list(run(iter([pa.RecordBatch.from_arrays([pa.array(texts), pa.array(marks)],
+                                                    ["text", "toxic"])])))
+    assert max(b.num_rows for b in out) < 50 + 3 and len(out) > 1
+    rows = [r for b in out for r in b.to_pylist()]
+    sums = [sum(r[c] for r in rows if r["word"] == "common")
+            for c in ("n_all", "n_toxic", "n_ordinary")]
+    assert sums == [100, 34, 33]
+
+
+def test_a_kept_text_is_sent_to_the_scorer_once(spark):
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} word{i % 7} text") for i in range(200)]
+    docs = spark.createDataFrame([*rows, (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    out = kn_toxicity.score_documents(docs, labels)
+    assert "_llm_text" not in out._jdf.queryExecution().analyzed().toString()
+    slim = kn_toxicity.score_documents(docs, labels, keep=("doc_id",))
+    assert out.columns == ["doc_id", "text", "score"] and slim.columns == ["doc_id", "score"]
+    assert ({(r["doc_id"], r["text"]) for r in out.collect()} == {*rows, (None, None)}
+            and sorted(r["score"] for r in out.collect())
+            == sorted(r["score"] for r in slim.collect()))
