@@ -147,6 +147,30 @@ def test_leaves_at_full_depth_are_summed_up_by_the_pass(spark, monkeypatch):
                 assert by_passes[key][name] == want
 
 
+def test_subtrees_are_dealt_in_rounds_of_few_rows(spark, monkeypatch):
+    """A round shuffles no more rows than it may, and rounds change nothing."""
+    df, x, y = _table(spark)
+    cuts = FO.feature_bins(df, "x", 3, 32)
+    binned = FO.binned_rows(df, "x", "y", cuts).checkpoint()
+    params, bounds, seen = FO.ForestParams(trees=4, depth=6, features=2), [0, 2, 9], []
+
+    def grown():
+        return {k: r.asDict() for k, r in _nodes(FO.grow_forests(binned, cuts, bounds,
+                                                                 params)).items()}
+
+    whole, grow = grown(), FO._subtrees
+    monkeypatch.setattr(FO, "ROUND_ROWS", 1200)
+    monkeypatch.setattr(FO, "ROUND_TABLES", 1)
+    monkeypatch.setattr(FO, "_subtrees", lambda *a: seen.append(a[-1]) or grow(*a))
+    assert grown() == whole
+    assert sorted(t for r in seen for t in r) == list(range(12))
+    assert [sum((150, 450, 600)[t // 4] for t in r) for r in seen] == [1050, 900, 1050, 1200,
+                                                                       600]
+    monkeypatch.setattr(FO, "LOCAL_ROWS", 60)       # the tops by passes
+    assert {k: v["weight"] for k, v in grown().items()} == {k: v["weight"]
+                                                            for k, v in whole.items()}
+
+
 def test_bags_are_the_poisson_counts_of_the_hash():
     """The table of counts decides as the distribution does, at its steps too."""
     ids = np.random.default_rng(0).integers(-2 ** 62, 2 ** 62, 200_000)

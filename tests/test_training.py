@@ -116,3 +116,36 @@ def test_stage_counts_of_a_training_run_equal_the_funnel(spark):
         S.weather_raw(spark, SF_SMALL)))
     funnel = E.queries()["dq_funnel"](spark, SF_SMALL).first().asDict()
     assert counts == {**funnel, "after_iqr_filter": data.count()}
+
+
+def test_training_stores_narrow_tables_and_deletes_them(spark):
+    """The cleaned table holds the joined columns only, its features follow as it is read; what
+    training stores beside it is gone afterwards, and the table itself when it is discarded."""
+    from loadcast.functions.features import with_features
+    from loadcast.operators import quality as Q
+    from loadcast.operators import weather
+    from loadcast.plans import training as T
+    from loadcast.session import scratch_path
+    from loadcast.sources import standins as S
+    from loadcast.sources.storage import names
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    national = weather.national_from_raw(S.weather_raw(spark, SF_SMALL)).checkpoint()
+    area = S.energy_area(spark, SF_SMALL)
+    data, _ = T.prepare_with_counts(area, national)
+    folders = {f.rpartition("/")[0] for f in data.inputFiles()}
+    assert len(folders) == 1
+    stored = spark.read.parquet(*folders)
+    assert "household_consumption" not in stored.columns and "annual_consume" in stored.columns
+    plain = Q.drop_incomplete(with_features(T.join_by_year(area, national.drop(
+        "data_source", "stations_used", "coverage"))))
+    plain = Q.iqr_filter(Q.household_range_filter(Q.active_filter(
+        Q.with_preliminary_household(plain))), "type_of_connection",
+        "preliminary_household_consumption")
+    assert data.columns == plain.columns
+    assert sorted(map(str, data.collect())) == sorted(map(str, plain.collect()))
+    T.train_models(data, [*keys, "year"], forest_trees=2)
+    left = lambda name: names(spark, scratch_path(spark, name))
+    assert left(T.RANGE_FOLDER) == left(T.ENCODED_FOLDER) == []
+    before = left(T.CLEANED_FOLDER)
+    T.discard(data)
+    assert len(left(T.CLEANED_FOLDER)) == len(before) - 1
