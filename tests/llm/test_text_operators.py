@@ -552,6 +552,43 @@ def test_suffixes_decide_open_blocks_of_marked_pages(spark):
     assert [got[i] for i in range(5)] == [*want, "m"]
 
 
+def _texts(spark, bodies, host="h.org"):
+    rows = [(i, f"https://{host}/{i}", PAGE.replace("{0}", b).replace("Home", f"Home {i}"))
+            for i, b in enumerate(bodies)]
+    got = host_boilerplate.extract(spark.createDataFrame(
+        rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def test_copies_of_an_unmarked_page_keep_their_text(spark):
+    """Copies under other addresses count as one page; what a page of other content repeats goes
+    from all of them, and from marked pages that agree in nothing but it."""
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(5))
+                               for _ in range(n))
+    article, boiler = words(60), words(12)
+    copies = [f"<div>{article}</div>"] * 5
+    assert _texts(spark, copies) == [article] * 5
+    with_boiler = [f"<div>{boiler}</div><div>{article}</div>"] * 5
+    assert _texts(spark, with_boiler + [f"<div>{boiler}</div><div>x y</div>"]) == [
+        *[article] * 5, "x y"]
+    own = [words(20) for _ in range(3)]
+    assert _texts(spark, [f"<article>{o}</article><div>{boiler}</div>" for o in own]) == own
+
+
+def test_what_articles_of_the_host_repeat_is_text(spark):
+    """A passage that stands in as many articles as elsewhere stays in open blocks."""
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(5))
+                               for _ in range(n))
+    passage = words(15)
+    openly = [f"<div>{words(10)}</div><div>{passage}</div>" for _ in range(2)]
+    marked = [f"<article><p>{words(10)}</p><p>{passage}</p></article>" for _ in range(2)]
+    for held in (0, 1, 2):
+        got = _texts(spark, openly + marked[:held])
+        assert [passage in t for t in got] == [held == 2] * 2 + [True] * held
+
+
 # ------------------------------------------------------------------------------ 9
 def ratios_by_hand(texts, labels):
     """Word ratios by the formulas, with plain dictionaries."""
